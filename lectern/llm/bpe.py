@@ -46,6 +46,7 @@ class PrefixBPE:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
 
     def cuts(self, text: str) -> list[str]:
         """The matches of the pattern. A text in Latin letters takes the standard library's faster matcher, whose classes
@@ -123,6 +124,19 @@ class PrefixBPE:
             parts = [known[c] for c in cuts]
         return np.frombuffer(b"".join(parts), "<u4")
 
+    def counts(self, cuts: list[str]) -> list[int]:
+        """Tokens of each cut."""
+        sizes = self.sizes
+        if len(sizes) > 2 * self.memo:
+            sizes.clear()
+        try:
+            return [sizes[c] for c in cuts]
+        except KeyError:
+            for c in set(cuts):
+                if c not in sizes:
+                    sizes[c] = len(self.encode_cut(c)) // 4
+            return [sizes[c] for c in cuts]
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 

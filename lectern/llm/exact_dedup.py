@@ -141,9 +141,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.col("keep_id").eqNullSafe(F.col("_id"))
     tied = (
         out.where(best & (F.col("group_size") > 1)).groupBy("_sha").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1").select("_sha", "_first")
+        .where("_n > 1").select(F.col("_sha").alias("_tsha"), "_first")
     )
-    out = out.join(tied.withColumnRenamed("_sha", "_tsha"), F.col("_sha") == F.col("_tsha"), "left")
+    tied = durable(tied, "tied")
+    if tied.isEmpty():
+        out = out.withColumn("_first", F.col("_row"))
+    else:
+        out = out.join(maybe_broadcast(tied), F.col("_sha") == F.col("_tsha"), "left")
     return out.select(
         F.col("_id").alias(id_col), "keep_id", "group_size",
         (best & (F.col("_first").isNull() | (F.col("_first") == F.col("_row")))).alias("kept"),

@@ -8,8 +8,9 @@ each hashed to 64 bits; a shorter text is one shingle; no words give the empty s
   A pair of similarity s meets with probability (1 - (1 - s**rows)**m)**2: 0.9994 at 0.8 with the defaults, 0.99993 at 0.85.
 * Documents with equal sets are one class from the start (hash aggregation), so exact copies never pair up.
 * In a table bucket every class is compared with the bucket's smallest id only (a star). What a star left apart is then
-  compared across the components that meet in a bucket, unless their sizes rule it out. Classes that are already in one
-  component need no comparison; so a group of n near copies costs about n checks, not n*n.
+  compared across the components that meet in a bucket, unless their sizes, less the shingles that only one of them has,
+  rule it out. Classes that are already in one component need no comparison; so a group of n near copies costs about n
+  checks, not n*n.
 * Every link is confirmed by the exact sizes of intersection and union. No bucket is capped.
 
 Nulls are empty texts, rows with a null id are left out of linking (component null, kept), extra columns are ignored.
@@ -167,11 +168,17 @@ def near_duplicates(
     placed = met.join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("component", F.coalesce("component", "_rep"))
     mixed = placed.groupBy("_key").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q").select("_key")
     open_ = durable(placed.join(mixed, "_key").select("_key", "_rep", "_n", "component"), "open-buckets")
-    a = open_.select("_key", F.col("_rep").alias("x"), F.col("_n").alias("nx"), F.col("component").alias("cx"))
-    b = open_.select("_key", F.col("_rep").alias("y"), F.col("_n").alias("ny"), F.col("component").alias("cy"))
+    # Shingles that no other class there has can't be common: they bound every intersection, and most pairs fall by that.
+    listed = sets.join(open_.select(F.col("_rep").alias("_id")).distinct(), "_id").select("_id", F.explode("_shingles").alias("_x"))
+    lone = listed.groupBy("_x").agg(F.count("*").alias("_c"), F.min("_id").alias("_rep")).where("_c = 1").groupBy("_rep").agg(F.count("*").alias("_u"))
+    able = open_.join(lone, "_rep", "left").withColumn("_most", F.col("_n") - F.coalesce("_u", F.lit(0))).where(F.col("_most") * 100 >= percent * F.col("_n"))
+    able = durable(able, "able")
+    a = able.select("_key", F.col("_rep").alias("x"), F.col("_n").alias("nx"), F.col("component").alias("cx"), F.col("_most").alias("mx"))
+    b = able.select("_key", F.col("_rep").alias("y"), F.col("_n").alias("ny"), F.col("component").alias("cy"), F.col("_most").alias("my"))
+    most = F.least("mx", "my", "nx", "ny")
     pairs = (
         a.join(b, "_key").where("x > y and cx <> cy")
-        .where(F.least("nx", "ny") * 100 >= percent * F.greatest("nx", "ny")).select("x", "y").distinct()
+        .where(most * 100 >= percent * (F.col("nx") + F.col("ny") - most)).select("x", "y").distinct()
     )
     pairs = durable(pairs.join(star, ["x", "y"], "left_anti"), "pairs")
     if not pairs.isEmpty():

@@ -1,14 +1,14 @@
 """The registered queries of the corpus operators: thin contracts over the operators' general interfaces."""
 from __future__ import annotations
 
-import zlib
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, minhash, packing
-from .common import table
+from . import ann, bpe, chat, exact_dedup, idcodec, langid, minhash, packing, suffix_dedup, tokencount
+from .common import shared_folder, table
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -22,6 +22,48 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document, placed by its id: an insertion, a deletion, and a replacement by the source's name."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+    at = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), size + 1)
+    edit = lambda k, n, added: F.struct(at(k).cast("long").alias("start"), (at(k) + n).cast("long").alias("end"), added.alias("added"))
+    edits = F.array(edit(1, 0, F.lit("see also: ")), edit(2, 12, F.lit("")), edit(3, 4, F.coalesce("source", F.lit("?"))))
+    return tokencount.counts_under_edits(
+        docs.select("doc_id", "text", edits.alias("edits")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+
+
+TOOLS = {
+    "search": {"query": {"type": "string", "required": True}, "limit": {"type": "integer", "required": True}, "after": {"type": "string"}},
+    "open": {"query": {"type": "string", "required": True}, "limit": {"type": "integer", "required": True}},
+}
+
+
+def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every assistant turn calls a tool with its text; it refers to the call two turns before, and the next turn answers."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    call_id = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    ref = F.when(F.col("turn") >= 2, F.struct(call_id(F.col("turn") - 2).alias("$ref")))
+    limit = F.when(F.length("text") % 5 == 0, F.lit("many")).otherwise((F.length("text") % 7).cast("string"))
+    arguments = F.concat(
+        F.lit('{"query": '), F.to_json(F.struct(F.col("text").alias("q"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("q")))) - 6),
+        F.lit(', "limit": '), F.when(limit == "many", F.lit('"many"')).otherwise(limit),
+        F.coalesce(F.concat(F.lit(', "after": '), F.to_json(ref)), F.lit("")), F.lit("}"))
+    name = F.when(F.col("turn") % 4 == 3, F.lit("open")).otherwise(F.lit("search"))
+    calls = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"))
+    results = turns.where("role <> 'assistant' and turn > 0").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(spark, sf_dir)
+    return chat.link_calls(calls, results, TOOLS)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
@@ -31,17 +73,46 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/lectern-ids-{uuid.uuid4().hex}"
+    idcodec.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return idcodec.read_ids(spark, path)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("_row")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_byte_bpe, op6_minhash, op8_best_fit_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_token_counts, op3_suffix_dedup, op4_chat_format, op5_byte_bpe, op6_minhash, op7_nearest, op8_best_fit_packing, op9_token_ids,
+    op10_exact_dedup)}
 
 ORACLE = {
+    "op4_chat_format": """
+        WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        c AS (SELECT conv_id, turn, 'c' || turn AS call_id, text, length(text) % 5 = 0 AS bad, turn % 4 = 3 AS opens FROM t WHERE role = 'assistant'),
+        r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, text AS content FROM t WHERE role <> 'assistant' AND turn > 0),
+        v AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+              UNION ALL SELECT c.conv_id, c.turn, v.level + 1 FROM v JOIN c ON c.conv_id = v.conv_id AND c.turn = v.turn + 2),
+        l AS (SELECT c.*, level FROM c JOIN v USING (conv_id, turn))
+        SELECT l.conv_id, l.call_id, CAST(row_number() OVER (PARTITION BY l.conv_id ORDER BY level, turn, l.call_id) - 1 AS BIGINT) AS position,
+            CAST(level AS BIGINT) AS level, false AS cyclic, content IS NOT NULL AS linked,
+            NOT (bad OR (opens AND turn >= 2)) AS valid,
+            CASE WHEN opens AND turn >= 2 THEN 'unexpected after' WHEN bad THEN 'limit is no integer' END AS error,
+            '{"call":{"arguments":{' || CASE WHEN turn >= 2 THEN '"after":{"$ref":"c' || (turn - 2) || '"},' ELSE '' END ||
+            '"limit":' || CASE WHEN bad THEN '"many"' ELSE CAST(length(text) % 7 AS VARCHAR) END || ',"query":' || to_json(text) ||
+            '},"id":"' || l.call_id || '","name":"' || CASE WHEN opens THEN 'open' ELSE 'search' END || '"}' ||
+            CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}' AS message
+        FROM l LEFT JOIN r ON l.conv_id = r.conv_id AND l.call_id = r.call_id""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
