@@ -10,6 +10,7 @@ Vocabularies are rank files (base64 token, rank). The split pattern cuts the tex
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 import unicodedata
@@ -167,6 +168,12 @@ class PrefixBPE:
         raise ValueError("the vocabulary lacks a byte")
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(ranks_path: str, pattern: str) -> PrefixBPE:
+    """The encoder of this Python worker; what it has learnt serves the worker's later tasks too."""
+    return PrefixBPE(read_ranks(ranks_path), pattern)
+
+
 def encode_table(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Per row: id, n_tokens, ids (array, unless keep_ids is false), ids_sha256, decoded_sha256 of the decoded ids.
 
@@ -177,7 +184,7 @@ def encode_table(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches):
-        bpe = PrefixBPE(read_ranks(ranks_path), pattern)
+        bpe = encoder(ranks_path, pattern)
         for pdf in batches:
             rows = []
             for text in pdf["_text"]:
@@ -198,7 +205,7 @@ def decode_table(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str
     source = encoded.select(F.col(id_col).alias("_id"), F.coalesce(F.col(ids_col).cast("array<long>"), F.array().cast("array<long>")).alias("_ids"))
 
     def run(batches):
-        bpe = PrefixBPE(read_ranks(ranks_path), pattern)
+        bpe = encoder(ranks_path, pattern)
         for pdf in batches:
             yield pd.DataFrame({"_id": pdf["_id"], "text": [bpe.decode(np.asarray(i)).decode("utf-8", "replace") for i in pdf["_ids"]]})
 

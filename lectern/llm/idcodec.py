@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
-from .wordtok import WordEncoder
+from .wordtok import encoder
 
 BLOCK, LANES = 4096, 2048
 TOP, BOT, ALL = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
@@ -340,7 +340,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
     ranged = source.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
 
     def run(batches):
-        encode, end = WordEncoder(tokenizer_path), np.uint32(end_id).tobytes()
+        encode, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
         vocabulary = max(encode.tok.get_vocab_size(with_added_tokens=True), end_id + 1)
         full, ids, parts, held, number, start, ordinal, part = [], [], [], 0, 0, 0, 0, 0
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
-from .wordtok import WordEncoder
+from .wordtok import encoder
 
 CAPACITY, BINS = 4096, 128
 
@@ -41,16 +41,19 @@ def patterns(bins: int, waste: int = 1) -> np.ndarray:
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
     """min ||ax - b||, x >= 0, by an active set of columns; each round adds the column that helps most."""
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    tol = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    dot = lambda u, v: np.einsum("ij,ik->jk" if v.ndim == 2 else "ij,i->j", u, v)  # noqa: E731  small; threads of a BLAS would only wait
+    tol = 1e-9 * max(1.0, float(np.abs(dot(a, b)).max(initial=0)))
     for _ in range(rounds):
-        gain = a.T @ (b - a @ x)
+        used = a[:, active]
+        gain = dot(a, b - dot(used.T, x[active]))
         gain[active] = -np.inf
         if not len(gain) or gain.max() <= tol:
             break
         active[int(gain.argmax())] = True
         while True:
             cols = np.flatnonzero(active)
-            fit = np.linalg.lstsq(a[:, cols], b, rcond=None)[0]
+            part = a[:, cols]
+            fit = np.linalg.solve(dot(part, part) + 1e-9 * np.eye(len(cols)), dot(part, b))
             if (fit > 0).all():
                 x[:] = 0
                 x[cols] = fit
@@ -189,7 +192,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches):
-        encode, end = WordEncoder(tokenizer_path), np.uint32(end_id).tobytes()
+        encode, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["_id"], pdf["_text"], strict=True):

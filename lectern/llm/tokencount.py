@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PrefixBPE, read_ranks
+from .bpe import PrefixBPE, encoder
 
 LEAF = 128
 
@@ -161,7 +161,7 @@ def counts_under_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
         F.transform(edits_col, lambda e: F.coalesce(e["added"], F.lit(""))).alias("_added"))
 
     def run(batches):
-        bpe = PrefixBPE(read_ranks(ranks_path), pattern)
+        bpe = encoder(ranks_path, pattern)
         for pdf in batches:
             rows = []
             for text, starts, ends, added in zip(pdf["_text"], pdf["_start"], pdf["_end"], pdf["_added"], strict=True):

@@ -11,6 +11,7 @@ encoding whole texts otherwise.
 """
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -37,6 +38,12 @@ def fits(path: str) -> bool:
     return norm == ["NFC", "Replace", "Lowercase"] and pre[0].get("pattern") == {"Regex": PATTERN} and d.get("post_processor") is None
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker; what it has learnt serves the worker's later tasks too."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """``memo``: words remembered at most in each of two generations."""
 
