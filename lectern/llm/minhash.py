@@ -7,8 +7,8 @@ each hashed to 64 bits; a shorter text is one shingle; no words give the empty s
   key j of the second, so 2*m*rows minimum hashes give m*m tables of 2*rows rows each (instead of 2*m*m*rows hashes).
   A pair of similarity s meets with probability (1 - (1 - s**rows)**m)**2: 0.9994 at 0.8 with the defaults, 0.99993 at 0.85.
 * Documents with equal sets are one class from the start (hash aggregation), so exact copies never pair up.
-* In a table bucket every class is compared with the bucket's smallest id only (a star). What a star left apart is then
-  compared across the components that meet in a bucket, unless their sizes, less the shingles that only one of them has,
+* In a table bucket every class is compared with the bucket's smallest id only (a star), then with the class that has the
+  fewest shingles of its own (a second star). What both left apart is compared across the components that meet in a bucket, unless their sizes, less the shingles that only one of them has,
   rule it out. Classes that are already in one component need no comparison; so a group of n near copies costs about n
   checks, not n*n.
 * Every link is confirmed by the exact sizes of intersection and union. No bucket is capped.
@@ -173,6 +173,17 @@ def near_duplicates(
     lone = listed.groupBy("_x").agg(F.count("*").alias("_c"), F.min("_id").alias("_rep")).where("_c = 1").groupBy("_rep").agg(F.count("*").alias("_u"))
     able = open_.join(lone, "_rep", "left").withColumn("_most", F.col("_n") - F.coalesce("_u", F.lit(0))).where(F.col("_most") * 100 >= percent * F.col("_n"))
     able = durable(able, "able")
+    # A second star: the center of a bucket is the class with the fewest shingles of its own, the likely origin of the others.
+    middle = able.groupBy("_key").agg(F.min_by(F.struct("_rep", "_n", "_most", "component"), F.struct(F.col("_n") - F.col("_most"), F.col("_rep"))).alias("_m"))
+    bound = F.least("_most", "_m._most")
+    second = able.join(middle, "_key").where("component <> _m.component").where(bound * 100 >= percent * (F.col("_n") + F.col("_m._n") - bound)).select(
+        F.col("_rep").alias("x"), F.col("_m._rep").alias("y")).distinct()
+    second = durable(second.join(star, ["x", "y"], "left_anti"), "second-star")
+    links = durable(links.unionByName(verify_pairs(second, sets, percent)), "star-links")
+    labels = connected_components(links)
+    able = able.drop("component").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("component", F.coalesce("component", "_rep"))
+    mixed = able.groupBy("_key").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q").select("_key")
+    able = durable(able.join(mixed, "_key", "left_semi"), "still-open")
     a = able.select("_key", F.col("_rep").alias("x"), F.col("_n").alias("nx"), F.col("component").alias("cx"), F.col("_most").alias("mx"))
     b = able.select("_key", F.col("_rep").alias("y"), F.col("_n").alias("ny"), F.col("component").alias("cy"), F.col("_most").alias("my"))
     most = F.least("mx", "my", "nx", "ny")
@@ -180,7 +191,8 @@ def near_duplicates(
         a.join(b, "_key").where("x > y and cx <> cy")
         .where(most * 100 >= percent * (F.col("nx") + F.col("ny") - most)).select("x", "y").distinct()
     )
-    pairs = durable(pairs.join(star, ["x", "y"], "left_anti"), "pairs")
+    tried = star.unionByName(second.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")))
+    pairs = durable(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = durable(links.unionByName(verify_pairs(pairs, sets, percent)), "all-links")
         labels = connected_components(links)

@@ -25,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_broadcast, partitions
+from .common import BROADCAST_ROWS, durable, maybe_broadcast, partitions
 from .exact_dedup import _answer, golomb_encode
 from .suffix_array import suffix_array
 
@@ -38,6 +39,16 @@ P = np.uint64(_P)
 BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def squeezed(col: str):
+    """Texts as compressed UTF-8: what shuffles is half as large."""
+    @F.pandas_udf("binary")
+    def squeeze(texts: pd.Series) -> pd.Series:
+        pack = zstd.ZstdCompressor(level=1)
+        return pd.Series([pack.compress(t.encode("utf-8", "replace")) for t in texts], dtype=object)
+
+    return squeeze(col)
+
+
 class Powers:
     """Powers of the multiplier and of its inverse, for hashes of any stretch of a text."""
 
@@ -101,9 +112,9 @@ def _sent(length: int, owners: int):
         powers, kept, guard = Powers(), {}, {}
         for pdf in batches:
             for sender, i, text in zip(pdf["_sender"], pdf["_id"], pdf["_text"], strict=True):
-                key = anchors(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), length, powers)[0]
-                kept.setdefault(sender, []).append(np.unique(key))
-                guard[sender] = (guard.get(sender, 0) + (int(i) * _P + len(text))) % (1 << 63)
+                raw = text.encode("utf-8", "replace")
+                kept.setdefault(sender, []).append(np.unique(anchors(np.frombuffer(raw, np.uint8), length, powers)[0]))
+                guard[sender] = (guard.get(sender, 0) + (int(i) * _P + len(raw))) % (1 << 63)
         rows = []
         for sender, parts in kept.items():
             own = np.unique(np.concatenate(parts))
@@ -122,11 +133,11 @@ def _shared_segments(length: int, owners: int):
         names = ["_id", "_h", "_key", "_seg", "_first", "_windows", "_rel", "_bytes"]
         if docs.empty:
             return pd.DataFrame(columns=names)
-        powers, per, guard = Powers(), [], 0
-        texts = [t.encode("utf-8", "replace") for t in docs["_text"]]
-        for i, text, raw in zip(docs["_id"], docs["_text"], texts, strict=True):
+        powers, per, guard, unpack = Powers(), [], 0, zstd.ZstdDecompressor()
+        texts = [unpack.decompress(z) for z in docs["_z"]]
+        for i, raw in zip(docs["_id"], texts, strict=True):
             per.append(anchors(np.frombuffer(raw, np.uint8), length, powers))
-            guard = (guard + int(i) * _P + len(text)) % (1 << 63)
+            guard = (guard + int(i) * _P + len(raw)) % (1 << 63)
         known = answers.loc[answers["_owner"] == -1, "_bitmap"]
         if [np.uint64(guard).tobytes()] != [bytes(b) for b in known]:
             raise RuntimeError("the two scans saw different rows; pass a table, or durable(docs)")
@@ -268,28 +279,33 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, ext
     least = durable(least, "copied-texts")
     hot = maybe_broadcast(least)
     copies = durable(hashed.join(hot, "_sha").where("_id > _low").select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch")).distinct(), "copies")
-    gone = maybe_broadcast(copies)
     sender = F.spark_partition_id() * SPLIT + F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(SPLIT)).cast("int")
     live = base.where("_id is not null").withColumn("_sender", sender).where(F.octet_length("_text") >= length)
-    live = live.select("_sender", "_id", "_h", "_text")
+    is_copy = (F.col("_id") == F.col("_cid")) & (F.col("_h") == F.col("_ch"))
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:  # copies leave before the exchange; a join that shuffles would tear the senders apart, so else they leave behind it
+        live = live.join(F.broadcast(copies), is_copy, "left_anti")
     sent = durable(live.select("_sender", "_id", "_text").mapInPandas(_sent(length, owners), "_sender int, _owner int, _blob binary"), "anchors")
     answers = sent.where("_owner >= 0").groupBy("_owner").applyInPandas(_answer, "_sender int, _owner int, _bitmap binary")
     answers = answers.unionByName(sent.where("_owner < 0").withColumnRenamed("_blob", "_bitmap"))
-    found = live.groupBy("_sender").cogroup(answers.groupBy("_sender")).applyInPandas(
+    moved = live.select("_sender", "_id", "_h", squeezed("_text").alias("_z"))
+    found = moved.groupBy("_sender").cogroup(answers.groupBy("_sender")).applyInPandas(
         _shared_segments(length, owners),
         "_id long, _h long, _key long, _seg long, _first int, _windows int, _rel int, _bytes binary")
-    found = found.join(gone, (F.col("_id") == F.col("_cid")) & (F.col("_h") == F.col("_ch")), "left_anti")
-    segments = durable(found, "segments")
-    unique = segments.groupBy("_key", "_seg").agg(
-        F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.first("_rel").alias("_rel"), F.first("_windows").alias("_windows"), F.first("_bytes").alias("_bytes"))
-    unique = durable(unique, "unique-segments")
-    wide = durable(unique.groupBy("_key").agg(F.count("*").alias("_c")).where(f"_c > {WIDE}").select(F.col("_key").alias("_wkey")), "wide-anchors")
-    wide_keys = maybe_broadcast(wide)
-    narrow = unique.join(wide_keys, F.col("_key") == F.col("_wkey"), "left_anti")
+    segments = durable(found if few else found.join(copies, is_copy, "left_anti"), "segments")
+    unique = durable(segments.groupBy("_key", "_seg").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")), "unique-segments")
+    several = durable(unique.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "contested-anchors")
+    # One segment: nothing to compare. Several: their bytes come from one row of their smallest document.
+    plain = unique.join(maybe_broadcast(several.select("_key")), "_key", "left_anti").where("_high > _low").withColumn("_mask", F.lit(0).cast("long"))
+    rows = segments.select("_key", "_seg", "_id", "_rel", "_windows", "_bytes").join(maybe_broadcast(several), "_key")
+    contested = rows.join(unique.withColumnRenamed("_low", "_id"), ["_key", "_seg", "_id"]).dropDuplicates(["_key", "_seg"])
+    contested = durable(contested.select("_key", "_seg", F.col("_id").alias("_low"), "_high", "_rel", "_windows", "_bytes", "_c"), "contested")
+    narrow = contested.where(f"_c <= {WIDE}").drop("_c")
     settled = narrow.repartition(partitions(spark), "_key").sortWithinPartitions("_key").mapInPandas(
-        _solve(length), "_key long, _seg long, _low long, _high long, _mask long")
+        _solve(length), "_key long, _seg long, _low long, _high long, _mask long").unionByName(plain)
+    wide = contested.where(f"_c > {WIDE}").drop("_c")
     if not wide.isEmpty():
-        settled = settled.unionByName(_wide_masks(unique.join(wide_keys, F.col("_key") == F.col("_wkey"), "left_semi"), length))
+        settled = settled.unionByName(_wide_masks(wide, length))
     settled = durable(settled, "settled")
     all_ = F.expr("shiftleft(1L, _windows) - 1")
     cuts = (
@@ -324,10 +340,10 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     kind = "n_removed long, n_spans long, kept_sha256 string, kept string"
 
     @F.pandas_udf(kind)
-    def cut(texts: pd.Series, firsts: pd.Series, masks: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, f, m in zip(texts, firsts, masks, strict=True):
-            data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    def cut(packed: pd.Series, firsts: pd.Series, masks: pd.Series) -> pd.DataFrame:
+        rows, unpack = [], zstd.ZstdDecompressor()
+        for z, f, m in zip(packed, firsts, masks, strict=True):
+            data = np.frombuffer(unpack.decompress(z), np.uint8)
             hit = covered(len(data), f, m, length)
             kept = data[~hit].tobytes()
             spans = int((hit[1:] & ~hit[:-1]).sum() + hit[0])
@@ -339,9 +355,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept")))
     whole = marked.where("_copy is null and _cut is null").withColumn("_r", F.struct(
         none.alias("n_removed"), none.alias("n_spans"), F.sha2("_text", 256).alias("kept_sha256"), F.col("_text").alias("kept")))
-    left = marked.where("_copy is null and _cut").drop("_did", "_dh")
+    left = marked.where("_copy is null and _cut").withColumn("_n", size).withColumn("_z", squeezed("_text")).drop("_did", "_dh", "_text")
     left = left.join(cuts, (F.col("_id") == F.col("_did")) & (F.col("_h") == F.col("_dh"))).withColumn(
-        "_r", cut("_text", F.col("_w._first"), F.col("_w._mask")))
-    columns = [F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), size.alias("n_bytes"), "_r.n_removed", "_r.n_spans", "_r.kept_sha256",
-               *([F.col("_r.kept").alias("kept")] if keep_text else []), *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)]]
-    return copied.select(*columns).unionByName(whole.select(*columns)).unionByName(left.select(*columns))
+        "_r", cut("_z", F.col("_w._first"), F.col("_w._mask")))
+    columns = lambda n: [F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), n.alias("n_bytes"), "_r.n_removed", "_r.n_spans", "_r.kept_sha256",
+                         *([F.col("_r.kept").alias("kept")] if keep_text else []), *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)]]
+    return copied.select(*columns(size)).unionByName(whole.select(*columns(size))).unionByName(left.select(*columns(F.col("_n"))))
