@@ -1,3 +1,5 @@
 """All registered queries of the narration operators and their DuckDB twins."""
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import chapter_queries, text_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
