@@ -105,8 +105,10 @@ def _bounds(owners: int) -> np.ndarray:
     return np.array([min(i * width, (1 << 64) - 1) for i in range(1, owners)], np.uint64)
 
 
-def _sent(length: int, owners: int):
+def _sent(length: int, owners: int, bits: int):
+    """``bits`` of each anchor hash are sent: enough for the text at hand; a chance hit only sends a segment on in vain."""
     width = (1 << 64) // owners + 1
+    low = np.uint64(64 - bits)
 
     def run(batches):
         powers, kept, guard = Powers(), {}, {}
@@ -117,20 +119,21 @@ def _sent(length: int, owners: int):
                 guard[sender] = (guard.get(sender, 0) + (int(i) * _P + len(raw))) % (1 << 63)
         rows = []
         for sender, parts in kept.items():
-            own = np.unique(np.concatenate(parts))
+            own = np.unique(np.concatenate(parts) >> low << low)
             rows.append((sender, -1, np.uint64(guard[sender]).tobytes()))
             for owner, part in enumerate(np.split(own, np.searchsorted(own, _bounds(owners)))):
                 if len(part):
-                    rows.append((sender, owner, golomb_encode(part - np.uint64(owner * width), max(1, 65 - owners.bit_length()))))
+                    rows.append((sender, owner, golomb_encode((part >> low) - np.uint64((owner * width) >> int(low)), max(1, bits + 1 - owners.bit_length()))))
         yield pd.DataFrame(rows, columns=["_sender", "_owner", "_blob"])
 
     return run
 
 
-def _shared_segments(length: int, owners: int):
+def _shared_segments(length: int, owners: int, bits: int):
     """Cogrouped by sender: its documents and its bitmaps -> segments at shared anchors."""
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        names = ["_id", "_h", "_key", "_seg", "_first", "_windows", "_rel", "_bytes"]
+        names = ["_id", "_h", "_key", "_seg", "_place"]
+        low = np.uint64(64 - bits)
         if docs.empty:
             return pd.DataFrame(columns=names)
         powers, per, guard, unpack = Powers(), [], 0, zstd.ZstdDecompressor()
@@ -141,7 +144,7 @@ def _shared_segments(length: int, owners: int):
         known = answers.loc[answers["_owner"] == -1, "_bitmap"]
         if [np.uint64(guard).tobytes()] != [bytes(b) for b in known]:
             raise RuntimeError("the two scans saw different rows; pass a table, or durable(docs)")
-        own, counts = np.unique(np.concatenate([np.unique(a[0]) for a in per]), return_counts=True)
+        own, counts = np.unique(np.concatenate([np.unique(a[0] >> low << low) for a in per]), return_counts=True)
         shared = counts > 1
         owner_of = np.searchsorted(_bounds(owners), own, side="right")
         for owner, bitmap in zip(answers["_owner"], answers["_bitmap"], strict=True):
@@ -150,17 +153,14 @@ def _shared_segments(length: int, owners: int):
                 shared[at] |= np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(at)].astype(bool)
         own = own[shared]
         out = []
-        for i, h, raw, (key, seg, first, windows, rel) in zip(docs["_id"], docs["_h"], texts, per, strict=True):
+        for i, h, (key, seg, first, windows, rel) in zip(docs["_id"], docs["_h"], per, strict=True):
             if len(own) and len(key):
-                at = np.searchsorted(own, key)
+                at = np.searchsorted(own, key >> low << low)
                 at[at == len(own)] = 0
-                hit = np.flatnonzero(own[at] == key)
+                hit = np.flatnonzero(own[at] == key >> low << low)
                 if len(hit):
-                    f, w = first[hit], windows[hit]
-                    out.append(pd.DataFrame({
-                        "_id": i, "_h": h, "_key": key[hit].view(np.int64), "_seg": seg[hit].view(np.int64), "_first": f.astype(np.int32),
-                        "_windows": w.astype(np.int32), "_rel": rel[hit].astype(np.int32),
-                        "_bytes": [raw[a : a + b + length - 1] for a, b in zip(f.tolist(), w.tolist(), strict=True)]}))
+                    place = (first[hit] << 16) | (windows[hit] << 8) | rel[hit]
+                    out.append(pd.DataFrame({"_id": i, "_h": h, "_key": key[hit].view(np.int64), "_seg": seg[hit].view(np.int64), "_place": place}))
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
     return run
@@ -177,32 +177,52 @@ def contested_masks(bucket: np.ndarray, low: np.ndarray, rel: np.ndarray, window
         cells[i, before - rel[i] : before - rel[i] + len(b)] = np.frombuffer(b, np.uint8)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     number = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]).astype(np.int64)]))
-    agreed = ((np.minimum.reduceat(cells, starts) == np.maximum.reduceat(cells, starts)))[number] & (cells >= 0)
+    # Cells of a column with one value form a class, named by its first row; a class of one can't be part of a repeat, and
+    # neither can a stretch shorter than a window. Columns split alike by their neighbour before make one symbol with it.
     there = cells >= 0
-    begins = there.copy()
-    begins[:, 1:] &= ~(agreed[:, 1:] & agreed[:, :-1])
+    code = ((number[:, None] * width + np.arange(width)[None, :]) * 257 + cells)[there]
+    _, first, inverse, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    label, live = np.full((n, width), -1, np.int64), np.zeros((n, width + 2), bool)
+    label[there] = np.nonzero(there)[0][first][inverse]
+    live[:, 1:-1][there] = counts[inverse] > 1
+    turns = np.flatnonzero(np.diff(live.ravel().astype(np.int8)))
+    opened, closed = turns[0::2] + 1, turns[1::2] + 1
+    for a, b in zip(opened[closed - opened < length], closed[closed - opened < length], strict=True):
+        live.ravel()[a:b] = False
+    ends = np.zeros(n * (width + 2), np.int64)
+    long_ = closed - opened >= length
+    ends[opened[long_]] = closed[long_]
+    ends = np.maximum.accumulate(ends).reshape(n, width + 2)[:, 1:-1] - (np.arange(n) * (width + 2))[:, None] - 1  # column where a live stretch ends
+    live = live[:, 1:-1]
+    alike = np.zeros((len(starts), width), bool)
+    alike[:, 1:] = np.minimum.reduceat((label[:, 1:] == label[:, :-1]).astype(np.int8), starts).astype(bool)
+    begins = live.copy()
+    begins[:, 1:] &= ~(alike[number][:, 1:] & live[:, :-1])
+    opens = live.copy()
+    opens[:, 1:] &= ~live[:, :-1]
     row, col = np.nonzero(begins)
-    last = np.append(row[1:] != row[:-1], True)
-    stop = np.where(last, before - rel[row] + np.array([len(b) for b in raw])[row], np.append(col[1:], 0))
-    weight = stop - col
-    value = np.where(agreed[row, col], 256, cells[row, col])
-    _, symbol = np.unique((number[row] * width + col) * 257 + value, return_inverse=True)
-    # one text: each segment's symbols, then a separator (0)
-    at = np.arange(len(row)) + row
-    size = len(row) + n
+    if not len(row):
+        return np.zeros(n, np.int64)
+    run = np.cumsum(opens[row, col]) - 1
+    last = np.append(run[1:] != run[:-1], True)
+    weight = np.where(last, ends[row, col], np.append(col[1:], 0)) - col
+    _, symbol = np.unique((number[row] * width + col) * (n + 1) + label[row, col], return_inverse=True)
+    # one text: the symbols of each stretch, then a separator (0)
+    at = np.arange(len(row)) + run
+    size = len(row) + int(run[-1]) + 1
     text, weights = np.zeros(size, np.int64), np.zeros(size, np.int64)
     text[at], weights[at] = symbol + 1, weight
     order = np.array(suffix_array(text.tolist()), np.int64)
     rank = np.empty(size, np.int64)
     rank[order] = np.arange(size)
     # columns shared with the neighbour before in the array
-    common, live = np.zeros(size, np.int64), np.arange(1, size)
+    common, near = np.zeros(size, np.int64), np.arange(1, size)
     a, b = order[:-1].copy(), order[1:].copy()
-    while len(live):
+    while len(near):
         same = (a < size) & (b < size)
         same[same] = (text[a[same]] == text[b[same]]) & (text[a[same]] > 0)
-        live, a, b = live[same], a[same], b[same]
-        common[live] += weights[a]
+        near, a, b = near[same], a[same], b[same]
+        common[near] += weights[a]
         a, b = a + 1, b + 1
     owner = np.full(size, -1, np.int64)
     owner[at] = row
@@ -211,7 +231,9 @@ def contested_masks(bucket: np.ndarray, low: np.ndarray, rel: np.ndarray, window
     wrow = np.repeat(np.arange(n), windows)
     wno = np.arange(len(wrow)) - np.repeat(np.cumsum(windows) - windows, windows)
     wcol = before - rel[wrow] + wno
-    symbol_of = np.cumsum(begins, axis=1)[wrow, wcol] - 1 + np.searchsorted(row, np.arange(n))[wrow]
+    fits = live[wrow, wcol] & (wcol + length <= ends[wrow, wcol])
+    wrow, wno, wcol = wrow[fits], wno[fits], wcol[fits]
+    symbol_of = np.cumsum(begins.ravel()).reshape(n, width)[wrow, wcol] - 1
     behind, place = wcol - col[symbol_of], rank[at[symbol_of]]
     mask = np.zeros(n, np.int64)
     for t in np.unique(behind):
@@ -267,13 +289,38 @@ def _wide_masks(segments: DataFrame, length: int) -> DataFrame:
 
 # --- whole operator --------------------------------------------------------------------------------------------------
 
+def _with_bytes(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """rows(_key, _seg, _low, _high, _place, _c) with _rel, _windows and _bytes, from the texts of the documents _low."""
+    wanted = durable(rows.groupBy("_low").agg(F.collect_list(F.struct("_key", "_seg", "_high", "_place", "_c")).alias("_rows")), "places")
+    joined = texts.join(maybe_broadcast(wanted.select("_low")), F.col("_id") == F.col("_low"), "left_semi").select("_id", squeezed("_text").alias("_z"))
+    joined = joined.join(wanted, F.col("_id") == F.col("_low"))
+
+    def run(batches):
+        unpack, powers = zstd.ZstdDecompressor(), Powers()
+        for pdf in batches:
+            out = []
+            for low, z, rows in zip(pdf["_low"], pdf["_z"], pdf["_rows"], strict=True):
+                raw = unpack.decompress(z)
+                key, seg, first, windows, rel = anchors(np.frombuffer(raw, np.uint8), length, powers)
+                here = {(k, s, f) for k, s, f in zip(key.view(np.int64).tolist(), seg.view(np.int64).tolist(), first.tolist(), strict=True)}
+                for r in rows:
+                    first, n = r["_place"] >> 16, (r["_place"] >> 8) & 255
+                    if (r["_key"], r["_seg"], first) in here:  # another text under the same id has other segments
+                        out.append((r["_key"], r["_seg"], low, r["_high"], r["_place"] & 255, n, raw[first : first + n + length - 1], r["_c"]))
+            yield pd.DataFrame(out, columns=["_key", "_seg", "_low", "_high", "_rel", "_windows", "_bytes", "_c"])
+
+    return joined.mapInPandas(run, "_key long, _seg long, _low long, _high long, _rel int, _windows int, _bytes binary, _c long").dropDuplicates(["_key", "_seg"])
+
+
 def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """base(_id, _text, _h, extras), copies(_cid, _ch) that lose everything, cuts(_did, _dh, _w: array of (_first, _windows, _mask))."""
     spark = docs.sparkSession
     owners = max(2, 2 * partitions(spark))
     base = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)])
-    base = base.withColumn("_h", F.xxhash64("_text"))
+    # Where an id repeats, rows are told apart by a hash of the text too.
+    repeats = base.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_c")).where("_c > 1").limit(1).count() > 0
+    base = base.withColumn("_h", F.xxhash64("_text") if repeats else F.lit(0).cast("long"))
     hashed = base.where("_id is not null").select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.octet_length("_text").alias("_n"))
     least = hashed.where(f"_n >= {length}").groupBy("_sha").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high")
     least = durable(least, "copied-texts")
@@ -285,21 +332,20 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, ext
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:  # copies leave before the exchange; a join that shuffles would tear the senders apart, so else they leave behind it
         live = live.join(F.broadcast(copies), is_copy, "left_anti")
-    sent = durable(live.select("_sender", "_id", "_text").mapInPandas(_sent(length, owners), "_sender int, _owner int, _blob binary"), "anchors")
+    total = live.agg(F.sum(F.octet_length("_text"))).first()[0] or 1
+    bits = min(64, int(total).bit_length() + 12)
+    sent = durable(live.select("_sender", "_id", "_text").mapInPandas(_sent(length, owners, bits), "_sender int, _owner int, _blob binary"), "anchors")
     answers = sent.where("_owner >= 0").groupBy("_owner").applyInPandas(_answer, "_sender int, _owner int, _bitmap binary")
     answers = answers.unionByName(sent.where("_owner < 0").withColumnRenamed("_blob", "_bitmap"))
     moved = live.select("_sender", "_id", "_h", squeezed("_text").alias("_z"))
     found = moved.groupBy("_sender").cogroup(answers.groupBy("_sender")).applyInPandas(
-        _shared_segments(length, owners),
-        "_id long, _h long, _key long, _seg long, _first int, _windows int, _rel int, _bytes binary")
+        _shared_segments(length, owners, bits), "_id long, _h long, _key long, _seg long, _place long")
     segments = durable(found if few else found.join(copies, is_copy, "left_anti"), "segments")
-    unique = durable(segments.groupBy("_key", "_seg").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")), "unique-segments")
+    unique = durable(segments.groupBy("_key", "_seg").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.min_by("_place", "_id").alias("_place")), "unique-segments")
     several = durable(unique.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "contested-anchors")
-    # One segment: nothing to compare. Several: their bytes come from one row of their smallest document.
-    plain = unique.join(maybe_broadcast(several.select("_key")), "_key", "left_anti").where("_high > _low").withColumn("_mask", F.lit(0).cast("long"))
-    rows = segments.select("_key", "_seg", "_id", "_rel", "_windows", "_bytes").join(maybe_broadcast(several), "_key")
-    contested = rows.join(unique.withColumnRenamed("_low", "_id"), ["_key", "_seg", "_id"]).dropDuplicates(["_key", "_seg"])
-    contested = durable(contested.select("_key", "_seg", F.col("_id").alias("_low"), "_high", "_rel", "_windows", "_bytes", "_c"), "contested")
+    # One segment: nothing to compare. Several: their bytes are cut from the text of their smallest document.
+    plain = unique.join(maybe_broadcast(several.select("_key")), "_key", "left_anti").where("_high > _low").select("_key", "_seg", "_low", "_high", F.lit(0).cast("long").alias("_mask"))
+    contested = durable(_with_bytes(unique.join(maybe_broadcast(several), "_key"), live.select("_id", "_text"), length), "contested")
     narrow = contested.where(f"_c <= {WIDE}").drop("_c")
     settled = narrow.repartition(partitions(spark), "_key").sortWithinPartitions("_key").mapInPandas(
         _solve(length), "_key long, _seg long, _low long, _high long, _mask long").unionByName(plain)
@@ -309,7 +355,8 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, ext
     settled = durable(settled, "settled")
     all_ = F.expr("shiftleft(1L, _windows) - 1")
     cuts = (
-        segments.select("_id", "_h", "_key", "_seg", "_first", "_windows").join(settled.drop("_high"), ["_key", "_seg"])
+        segments.select("_id", "_h", "_key", "_seg", (F.shiftright("_place", 16)).cast("int").alias("_first"), F.expr("cast(shiftright(_place, 8) & 255 as int)").alias("_windows"))
+        .join(settled.drop("_high"), ["_key", "_seg"])
         .withColumn("_mask", F.when(F.col("_id") > F.col("_low"), all_).otherwise(F.col("_mask"))).where("_mask <> 0")
         .groupBy(F.col("_id").alias("_did"), F.col("_h").alias("_dh")).agg(F.collect_list(F.struct("_first", "_mask")).alias("_w"))
     )
