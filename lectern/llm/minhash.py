@@ -9,7 +9,7 @@ each hashed to 64 bits; a shorter text is one shingle; no words give the empty s
 * Documents with equal sets are one class from the start (hash aggregation), so exact copies never pair up.
 * In a table bucket every class is compared with the bucket's smallest id only (a star), then with the class that has the
   fewest shingles of its own (a second star). What both left apart is compared across the components that meet in a bucket, unless their sizes, less the shingles that only one of them has,
-  rule it out. Classes that are already in one component need no comparison; so a group of n near copies costs about n
+  or a parity map of 1024 bits, rule it out (both are exact bounds). Classes that are already in one component need no comparison; so a group of n near copies costs about n
   checks, not n*n.
 * Every link is confirmed by the exact sizes of intersection and union. No bucket is capped.
 
@@ -109,11 +109,28 @@ def _sketches(words: int, m: int, rows: int):
     return run
 
 
+#: Words of 64 bits in the parity map.
+WORDS = 16
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS classes of shingles, whether the set has an odd number of them. Two sets differ in at least as
+    many shingles as their maps differ in bits."""
+    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _apart(a: str, b: str):
+    """Bits in which two parity maps differ: a bound below the size of the sets' difference."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
+
+
 def _sets(words: int):
     def run(batches):
         shingler = Shingler(words)
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_id"], "_shingles": [shingler(t).view(np.int64) for t in pdf["_text"]]})
+            sets = [shingler(t) for t in pdf["_text"]]
+            yield pd.DataFrame({"_id": pdf["_id"], "_shingles": [s.view(np.int64) for s in sets], "_parity": [parity(s) for s in sets]})
 
     return run
 
@@ -157,7 +174,7 @@ def near_duplicates(
     candidates = durable(candidates, "candidates")
     keys = maybe_broadcast(candidates)
     sets = durable(
-        base.join(keys, F.col("_id") == F.col("_c"), "left_semi").mapInPandas(_sets(words), "_id long, _shingles array<long>")
+        base.join(keys, F.col("_id") == F.col("_c"), "left_semi").mapInPandas(_sets(words), "_id long, _shingles array<long>, _parity array<long>")
         .dropDuplicates(["_id"]),
         "sets",
     )
@@ -172,11 +189,12 @@ def near_duplicates(
     listed = sets.join(open_.select(F.col("_rep").alias("_id")).distinct(), "_id").select("_id", F.explode("_shingles").alias("_x"))
     lone = listed.groupBy("_x").agg(F.count("*").alias("_c"), F.min("_id").alias("_rep")).where("_c = 1").groupBy("_rep").agg(F.count("*").alias("_u"))
     able = open_.join(lone, "_rep", "left").withColumn("_most", F.col("_n") - F.coalesce("_u", F.lit(0))).where(F.col("_most") * 100 >= percent * F.col("_n"))
-    able = durable(able, "able")
+    able = durable(able.join(sets.select(F.col("_id").alias("_rep"), "_parity"), "_rep"), "able")
+    near = lambda a, b, n: _apart(a, b) * (100 + percent) <= (100 - percent) * n  # noqa: E731  as |x - y| + |y - x| has to be
     # A second star: the center of a bucket is the class with the fewest shingles of its own, the likely origin of the others.
-    middle = able.groupBy("_key").agg(F.min_by(F.struct("_rep", "_n", "_most", "component"), F.struct(F.col("_n") - F.col("_most"), F.col("_rep"))).alias("_m"))
+    middle = able.groupBy("_key").agg(F.min_by(F.struct("_rep", "_n", "_most", "component", "_parity"), F.struct(F.col("_n") - F.col("_most"), F.col("_rep"))).alias("_m"))
     bound = F.least("_most", "_m._most")
-    second = able.join(middle, "_key").where("component <> _m.component").where(bound * 100 >= percent * (F.col("_n") + F.col("_m._n") - bound)).select(
+    second = able.join(middle, "_key").where("component <> _m.component").where(near("_parity", "_m._parity", F.col("_n") + F.col("_m._n"))).where(bound * 100 >= percent * (F.col("_n") + F.col("_m._n") - bound)).select(
         F.col("_rep").alias("x"), F.col("_m._rep").alias("y")).distinct()
     second = durable(second.join(star, ["x", "y"], "left_anti"), "second-star")
     links = durable(links.unionByName(verify_pairs(second, sets, percent)), "star-links")
@@ -184,11 +202,11 @@ def near_duplicates(
     able = able.drop("component").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("component", F.coalesce("component", "_rep"))
     mixed = able.groupBy("_key").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q").select("_key")
     able = durable(able.join(mixed, "_key", "left_semi"), "still-open")
-    a = able.select("_key", F.col("_rep").alias("x"), F.col("_n").alias("nx"), F.col("component").alias("cx"), F.col("_most").alias("mx"))
-    b = able.select("_key", F.col("_rep").alias("y"), F.col("_n").alias("ny"), F.col("component").alias("cy"), F.col("_most").alias("my"))
+    a = able.select("_key", F.col("_rep").alias("x"), F.col("_n").alias("nx"), F.col("component").alias("cx"), F.col("_most").alias("mx"), F.col("_parity").alias("px"))
+    b = able.select("_key", F.col("_rep").alias("y"), F.col("_n").alias("ny"), F.col("component").alias("cy"), F.col("_most").alias("my"), F.col("_parity").alias("py"))
     most = F.least("mx", "my", "nx", "ny")
     pairs = (
-        a.join(b, "_key").where("x > y and cx <> cy")
+        a.join(b, "_key").where("x > y and cx <> cy").where(near("px", "py", F.col("nx") + F.col("ny")))
         .where(most * 100 >= percent * (F.col("nx") + F.col("ny") - most)).select("x", "y").distinct()
     )
     tried = star.unionByName(second.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")))
