@@ -3,14 +3,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lectern.operators.state import toggle_state
 from lectern.sources import fixtures as S
 from lectern.sources import web as W
 from lectern.streaming import jobs as J
 
-from .registry import query, table
-from .state_queries import sta2, sta7
-from .registry import ORACLE
+from . import state_queries  # noqa: F401  its twins are reused
+from .registry import ORACLE, query, table
 
 
 def stream(spark, sf):

@@ -62,9 +62,6 @@ def txt6b(spark, sf):
     return table(spark, sf, "documents").where(plain).select("doc_id", X.math_to_speech(F.concat("text", F.lit(" 12.5 % × 3 ≤ 4"))).alias("said"))
 
 
-_MARK = "CASE WHEN doc_id % 3 = 0 THEN '⟦image:' || sha1(text) || '.png⟧' ELSE text END"
-
-
 @query("txt8_picture_markers", f"""SELECT doc_id, doc_id % 3 = 0 AS is_picture, CASE WHEN doc_id % 3 = 0 THEN sha1(text) || '.png' END AS picture_name FROM documents""")
 def txt8(spark, sf):
     mark = F.when(F.col("doc_id") % 3 == 0, X.picture_marker(F.concat(F.sha1("text"), F.lit(".png")))).otherwise(F.col("text"))

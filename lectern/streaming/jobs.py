@@ -12,15 +12,11 @@ from lectern.operators.state import latest_positions
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The rows of a table's files as a stream; event time as TIMESTAMP."""
-    batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    table = batch.schema
-    inside = f"{sf_dir}/{name}.parquet"
-    try:
-        stream = spark.readStream.schema(table).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-        if len(batch.inputFiles()) > 1:
-            stream = spark.readStream.schema(table).parquet(inside)
-    except Exception:
-        stream = spark.readStream.schema(table).parquet(inside)
+    path = f"{sf_dir}/{name}.parquet"
+    batch = spark.read.parquet(path)
+    reader = spark.readStream.schema(batch.schema)
+    one_file = any(f.endswith(f"/{name}.parquet") for f in batch.inputFiles()[:1])  # a stream reads folders
+    stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one_file else reader.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in batch.columns else stream
 
 
