@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Exact, on whole texts:
 
-1. Anchors. Of the 16-byte grams of every window of ``length`` bytes the one of the smallest hash is the window's anchor, so
+1. Anchors. Of the 24-byte grams of every window of ``length`` bytes the one of the smallest hash is the window's anchor, so
    equal windows have equal anchors at equal places. Windows in a row with one anchor form a segment.
 2. Anchor exchange. Senders (parts of input partitions) send their distinct anchor hashes, Golomb coded, to owners, and learn
    by bitmap which also occur elsewhere. Only shared anchors go on (about a fifth of them), so most text never moves as rows.
@@ -33,7 +33,7 @@ from .common import BROADCAST_ROWS, durable, maybe_broadcast, partitions
 from .exact_dedup import _answer, golomb_encode
 from .suffix_array import suffix_array
 
-LENGTH, GRAM, WIDE, SPLIT = 50, 16, 2000, 4
+LENGTH, GRAM, WIDE, SPLIT = 50, 24, 2000, 4
 _P = 0x9E3779B97F4A7C15
 P = np.uint64(_P)
 BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,18 +81,16 @@ def anchors(data: np.ndarray, length: int, powers: Powers, gram: int = GRAM):
         none = np.zeros(0, np.uint64)
         return none, none, *(np.zeros(0, np.int64),) * 3
     v = BYTE[data]
-    g, p, k = v, _P, 1
-    while k < gram:
-        g = g[:-k] + g[k:] * np.uint64(p)
-        p, k = p * p % (1 << 64), 2 * k
+    up, down = powers.upto(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * up[:n], dtype=np.uint64)])
+    g = (total[gram:] - total[: n + 1 - gram]) * down[: n + 1 - gram]
     g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(32)
     half = np.uint64(32)  # 32 bits of the hash, then the place: of equal hashes the leftmost, in every text alike
     keyed = (g >> half << half) | np.arange(len(g), dtype=np.uint64)
     at = (slide(keyed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     windows = np.diff(np.append(first, len(at)))
-    up, down = powers.upto(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * up[:n], dtype=np.uint64)])
     h = (total[first + windows - 1 + length] - total[first]) * down[first]
     h = (h ^ (h >> np.uint64(31)) ^ (windows.astype(np.uint64) << np.uint64(7)) ^ (at[first] - first).astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
     return g[at[first]], h ^ (h >> np.uint64(29)), first, windows, at[first] - first
@@ -289,7 +287,7 @@ def _wide_masks(segments: DataFrame, length: int) -> DataFrame:
 
 # --- whole operator --------------------------------------------------------------------------------------------------
 
-def _with_bytes(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def _with_bytes(rows: DataFrame, texts: DataFrame, length: int, repeats: bool) -> DataFrame:
     """rows(_key, _seg, _low, _high, _place, _c) with _rel, _windows and _bytes, from the texts of the documents _low."""
     wanted = durable(rows.groupBy("_low").agg(F.collect_list(F.struct("_key", "_seg", "_high", "_place", "_c")).alias("_rows")), "places")
     joined = texts.join(maybe_broadcast(wanted.select("_low")), F.col("_id") == F.col("_low"), "left_semi").select("_id", squeezed("_text").alias("_z"))
@@ -309,7 +307,8 @@ def _with_bytes(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                         out.append((r["_key"], r["_seg"], low, r["_high"], r["_place"] & 255, n, raw[first : first + n + length - 1], r["_c"]))
             yield pd.DataFrame(out, columns=["_key", "_seg", "_low", "_high", "_rel", "_windows", "_bytes", "_c"])
 
-    return joined.mapInPandas(run, "_key long, _seg long, _low long, _high long, _rel int, _windows int, _bytes binary, _c long").dropDuplicates(["_key", "_seg"])
+    out = joined.mapInPandas(run, "_key long, _seg long, _low long, _high long, _rel int, _windows int, _bytes binary, _c long")
+    return out.dropDuplicates(["_key", "_seg"]) if repeats else out
 
 
 def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -345,7 +344,7 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, ext
     several = durable(unique.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "contested-anchors")
     # One segment: nothing to compare. Several: their bytes are cut from the text of their smallest document.
     plain = unique.join(maybe_broadcast(several.select("_key")), "_key", "left_anti").where("_high > _low").select("_key", "_seg", "_low", "_high", F.lit(0).cast("long").alias("_mask"))
-    contested = durable(_with_bytes(unique.join(maybe_broadcast(several), "_key"), live.select("_id", "_text"), length), "contested")
+    contested = durable(_with_bytes(unique.join(maybe_broadcast(several), "_key"), live.select("_id", "_text"), length, repeats), "contested")
     narrow = contested.where(f"_c <= {WIDE}").drop("_c")
     settled = narrow.repartition(partitions(spark), "_key").sortWithinPartitions("_key").mapInPandas(
         _solve(length), "_key long, _seg long, _low long, _high long, _mask long").unionByName(plain)
