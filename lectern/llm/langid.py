@@ -5,7 +5,9 @@ dictionary. A text is encoded against every dictionary; the language with the sm
 relative margin between the best two, and a narrow margin is a rejection.
 
 Size of an encoding: zstandard counts whole bytes, too coarse for a short text, so texts under ``SHORT`` bytes are
-compressed at a higher effort and a tie is settled by the sum over the text's halves, then by language name.
+compressed at a higher effort and a tie is settled by the sum over the text's halves, then by language name. A dictionary
+saves a bounded number of bytes, so a text is encoded in blocks of at most ``BLOCK`` bytes, all of them, each against the
+fresh dictionaries, and their sizes are summed: the margin doesn't shrink with the length.
 
 Nulls and texts without a letter: ``und`` with score 0. An empty table, or one without labels, gives ``und`` throughout.
 Extra columns of the input are ignored by ``predict`` and passed untouched by ``keep_known``.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 UND = "und"
 #: Bounds of the labelled sample: languages, texts of each, characters of a text that go into a dictionary.
 MAX_LANGUAGES, TEXTS, CHARS = 64, 150, 1500
-SHORT, LETTER = 2048, regex.compile(r"\p{L}")
+SHORT, BLOCK, LETTER = 2048, 1 << 14, regex.compile(r"\p{L}")
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
@@ -64,6 +66,10 @@ class Compressors:
                 where.append(zstd.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def sizes(self, data: bytes) -> np.ndarray:
+        """Bytes by language, summed over blocks of about the same length."""
+        if len(data) > BLOCK:
+            step = -(-len(data) // -(-len(data) // BLOCK))
+            return sum(self.sizes(data[i:i + step]) for i in range(0, len(data), step))
         return np.array([len(c.compress(data)) for c in (self.fine if len(data) < SHORT else self.fast)], float)
 
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, float, bool]:

@@ -24,6 +24,18 @@ def test_language_odd(odd, empty):
     assert langid.keep_known(odd, d).columns == odd.columns
 
 
+def test_language_margin_of_long_texts(spark):
+    """A clean text is accepted at any length: a short sentence, and over 1 MB."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and text is not null")
+    model = langid.Compressors(langid.learn(rows))
+    for lang in model.names:
+        text = "\n".join(r.text for r in rows.where(F.col("lang") == lang).orderBy("doc_id").limit(3000).collect())
+        text = text * (1 + 1_200_000 // len(text))
+        found = {n: model.predict(text[:n], langid.NARROW) for n in (20_000, 300_000, 1_200_000)}
+        assert all(f[0] == lang and f[3] and f[2] >= 4 * langid.NARROW for f in found.values()), (lang, found)
+    assert model.predict("The children walked along the river and looked for their boat.", langid.NARROW)[::3] == ("en", True)
+
+
 def test_neighbours_recall(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = vectors.collect()
