@@ -2,6 +2,7 @@
 ``drain`` runs a job over the files that are there and returns what it wrote."""
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,24 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Data
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run to the end of the available files into a table in memory and return it. For tests and examples: the result is on
-    the driver; a deployment writes to a table (``upsert_positions``)."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run to the end of the available files into Parquet files in the folder of ``spark.checkpoint.dir`` and return those.
+    In append mode the file sink collects all batches; in complete mode each batch is a version and the newest counts."""
+    spark = stream.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-lectern-")
+    at = f"{folder.rstrip('/')}/drained-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    newest = None
+
+    def write(batch: DataFrame, number: int) -> None:
+        nonlocal newest
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        newest = number
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.createDataFrame([], stream.schema) if newest is None else spark.read.schema(stream.schema).parquet(f"{at}/out/batch={newest}")
 
 
 def positions(events: DataFrame) -> DataFrame:
