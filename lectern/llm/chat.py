@@ -2,8 +2,9 @@
 
 * Calls and results are hash-joined by (conversation, call id). Of several results for one call the earliest turn wins.
 * A call whose arguments name other calls of its conversation ({"$ref": call id} anywhere in them) comes after those. Levels
-  are found by rounds of joins over the whole table, one round for each link of the longest chain; the calls of a circle
-  never become ready and come last, flagged ``cyclic``. References to unknown calls are ignored and counted.
+  are found by rounds of joins over the whole table: chains of calls that name one other call each are walked by pointer
+  doubling, and what is left takes one round for each link of the longest chain of calls that name several; the calls of a
+  circle never become ready and come last, flagged ``cyclic``. References to unknown calls are ignored and counted.
 * Arguments are validated against the schema of the named tool: an object, required members present, no unknown members,
   types string, integer, number, boolean, object, array. A {"$ref": ...} stands for any type.
 * Canonical JSON: members sorted by code point, no blanks, text unescaped but for what JSON demands. It fails on no input:
@@ -14,12 +15,13 @@ Calls without an id or conversation are kept, unlinked. Extra columns are ignore
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, partitions
 
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
@@ -84,28 +86,61 @@ def check_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 def levels(calls: DataFrame) -> DataFrame:
     """calls(conv_id, call_id, refs), ids unique -> (conv_id, call_id, level); circles are missing."""
-    nodes = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode("refs").alias("dep")).distinct()
+    key = ["conv_id", "call_id"]
+    nodes = calls.select(*key)
+    edges = calls.select(*key, F.explode("refs").alias("dep")).distinct()
     known = nodes.select("conv_id", F.col("call_id").alias("dep"))
     edges = durable(edges.join(known, ["conv_id", "dep"], "left_semi"), "references")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = durable(nodes.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    fresh, all_, n = done, [done], 0
+    degrees = durable(edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("dep").alias("dep")), "degrees")
+    # Calls with one reference: ``dep`` jumps twice as far each round, until it is a call with none or several.
+    ends = F.when(F.col("m") == 1, F.lit("going")).when(F.col("m") > 1, F.lit("several")).otherwise(F.lit("none"))
+    jumps = degrees.where("n = 1").select(*key, "dep").join(degrees.select("conv_id", F.col("call_id").alias("dep"), F.col("n").alias("m")), ["conv_id", "dep"], "left")
+    jumps = durable(jumps.select(*key, "dep", F.lit(1).alias("far"), ends.alias("end")), "jumps")
+    going, chains = jumps.where("end = 'going'"), [jumps.where("end <> 'going'")]
+    while not going.isEmpty():
+        ahead = reduce(DataFrame.unionByName, [*chains, going]).select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("far").alias("more"), F.col("end").alias("at"))
+        moved = durable(going.join(ahead, ["conv_id", "dep"]).select(*key, F.col("next").alias("dep"), (F.col("far") + F.col("more")).alias("far"), F.col("at").alias("end")), "jumps")
+        arrived = moved.where("end <> 'going'")
+        if arrived.isEmpty():  # the rest runs into circles
+            break
+        chains.append(arrived)
+        going = moved.where("end = 'going'")
+    chains = durable(reduce(DataFrame.unionByName, chains), "chains")
+    done = durable(nodes.join(degrees, key, "left_anti").withColumn("level", F.lit(0)), "level")
+    # References between calls with several, each through the chain between them.
+    hops = chains.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("end"), "far")
+    several = edges.join(degrees.where("n > 1").select(*key), key, "left_semi").join(hops, ["conv_id", "dep"], "left")
+    edges = durable(several.select(*key, F.coalesce("end", "dep").alias("dep"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(0).alias("level")), "references")
+    all_, fresh = [done], done
     while not edges.isEmpty():
-        n += 1
-        ready = fresh.select("conv_id", F.col("call_id").alias("dep"))
-        left = durable(edges.join(ready, ["conv_id", "dep"], "left_anti"), "references")
-        open_ = left.select("conv_id", "call_id").distinct()
-        fresh = edges.select("conv_id", "call_id").distinct().join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(n))
-        fresh = durable(fresh, "level")
+        ready = fresh.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("_at"))
+        edges = durable(edges.join(ready, ["conv_id", "dep"], "left").select(
+            *key, F.when(F.col("_at").isNull(), F.col("dep")).alias("dep"), "far", F.coalesce(F.col("_at") + F.col("far"), "level").alias("level")), "references")
+        state = durable(edges.groupBy(*key).agg(F.count("dep").alias("open"), F.max("level").alias("level")), "waiting")
+        fresh = durable(state.where("open = 0").select(*key, "level"), "level")
         if fresh.isEmpty():
             break
         all_.append(fresh)
-        edges = left
-    out = all_[0]
-    for more in all_[1:]:
-        out = out.unionByName(more)
-    return out
+        edges = durable(edges.join(state.where("open > 0").select(*key), key, "left_semi"), "references")
+    done = reduce(DataFrame.unionByName, [*all_, chains.where("end = 'none'").select(*key, F.col("far").alias("level"))])
+    several = reduce(DataFrame.unionByName, all_).select("conv_id", F.col("call_id").alias("dep"), "level")
+    behind = chains.where("end = 'several'").join(several, ["conv_id", "dep"]).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    return durable(done.unionByName(behind), "level")
+
+
+def positions(placed: DataFrame) -> DataFrame:
+    """``placed`` with the position of each call in its conversation: the table is sorted over all tasks, and a call's place
+    is that in its task behind the counts of the conversation in the tasks before, so that no conversation is in one task."""
+    order = [F.col("level").asc_nulls_last(), F.col("turn").asc(), F.col("call_id").asc()]
+    ties = F.xxhash64("name", "arguments")
+    dealt = placed.repartitionByRange(partitions(placed.sparkSession), F.col("conv_id").asc(), *order, ties).withColumn("_p", F.spark_partition_id())
+    dealt = durable(dealt, "placed")
+    counts = dealt.groupBy("conv_id", "_p").agg(F.count("*").alias("_n"))
+    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = base.select(F.col("conv_id").alias("_conv"), F.col("_p").alias("_part"), "_base")
+    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("conv_id", "_p").orderBy(*order)) - 1)
+    out = ranked.join(base, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_p") == F.col("_part")))
+    return out.withColumn("position", (F.col("_base") + F.col("_k")).cast("long")).drop("_p", "_k", "_conv", "_part", "_base")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -120,8 +155,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     first = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by("content", F.struct("turn", "content")).alias("_content"), F.lit(True).alias("_hit"))
     linked = checked.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     placed = linked.join(levels(checked), ["conv_id", "call_id"], "left").unionByName(check_arguments(loose, schemas), allowMissingColumns=True)
-    order = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "turn", "call_id")
-    out = placed.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    out = positions(placed)
 
     @F.pandas_udf("string")
     def message(call_id: pd.Series, name: pd.Series, arguments: pd.Series, content: pd.Series, hit: pd.Series) -> pd.Series:

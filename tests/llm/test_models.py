@@ -82,6 +82,38 @@ def test_chat(spark):
     assert chat.link_calls(calls.limit(0), results, TOOLS).count() == 0
 
 
+def longest_paths(deps):
+    """{call: level} by rounds; calls in or behind a circle are missing."""
+    level = {}
+    while ready := [c for c, d in deps.items() if c not in level and all(x in level for x in d)]:
+        level |= {c: max([level[x] + 1 for x in deps[c]], default=0) for c in ready}
+    return level
+
+
+def test_chat_levels_and_positions_of_any_graph(spark, monkeypatch):
+    """Levels against brute force: a chain of 300, trees, calls with several references, circles; positions over several tasks;
+    a chain takes rounds by the logarithm of its length."""
+    rng = np.random.default_rng(5)
+    graphs = {"chain": {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)}, "ring": {f"c{i}": [f"c{(i + 1) % 7}"] if i < 7 else [f"c{i - 1}"] for i in range(20)}}
+    for g in range(6):
+        graphs[f"g{g}"] = {f"c{i}": sorted({f"c{int(x)}" for x in rng.integers(0, max(1, i) if g % 2 else 60, min(i, int(rng.choice([0, 1, 1, 1, 2, 3]))))}) for i in range(60)}
+    rows = [(g, c, int(c[1:]) % 5, "search", json.dumps({"query": [{"$ref": d} for d in deps]})) for g, x in graphs.items() for c, deps in x.items()]
+    rows += [(None, None, i, "search", "{}") for i in range(9)]
+    calls = spark.createDataFrame(rows, "conv_id string, call_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    rounds = []
+    monkeypatch.setattr(chat, "durable", lambda df, name, real=chat.durable: (rounds.append(name), real(df, name))[1])
+    got = {}
+    for r in chat.link_calls(calls, results, {}).collect():
+        got.setdefault(r.conv_id, []).append((r.position, r.call_id, r.level, r.cyclic))
+    for g, deps in graphs.items():
+        level, turn = longest_paths(deps), lambda c: int(c[1:]) % 5
+        order = sorted(deps, key=lambda c: (c not in level, level.get(c, 0), turn(c), c))
+        assert sorted(got[g]) == [(i, c, level.get(c), c not in level) for i, c in enumerate(order)]
+    assert sorted(p for p, *_ in got[None]) == list(range(9))
+    assert len(rounds) < 100
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_twins(spark, sf, name):
     same(QUERIES[name](spark, sf), connect(sf), ORACLE[name])
