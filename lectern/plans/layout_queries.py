@@ -155,8 +155,8 @@ def blocks(spark, sf):
     return S.layout_lines(spark, sf).select("doc_id", "page", F.col("k").alias("block"), ((F.col("x0") + F.col("x1")) / 2 / 400).alias("cx"), ((F.col("y0") + F.col("y1")) / 2 / 600).alias("cy"), "text")
 
 
-def regions(spark, sf):
-    docs = S.layout_lines(spark, sf).select("doc_id").distinct()
+def regions(spark, sf, whole=False):
+    docs = S.layout_lines(spark, sf, whole).select("doc_id").distinct()
     box = lambda where, page, seq, kind, *v: docs.where(where).select("doc_id", F.lit(page).cast("int").alias("page"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), *[F.lit(x).alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), v, strict=True)])
     return box("doc_id % 2 = 0", None, 1, "ignore", 0.0, 0.9, 1.0, 1.0).unionByName(box("doc_id % 3 = 0", 0, 2, "keep", 0.5, 0.1, 1.0, 0.8)).unionByName(box("doc_id % 3 = 0", None, 3, "keep", 0.0, 0.1, 0.5, 0.4))
 
@@ -177,7 +177,7 @@ def lay18b(spark, sf):
 
 @query("lay19_region_signature")
 def lay19(spark, sf):
-    return L.region_signature(regions(spark, sf), '{"headings":true}')
+    return L.region_signature(regions(spark, sf, True), '{"headings":true}')
 
 
 @query("lay20_stitch_pages", """WITH p AS (SELECT conv_id AS doc_id, turn AS page, regexp_replace(text, CASE WHEN turn % 2 = 0 THEN '[.]$' ELSE '^$' END, '') AS t, text FROM conversations),

@@ -57,9 +57,11 @@ books AS (SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source
   SELECT DISTINCT source, doc_id, -1, concat('Chapter ', CAST(doc_id AS VARCHAR)) FROM book_rows WHERE doc_id % 3 = 0))"""
 
 
-def layout_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, page, k, text, x0, x1, y0, y1, size): two-column pages of 400 by 600 with a title, small print and a number."""
-    docs = _t(spark, sf, "documents").where("n_chars <= 4000")
+def layout_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """(doc_id, page, k, text, x0, x1, y0, y1, size): two-column pages of 400 by 600 with a title, small print and a number.
+    Of all documents if ``whole``, else of those that the twin ``LAYOUT`` reads."""
+    docs = _t(spark, sf, "documents")
+    docs = docs if whole else docs.where("n_chars <= 4000")
     words = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where("length(trim(t)) > 0").select(
         "doc_id", "line_no", F.posexplode(F.split(F.trim("t"), " +")).alias("w", "word"))
     chunks = words.groupBy("doc_id", "line_no", F.expr("w div 6").alias("chunk")).agg(
