@@ -214,6 +214,11 @@ def some_boxes(spark, sf):
     return S.layout_lines(spark, sf).where("(doc_id + k) % 4 = 0 and doc_id % 5 = 0").select("doc_id", "page", F.col("k").alias("box"), "x0", "y0", "x1", "y1")
 
 
+def all_boxes(spark, sf):
+    """Every line of every document, of heights that leave gaps of both under and over 10."""
+    return S.layout_lines(spark, sf, True).select("doc_id", "page", F.col("k").alias("box"), "x0", "y0", "x1", F.expr("y1 - 0.75D * pmod(doc_id + k * k, 11)").alias("y1"))
+
+
 @query("lay24_cluster_boxes", f"""WITH RECURSIVE {S.LAYOUT}, b AS (SELECT doc_id, page, k AS box, x0, y0, x1, y1 FROM layout_lines WHERE (doc_id + k) % 4 = 0 AND doc_id % 5 = 0),
 e AS (SELECT p.doc_id, p.page, p.box, q.box AS other FROM b p JOIN b q ON p.doc_id = q.doc_id AND p.page = q.page AND p.x0 <= q.x1 + 60 AND q.x0 <= p.x1 + 60 AND p.y0 <= q.y1 + 60 AND q.y0 <= p.y1 + 60),
 r AS (SELECT doc_id, page, box, box AS reach FROM b UNION SELECT r.doc_id, r.page, r.box, e.other FROM r JOIN e ON e.doc_id = r.doc_id AND e.page = r.page AND e.box = r.reach)
@@ -224,7 +229,7 @@ def lay24(spark, sf):
 
 @query("lay25_merge_boxes")
 def lay25(spark, sf):
-    return L.merge_boxes(some_boxes(spark, sf), 10.0)
+    return L.merge_boxes(all_boxes(spark, sf), 10.0)
 
 
 @query("lay27_image_candidates", f"""WITH {S.LAYOUT}, i AS (SELECT doc_id, page, k AS box, x0, y0, x1, y0 + (k + 2) * 4 AS y1 FROM layout_lines)

@@ -6,3 +6,32 @@ def test_signatures_of_long_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0 or doc_id % 3 = 0").collect()
     want = {r.doc_id for r in docs if any(x.strip(" ") for x in (r.text or "").split("\n"))}
     assert any(len(r.text or "") > 4000 for r in docs) and {r.doc_id for r in Q.lay19(spark, sf).collect()} == want
+
+
+def merged(boxes, gap):
+    """[box, x0, y0, x1, y1, members] of one page, pair by pair until all are apart."""
+    boxes, i = [list(b) for b in boxes], 0
+    while i < len(boxes):
+        a = boxes[i]
+        for b in boxes[i + 1:]:
+            if a[1] <= b[3] + gap and b[1] <= a[3] + gap and a[2] <= b[4] + gap and b[2] <= a[4] + gap:
+                boxes.remove(b)
+                boxes[i] = [min(a[0], b[0]), min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), a[5] + b[5]]
+                i = -1
+                break
+        i += 1
+    return boxes
+
+
+def test_merged_boxes_of_all_lines(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    sizes = {r.doc_id: sum(-(-len(x.split()) // 6) for x in (r.text or "").split("\n")) for r in docs}
+    pages = {}
+    for r in Q.all_boxes(spark, sf).collect():
+        pages.setdefault((r.doc_id, r.page), []).append((r.box, r.x0, r.y0, r.x1, r.y1, 1))
+    got = {}
+    for r in Q.lay25(spark, sf).collect():
+        got.setdefault((r.doc_id, r.page), []).append([r.box, r.x0, r.y0, r.x1, r.y1, r.members])
+    assert sum(b[5] for x in got.values() for b in x) == sum(n + 2 * -(-n // 40) for n in sizes.values())
+    assert {p: sorted(x) for p, x in got.items()} == {p: sorted(merged(x, 10.0)) for p, x in pages.items()}
+    assert len({b[5] for x in got.values() for b in x}) > 5
