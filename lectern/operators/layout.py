@@ -4,6 +4,8 @@ Lines: doc_id, page, k (line number), text, size, baseline, family, x0, y0, x1,
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,33 +243,71 @@ def ocr_columns(lines: DataFrame) -> DataFrame:
     return _gutters(rows, 8, F.col("_unit"), 8.0, 0.3, 0.45, 4)
 
 
+def _clusters(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, gap: float) -> np.ndarray:
+    """For each box of one page the number of its cluster: boxes are taken from top to bottom and united with those that begin
+    before they end, so only boxes whose heights meet are compared."""
+    order = np.argsort(y0, kind="stable")
+    top, parent = y0[order], list(range(len(order)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for at, i in enumerate(order):
+        later = order[at + 1 : np.searchsorted(top, y1[i] + gap, side="right")]
+        for j in later[(x0[later] <= x1[i] + gap) & (x0[i] <= x1[later] + gap) & (y0[i] <= y1[later] + gap)].tolist():
+            a, b = root(int(i)), root(j)
+            parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(order))], np.int64)
+
+
+def _least(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The smallest value of each group, at the group's number."""
+    out = np.full(len(group), values.max(initial=values[0]), values.dtype)
+    np.minimum.at(out, group, values)
+    return out
+
+
+def _per_page(boxes: DataFrame, work, columns: str) -> DataFrame:
+    """``work`` on the boxes of each page, sorted by number. A page's boxes are few, whatever the corpus."""
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "box")) + ", x0 double, y0 double, x1 double, y1 double, " + columns
+    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        return work(pdf.sort_values("box", ignore_index=True))[names]
+
+    return boxes.select(*PAGE, "box", *sides).groupBy(*PAGE).applyInPandas(solve, schema)
+
+
 def cluster_boxes(boxes: DataFrame, gap: float) -> DataFrame:
     """boxes(doc_id, page, box, x0, y0, x1, y1) with ``cluster``: the smallest box number of those connected by distances of
-    at most ``gap`` on both axes. Minimum labels spread along the neighbour pairs until none changes."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    near = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in PAGE] + [
-        F.col("a.x0") <= F.col("b.x1") + gap, F.col("b.x0") <= F.col("a.x1") + gap, F.col("a.y0") <= F.col("b.y1") + gap, F.col("b.y0") <= F.col("a.y1") + gap]
-    pairs = a.join(b, near).select(*[F.col(f"a.{k}").alias(k) for k in PAGE], F.col("a.box").alias("box"), F.col("b.box").alias("other")).checkpoint()
-    labels = boxes.select(*PAGE, "box", F.col("box").alias("cluster"))
-    while True:
-        near_labels = pairs.join(labels.select(*PAGE, F.col("box").alias("other"), F.col("cluster").alias("_c")), [*PAGE, "other"])
-        nxt = near_labels.groupBy(*PAGE, "box").agg(F.min("_c").alias("cluster")).checkpoint()
-        changed = nxt.alias("n").join(labels.alias("o"), [*PAGE, "box"]).where("n.cluster <> o.cluster")
-        labels, done = nxt, changed.isEmpty()
-        if done:
-            return boxes.join(labels, [*PAGE, "box"])
+    at most ``gap`` on both axes. One shuffle by page; the closure over neighbours is taken within the page."""
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        group, box = _clusters(*(pdf[c].to_numpy() for c in ("x0", "y0", "x1", "y1")), gap), pdf["box"].to_numpy()
+        return pdf.assign(cluster=_least(group, box)[group])
+
+    return _per_page(boxes, label, f"cluster {boxes.schema['box'].dataType.simpleString()}")
 
 
 def merge_boxes(boxes: DataFrame, gap: float) -> DataFrame:
     """Unions of boxes that overlap or come within ``gap``, until all are apart: doc_id, page, box, x0, y0, x1, y1, members."""
-    now = boxes.select(*PAGE, "box", "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("members"))
-    count = -1
-    while (n := now.count()) != count:
-        count = n
-        c = cluster_boxes(now, gap)
-        now = c.groupBy(*PAGE, F.col("cluster").alias("box")).agg(
-            F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("members").alias("members")).checkpoint()
-    return now
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        box, x0, y0, x1, y1 = (pdf[c].to_numpy() for c in ("box", "x0", "y0", "x1", "y1"))
+        members, before = np.ones(len(box), np.int64), -1
+        while len(box) != before:
+            before = len(box)
+            group = _clusters(x0, y0, x1, y1, gap)
+            one = np.unique(group)
+            box, x0, y0 = (_least(group, v)[one] for v in (box, x0, y0))
+            x1, y1 = (-_least(group, -v)[one] for v in (x1, y1))
+            members = np.bincount(group, members, len(group))[one]
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in PAGE}, "box": box, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "members": members.astype(np.int64)})
+
+    return _per_page(boxes, unite, "members long")
 
 
 def image_candidates(images: DataFrame, width: float, height: float) -> DataFrame:

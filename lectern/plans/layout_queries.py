@@ -100,13 +100,13 @@ def lay10(spark, sf):
     return L.merge_headings(ordered(spark, sf))
 
 
-_VERSES = "verses AS (SELECT doc_id, page, k AS seq, CAST(CASE WHEN (doc_id + k) % 9 = 0 THEN 1 ELSE k END AS INT) AS number FROM layout_lines WHERE k BETWEEN 0 AND 30 AND (doc_id * 3 + page + k) % 11 > 0)"
+_VERSES = "verses AS (SELECT doc_id, page, k AS seq, CAST(CASE WHEN (doc_id + k) % 9 = 0 THEN 1 WHEN (doc_id * 3 + page + k) % 11 = 0 THEN 0 ELSE k END AS INT) AS number FROM layout_lines)"
 _RUNS = """v1 AS (SELECT *, CASE WHEN lag(number) OVER o + 1 = number THEN 0 ELSE 1 END AS fresh FROM verses WINDOW o AS (PARTITION BY doc_id, page ORDER BY seq)),
 v2 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY seq) AS run FROM v1), runs AS (SELECT doc_id, page, max(c) AS run FROM (SELECT doc_id, page, run, count(*) AS c FROM v2 GROUP BY ALL) GROUP BY doc_id, page)"""
 
 
 def verses(spark, sf):
-    return S.layout_lines(spark, sf).where("k between 0 and 30 and (doc_id * 3 + page + k) % 11 > 0").select("doc_id", "page", F.col("k").alias("seq"), F.expr("if((doc_id + k) % 9 = 0, 1, k)").alias("number"))
+    return S.layout_lines(spark, sf).select("doc_id", "page", F.col("k").alias("seq"), F.expr("case when (doc_id + k) % 9 = 0 then 1 when (doc_id * 3 + page + k) % 11 = 0 then 0 else k end").alias("number"))
 
 
 @query("lay13_verse_runs", f"WITH {S.LAYOUT}, {_VERSES}, {_RUNS} SELECT doc_id, page, run FROM runs")
@@ -155,8 +155,8 @@ def blocks(spark, sf):
     return S.layout_lines(spark, sf).select("doc_id", "page", F.col("k").alias("block"), ((F.col("x0") + F.col("x1")) / 2 / 400).alias("cx"), ((F.col("y0") + F.col("y1")) / 2 / 600).alias("cy"), "text")
 
 
-def regions(spark, sf, whole=False):
-    docs = S.layout_lines(spark, sf, whole).select("doc_id").distinct()
+def regions(spark, sf):
+    docs = S.layout_lines(spark, sf).select("doc_id").distinct()
     box = lambda where, page, seq, kind, *v: docs.where(where).select("doc_id", F.lit(page).cast("int").alias("page"), F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), *[F.lit(x).alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), v, strict=True)])
     return box("doc_id % 2 = 0", None, 1, "ignore", 0.0, 0.9, 1.0, 1.0).unionByName(box("doc_id % 3 = 0", 0, 2, "keep", 0.5, 0.1, 1.0, 0.8)).unionByName(box("doc_id % 3 = 0", None, 3, "keep", 0.0, 0.1, 0.5, 0.4))
 
@@ -177,7 +177,7 @@ def lay18b(spark, sf):
 
 @query("lay19_region_signature")
 def lay19(spark, sf):
-    return L.region_signature(regions(spark, sf, True), '{"headings":true}')
+    return L.region_signature(regions(spark, sf), '{"headings":true}')
 
 
 @query("lay20_stitch_pages", """WITH p AS (SELECT conv_id AS doc_id, turn AS page, regexp_replace(text, CASE WHEN turn % 2 = 0 THEN '[.]$' ELSE '^$' END, '') AS t, text FROM conversations),
@@ -200,31 +200,24 @@ def lay20b(spark, sf):
     return L.stitch_pages(d)
 
 
-@query("lay21_ocr_columns", f"""WITH {S.LAYOUT}, u AS (SELECT *, list_sort(list(y1 - y0) OVER p)[CAST(count(*) OVER p // 2 + 1 AS INT)] AS unit, count(*) OVER p AS n, min(x0) OVER p AS lft, max(x1) OVER p AS rgt FROM layout_lines WHERE k BETWEEN 0 AND 98 WINDOW p AS (PARTITION BY doc_id, page)),
+@query("lay21_ocr_columns", f"""WITH {S.LAYOUT}, u AS (SELECT *, list_sort(list(y1 - y0) OVER p)[CAST(count(*) OVER p // 2 + 1 AS INT)] AS unit, count(*) OVER p AS n, min(x0) OVER p AS lft, max(x1) OVER p AS rgt FROM layout_lines WINDOW p AS (PARTITION BY doc_id, page)),
 a AS (SELECT *, rgt - lft AS tw FROM u WHERE n >= 8 AND rgt - lft >= 8 * unit), b AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS m FROM a WHERE x1 - x0 < 0.62 * tw),
 c AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM b WHERE m >= 8),
 d AS (SELECT DISTINCT doc_id, page, r AS g0, x0 AS g1, lft, rgt, tw, unit FROM c WHERE x0 > r + 0.3 * unit)
 SELECT d.doc_id, d.page, d.g0, d.g1 FROM d JOIN c ON d.doc_id = c.doc_id AND d.page = c.page WHERE d.g1 - d.g0 >= 0.45 * d.unit AND (d.g0 + d.g1) / 2 BETWEEN d.lft + 0.15 * d.tw AND d.rgt - 0.15 * d.tw
 GROUP BY d.doc_id, d.page, d.g0, d.g1 HAVING count(*) FILTER (c.x1 <= d.g0 + 1) >= 4 AND count(*) FILTER (c.x0 >= d.g1 - 1) >= 4""")
 def lay21(spark, sf):
-    return L.ocr_columns(S.layout_lines(spark, sf).where("k between 0 and 98"))
-
-
-def some_boxes(spark, sf):
-    return S.layout_lines(spark, sf).where("(doc_id + k) % 4 = 0 and doc_id % 5 = 0").select("doc_id", "page", F.col("k").alias("box"), "x0", "y0", "x1", "y1")
+    return L.ocr_columns(S.layout_lines(spark, sf))
 
 
 def all_boxes(spark, sf):
     """Every line of every document, of heights that leave gaps of both under and over 10."""
-    return S.layout_lines(spark, sf, True).select("doc_id", "page", F.col("k").alias("box"), "x0", "y0", "x1", F.expr("y1 - 0.75D * pmod(doc_id + k * k, 11)").alias("y1"))
+    return S.layout_lines(spark, sf).select("doc_id", "page", F.col("k").alias("box"), "x0", "y0", "x1", F.expr("y1 - 0.75D * pmod(doc_id + k * k, 11)").alias("y1"))
 
 
-@query("lay24_cluster_boxes", f"""WITH RECURSIVE {S.LAYOUT}, b AS (SELECT doc_id, page, k AS box, x0, y0, x1, y1 FROM layout_lines WHERE (doc_id + k) % 4 = 0 AND doc_id % 5 = 0),
-e AS (SELECT p.doc_id, p.page, p.box, q.box AS other FROM b p JOIN b q ON p.doc_id = q.doc_id AND p.page = q.page AND p.x0 <= q.x1 + 60 AND q.x0 <= p.x1 + 60 AND p.y0 <= q.y1 + 60 AND q.y0 <= p.y1 + 60),
-r AS (SELECT doc_id, page, box, box AS reach FROM b UNION SELECT r.doc_id, r.page, r.box, e.other FROM r JOIN e ON e.doc_id = r.doc_id AND e.page = r.page AND e.box = r.reach)
-SELECT b.*, c.cluster FROM b JOIN (SELECT doc_id, page, box, min(reach) AS cluster FROM r GROUP BY ALL) c USING (doc_id, page, box)""")
+@query("lay24_cluster_boxes")
 def lay24(spark, sf):
-    return L.cluster_boxes(some_boxes(spark, sf), 60.0)
+    return L.cluster_boxes(all_boxes(spark, sf), 10.0)
 
 
 @query("lay25_merge_boxes")

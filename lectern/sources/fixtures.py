@@ -57,28 +57,24 @@ books AS (SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source
   SELECT DISTINCT source, doc_id, -1, concat('Chapter ', CAST(doc_id AS VARCHAR)) FROM book_rows WHERE doc_id % 3 = 0))"""
 
 
-def layout_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """(doc_id, page, k, text, x0, x1, y0, y1, size): two-column pages of 400 by 600 with a title, small print and a number.
-    Of all documents if ``whole``, else of those that the twin ``LAYOUT`` reads."""
-    docs = _t(spark, sf, "documents")
-    docs = docs if whole else docs.where("n_chars <= 4000")
-    words = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where("length(trim(t)) > 0").select(
-        "doc_id", "line_no", F.posexplode(F.split(F.trim("t"), " +")).alias("w", "word"))
-    chunks = words.groupBy("doc_id", "line_no", F.expr("w div 6").alias("chunk")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "word"))), lambda s: s["word"]), " ").alias("text"), F.count("*").alias("nw"))
-    n = chunks.withColumn("g", F.expr("row_number() over (partition by doc_id order by line_no, chunk) - 1"))
-    d = lambda e: F.expr(f"cast({e} as double)")
-    body = n.select(
-        "doc_id", F.expr("cast(g div 40 as int)").alias("page"), F.expr("cast(g % 40 as int)").alias("k"), "text",
-        d("50 + 170 * ((g % 40) div 20) + case when chunk = 0 then 8 else 0 end").alias("x0"), d("50 + 170 * ((g % 40) div 20) + 150.0 * nw / 6").alias("x1"),
-        d("90 + 16 * (g % 20)").alias("y0"), d("101.5 + 16 * (g % 20)").alias("y1"), d("case when g % 20 = 19 and g % 40 >= 20 then 8 else 10 end").alias("size"))
-    pages = body.select("doc_id", "page").distinct()
-    row = lambda k, text, *v: pages.select("doc_id", "page", F.lit(k).alias("k"), F.expr(text).alias("text"), *[F.lit(float(x)).alias(c) for c, x in zip(("x0", "x1", "y0", "y1", "size"), v, strict=True)])
-    return body.unionByName(row(-1, "concat('Running Title ', page + 1)", 50, 370, 60, 78.4, 16)).unionByName(row(99, "cast(page + 1 as string)", 200, 210, 575, 584.2, 8))
+def layout_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, page, k, text, x0, x1, y0, y1, size): two-column pages of 400 by 600 with a title, small print and a number, of all
+    documents. The lines of a text hold up to six words; they are numbered by array place, so nothing is shuffled."""
+    cut = F.expr("""flatten(transform(transform(filter(split(text, '\n'), t -> length(trim(t)) > 0), t -> split(trim(t), ' +')), w -> transform(
+        sequence(0, (size(w) - 1) div 6), c -> struct(c as chunk, slice(w, 6 * c + 1, 6) as words))))""")
+    d = lambda e: f"cast({e} as double)"
+    row = lambda k, text, *v: f"struct({k} as k, {text} as text, " + ", ".join(f"{d(x)} as {c}" for c, x in zip(("x0", "x1", "y0", "y1", "size"), v, strict=True)) + ")"
+    line = row("i", "array_join(s.words, ' ')", "50 + 170 * (i div 20) + case when s.chunk = 0 then 8 else 0 end", "50 + 170 * (i div 20) + 150.0 * size(s.words) / 6",
+               "90 + 16 * (i % 20)", "101.5 + 16 * (i % 20)", "case when i = 39 then 8 else 10 end")
+    docs = _t(spark, sf, "documents").select("doc_id", cut.alias("cut"))
+    pages = docs.select("doc_id", F.expr("posexplode(filter(transform(sequence(0, (size(cut) - 1) div 40), p -> slice(cut, 40 * p + 1, 40)), x -> size(x) > 0))").alias("page", "lines"))
+    rows = F.expr(f"inline(concat(array({row(-1, "concat('Running Title ', page + 1)", 50, 370, 60, 78.4, 16)}), transform(lines, (s, i) -> {line}), "
+                  f"array({row(99, 'cast(page + 1 as string)', 200, 210, 575, 584.2, 8)})))")
+    return pages.select("doc_id", "page", rows)
 
 
 LAYOUT = """
-lay_l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)),1)-1 AS line_no FROM documents WHERE n_chars <= 4000),
+lay_l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)),1)-1 AS line_no FROM documents),
 lay_w AS (SELECT doc_id, line_no, unnest(string_split_regex(trim(t), ' +')) AS word, generate_subscripts(string_split_regex(trim(t), ' +'),1)-1 AS w FROM lay_l WHERE length(trim(t)) > 0),
 lay_c AS (SELECT doc_id, line_no, w // 6 AS chunk, string_agg(word, ' ' ORDER BY w) AS text, count(*) AS nw FROM lay_w GROUP BY doc_id, line_no, w // 6),
 lay_n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, chunk) - 1 AS g FROM lay_c),

@@ -1,4 +1,6 @@
 """Layout queries without a twin, over all documents."""
+from collections import defaultdict
+
 from lectern.plans import layout_queries as Q
 
 
@@ -35,3 +37,22 @@ def test_merged_boxes_of_all_lines(spark, sf):
     assert sum(b[5] for x in got.values() for b in x) == sum(n + 2 * -(-n // 40) for n in sizes.values())
     assert {p: sorted(x) for p, x in got.items()} == {p: sorted(merged(x, 10.0)) for p, x in pages.items()}
     assert len({b[5] for x in got.values() for b in x}) > 5
+
+
+def test_clusters_of_all_lines(spark, sf):
+    pages = defaultdict(list)
+    for r in Q.all_boxes(spark, sf).collect():
+        pages[r.doc_id, r.page].append(r)
+    want = set()
+    for page, boxes in pages.items():
+        reach = {b.box: {c.box for c in boxes if b.x0 <= c.x1 + 10 and c.x0 <= b.x1 + 10 and b.y0 <= c.y1 + 10 and c.y0 <= b.y1 + 10} for b in boxes}
+        left = set(reach)
+        while left:
+            todo, seen = [left.pop()], set()
+            while todo:
+                seen.add(x := todo.pop())
+                todo += reach[x] - seen
+            left -= seen
+            want |= {(*page, x, min(seen)) for x in seen}
+    got = {(r.doc_id, r.page, r.box, r.cluster) for r in Q.lay24(spark, sf).collect()}
+    assert got == want and len({x[3] for x in want}) > 5
