@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``durable(df)`` with its number of ``rows`` and further aggregates of it, taken while it is written, without a job of
+    their own."""
+    seen = Observation()
+    kept = durable(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in sums.items()]), name)
+    return kept, seen.get
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -39,10 +47,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A key table of at most this many rows (two or three machine words each) may be broadcast; it is counted first.
+#: A key table of at most this many rows (two or three machine words each) may be broadcast; its rows are known first.
 BROADCAST_ROWS = 1_000_000
 
 
-def maybe_broadcast(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys`` (durable, narrow) with a broadcast hint if it is small; otherwise Spark shuffles both sides."""
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+def maybe_broadcast(keys: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (durable, narrow) with a broadcast hint if it is small; otherwise Spark shuffles both sides. ``rows``: their
+    number where it is known, else they are counted."""
+    return F.broadcast(keys) if (keys.limit(limit + 1).count() if rows is None else rows) <= limit else keys

@@ -1,6 +1,8 @@
 """Removal of passages that repeat across documents, by suffix arrays over the places where documents part.
 
-A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Exact, on whole texts:
+A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. On whole texts, and
+exact but for one thing: segments are equal if the 64-bit hash of their anchor, the 64-bit hash of all their bytes, their
+length and the anchor's place are; bytes are not compared again where both hashes meet.
 
 1. Anchors. Of the 24-byte grams of every window of ``length`` bytes the one of the smallest hash is the window's anchor, so
    equal windows have equal anchors at equal places. Windows in a row with one anchor form a segment.
@@ -18,6 +20,8 @@ Documents with the text of a smaller id are settled by their hash before all thi
 senders of the two scans have to hold the same rows; a checksum of ids guards that.
 
 Null texts are empty. Rows with a null id lose nothing and remove nothing. Rows that repeat an id do not remove each other's text.
+An empty table gives an empty table; extra columns pass if named in ``extra``, whatever their names; a long text is one row of
+its task, and memory there is proportional to it.
 """
 from __future__ import annotations
 
@@ -29,11 +33,13 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, maybe_broadcast, partitions
+from .common import BROADCAST_ROWS, durable, maybe_broadcast, measured, partitions
 from .exact_dedup import _answer, golomb_encode
 from .suffix_array import suffix_array
 
 LENGTH, GRAM, WIDE, SPLIT = 50, 24, 2000, 4
+#: Bytes of text for each owner of anchor hashes: about 16 bytes have an anchor, so an owner holds some 4 million hashes.
+OWNED = 1 << 26
 _P = 0x9E3779B97F4A7C15
 P = np.uint64(_P)
 BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -289,8 +295,8 @@ def _wide_masks(segments: DataFrame, length: int) -> DataFrame:
 
 def _with_bytes(rows: DataFrame, texts: DataFrame, length: int, repeats: bool) -> DataFrame:
     """rows(_key, _seg, _low, _high, _place, _c) with _rel, _windows and _bytes, from the texts of the documents _low."""
-    wanted = durable(rows.groupBy("_low").agg(F.collect_list(F.struct("_key", "_seg", "_high", "_place", "_c")).alias("_rows")), "places")
-    joined = texts.join(maybe_broadcast(wanted.select("_low")), F.col("_id") == F.col("_low"), "left_semi").select("_id", squeezed("_text").alias("_z"))
+    wanted, seen = measured(rows.groupBy("_low").agg(F.collect_list(F.struct("_key", "_seg", "_high", "_place", "_c")).alias("_rows")), "places")
+    joined = texts.join(maybe_broadcast(wanted.select("_low"), seen["rows"]), F.col("_id") == F.col("_low"), "left_semi").select("_id", squeezed("_text").alias("_z"))
     joined = joined.join(wanted, F.col("_id") == F.col("_low"))
 
     def run(batches):
@@ -311,8 +317,9 @@ def _with_bytes(rows: DataFrame, texts: DataFrame, length: int, repeats: bool) -
     return out.dropDuplicates(["_key", "_seg"]) if repeats else out
 
 
-def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """base(_id, _text, _h, extras), copies(_cid, _ch) that lose everything, cuts(_did, _dh, _w: array of (_first, _windows, _mask))."""
+def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """base(_id, _text, _h, extras), copies(_cid, _ch) that lose everything, cuts(_did, _dh, _w: array of (_first, _mask)) and
+    how many documents have cuts."""
     spark = docs.sparkSession
     owners = max(2, 2 * partitions(spark))
     base = docs.select(
@@ -320,18 +327,23 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, ext
     # Where an id repeats, rows are told apart by a hash of the text too.
     repeats = base.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_c")).where("_c > 1").limit(1).count() > 0
     base = base.withColumn("_h", F.xxhash64("_text") if repeats else F.lit(0).cast("long"))
-    hashed = base.where("_id is not null").select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.octet_length("_text").alias("_n"))
-    least = hashed.where(f"_n >= {length}").groupBy("_sha").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high")
-    least = durable(least, "copied-texts")
-    hot = maybe_broadcast(least)
-    copies = durable(hashed.join(hot, "_sha").where("_id > _low").select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch")).distinct(), "copies")
+    # One scan of the texts for their hashes and sizes.
+    octets = F.octet_length("_text").cast("long")
+    hashed = base.where("_id is not null").select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_sha"), octets.alias("_n")).where(f"_n >= {length}")
+    hashed, size = measured(hashed, "text-hashes", bytes=F.sum("_n"))
+    least = hashed.groupBy("_sha").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high")
+    least, seen = measured(least, "copied-texts")
+    hot = maybe_broadcast(least, seen["rows"])
+    copies, seen = measured(hashed.join(hot, "_sha").where("_id > _low").select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch")).distinct(), "copies")
+    n_copies = seen["rows"]
     sender = F.spark_partition_id() * SPLIT + F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(SPLIT)).cast("int")
     live = base.where("_id is not null").withColumn("_sender", sender).where(F.octet_length("_text") >= length)
     is_copy = (F.col("_id") == F.col("_cid")) & (F.col("_h") == F.col("_ch"))
-    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = n_copies <= BROADCAST_ROWS
     if few:  # copies leave before the exchange; a join that shuffles would tear the senders apart, so else they leave behind it
         live = live.join(F.broadcast(copies), is_copy, "left_anti")
-    total = live.agg(F.sum(F.octet_length("_text"))).first()[0] or 1
+    total = size["bytes"] or 1
+    owners = max(owners, -(-total // OWNED))
     bits = min(64, int(total).bit_length() + 12)
     sent = durable(live.select("_sender", "_id", "_text").mapInPandas(_sent(length, owners, bits), "_sender int, _owner int, _blob binary"), "anchors")
     answers = sent.where("_owner >= 0").groupBy("_owner").applyInPandas(_answer, "_sender int, _owner int, _bitmap binary")
@@ -341,16 +353,15 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, ext
         _shared_segments(length, owners, bits), "_id long, _h long, _key long, _seg long, _place long")
     segments = durable(found if few else found.join(copies, is_copy, "left_anti"), "segments")
     unique = durable(segments.groupBy("_key", "_seg").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.min_by("_place", "_id").alias("_place")), "unique-segments")
-    several = durable(unique.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "contested-anchors")
+    several, seen = measured(unique.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "contested-anchors")
     # One segment: nothing to compare. Several: their bytes are cut from the text of their smallest document.
-    plain = unique.join(maybe_broadcast(several.select("_key")), "_key", "left_anti").where("_high > _low").select("_key", "_seg", "_low", "_high", F.lit(0).cast("long").alias("_mask"))
-    contested = durable(_with_bytes(unique.join(maybe_broadcast(several), "_key"), live.select("_id", "_text"), length, repeats), "contested")
+    plain = unique.join(maybe_broadcast(several.select("_key"), seen["rows"]), "_key", "left_anti").where("_high > _low").select("_key", "_seg", "_low", "_high", F.lit(0).cast("long").alias("_mask"))
+    contested, seen = measured(_with_bytes(unique.join(maybe_broadcast(several, seen["rows"]), "_key"), live.select("_id", "_text"), length, repeats), "contested", widest=F.max("_c"))
     narrow = contested.where(f"_c <= {WIDE}").drop("_c")
     settled = narrow.repartition(partitions(spark), "_key").sortWithinPartitions("_key").mapInPandas(
         _solve(length), "_key long, _seg long, _low long, _high long, _mask long").unionByName(plain)
-    wide = contested.where(f"_c > {WIDE}").drop("_c")
-    if not wide.isEmpty():
-        settled = settled.unionByName(_wide_masks(wide, length))
+    if (seen["widest"] or 0) > WIDE:
+        settled = settled.unionByName(_wide_masks(contested.where(f"_c > {WIDE}").drop("_c"), length))
     settled = durable(settled, "settled")
     all_ = F.expr("shiftleft(1L, _windows) - 1")
     cuts = (
@@ -359,7 +370,8 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, ext
         .withColumn("_mask", F.when(F.col("_id") > F.col("_low"), all_).otherwise(F.col("_mask"))).where("_mask <> 0")
         .groupBy(F.col("_id").alias("_did"), F.col("_h").alias("_dh")).agg(F.collect_list(F.struct("_first", "_mask")).alias("_w"))
     )
-    return base, copies, durable(cuts, "cuts")
+    cuts, seen = measured(cuts, "cuts")
+    return base, maybe_broadcast(copies, n_copies), cuts, seen["rows"]
 
 
 def covered(size: int, firsts, masks, length: int) -> np.ndarray:
@@ -379,8 +391,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, the columns named in ``extra``, and if asked for kept: the remaining
     bytes as text, without those of a character that was cut through."""
     extra = extra or []
-    base, copies, cuts = _with_removals(docs, id_col, text_col, length, extra)
-    gone, keys = maybe_broadcast(copies), maybe_broadcast(cuts.select("_did", "_dh").withColumn("_cut", F.lit(True)))
+    base, gone, cuts, n_cuts = _with_removals(docs, id_col, text_col, length, extra)
+    keys = maybe_broadcast(cuts.select("_did", "_dh").withColumn("_cut", F.lit(True)), n_cuts)
     marked = base.join(gone.withColumn("_copy", F.lit(True)), (F.col("_id") == F.col("_cid")) & (F.col("_h") == F.col("_ch")), "left")
     marked = marked.join(keys, (F.col("_id") == F.col("_did")) & (F.col("_h") == F.col("_dh")), "left")
     kind = "n_removed long, n_spans long, kept_sha256 string, kept string"

@@ -8,7 +8,7 @@ import pytest
 from lectern.llm import exact_dedup as E
 from lectern.llm import minhash as M
 from lectern.llm import suffix_dedup as S
-from lectern.llm.components import connected_components
+from lectern.llm.components import connected_components, joined_components
 from lectern.llm.suffix_array import suffix_array
 
 
@@ -127,3 +127,22 @@ def test_components(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_near_links_of_repeated_ids(spark, odd):
+    """Each text of a repeated id keeps its links: 5 stands for two texts, 7 is near the one and 8 near the other."""
+    a, b = (" ".join(f"{c}{i}" for i in range(16)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " z"), (8, b + " z"), (9, "something else altogether, long enough to have shingles"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in M.near_duplicates(docs, words=3, percent=85).collect())
+    assert got == [(0, None, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+    assert M.keep_one_of_near(docs, words=3, percent=85).count() == 4
+
+
+def test_components_joined_in_steps(spark):
+    r = np.random.default_rng(7)
+    for seed in range(3):
+        pairs = [(int(x), int(y)) for x, y in r.integers(0, 60, (50, 2))]
+        frames = [spark.createDataFrame(p, "x long, y long") for p in (pairs[:25], pairs[25:])]
+        whole = {tuple(x) for x in connected_components(frames[0].unionByName(frames[1])).collect()}
+        assert {tuple(x) for x in joined_components(connected_components(frames[0]), frames[1]).collect()} == whole
