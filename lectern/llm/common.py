@@ -1,6 +1,7 @@
 """Helpers that the corpus operators share: durable intermediate tables, reading, hashing."""
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,13 +22,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that a Python task holds at a time while a table is made: texts are long, so fewer than Spark's 10,000.
+BATCH = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH):
+    """Arrow batches of at most ``rows`` rows for what runs inside; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(pdf, rows: int = BATCH):
+    """A batch in parts, so that what is made of it is never there at once."""
+    for i in range(0, len(pdf), rows):
+        yield pdf.iloc[i : i + rows]
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts lineage, survives lost executors and fixes the row contents, so that later passes see the same rows.
     """
     path = f"{shared_folder(df.sparkSession)}/lectern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

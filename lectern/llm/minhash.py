@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_broadcast, measured
+from .common import durable, maybe_broadcast, measured, slices
 from .components import connected_components, joined_components
 
 MASK = (1 << 64) - 1
@@ -132,7 +132,7 @@ def _apart(a: str, b: str):
 def _sets(words: int):
     def run(batches):
         shingler = Shingler(words)
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in slices(batch)):
             sets = [shingler(t) for t in pdf["_text"]]
             yield pd.DataFrame({"_id": pdf["_id"], "_shingles": [s.view(np.int64) for s in sets], "_parity": [parity(s) for s in sets]})
 

@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -395,27 +396,34 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     keys = maybe_broadcast(cuts.select("_did", "_dh").withColumn("_cut", F.lit(True)), n_cuts)
     marked = base.join(gone.withColumn("_copy", F.lit(True)), (F.col("_id") == F.col("_cid")) & (F.col("_h") == F.col("_ch")), "left")
     marked = marked.join(keys, (F.col("_id") == F.col("_did")) & (F.col("_h") == F.col("_dh")), "left")
-    kind = "n_removed long, n_spans long, kept_sha256 string, kept string"
-
-    @F.pandas_udf(kind)
-    def cut(packed: pd.Series, firsts: pd.Series, masks: pd.Series) -> pd.DataFrame:
-        rows, unpack = [], zstd.ZstdDecompressor()
-        for z, f, m in zip(packed, firsts, masks, strict=True):
-            data = np.frombuffer(unpack.decompress(z), np.uint8)
-            hit = covered(len(data), f, m, length)
-            kept = data[~hit].tobytes()
-            spans = int((hit[1:] & ~hit[:-1]).sum() + hit[0])
-            rows.append((int(hit.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
-        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
 
+    def cut(batches):
+        unpack = zstd.ZstdDecompressor()
+        for part in (batch.slice(i, 200) for batch in batches for i in range(0, batch.num_rows, 200)):
+            n_removed, n_spans, sums, texts = [], [], [], []
+            for z, f, m in zip(*(part.column(c) for c in ("_z", "_f", "_m")), strict=True):
+                data = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
+                hit = covered(len(data), f.values.to_numpy(), m.values.to_numpy(), length)
+                kept = data[~hit].tobytes()
+                n_removed.append(int(hit.sum()))
+                n_spans.append(int((hit[1:] & ~hit[:-1]).sum() + hit[0]))
+                sums.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode("utf-8", "ignore") if keep_text else None)
+            made = [pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], names=[*rest, "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    rest = ["_id", "_n", *[f"_x{i}" for i in range(len(extra))]]
     size, none = F.octet_length("_text").cast("long"), F.lit(0).cast("long")
     copied = marked.where("_copy").withColumn("_r", F.struct(
         size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept")))
     whole = marked.where("_copy is null and _cut is null").withColumn("_r", F.struct(
         none.alias("n_removed"), none.alias("n_spans"), F.sha2("_text", 256).alias("kept_sha256"), F.col("_text").alias("kept")))
     left = marked.where("_copy is null and _cut").withColumn("_n", size).withColumn("_z", squeezed("_text")).drop("_did", "_dh", "_text")
-    left = left.join(cuts, (F.col("_id") == F.col("_did")) & (F.col("_h") == F.col("_dh"))).withColumn(
-        "_r", cut("_z", F.col("_w._first"), F.col("_w._mask")))
+    left = left.join(cuts, (F.col("_id") == F.col("_did")) & (F.col("_h") == F.col("_dh")))
+    left = left.select(*rest, "_z", F.col("_w._first").alias("_f"), F.col("_w._mask").alias("_m"))
+    kinds = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in rest)
+    left = left.mapInArrow(cut, f"{kinds}, n_removed long, n_spans long, kept_sha256 string, kept string")
+    left = left.withColumn("_r", F.struct("n_removed", "n_spans", "kept_sha256", "kept"))
     columns = lambda n: [F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), n.alias("n_bytes"), "_r.n_removed", "_r.n_spans", "_r.kept_sha256",
                          *([F.col("_r.kept").alias("kept")] if keep_text else []), *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)]]
     return copied.select(*columns(size)).unionByName(whole.select(*columns(size))).unionByName(left.select(*columns(F.col("_n"))))
