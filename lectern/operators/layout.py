@@ -6,15 +6,36 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ends_sentence, strip
+from lectern.functions.text import BULLETS, WHITE, ends_sentence, strip
 
 PAGE = ["doc_id", "page"]
-NUMERIC = r"(?iU)^\W*(\d{1,4}|[ivxlcdm]{1,7})\W*$"
-DIGITS = r"^\d{1,3}(\s*[-–]\s*\d{1,3})?$"
-BULLET = r"^([•▪◦‣·●]\s*|\d{1,2}[.)]\s+(?=[A-Z“\"(]))"
+
+
+def _is_number(text: str | Column) -> Column:
+    """Whether the only word of a line is a number: up to four digits or seven Roman ones."""
+    words = F.filter(F.split(text, r"(?U)\W+"), lambda w: w != "")
+    word = F.lower(F.get(words, F.lit(0)))
+    arabic = (F.translate(word, "0123456789", "") == "") & (F.length(word) <= 4)
+    return (F.size(words) == 1) & (arabic | (F.translate(word, "ivxlcdm", "") == "") & (F.length(word) <= 7))
+
+
+def _is_range(text: str | Column) -> Column:
+    """Whether a text is one or two small numbers with a dash between ("3", "12 – 14")."""
+    ends = F.split(F.translate(strip(text), "–", "-"), "-")
+    small = lambda x: (F.translate(strip(x), "0123456789", "") == "") & F.length(strip(x)).between(1, 3)
+    return (F.size(ends) <= 2) & F.forall(ends, small)
+
+
+def _is_item(text: Column) -> Column:
+    """Whether a line opens a list item: a bullet, or a number of one or two digits with a point or bracket before a capital."""
+    mark, rest = F.substring_index(text, " ", 1), F.ltrim(F.substring(text, F.length(F.substring_index(text, " ", 1)) + 1, F.length(text)))
+    number = F.left(mark, F.length(mark) - 1)
+    numbered = F.right(mark, F.lit(1)).isin(".", ")") & (F.translate(number, "0123456789", "") == "") & F.length(number).between(1, 2)
+    bullet = (text != "") & (F.instr(F.lit(BULLETS), F.left(text, F.lit(1))) > 0)
+    return bullet | numbered & rest.rlike(r"^[A-Z“\"(]")
 
 
 def _page(*order: str):
@@ -27,7 +48,7 @@ def page_lines(spans: DataFrame) -> DataFrame:
     s = spans.where(F.length("text") > 0).withColumn("_n", F.length(strip("text")).cast("long"))
     key = [*PAGE, "line"]
     family = F.regexp_replace("font", "[-,].*$", "")
-    weights = s.where((F.col("_n") > 0) & ~strip("text").rlike(DIGITS)).groupBy(*key, family.alias("family")).agg(F.sum("_n").alias("_w"), F.min("span").alias("_first"))
+    weights = s.where((F.col("_n") > 0) & ~_is_range("text")).groupBy(*key, family.alias("family")).agg(F.sum("_n").alias("_w"), F.min("span").alias("_first"))
     families = weights.groupBy(*key).agg(F.min_by("family", F.struct(-F.col("_w"), "_first")).alias("family"))
     sizes = s.where("_n > 0").groupBy(*key).agg(F.percentile("size", 0.5, F.col("_n")).alias("size"))
     lines = s.groupBy(*key).agg(
@@ -65,7 +86,7 @@ def classify_lines(lines: DataFrame, metrics: DataFrame, height: float) -> DataF
     m = metrics.select(*PAGE, "body", F.col("family").alias("_bf"))
     x = lines.join(m, PAGE).withColumn("_t", strip("text"))
     differs = (F.col("size") < 0.97 * F.col("body")) | ~F.col("family").isin("") & (F.col("family") != F.col("_bf"))
-    number, short = F.col("text").rlike(NUMERIC), F.length("_t") <= 70
+    number, short = _is_number("text"), F.length("_t") <= 70
     edge = (F.col("y0") >= 0.955 * height) | (F.col("y1") <= 0.085 * height) & (differs | number)
     bare = ((F.col("y0") >= 0.93 * height) | (F.col("y1") <= 0.10 * height)) & number
     x = x.withColumn("_furniture", short & (F.col("size") <= 1.15 * F.col("body")) & (edge | bare))
@@ -127,11 +148,11 @@ def paragraph_breaks(ordered: DataFrame) -> DataFrame:
     x = ordered.withColumn("_lo", F.min("x0").over(column)).withColumn("_hi", F.max("x1").over(column))
     before = lambda c: F.lag(c).over(order)
     body_before = before("role") == "body"
-    text, ends = F.regexp_replace("text", r"(?U)^\s+", ""), ends_sentence(strip(before("text")))
+    text, ends = F.ltrim(F.col("text"), F.lit(WHITE)), ends_sentence(strip(before("text")))
     gap = (F.col("col") == before("col")) & (F.col("y0") - before("y1") > 0.55 * F.greatest(before("y1") - before("y0"), F.lit(1.0)))
     indent = ends & ((F.col("x0") - F.col("_lo")) - (before("x0") - before("_lo")) >= 0.6 * F.col("body"))
     short = (before("x1") - before("x0") < 0.72 * (before("_hi") - before("_lo"))) & ends & text.rlike(r"^\p{Lu}")
-    breaks = ~F.coalesce(body_before, F.lit(False)) | text.rlike(BULLET) | gap | indent | short
+    breaks = ~F.coalesce(body_before, F.lit(False)) | _is_item(text) | gap | indent | short
     return x.withColumn("breaks", breaks).drop("_lo", "_hi").where("role = 'body'")
 
 

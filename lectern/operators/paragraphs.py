@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean_paragraph, col, is_picture
+from lectern.functions.text import WHITE, clean_paragraph, col, is_picture
 
 CJK = "぀-ヿ㐀-䶿一-鿿가-힯"
 WORD = r"[^\W_]+(?:['’.,\-][^\W_]+)*"
@@ -23,32 +23,24 @@ def split_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return pos.withColumn("para", F.col("para").cast("long"))
 
 
-def matches(rows: DataFrame, keys: list[str], text_col: str, pattern: str) -> DataFrame:
-    """(keys, n, start, end, word) of every match, by a running sum of lengths over the exploded (gap, match) pairs."""
-    both = rf"(?Us)(.*?)({pattern})"
-    pairs = rows.select(*keys, F.arrays_zip(
-        F.regexp_extract_all(text_col, F.lit(both), F.lit(0)).alias("pair"), F.regexp_extract_all(text_col, F.lit(both), F.lit(2)).alias("word")).alias("z"))
-    flat = pairs.select(*keys, F.posexplode("z").alias("n", "z")).select(*keys, "n", F.length("z.pair").alias("len"), F.col("z.word").alias("word"))
-    upto = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("len").over(upto)
-    return flat.select(*keys, F.col("n").cast("long").alias("n"), (end - F.length("word")).cast("long").alias("start"), end.cast("long").alias("end"), "word")
-
-
-def word_spans(paras: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+def word_spans(paras: DataFrame, keys: list[str], text_col: str = "text", gaps: bool = False) -> DataFrame:
     """(keys, word_no, start, end, word). Inner apostrophes, points, commas and hyphens stay inside a word; every CJK
-    character is a word, and other characters of such a run join the word right before them."""
-    words = matches(paras.where(F.col(text_col).isNotNull()), keys, text_col, WORD)
-    plain = words.where(~F.col("word").rlike(f"[{CJK}]")).select(*keys, "start", "end", "word")
-    # A run with CJK: a CJK character starts a word, and so does the first character of the run.
-    chars = words.where(F.col("word").rlike(f"[{CJK}]")).select(*keys, "n", "start", F.posexplode(F.split("word", "(?!^)")).alias("k", "ch"))
-    at = Window.partitionBy(*keys, "n").orderBy("k")
-    piece = F.sum(((F.col("k") == 0) | F.col("ch").rlike(f"[{CJK}]")).cast("int")).over(at)
-    mixed = chars.withColumn("piece", piece).groupBy(*keys, "n", "piece").agg(
-        (F.min("start") + F.min("k")).alias("start"), (F.min("start") + F.max("k") + 1).alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "ch"))), lambda x: x["ch"]), "").alias("word"))
-    all_ = plain.unionByName(mixed.select(*keys, "start", "end", "word"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1
-    return all_.select(*keys, number.cast("long").alias("word_no"), "start", "end", "word")
+    character is a word, and other characters of such a run join the word right before them. With ``gaps`` also ``gap``, the
+    text between a word and the next one or the end.
+
+    A paragraph is cut once into its words and once into what lies between; one running sum of lengths gives the places."""
+    text = F.col(text_col)
+    rows = paras.where(text.isNotNull()).select(
+        *keys, F.regexp_extract_all(text, F.lit(f"(?U){WORD}"), F.lit(0)).alias("_w"), F.split(text, f"(?U){WORD}").alias("_g"), text.rlike(f"[{CJK}]").alias("_cjk"))
+    item = lambda before, word, after: F.struct(before.alias("before"), word.alias("word"), after.alias("gap"))
+    plain = F.transform("_w", lambda w, i: item(F.get("_g", i), w, F.get("_g", i + 1)))
+    pieces = F.transform("_w", lambda w, i: F.transform(F.array(F.split(w, f"(?!^)(?=[{CJK}])")), lambda ps: F.transform(ps, lambda p, j: item(
+        F.when(j == 0, F.get("_g", i)).otherwise(""), p, F.when(j == F.size(ps) - 1, F.get("_g", i + 1)).otherwise("")))))
+    flat = rows.select(*keys, F.posexplode(F.when(F.col("_cjk"), F.flatten(F.flatten(pieces))).otherwise(plain)).alias("word_no", "_i"))
+    flat = flat.select(*keys, F.col("word_no").cast("long").alias("word_no"), F.length("_i.word").alias("_n"), (F.length("_i.before") + F.length("_i.word")).alias("_len"), "_i.word", "_i.gap")
+    end = F.sum("_len").over(Window.partitionBy(*keys).orderBy("word_no").rowsBetween(Window.unboundedPreceding, 0))
+    return flat.withColumn("end", end).select(
+        *keys, "word_no", (F.col("end") - F.col("_n")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "word", *(["gap"] if gaps else []))
 
 
 SENTENCE_GAP = r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|(?<=[。！？])"
@@ -62,8 +54,8 @@ def split_sentences(paras: DataFrame, keys: list[str], text_col: str = "text") -
     upto = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.where("s <> ''").withColumn("cut_end", F.sum(F.length("s")).over(upto).cast("long"))
     cut = cut.withColumn("cut_start", F.col("cut_end") - F.length("s"))
-    blank_before = F.length("s") - F.length(F.regexp_replace("s", r"(?U)^\s+", ""))
-    blank_behind = F.length("s") - F.length(F.regexp_replace("s", r"(?U)\s+$", ""))
+    blank_before = F.length("s") - F.length(F.ltrim(F.col("s"), F.lit(WHITE)))
+    blank_behind = F.length("s") - F.length(F.rtrim(F.col("s"), F.lit(WHITE)))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("cut_start")) - 1
     return cut.select(
         *keys, number.cast("long").alias("sentence_no"), "cut_start", "cut_end",

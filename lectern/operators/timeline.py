@@ -5,18 +5,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def estimate_timeline(words: DataFrame, paras: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """words with f0, f1: shares of the audio by letters, with a pause where a sentence (4) or clause (2) ends."""
-    rows = words.join(paras.select(*keys, F.col(text_col).alias("_t")), keys)
-    order = Window.partitionBy(*keys).orderBy("start")
-    until = F.coalesce(F.lead("start").over(order), F.length("_t").cast("long"))
-    gap = F.substring("_t", F.col("end").cast("int") + 1, (until - F.col("end")).cast("int"))
+def estimate_timeline(words: DataFrame, keys: list[str]) -> DataFrame:
+    """words(keys, word_no, start, end, word, gap) with f0, f1: shares of the audio by letters, with a pause where a sentence (4)
+    or clause (2) ends. Its windows have the keys and order of the words', so nothing is shuffled again."""
     # In tenths, so that sums are exact whatever their order: 0.6 for every word, 4 and 2 for the pauses.
-    pause = F.when(gap.rlike("[.!?…。！？]"), 40).when(gap.rlike("[,;:—–、，；：]"), 20).otherwise(0)
-    weighed = rows.withColumn("_w", F.greatest(F.lit(1), F.col("end") - F.col("start")) * 10 + 6 + pause)
-    upto = F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_w").over(Window.partitionBy(*keys))
-    return weighed.withColumn("f0", (upto - F.col("_w")) / total).withColumn("f1", upto / total).drop("_w", "_t")
+    pause = F.when(F.col("gap").rlike("[.!?…。！？]"), 40).when(F.col("gap").rlike("[,;:—–、，；：]"), 20).otherwise(0)
+    weighed = words.withColumn("_w", F.greatest(F.lit(1), F.col("end") - F.col("start")) * 10 + 6 + pause).drop("gap")
+    same = Window.partitionBy(*keys).orderBy("word_no")
+    upto = F.sum("_w").over(same.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_w").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return weighed.withColumn("f0", (upto - F.col("_w")) / total).withColumn("f1", upto / total).drop("_w")
 
 
 def validate_timings(timings: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,35 +55,37 @@ def sentence_timeline(words: DataFrame, sentences: DataFrame, keys: list[str]) -
         F.first("s.start").alias("start"), F.first("s.end").alias("end"), F.min_by("w.f0", "w.start").alias("f0"), F.max_by("w.f1", "w.start").alias("f1"))
 
 
-def asof(probes: DataFrame, rows: DataFrame, keys: list[str], probe_col: str, row_col: str, take: list[str]) -> DataFrame:
-    """probes with ``take`` of the last row at or before the probe (null if there is none): one union, one sort."""
+def asof(probes: DataFrame, rows: DataFrame, keys: list[str], probe_col: str, row_col: str, take: list[str], first: bool = False) -> DataFrame:
+    """probes with ``take`` of the last row at or before the probe (null if there is none): one union, one sort. With ``first``
+    also ``_first``, what would be taken of the first row of all (null where the key has no row)."""
     left = probes.withColumn("_at", F.col(probe_col).cast("double")).withColumn("_side", F.lit(1))
     right = rows.select(*keys, F.col(row_col).cast("double").alias("_at"), F.lit(0).alias("_side"), F.struct(*take).alias("_row"))
     both = left.unionByName(right, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_hit", F.last("_row", ignorenulls=True).over(before)).where("_side = 1")
-    return found.select(*probes.columns, *[F.col(f"_hit.{c}").alias(c) for c in take])
+    same = Window.partitionBy(*keys).orderBy("_at", "_side")
+    found = both.withColumn("_hit", F.last("_row", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    if first:
+        found = found.withColumn("_first", F.first("_row", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return found.where("_side = 1").select(*probes.columns, *[F.col(f"_hit.{c}").alias(c) for c in take], *(["_first"] if first else []))
 
 
 def item_at(probes: DataFrame, timeline: DataFrame, keys: list[str], number: str, probe_col: str = "fraction") -> DataFrame:
     """probes with ``number`` (word or sentence) heard at a fraction: the last that has started, else the first (0);
     -1 where the paragraph has none."""
     clamped = probes.withColumn("_p", F.greatest(F.lit(0.0), F.col(probe_col)))
-    found = asof(clamped, timeline, keys, "_p", "f0", [number]).drop("_p")
-    there = timeline.select(*keys).distinct().withColumn("_there", F.lit(True))
-    return found.join(there, keys, "left").withColumn(number, F.when(F.col("_there"), F.coalesce(number, F.lit(0))).otherwise(-1).cast("long")).drop("_there")
+    found = asof(clamped, timeline, keys, "_p", "f0", [number], first=True)
+    return found.select(*probes.columns, F.when(F.col("_first").isNull(), -1).otherwise(F.coalesce(number, F.lit(0))).cast("long").alias(number))
 
 
 def word_at_char(probes: DataFrame, timeline: DataFrame, keys: list[str], probe_col: str = "char") -> DataFrame:
     """probes with word_no of the word that holds a character, else the next, else the last; and the fraction to start from."""
-    last = timeline.groupBy(*keys).agg(F.max("word_no").alias("_last"))
-    found = asof(probes, timeline.withColumnRenamed("word_no", "_no"), keys, probe_col, "start", ["_no", "end"])
-    inside = F.col("end").isNotNull() & (F.col(probe_col) < F.col("end"))
-    number = F.when(inside, F.col("_no")).otherwise(F.least(F.coalesce("_no", F.lit(-1)) + 1, F.col("_last")))
-    found = found.join(last, keys, "left").withColumn("word_no", F.when(F.col("_last").isNull(), -1).otherwise(number).cast("long"))
-    starts = timeline.select(*keys, "word_no", F.col("f0").alias("_f"))
-    fraction = F.when(F.col("_f") > 0, F.col("_f") + 1e-4).otherwise(0.0)
-    return found.join(starts, [*keys, "word_no"], "left").withColumn("fraction", fraction).select(*probes.columns, "word_no", "fraction")
+    same = Window.partitionBy(*keys).orderBy("word_no")
+    here = F.struct(F.col("word_no").alias("no"), F.col("f0").alias("f"))
+    rows = timeline.select(*keys, "start", F.col("end").alias("_end"), here.alias("_here"), F.coalesce(F.lead(here).over(same), here).alias("_next"))
+    found = asof(probes, rows, keys, probe_col, "start", ["_end", "_here", "_next"], first=True)
+    word = F.when(F.col("_here").isNull(), F.col("_first._here")).when(F.col(probe_col) < F.col("_end"), F.col("_here")).otherwise(F.col("_next"))
+    found = found.withColumn("_word", word)
+    fraction = F.when(F.col("_word.f") > 0, F.col("_word.f") + 1e-4).otherwise(0.0)
+    return found.select(*probes.columns, F.coalesce("_word.no", F.lit(-1)).cast("long").alias("word_no"), fraction.alias("fraction"))
 
 
 def cue_sheet(durations: DataFrame, gap: float = 0.5, chapter_gap: float = 1.5) -> DataFrame:

@@ -11,26 +11,30 @@ from .registry import query, table
 _NAMES = ["Genesis", "Exodus 3", "Part II: The Sea", "Prologue", "Ruth", "Mark", "第三章", "John"]
 _LIST = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
 MARKED = S.BOOKS + f""",
-marked AS (SELECT book_id, para, CASE WHEN para % 41 <> 7 THEN text WHEN length(book_id) = 4 THEN {_LIST}[CAST((para // 41) % 8 + 1 AS INT)] ELSE 'Ruth' END AS text FROM books)"""
+marked AS (SELECT book_id, para, CASE WHEN para % 41 <> 7 THEN text WHEN length(split_part(book_id, '.', 1)) = 4 THEN {_LIST}[CAST((para // 41) % 8 + 1 AS INT)] ELSE 'Ruth' END AS text FROM books)"""
 
 
 def marked(spark, sf):
     """The books with more kinds of headings; in half of them a single scripture name occurs."""
     name = F.try_element_at(F.array(*[F.lit(n) for n in _NAMES]), F.expr("cast((para div 41) % 8 + 1 as int)"))
-    return S.books(spark, sf).withColumn("text", F.when(F.col("para") % 41 != 7, F.col("text")).when(F.length("book_id") == 4, name).otherwise("Ruth"))
+    return S.books(spark, sf).withColumn("text", F.when(F.col("para") % 41 != 7, F.col("text")).when(F.length(F.substring_index("book_id", ".", 1)) == 4, name).otherwise("Ruth"))
 
 
 _SCRIPTURE = ", ".join(f"'{n}'" for n in C.SCRIPTURE)
+_NUMBERS = ", ".join(f"'{n}'" for n in C.NUMBER_WORDS)
 MARKS = MARKED + rf""",
 scripture AS (SELECT n AS name, lower(n) AS low FROM (SELECT unnest([{_SCRIPTURE}]) AS n)),
 normal AS (SELECT book_id, para, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM marked WHERE length(text) <= 90),
 lowered AS (SELECT *, regexp_replace(lower(t), '[:.]+$', '') AS low FROM normal WHERE t <> ''),
-split_low AS (SELECT *, regexp_extract(low, '^(.+?)\s+(\d{{1,3}})$', 1) AS base, regexp_extract(low, '^(.+?)\s+(\d{{1,3}})$', 2) AS num,
-  regexp_matches(t, '{C.NUMBERED.replace("(?iU)", "(?i)")}') AS numbered, lower(regexp_extract(t, '{C.NUMBERED.replace("(?iU)", "(?i)")}', 1)) AS kw,
-  regexp_matches(t, '{C.UNNUMBERED.replace("(?iU)", "(?i)")}') OR regexp_matches(t, '{C.CJK_HEADING.replace("(?U)", "")}') AS named FROM lowered),
+split_low AS (SELECT *, regexp_extract(low, '^(.+?)\s+(\d{{1,3}})$', 1) AS base, regexp_extract(low, '^(.+?)\s+(\d{{1,3}})$', 2) AS num, string_split(lower(t), ' ') AS w FROM lowered),
+opened AS (SELECT *, w[1] AS kw, regexp_extract(coalesce(w[2], ''), '^[a-z0-9_]+') AS no, regexp_extract(w[1], '^[a-z]+') AS name1 FROM split_low),
+shaped AS (SELECT *, kw IN ('chapter', 'part', 'book', 'section', 'psalm', 'canto', 'act', 'volume') AND (try_cast(no AS INT) BETWEEN 0 AND 9999 AND length(no) <= 4 OR (no <> '' AND length(no) <= 7 AND translate(no, 'ivxlcdm', '') = '')
+    OR no IN ({_NUMBERS})) AND length(ltrim(substr(t, length(kw) + length(no) + 2), ' .:-–—')) <= 70 AS numbered,
+  name1 IN ('prologue', 'epilogue', 'prelude', 'interlude', 'preface', 'foreword', 'introduction', 'appendix') AND length(t) - length(name1) <= 50 AND len(string_split_regex(t, '[.!?]')) = 1
+    OR starts_with(t, '第') AND regexp_matches(substr(replace(t, ' ', ''), 2), '^[0-9〇零一二三四五六七八九十百千两]+[章节回卷部篇]') AS named FROM opened),
 all_marks AS (SELECT book_id, para, CASE WHEN a.name IS NOT NULL THEN 'book' WHEN b.name IS NOT NULL THEN 'chapter' WHEN numbered AND kw IN ('part', 'book', 'volume', 'canto') THEN 'book' ELSE 'chapter' END AS kind,
   CASE WHEN a.name IS NOT NULL THEN a.name WHEN b.name IS NOT NULL THEN b.name || ' ' || num ELSE t END AS title, coalesce(a.name, b.name) AS book, coalesce(a.name, b.name) IS NOT NULL AS scripture
-  FROM split_low s LEFT JOIN scripture a ON s.low = a.low LEFT JOIN scripture b ON s.base = b.low WHERE a.name IS NOT NULL OR b.name IS NOT NULL OR numbered OR named),
+  FROM shaped s LEFT JOIN scripture a ON s.low = a.low LEFT JOIN scripture b ON s.base = b.low WHERE a.name IS NOT NULL OR b.name IS NOT NULL OR numbered OR named),
 trusted AS (SELECT * FROM all_marks WHERE NOT scripture OR book_id IN (SELECT book_id FROM all_marks WHERE scripture GROUP BY book_id HAVING count(DISTINCT book) >= 5)),
 sizes AS (SELECT book_id, count(*) AS n FROM marked GROUP BY book_id)"""
 SECTIONS = MARKS + """,
@@ -90,10 +94,10 @@ def sec6(spark, sf):
 
 def positions(spark, sf):
     """A reading position of every event, in the books by turns."""
-    return table(spark, sf, "events").select("event_id", F.expr("concat('src', event_id % 20)").alias("book_id"), F.expr("event_id * 7 % 700 - 5").alias("position"))
+    return table(spark, sf, "events").select("event_id", F.expr("concat('src', event_id % 20, '.', event_id div 10000)").alias("book_id"), F.expr("event_id * 7 % 700 - 5").alias("position"))
 
 
-_POS = "pos AS (SELECT event_id, 'src' || (event_id % 20) AS book_id, event_id * 7 % 700 - 5 AS position FROM events)"
+_POS = "pos AS (SELECT event_id, 'src' || (event_id % 20) || '.' || (event_id // 10000) AS book_id, event_id * 7 % 700 - 5 AS position FROM events)"
 _LOCATED = """located AS (SELECT p.*, section_no, title, g - start AS local FROM (SELECT p.*, greatest(0, least(position, n - 1)) AS g FROM pos p JOIN sizes USING (book_id)) p
   JOIN sections s ON p.book_id = s.book_id AND g >= start AND g < "end")"""
 

@@ -196,7 +196,7 @@ def lay20(spark, sf):
 
 @query("lay20_stitch_documents")
 def lay20b(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), paragraph_array("text").alias("paras"))
+    d = table(spark, sf, "documents").select(F.expr(S.BOOK_ID.format(div="doc_id div 1000")).alias("doc_id"), F.col("doc_id").alias("page"), paragraph_array("text").alias("paras"))
     return L.stitch_pages(d)
 
 

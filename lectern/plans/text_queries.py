@@ -111,7 +111,7 @@ def txt14(spark, sf):
 
 def timeline(spark, sf):
     paras = S.paras(spark, sf)
-    return T.estimate_timeline(P.word_spans(paras, KEYS), paras, KEYS)
+    return T.estimate_timeline(P.word_spans(paras, KEYS, gaps=True), KEYS)
 
 
 @query("tim1_estimate_timeline", f"WITH {S.TIMELINE} SELECT doc_id, para, word_no, start, \"end\", word, f0, f1 FROM timeline")

@@ -37,24 +37,28 @@ timeline AS (SELECT doc_id, para, word_no, start, "end", word, (sum(wt) OVER o -
   FROM weights WINDOW o AS (PARTITION BY doc_id, para ORDER BY start ROWS UNBOUNDED PRECEDING))"""
 
 
+#: Documents of a source make a book for each thousand ids, so that books don't grow with the table.
+BOOK_ID = "concat(source, '.', {div})"
+
+
 def books(spark: SparkSession, sf: str) -> DataFrame:
-    """(book_id, para, text): all lines of a source as one book, with a chapter heading before every third document."""
-    lines = _t(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where("length(trim(t)) > 0")
-    heads = lines.where("doc_id % 3 = 0").select("source", "doc_id", F.lit(-1).alias("line_no"), F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("t")).distinct()
-    rows = lines.unionByName(heads)
-    # Numbers within a book from counts of its documents, so that no book is ranked in one task line by line.
-    per_doc = rows.groupBy("source", "doc_id").agg(F.count("*").alias("n"))
-    base = per_doc.select("source", "doc_id", F.expr("sum(n) over (partition by source order by doc_id) - n").alias("base"))
-    numbered = rows.select("*", F.expr("row_number() over (partition by source, doc_id order by line_no) - 1").alias("k"))
-    return numbered.join(base, ["source", "doc_id"]).select(F.col("source").alias("book_id"), (F.col("base") + F.col("k")).cast("long").alias("para"), F.col("t").alias("text"))
-
-
-BOOKS = """
-book_lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    """(book_id, para, text): the lines of a source's documents, thousand ids by thousand, with a chapter heading before every
+    third document. Numbers are those of the lines in their document behind the documents before, so only sizes are ranked."""
+    docs = _t(spark, sf, "documents").select(F.expr(BOOK_ID.format(div="doc_id div 1000")).alias("book_id"), "doc_id", F.filter(F.split("text", "\n"), lambda t: F.length(F.trim(t)) > 0).alias("lines"))
+    head = F.when((F.col("doc_id") % 3 == 0) & (F.size("lines") > 0), F.array(F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>"))
+    docs = docs.withColumn("lines", F.concat(head, "lines")).where("size(lines) > 0")
+    base = docs.select("book_id", "doc_id", F.size("lines").alias("n"))
+    base = base.select("book_id", "doc_id", F.expr("sum(n) over (partition by book_id order by doc_id) - n").alias("base"))
+    rows = docs.select("book_id", "doc_id", F.posexplode("lines").alias("k", "text")).join(base, ["book_id", "doc_id"])
+    return rows.select("book_id", (F.col("base") + F.col("k")).cast("long").alias("para"), "text")
+
+
+BOOKS = f"""
+book_lines AS (SELECT {BOOK_ID.format(div='doc_id // 1000')} AS book_id, doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 book_rows AS (SELECT * FROM book_lines WHERE length(trim(t)) > 0),
-books AS (SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) - 1 AS BIGINT) AS para, t AS text FROM (
-  SELECT source, doc_id, line_no, t FROM book_rows UNION ALL
-  SELECT DISTINCT source, doc_id, -1, concat('Chapter ', CAST(doc_id AS VARCHAR)) FROM book_rows WHERE doc_id % 3 = 0))"""
+books AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY doc_id, line_no) - 1 AS BIGINT) AS para, t AS text FROM (
+  SELECT book_id, doc_id, line_no, t FROM book_rows UNION ALL
+  SELECT DISTINCT book_id, doc_id, -1, concat('Chapter ', CAST(doc_id AS VARCHAR)) FROM book_rows WHERE doc_id % 3 = 0))"""
 
 
 def layout_lines(spark: SparkSession, sf: str) -> DataFrame:

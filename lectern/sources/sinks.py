@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import is_picture, safe_filename, speed_label
+from lectern.operators.timeline import asof
 
 
 def joined(order: str, text: str, sep: str):
@@ -37,8 +38,7 @@ def export_json(paras: DataFrame, ignored: DataFrame, bookmarks: DataFrame, high
 def export_chapters(paras: DataFrame, sections: DataFrame, unread: DataFrame, ext: str = ".txt") -> DataFrame:
     """(book_id, file_name, body) of every chapter with something to read; numbers count the empty ones too."""
     keep = paras.where(~is_picture("text")).join(unread, ["book_id", "para"], "left_anti")
-    inside = (F.col("p.book_id") == F.col("s.book_id")) & (F.col("p.para") >= F.col("s.start")) & (F.col("p.para") < F.col("s.end"))
-    both = keep.alias("p").join(sections.alias("s"), inside).select("p.book_id", "s.section_no", "s.title", "p.para", "p.text")
+    both = asof(keep, sections, ["book_id"], "para", "start", ["section_no", "title"]).where("section_no is not null")
     out = both.groupBy("book_id", "section_no", "title").agg(F.concat(joined("para", "text", "\n\n"), F.lit("\n")).alias("body"))
     title = F.when(F.col("title") == "", F.lit("Document")).otherwise(F.col("title"))
     if ext == ".md":
@@ -49,9 +49,8 @@ def export_chapters(paras: DataFrame, sections: DataFrame, unread: DataFrame, ex
 def pending_chapters(paras: DataFrame, sections: DataFrame, unread: DataFrame, files: DataFrame) -> DataFrame:
     """(book_id, section_no) of chapters with something to read and no finished file: files(book_id, section_no, bytes); an
     empty file doesn't count."""
-    keep = paras.where(~is_picture("text")).join(unread, ["book_id", "para"], "left_anti").alias("p")
-    inside = (F.col("p.book_id") == F.col("s.book_id")) & (F.col("p.para") >= F.col("s.start")) & (F.col("p.para") < F.col("s.end"))
-    readable = sections.alias("s").join(keep, inside, "left_semi").select("book_id", "section_no")
+    keep = paras.where(~is_picture("text")).select("book_id", "para").join(unread, ["book_id", "para"], "left_anti")
+    readable = asof(keep, sections, ["book_id"], "para", "start", ["section_no"]).where("section_no is not null").select("book_id", "section_no").distinct()
     return readable.join(files.where("bytes > 0"), ["book_id", "section_no"], "left_anti")
 
 
