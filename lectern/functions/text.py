@@ -151,7 +151,7 @@ def _power(x: Column) -> Column:
 
 def _said(tokens: Column, i: Column, x: Column) -> Column:
     """What is said for token ``x``, number ``i``: its kind and its neighbours decide."""
-    near = lambda k: F.coalesce(F.get(tokens, i + k), F.lit(""))
+    near = lambda k: F.when(F.get(tokens, i + k).rlike(r"[`@]|://|^www\."), "").otherwise(F.coalesce(F.get(tokens, i + k), F.lit("")))
     has = lambda c, pattern: c.rlike(f"(?U){pattern}")
     left, right, core = near(-1), near(1), strip(x)
     number, single = has(left, r"\d$"), has(left, "^[A-Za-z]$")
