@@ -7,14 +7,19 @@
   circle never become ready and come last, flagged ``cyclic``. References to unknown calls are ignored and counted.
 * Arguments are validated against the schema of the named tool: an object, required members present, no unknown members,
   types string, integer, number, boolean, object, array. A {"$ref": ...} stands for any type.
-* Canonical JSON: members sorted by code point, no blanks, text unescaped but for what JSON demands. It fails on no input:
-  arguments that are no JSON object become null with ``valid`` false and an error.
-
-Calls without an id or conversation are kept, unlinked. Extra columns are ignored; an empty table gives an empty table.
+* Canonical JSON: members sorted by code point, no blanks, text unescaped but for what JSON demands; a surrogate without its
+  partner, which no UTF-8 text can hold, stays an escape. It fails on no input: arguments that are no JSON object become null
+  with ``valid`` false and an error.
+
+Every call is a row. Calls that repeat an id are each validated and written; they share the id's result and its level, which
+follows all that any of them refers to, and stand in order of turn. Calls without an id or conversation are kept, unlinked.
+Texts are held one at a time, whatever their length. Extra columns are ignored, whatever their names; an empty table gives an
+empty table.
 """
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 import pandas as pd
@@ -26,8 +31,13 @@ from .common import durable, partitions
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
 
+def encodable(text: str) -> str:
+    """The text with surrogates that lack their partner as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return encodable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def references(value) -> list[str]:
@@ -77,7 +87,8 @@ def check_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 out = canonical(value) if isinstance(value, dict) else None
             except (TypeError, ValueError, RecursionError):
                 value = out = None
-            rows.append((out, references(value), problem(value, schemas.get(name))))
+            said = problem(value, schemas.get(name))
+            rows.append((out, [encodable(x) for x in references(value)], said and encodable(said)))
         return pd.DataFrame(rows, columns=["canonical", "refs", "error"])
 
     return calls.withColumn("_c", check("name", "arguments")).select(
@@ -85,9 +96,10 @@ def check_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """calls(conv_id, call_id, refs), ids unique -> (conv_id, call_id, level); circles are missing."""
+    """calls(conv_id, call_id, refs) -> (conv_id, call_id, level) of each id, behind what any of its calls refers to; circles are
+    missing."""
     key = ["conv_id", "call_id"]
-    nodes = calls.select(*key)
+    nodes = calls.select(*key).distinct()
     edges = calls.select(*key, F.explode("refs").alias("dep")).distinct()
     known = nodes.select("conv_id", F.col("call_id").alias("dep"))
     edges = durable(edges.join(known, ["conv_id", "dep"], "left_semi"), "references")
@@ -147,9 +159,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     """calls(conv_id, call_id, turn, name, arguments), results(conv_id, call_id, turn, content) -> per call: conv_id, call_id,
     position (in its conversation, from 0), level, cyclic, linked, valid, error, message (canonical JSON)."""
     base = calls.select("conv_id", "call_id", "turn", "name", "arguments")
-    # Repeated calls of one id: the earliest stands for all.
-    whole = Window.partitionBy("conv_id", "call_id").orderBy("turn", "name", "arguments")
-    named = base.where("conv_id is not null and call_id is not null").withColumn("_n", F.row_number().over(whole)).where("_n = 1").drop("_n")
+    named = base.where("conv_id is not null and call_id is not null")
     loose = base.where("conv_id is null or call_id is null")
     checked = durable(check_arguments(named, schemas), "calls")
     first = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by("content", F.struct("turn", "content")).alias("_content"), F.lit(True).alias("_hit"))

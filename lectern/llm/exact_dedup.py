@@ -7,7 +7,10 @@
    of bytes. Copies are pre-aggregated before the shuffle, therefore a hot text is one row per task.
 
 Nulls count as empty text. Of equal texts the row with the largest id stays; rows with a null id order first. When
-several rows share text and largest id, one of them is kept. Extra columns pass untouched in ``keep_one``.
+several rows share text and largest id, one of them is kept. Extra columns pass untouched in ``keep_one``, whatever their
+names. An empty table gives an empty table. A long text is a grouping key like any other.
+
+A sender's group is one input partition, an owner's about OWNED fingerprints.
 """
 from __future__ import annotations
 
@@ -16,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_broadcast, partitions
+from .common import durable, maybe_broadcast, measured, partitions
 
 HASH_BITS = 64
+#: Fingerprints that one owner holds, about.
+OWNED = 4_000_000
 
 
 # --- Golomb-Rice coding of sorted distinct 64-bit integers -----------------------------------------------------------
@@ -117,37 +122,38 @@ def repeated_fingerprints(prints: DataFrame, owners: int) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256 (of the text as UTF-8, null as empty)."""
     spark = docs.sparkSession
-    owners = owners or partitions(spark)
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     base = base.withColumn("_fp", F.xxhash64("_text"))
-    prints = durable(
+    prints, seen = measured(
         base.select(
             "_id", "_fp", F.unhex(F.sha2("_text", 256)).alias("_sha"),
             F.spark_partition_id().alias("_sender"), F.monotonically_increasing_id().alias("_row"),
         ),
         "fingerprints",
     )
-    suspects = durable(repeated_fingerprints(prints, owners), "suspects")
+    owners = owners or max(partitions(spark), -(-seen["rows"] // OWNED))
+    suspects, seen = measured(repeated_fingerprints(prints, owners), "suspects")
     # Bytes decide: the text itself is the grouping key, combined on the map side first.
     groups = (
-        base.join(maybe_broadcast(suspects), "_fp", "left_semi")
+        base.join(maybe_broadcast(suspects, seen["rows"]), "_fp", "left_semi")
         .groupBy("_fp", "_text").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("_fp", F.unhex(F.sha2("_text", 256)).alias("_sha"), "keep_id", "group_size")
         .where("group_size > 1")
     )
-    groups = durable(groups, "copies")
-    out = _join_groups(prints, groups)
+    hot = F.count_if(F.col("group_size") >= HOT_ROWS)
+    groups, seen = measured(groups, "copies", hot=hot)
+    out = _join_groups(prints, groups, seen["hot"] or 0)
     # Rows that repeat an id within one group: only the first of them is kept.
     best = F.col("keep_id").eqNullSafe(F.col("_id"))
     tied = (
         out.where(best & (F.col("group_size") > 1)).groupBy("_sha").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1").select(F.col("_sha").alias("_tsha"), "_first")
     )
-    tied = durable(tied, "tied")
-    if tied.isEmpty():
+    tied, seen = measured(tied, "tied")
+    if not seen["rows"]:
         out = out.withColumn("_first", F.col("_row"))
     else:
-        out = out.join(maybe_broadcast(tied), F.col("_sha") == F.col("_tsha"), "left")
+        out = out.join(maybe_broadcast(tied, seen["rows"]), F.col("_sha") == F.col("_tsha"), "left")
     return out.select(
         F.col("_id").alias(id_col), "keep_id", "group_size",
         (best & (F.col("_first").isNull() | (F.col("_first") == F.col("_row")))).alias("kept"),
@@ -155,39 +161,40 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-#: Groups with at least this many rows are joined by broadcast if at most HOT_GROUPS of them exist.
-HOT_ROWS, HOT_GROUPS = 1000, 10_000
+#: Groups with at least this many rows have a third way: their rows are dealt by number, with the group's row copied to each part.
+HOT_ROWS, SPREAD = 1000, 64
 
 
-def _join_groups(prints: DataFrame, groups: DataFrame) -> DataFrame:
-    """prints with keep_id and group_size. A hot group would land in one task of a shuffle join, so the few hot ones are
-    broadcast, after counting them; the rest shuffle (their keys have fewer than HOT_ROWS rows each)."""
-    hot = groups.where(F.col("group_size") >= HOT_ROWS)
-    found = prints.withColumn("_hot", F.lit(None).cast("struct<keep_id:bigint,group_size:bigint>"))
-    if 0 < hot.count() <= HOT_GROUPS:
-        hot = hot.select(F.col("_sha").alias("_hsha"), F.struct("keep_id", "group_size").alias("_hot"))
-        found = prints.join(F.broadcast(hot), F.col("_sha") == F.col("_hsha"), "left").drop("_hsha")
-        groups = groups.where(F.col("group_size") < HOT_ROWS)
+def _join_groups(prints: DataFrame, groups: DataFrame, n_hot: int) -> DataFrame:
+    """prints with keep_id and group_size. The rows of a hot group would land in one task of a shuffle join, so hashes of hot
+    groups are dealt over SPREAD parts, whatever the number of such groups; the others have fewer than HOT_ROWS rows each."""
     id_type = prints.schema["_id"].dataType
-    easy = found.where(F.col("_hot").isNotNull()).select(
-        "_id", "_sha", "_row", F.col("_hot.keep_id").cast(id_type).alias("keep_id"), F.col("_hot.group_size").alias("group_size"))
-    rest = found.where(F.col("_hot").isNull()).select("_id", "_sha", "_row").join(groups.drop("_fp"), "_sha", "left").select(
-        "_id", "_sha", "_row",
-        F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+    known = groups.select("_sha", F.col("keep_id").cast(id_type).alias("keep_id"), "group_size")
+    if n_hot:
+        hot = known.where(F.col("group_size") >= HOT_ROWS)
+        parts = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        known = known.where(F.col("group_size") < HOT_ROWS).withColumn("_part", F.lit(-1)).unionByName(parts)
+        marks = hot.select(F.col("_sha").alias("_mark"))
+        dealt = prints.join(maybe_broadcast(marks, n_hot), F.col("_sha") == F.col("_mark"), "left")
+        part = F.when(F.col("_mark").isNull(), -1).otherwise(F.pmod(F.xxhash64("_row"), F.lit(SPREAD))).cast("int")
+        found = dealt.withColumn("_part", part).drop("_mark").join(known, ["_sha", "_part"], "left").drop("_part")
+    else:
+        found = prints.join(known, "_sha", "left")
+    return found.select(
+        "_id", "_sha", "_row", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce(F.col("group_size"), F.lit(1).cast("long")).alias("group_size"))
-    return easy.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, without further copies of a text."""
     status = exact_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).agg(
         F.max("kept").alias("_any"), F.count("*").alias("_n"))
-    odd = durable(status.where("not _any or _n > 1"), "dropped")
+    odd, seen = measured(status.where("not _any or _n > 1"), "dropped", twice=F.count_if("_any"))
     keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     match = lambda keys: keyed[id_col].eqNullSafe(keys["_kid"]) & (keyed["_sha"] == keys["_ksha"])
-    keys = maybe_broadcast(odd)
+    keys = maybe_broadcast(odd, seen["rows"])
     clean = keyed.join(keys, match(keys), "left_anti")
-    twice = odd.where("_any")  # one id twice with one text
-    if not twice.isEmpty():
+    if seen["twice"]:  # one id twice with one text
+        twice = odd.where("_any")
         clean = clean.unionByName(keyed.join(twice, match(twice), "left_semi").dropDuplicates([id_col, "_sha"]))
     return clean.drop("_sha")

@@ -5,9 +5,10 @@ Only the histogram of piece lengths (at most ``capacity`` numbers, whatever the
 1. Lengths are rounded up to ``BINS`` bins; patterns of at most three bins that nearly fill a sequence are enumerated.
 2. Non-negative least squares fits how often each pattern repeats, so that together they use up the histogram; counts are
    rounded down and never exceed what is there.
-3. Slots take exact lengths, longest first; the smallest slot of a pattern takes the length that fits best in what the
-   bins' rounding left. What is left over is packed best-fit decreasing into the remaining room of
-   the fitted sequences and then into new ones, in runs of equal sequences instead of single documents.
+3. Slots take exact lengths, longest first. As bins are rounded up, the larger slots leave some room: the smallest slot takes
+   the longest length there is from its bin upwards that still fits. All slots of a fitted pattern stay together.
+4. What is left over is packed best-fit decreasing into the remaining room of the fitted sequences and then into new ones, in
+   runs of equal sequences instead of single documents.
 
 The result is a list of runs (lengths, repeats). A piece finds its place from its rank among the pieces of its length;
 ranks come from salted counts, so a length that a third of the pieces share is spread over tasks.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -68,6 +70,29 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
     return x
 
 
+class Stock:
+    """Lengths that are still to be packed."""
+
+    def __init__(self, hist: dict[int, int]):
+        self.left, self.lengths = dict(hist), sorted(hist)
+
+    def between(self, low: int, high: int) -> int:
+        return sum(self.left[x] for x in self.lengths[bisect_left(self.lengths, low) : bisect_right(self.lengths, high)])
+
+    def draw(self, low: int, high: int, count: int) -> tuple[list[tuple[int, int]], int]:
+        """Up to ``count`` of the lengths from low to high, longest first, as (length, how many), and how many were missing."""
+        out = []
+        for at in range(bisect_right(self.lengths, high) - 1, bisect_left(self.lengths, low) - 1, -1):
+            if not count:
+                break
+            k = min(self.left[self.lengths[at]], count)
+            if k:
+                out.append((self.lengths[at], k))
+                self.left[self.lengths[at]] -= k
+                count -= k
+        return out, count
+
+
 def fitted(hist: dict[int, int], capacity: int, bins: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Runs from the fitted patterns, and the lengths that they leave."""
     width = -(-capacity // bins)
@@ -80,35 +105,20 @@ def fitted(hist: dict[int, int], capacity: int, bins: int) -> tuple[list[tuple[t
     for k in range(3):
         np.add.at(a, (shapes[:, k] - 1, np.arange(len(shapes))), shapes[:, k] > 0)
     x = nnls(a, have[1 : bins + 1].astype(float))
-    stock = {q: sorted(([ln, n] for ln, n in hist.items() if -(-ln // width) == q), reverse=True) for q in range(1, bins + 1)}
-    runs = []
+    stock, runs = Stock(hist), []
     for p in np.argsort(-x, kind="stable"):
-        need = {int(q): int((shapes[p] == q).sum()) for q in shapes[p] if q}
-        c = min([int(x[p] + 0.5), *(have[q] // m for q, m in need.items())])
-        if c <= 0:
+        *larger, small = parts = sorted((int(q) for q in shapes[p] if q), reverse=True)
+        in_bin = {q: stock.between((q - 1) * width + 1, q * width) // parts.count(q) for q in parts}
+        times = min(int(x[p] + 0.5), *in_bin.values())
+        if times <= 0:
             continue
-        slots = []
-        for q, m in need.items():
-            have[q] -= c * m
-            for _ in range(m):
-                slots.append(_draw(stock[q], c))
-        runs += _zip_runs(slots)
-    left = {ln: n for part in stock.values() for ln, n in part if n}
-    left |= {ln: n for ln, n in hist.items() if -(-ln // width) > bins}
-    return runs, left
-
-
-def _draw(stock: list[list[int]], count: int) -> list[tuple[int, int]]:
-    out = []
-    while count:
-        ln, n = stock[0]
-        k = min(n, count)
-        out.append((ln, k))
-        count -= k
-        stock[0][1] -= k
-        if not stock[0][1]:
-            stock.pop(0)
-    return out
+        slots = [stock.draw((q - 1) * width + 1, q * width, times)[0] for q in larger]
+        for lengths, n in _zip_runs(slots) if slots else [((), times)]:
+            last, missing = stock.draw((small - 1) * width + 1, capacity - sum(lengths), n)
+            runs += [((*lengths, ln), k) for ln, k in last]
+            if missing and lengths:
+                runs.append((lengths, missing))
+    return runs, {ln: n for ln, n in stock.left.items() if n}
 
 
 def _zip_runs(slots: list[list[tuple[int, int]]]) -> list[tuple[tuple[int, ...], int]]:
@@ -160,14 +170,7 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, bins: int = BINS) -> li
     """Runs (lengths, repeats) that hold every length of the histogram as often as it occurs."""
     if not hist:
         return []
-    runs, left = fitted(hist, capacity, min(bins, capacity))
-    loose = []
-    for lengths, n in runs:  # rounding to bins leaves room, so the smallest slot is filled anew by best fit
-        *rest, small = sorted(lengths, reverse=True)
-        if rest:
-            left[small] = left.get(small, 0) + n
-        loose.append((tuple(rest) or (small,), n))
-    return best_fit(loose, left, capacity)
+    return best_fit(*fitted(hist, capacity, min(bins, capacity)), capacity)
 
 
 def places(runs: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -247,5 +250,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", le
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack: id, piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty, so they are
-    one piece that holds the end id; repeated rows are packed as often as they occur."""
+    one piece that holds the end id; repeated rows are packed as often as they occur, ties in length are placed by id; an empty
+    table gives an empty table. A long text is cut into pieces of ``capacity``. Extra columns are ignored, whatever their names."""
     return pack(durable(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity, id_col)

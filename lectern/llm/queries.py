@@ -22,15 +22,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits of every document, placed by its id: an insertion, a deletion, and a replacement by the source's name."""
-    docs = table(spark, sf_dir, "documents")
+def document_edits(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, edits): three edits of every document, placed by its id: an insertion, a deletion, and a replacement by the
+    source's name."""
     size = F.length(F.coalesce("text", F.lit("")))
     at = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), size + 1)
     edit = lambda k, n, added: F.struct(at(k).cast("long").alias("start"), (at(k) + n).cast("long").alias("end"), added.alias("added"))
     edits = F.array(edit(1, 0, F.lit("see also: ")), edit(2, 12, F.lit("")), edit(3, 4, F.coalesce("source", F.lit("?"))))
-    return tokencount.counts_under_edits(
-        docs.select("doc_id", "text", edits.alias("edits")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return docs.select("doc_id", "text", edits.alias("edits"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_edits(table(spark, sf_dir, "documents"))
+    return tokencount.counts_under_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

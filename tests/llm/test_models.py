@@ -82,6 +82,20 @@ def test_chat(spark):
     assert chat.link_calls(calls.limit(0), results, TOOLS).count() == 0
 
 
+def test_chat_keeps_repeated_calls_and_lone_surrogates(spark):
+    from lectern.llm.queries import TOOLS
+
+    rows = [("k", "a", 1, "search", '{"query":"\\ud800","limit":1}'), ("k", "a", 2, "open", '{"query":{"$ref":"b"},"limit":1,"\\udc01":0}'),
+            ("k", "b", 3, "search", '{"query":"' + "x" * 50_000 + '","limit":1}'), ("k", "b", 3, "search", '{"query":"' + "x" * 50_000 + '","limit":1}')]
+    calls = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id string, call_id string, turn long, name string, arguments string, _c string, _n int")
+    results = spark.createDataFrame([("k", "a", 4, "\x00 done"), ("k", "a", 4, "\x00 done")], "conv_id string, call_id string, turn long, content string")
+    got = sorted(chat.link_calls(calls, results, TOOLS).collect(), key=lambda r: r.position)
+    assert [(r.call_id, r.level, r.position, r.linked, r.valid) for r in got] == [
+        ("b", 0, 0, False, True), ("b", 0, 1, False, True), ("a", 1, 2, True, True), ("a", 1, 3, True, False)]
+    assert json.loads(got[2].message)["call"]["arguments"]["query"] == "\ud800" and got[3].error == "unexpected \\udc01"
+    assert '"result":"\\u0000 done"' in got[2].message
+
+
 def longest_paths(deps):
     """{call: level} by rounds; calls in or behind a circle are missing."""
     level = {}
