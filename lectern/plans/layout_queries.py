@@ -1,6 +1,7 @@
 """Queries of page layout, over two-column pages made from documents."""
 from pyspark.sql import functions as F
 
+from lectern.operators import assembly as A
 from lectern.operators import layout as L
 from lectern.operators.paragraphs import paragraph_array
 from lectern.sources import fixtures as S
@@ -261,3 +262,81 @@ def lay23(spark, sf):
     labels = F.array(*[F.lit(x) for x in ("text", "title", "header", "footnote", "odd", "number")])
     return L.labelled_regions(table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("pos"), F.element_at(labels, F.expr("cast((conv_id + turn) % 6 + 1 as int)")).alias("label"), "text"))
+
+
+def styled_pages(spark, sf):
+    """Pages of two documents in three count as scripture."""
+    return S.layout_lines(spark, sf).select("doc_id", "page").distinct().select(
+        "doc_id", "page", F.lit(10.0).alias("body"), F.lit("Body").alias("family"), (F.col("doc_id") % 3 > 0).alias("scripture"))
+
+
+def page_spans(spark, sf):
+    return S.layout_spans(spark, sf).withColumnRenamed("k", "line")
+
+
+@query("lay7_span_roles")
+def lay7(spark, sf):
+    return A.span_roles(page_spans(spark, sf), styled_pages(spark, sf)).select("doc_id", "page", "line", "span", "text", "role")
+
+
+@query("lay15_page_mode")
+def lay15(spark, sf):
+    return A.page_mode(page_spans(spark, sf), styled_pages(spark, sf)).select("doc_id", "page", "line", "span", "role", "mode")
+
+
+def paragraph_lines(spark, sf):
+    """Five lines of a page are a paragraph; each ends in a hyphen, a soft hyphen or neither."""
+    end = F.expr("case when (doc_id + k) % 4 = 0 then concat(text, '-') when (doc_id + k) % 4 = 1 then concat(text, '\u00ad') else text end")
+    return S.layout_lines(spark, sf).where("k between 0 and 39").select("doc_id", "page", F.expr("k div 5").alias("para"), "k", end.alias("text"))
+
+
+@query("lay9_join_lines")
+def lay9(spark, sf):
+    x = paragraph_lines(spark, sf)
+    return A.join_lines(x, A.page_vocabulary(x))
+
+
+@query("lay11_split_verses")
+def lay11(spark, sf):
+    x = A.span_roles(page_spans(spark, sf), styled_pages(spark, sf))
+    kind = F.expr("case pmod(doc_id + line, 17) when 0 then 'heading' when 1 then 'title' else 'body' end")
+    return A.split_verses(x.select("doc_id", "page", F.col("line").alias("pos"), "span", "text", "role", kind.alias("line_role")))
+
+
+def recognised(spark, sf):
+    """Lines as if recognised: some pictures, centres that tremble."""
+    text = F.expr("case when (doc_id + k) % 13 = 0 then concat('⟦image:', k, '.png⟧') else text end")
+    dy = F.expr("cast(pmod(doc_id * 5 + k * k, 7) as double) - 3")
+    return S.layout_lines(spark, sf).select("doc_id", "page", "k", text.alias("text"), "x0", (F.col("y0") + dy).alias("y0"), "x1", (F.col("y1") + dy).alias("y1"))
+
+
+@query("lay22_ocr_paragraphs")
+def lay22(spark, sf):
+    return A.ocr_paragraphs(recognised(spark, sf))
+
+
+def drawn(spark, sf):
+    """Pictures, drawings, words and labels of each page, from its lines."""
+    x = S.layout_lines(spark, sf).withColumnRenamed("k", "box")
+    images = x.where("box = 3 and doc_id % 2 = 0").select("doc_id", "page", "box", "x0", "y0", (F.col("x0") + 90).alias("x1"), (F.col("y0") + 70).alias("y1"))
+    drawings = x.where("box between 0 and 39").select(
+        "doc_id", "page", "box", F.expr("200 + (box % 6) * 20D").alias("x0"), F.expr("200 + (box div 6) * 18D + doc_id % 5").alias("y0"),
+        F.expr("200 + (box % 6) * 20D + if(box % 3 = 0, 1, 15)").alias("x1"), F.expr("200 + (box div 6) * 18D + doc_id % 5 + if(doc_id % 4 = 0, 1, 12)").alias("y1"))
+    words = x.where("doc_id % 7 = 0").select("doc_id", "page", "box", "x0", "y0", "x1", "y1")
+    return images, drawings, words, x.select("doc_id", "page", "box", F.substring_index("text", " ", 2).alias("text"), "x0", "y0", "x1", "y1")
+
+
+@query("lay26_figure_candidates")
+def lay26(spark, sf):
+    return A.figure_candidates(*drawn(spark, sf), 400.0, 600.0)
+
+
+def placed(spark, sf):
+    b = blocks(spark, sf)
+    body = b.where("block % 3 > 0").select("doc_id", "page", F.col("block").alias("pos"), F.lit("body").alias("kind"), "cx", "cy", "text")
+    return body, b.where("block % 3 = 0").select("doc_id", "page", F.col("block").alias("picture"), (F.col("cx") + 0.05).alias("cx"), (1 - F.col("cy")).alias("cy"), "text")
+
+
+@query("lay29_place_picture_text")
+def lay29(spark, sf):
+    return A.place_picture_text(*placed(spark, sf))

@@ -62,6 +62,17 @@ def txt6b(spark, sf):
     return table(spark, sf, "documents").where(plain).select("doc_id", X.math_to_speech(F.concat("text", F.lit(" 12.5 % × 3 ≤ 4"))).alias("said"))
 
 
+@query("txt7_join_pieces", r"""WITH p AS (SELECT conv_id, turn, trim(CASE turn % 4 WHEN 0 THEN regexp_replace(text, '[.]$', '-') WHEN 1 THEN lower(text) WHEN 2 THEN '海' || text ELSE text END) AS p FROM conversations),
+q AS (SELECT *, lag(p) OVER o AS before, lead(p) OVER o AS behind FROM p WHERE p <> '' WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+j AS (SELECT conv_id, turn, CASE WHEN before IS NULL OR (before LIKE '%-' AND regexp_matches(p, '^\p{Ll}')) OR regexp_matches(right(before, 1) || left(p, 1), '[぀-ヿ㐀-鿿가-힯]') THEN '' ELSE ' ' END ||
+  CASE WHEN p LIKE '%-' AND regexp_matches(coalesce(behind, ''), '^\p{Ll}') THEN left(p, length(p) - 1) ELSE p END AS s FROM q)
+SELECT conv_id, string_agg(s, '' ORDER BY turn) AS text FROM j GROUP BY conv_id""".replace("\\\\", "\\"))
+def txt7(spark, sf):
+    piece = F.expr(r"case turn % 4 when 0 then regexp_replace(text, '[.]$', '-') when 1 then lower(text) when 2 then concat('海', text) else text end")
+    rows = table(spark, sf, "conversations").select("conv_id", F.struct("turn", piece.alias("p")).alias("s")).where("trim(s.p) <> ''")
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("a")).select("conv_id", X.join_pieces(F.col("a.p")).alias("text"))
+
+
 @query("txt8_picture_markers", f"""SELECT doc_id, doc_id % 3 = 0 AS is_picture, CASE WHEN doc_id % 3 = 0 THEN sha1(text) || '.png' END AS picture_name FROM documents""")
 def txt8(spark, sf):
     mark = F.when(F.col("doc_id") % 3 == 0, X.picture_marker(F.concat(F.sha1("text"), F.lit(".png")))).otherwise(F.col("text"))

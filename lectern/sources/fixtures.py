@@ -77,6 +77,24 @@ def layout_lines(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("doc_id", "page", rows)
 
 
+def layout_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, page, k, span, text, size, bold, family, raised, origin_y, baseline, x0, y0, x1, y1): the layout's body lines in
+    pieces, with small and large numbers, note signs, drop caps and hyphens at line ends, by the line's number."""
+    lines = layout_lines(spark, sf).where("k between 0 and 39").withColumn("h", F.expr("cast(pmod(doc_id * 7 + page * 3 + k, 40) as int)"))
+    base = "y0 + size"
+    span = lambda n, text, size, bold="false", family="'Body'", raised="false", rise="0": (
+        f"struct({n} as span, {text} as text, cast({size} as double) as size, {bold} as bold, {family} as family, {raised} as raised, {base} - {rise} as origin_y)")
+    n = "cast(k + 1 as string)"
+    lead = (f"case when h in (1, 2, 3, 4) then {span(0, n, 6, rise='3')} when h = 5 then {span(0, n, 24)} when h = 6 then {span(0, n, 10, bold='true')} "
+            f"when h = 7 then {span(0, 'left(text, 1)', 20)} else {span(0, repr(''), 10)} end")
+    half, rest = "substring_index(text, ' ', 3)", "substring(text, length(substring_index(text, ' ', 3)) + 1)"
+    body = f"case when h = 7 then substring({half}, 2) else {half} end"
+    note = f"case when h in (10, 11) then {span(2, n, 6, rise='3')} when h = 12 then {span(2, repr('*'), 5, raised='true')} else {span(2, repr(''), 10)} end"
+    end = f"case when h % 10 = 9 then concat({rest}, '-') when h % 10 = 8 then concat({rest}, '\u00ad') else {rest} end"
+    pieces = F.expr(f"inline(filter(array({lead}, {span(1, body, 10)}, {note}, {span(3, end, 10)}), s -> s.text <> ''))")
+    return lines.select("doc_id", "page", "k", F.expr(base).alias("baseline"), "x0", "y0", "x1", "y1", pieces)
+
+
 LAYOUT = """
 lay_l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)),1)-1 AS line_no FROM documents),
 lay_w AS (SELECT doc_id, line_no, unnest(string_split_regex(trim(t), ' +')) AS word, generate_subscripts(string_split_regex(trim(t), ' +'),1)-1 AS w FROM lay_l WHERE length(trim(t)) > 0),
