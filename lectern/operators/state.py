@@ -1,8 +1,10 @@
 """Reading state from event logs: positions, flags, highlights, the library, settings and voices."""
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SPEEDS, nearest_speed
@@ -122,6 +124,19 @@ def play_log(events, items: list[list], next_id: int) -> tuple[list[list], int]:
     return items, next_id
 
 
+#: A paragraph's highlights between batches of a stream: its items as JSON and the next id.
+PLAYED = "items string, next long"
+
+
+def play_batch(key: tuple, events: pd.DataFrame, played: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    """A batch of one paragraph's events on top of what was played -> its highlights (a row of nulls for none) and the new state."""
+    items, next_id = (json.loads(played[0]), played[1]) if played else ([], 1)
+    items, next_id = play_log(events.sort_values("seq").itertuples(), items, next_id)
+    rows = [(*key, *x) for x in sorted(items, key=lambda x: x[1])] or [(*key, None, None, None, None)]
+    out = pd.DataFrame(rows, columns=["user_id", "doc", "para", "id", "start", "end", "colour"]).astype({c: "Int64" for c in ("id", "start", "end")})
+    return out, (json.dumps(items, default=int), int(next_id))
+
+
 def apply_highlight_log(log: DataFrame) -> DataFrame:
     """log(user_id, doc, para, seq, op, start, end, colour, target) -> current highlights. Ids count up within a paragraph; a
     split leaves the id with its head. One group is one reader's paragraph, a sequence by nature."""
@@ -152,34 +167,52 @@ def import_legacy_flags(flags: DataFrame, lengths: DataFrame, highlights: DataFr
     return rows.select("doc", "para", F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("end"), F.lit(colour).alias("colour"))
 
 
-#: Settings with their defaults, limits of numbers, and choices of words.
-DEFAULTS = {"playback.speed": "1.0", "playback.volume": "1.0", "reader.font_size": "18", "reader.theme": "dark", "pdf.mode": "auto"}
-LIMITS = {"playback.volume": (0.0, 1.0), "reader.font_size": (10.0, 40.0)}
-CHOICES = {"reader.theme": ("dark", "light"), "pdf.mode": ("auto", "always", "never")}
-LEGACY = {"speed": "playback.speed", "font_size": "reader.font_size"}
+#: Settings with their defaults, limits of numbers, choices of words, names that moved, and the old default of a
+#: font size, which counts as none.
+DEFAULTS = {
+    "theme": "dark", "voice": "af_heart", "device": "CPU", "ocr_engine": "auto", "ocr_lang": "en", "internet_usage": "false", "precache_speeds": "[1.0]",
+    "cache_limit_mb": "5120", "read_math": "true", "ocr_smart": "false", "ocr_quality": "standard", "pdf.headings": "true", "pdf.footnotes": "false",
+    "pdf.furniture": "false", "pdf.show_pictures": "true", "pdf.read_images": "false", "pdf.tables": "true", "pdf.verses": "auto", "profile.name": "",
+    "profile.avatar_color": "#6366F1", "profile.avatar_image": "", "profile.onboarded": "false", "playback.volume": "100", "playback.speed": "1.0",
+    "reader.font_family": "Georgia", "reader.font_size": "18", "reader.line_spacing": "1.65", "reader.highlight_sentence": "true", "reader.highlight_word": "true"}
+LIMITS = {"playback.volume": (0, 100), "reader.font_size": (12, 28), "reader.line_spacing": (1.2, 2.0), "cache_limit_mb": (0, 1 << 40)}
+CHOICES = {
+    "theme": ("dark", "light"), "device": ("CPU", "GPU"), "ocr_engine": ("auto", "ocr"), "ocr_quality": ("standard", "sharp"), "pdf.verses": ("auto", "always", "never")}
+LEGACY, OLD_FONT_SIZE = {"speed": "playback.speed", "font_size": "reader.font_size"}, "17"
+
+
+def _literal_map(of: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
 
 
 def flatten_settings(settings: DataFrame) -> DataFrame:
-    """settings(user_id, json) -> (user_id, key, value): dotted keys, legacy names moved, unknown ones dropped, the missing ones
-    filled, numbers clamped, words checked, the speed snapped to the catalogue."""
-    parsed = settings.select("user_id", F.from_json("json", "map<string,string>").alias("m"))
-    top = parsed.select("user_id", F.explode("m").alias("key", "value"))
-    groups = top.where("key in ('profile', 'playback', 'reader', 'pdf')").select(
-        "user_id", F.col("key").alias("g"), F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-    nested = groups.select("user_id", F.concat_ws(".", "g", "k").alias("key"), "value", F.lit(0).alias("old"))
-    renames = F.create_map(*[F.lit(x) for kv in LEGACY.items() for x in kv])
-    legacy = top.where(F.col("key").isin(*LEGACY)).where("not (key = 'font_size' and value = '17')").select("user_id", renames[F.col("key")].alias("key"), "value", F.lit(1).alias("old"))
-    given = nested.unionByName(legacy).groupBy("user_id", "key").agg(F.min_by("value", "old").alias("value"))
-    wanted = settings.select("user_id").distinct().select("user_id", F.explode(F.create_map(*[F.lit(x) for kv in DEFAULTS.items() for x in kv])).alias("key", "default"))
-    rows = wanted.join(given, ["user_id", "key"], "left")
-    number = F.expr("try_cast(value as double)")
-    value = F.coalesce("value", "default")
-    for key, (lo, hi) in LIMITS.items():
-        value = F.when(F.col("key") == key, F.coalesce(F.when(number.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), number))).cast("string"), "default")).otherwise(value)
-    for key, words in CHOICES.items():
-        value = F.when((F.col("key") == key) & ~F.coalesce(F.col("value").isin(*words), F.lit(False)), F.col("default")).otherwise(value)
-    value = F.when(F.col("key") == "playback.speed", F.coalesce(F.when(number.isNotNull(), nearest_speed(number)).cast("string"), "default")).otherwise(value)
-    return rows.select("user_id", "key", value.alias("value"))
+    """settings(user_id, json) -> (user_id, key, value) of every setting: groups to dotted keys, legacy names moved unless the new
+    one is there, unknown keys dropped, missing ones filled, numbers clamped, words and switches checked, renamed voices
+    replaced, speeds snapped to the catalogue."""
+    groups = sorted({k.split(".")[0] for k in DEFAULTS if "." in k})
+    top = settings.select("user_id", F.explode(F.from_json("json", "map<string,string>")).alias("key", "value"))
+    nested = top.where(F.col("key").isin(*groups)).select("user_id", F.col("key").alias("g"), F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
+    nested = nested.select("user_id", F.concat_ws(".", "g", "k").alias("key"), "value", F.lit(0).alias("old"))
+    flat = top.where(~F.col("key").isin(*groups, *LEGACY)).select("user_id", "key", "value", F.lit(0).alias("old"))
+    legacy = top.where(F.col("key").isin(*LEGACY) & ~((F.col("key") == "font_size") & (F.col("value") == OLD_FONT_SIZE)))
+    legacy = legacy.select("user_id", F.try_element_at(_literal_map(LEGACY), F.col("key")).alias("key"), "value", F.lit(1).alias("old"))
+    given = nested.unionByName(flat).unionByName(legacy).groupBy("user_id", "key").agg(F.min_by("value", "old").alias("value"))
+    wanted = settings.select("user_id").distinct().select("user_id", F.explode(_literal_map(DEFAULTS)).alias("key", "default"))
+    rows = wanted.join(given, ["user_id", "key"], "left").withColumn("value", F.coalesce("value", "default"))
+    key, number = F.col("key"), F.expr("try_cast(value as double)")
+    value = F.col("value")
+    for name, (lo, hi) in LIMITS.items():
+        held = F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), number))
+        value = F.when(key == name, held.cast("string" if isinstance(lo, float) else "long").cast("string")).otherwise(value)
+    for name, words in CHOICES.items():
+        value = F.when(key == name, F.when(F.col("value").isin(*words), F.col("value"))).otherwise(value)
+    switches = [k for k, v in DEFAULTS.items() if v in ("true", "false")]
+    value = F.when(key.isin(*switches), F.expr("try_cast(value as boolean)").cast("string")).otherwise(value)
+    value = F.when(key == "playback.speed", nearest_speed(number).cast("string")).otherwise(value)
+    value = F.when(key == "voice", F.coalesce(F.try_element_at(_literal_map(RENAMED), F.col("value")), F.col("value"))).otherwise(value)
+    chosen = F.array_sort(F.array_distinct(F.filter(F.transform(F.from_json("value", "array<string>"), lambda s: s.try_cast("double")), lambda s: s.isin(*SPEEDS))))
+    value = F.when(key == "precache_speeds", F.to_json(chosen)).otherwise(value)
+    return rows.select("user_id", "key", F.coalesce(value, "default").alias("value"))
 
 
 def clean_speeds(chosen: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def sta10(spark, sf):
     return A.overlay_highlights(adds(spark, sf), PARA)
 
 
-def highlight_log(spark, sf):
-    e = S.reading_events(spark, sf).where("action in ('highlight', 'fail')")
+def highlight_log(spark, sf, events=None):
+    e = S.reading_events(spark, sf, events).where("action in ('highlight', 'fail')")
     op = F.expr("case when action = 'highlight' then 'add' when k % 4 = 0 then 'clear' when k % 2 = 0 then 'remove' else 'recolour' end")
     return e.select("user_id", "doc", F.expr("k % 5").alias("para"), F.col("event_id").alias("seq"), op.alias("op"), F.col("c_start").alias("start"),
                     F.expr("least(c_end, 80L)").alias("end"), F.expr("case when event_id % 3 = 0 then 'yellow' else 'pink' end").alias("colour"), F.expr("k % 6").alias("target"))
@@ -148,22 +148,31 @@ def sta14(spark, sf):
                                  e.where("action = 'highlight' and event_id % 10 = 0").select("doc", F.col("k").alias("para")))
 
 
-@query("sta15_flatten_settings", """
-WITH s AS (SELECT event_id AS user_id, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
-v AS (SELECT user_id, CASE WHEN k % 3 = 0 THEN k / 40.0::DOUBLE WHEN k % 3 = 1 THEN k / 50.0::DOUBLE END AS speed, CASE WHEN k % 4 > 0 THEN k / 60.0::DOUBLE END AS volume,
-  CASE WHEN k % 5 = 0 THEN 17 WHEN k % 5 = 1 THEN k END AS font, CASE WHEN k % 6 = 0 THEN 'light' WHEN k % 6 = 1 THEN 'pink' END AS theme FROM s)
-SELECT user_id, 'playback.speed' AS key, CASE WHEN speed IS NULL THEN '1.0' ELSE CAST(list_min(list_transform([0.75, 1.0, 1.25, 1.5, 1.75, 2.0]::DOUBLE[], lambda x: {'d': abs(x - speed), 's': x})).s AS VARCHAR) END AS value FROM v
-UNION ALL SELECT user_id, 'playback.volume', CASE WHEN volume IS NULL THEN '1.0' ELSE CAST(greatest(0.0::DOUBLE, least(1.0::DOUBLE, volume)) AS VARCHAR) END FROM v
-UNION ALL SELECT user_id, 'reader.font_size', CASE WHEN font IS NULL OR font = 17 THEN '18' ELSE CAST(greatest(10.0::DOUBLE, least(40.0::DOUBLE, font)) AS VARCHAR) END FROM v
-UNION ALL SELECT user_id, 'reader.theme', CASE WHEN theme = 'light' THEN 'light' ELSE 'dark' END FROM v
-UNION ALL SELECT user_id, 'pdf.mode', 'auto' FROM v""")
+_DEFAULTS = ", ".join(f"('{k}', '{v}')" for k, v in A.DEFAULTS.items())
+
+
+@query("sta15_flatten_settings", f"""
+WITH s AS (SELECT event_id AS user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
+v AS (SELECT user_id, k, CASE WHEN k % 3 = 0 THEN k / 40.0::DOUBLE WHEN k % 3 = 1 THEN k / 50.0::DOUBLE END AS speed, CASE WHEN k % 5 = 0 THEN 17 WHEN k % 5 = 1 THEN k END AS font FROM s)
+SELECT user_id, key, CASE key
+  WHEN 'playback.speed' THEN CASE WHEN speed IS NULL THEN '1.0' ELSE CAST(list_min(list_transform([0.75, 1.0, 1.25, 1.5, 1.75, 2.0]::DOUBLE[], lambda x: {{'d': abs(x - speed), 's': x}})).s AS VARCHAR) END
+  WHEN 'playback.volume' THEN CASE WHEN k % 4 > 0 THEN CAST(least(100, k * 3) AS VARCHAR) ELSE '100' END
+  WHEN 'reader.font_size' THEN CASE WHEN font IS NULL OR font = 17 THEN '18' ELSE CAST(greatest(12, least(28, font)) AS VARCHAR) END
+  WHEN 'theme' THEN CASE WHEN k % 6 = 0 THEN 'light' ELSE 'dark' END WHEN 'voice' THEN CASE WHEN k % 7 = 0 THEN 'zf_001' WHEN k % 7 = 1 THEN 'own' ELSE 'af_heart' END
+  WHEN 'device' THEN CASE WHEN k % 2 = 0 THEN 'GPU' ELSE 'CPU' END WHEN 'pdf.tables' THEN CASE WHEN k % 2 = 0 THEN 'false' ELSE 'true' END
+  WHEN 'precache_speeds' THEN CASE WHEN k % 5 = 2 THEN '[1.0,1.25]' ELSE '[1.0]' END ELSE "default" END AS value
+FROM v CROSS JOIN (VALUES {_DEFAULTS}) d(key, "default")""")
 def sta15(spark, sf):
     v = table(spark, sf, "events").select(F.col("event_id").alias("user_id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
+    on = lambda rule, x: F.when(F.expr(rule), x)
     d = lambda x: F.expr(f"cast(k / {x} as double)")
-    playback = F.struct(F.when(F.expr("k % 3 = 0"), d("40.0D")).alias("speed"), F.when(F.expr("k % 4 > 0"), d("60.0D")).alias("volume"))
-    reader = F.struct(F.when(F.expr("k % 6 = 0"), "light").when(F.expr("k % 6 = 1"), "pink").alias("theme"))
-    whole = F.struct(playback.alias("playback"), reader.alias("reader"), F.when(F.expr("k % 3 = 1"), d("50.0D")).alias("speed"),
-                     F.when(F.expr("k % 5 = 0"), F.lit(17)).when(F.expr("k % 5 = 1"), F.col("k").cast("int")).alias("font_size"), F.lit("me").alias("user_name"))
+    playback = F.struct(on("k % 3 = 0", d("40.0D")).alias("speed"), on("k % 4 > 0", F.col("k") * 3).alias("volume"))
+    pdf = F.struct(on("k % 2 = 0", F.lit(False)).otherwise(F.lit(True)).alias("tables"), F.lit(1).alias("unknown"))
+    whole = F.struct(
+        playback.alias("playback"), pdf.alias("pdf"), on("k % 6 = 0", "light").when(F.expr("k % 6 = 1"), "pink").alias("theme"),
+        on("k % 7 = 0", "zf_xiaobei").when(F.expr("k % 7 = 1"), "own").alias("voice"), on("k % 2 = 0", "GPU").otherwise("TPU").alias("device"),
+        on("k % 5 = 2", F.array(F.lit("1.25"), F.lit("1.0"), F.lit("9"), F.lit("x"))).alias("precache_speeds"), on("k % 3 = 1", d("50.0D")).alias("speed"),
+        on("k % 5 = 0", F.lit(17)).when(F.expr("k % 5 = 1"), F.col("k").cast("int")).alias("font_size"), F.lit("me").alias("user_name"))
     return A.flatten_settings(v.select("user_id", F.to_json(whole).alias("json")))
 
 

@@ -7,7 +7,7 @@ from lectern.sources import fixtures as S
 from lectern.sources import web as W
 from lectern.streaming import jobs as J
 
-from . import state_queries  # noqa: F401  its twins are reused
+from . import state_queries
 from .registry import ORACLE, query, table
 
 
@@ -27,6 +27,12 @@ def str2(spark, sf):
     return done.where("on").groupBy("user_id", "doc").agg(F.sort_array(F.collect_list("k")).alias("items"))
 
 
+@query("str3_stream_highlights")
+def str3(spark, sf):
+    log = state_queries.highlight_log(spark, sf, J.event_stream(spark, sf))
+    return J.newest_highlights(J.drain(J.highlights(log), "update"))
+
+
 @query("str4_drop_stale", f"WITH {S.READING} SELECT event_id, user_id, k % 3 AS generation FROM reading WHERE action = 'toggle' AND k % 3 = user_id % 3")
 def str4(spark, sf):
     results = stream(spark, sf).where("action = 'toggle'").select("event_id", "ts", "user_id", F.expr("k % 3").alias("generation"))

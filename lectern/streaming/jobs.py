@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from lectern.operators.state import latest_positions
+from lectern.operators.state import HIGHLIGHT, PLAYED, latest_positions, play_batch
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -23,7 +25,8 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Data
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run to the end of the available files into Parquet files in the folder of ``spark.checkpoint.dir`` and return those.
-    In append mode the file sink collects all batches; in complete mode each batch is a version and the newest counts."""
+    In append mode the file sink collects all batches; in complete mode each batch is a version and the newest counts; in update
+    mode all versions are there, with their number as ``batch``."""
     spark = stream.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-lectern-")
     at = f"{folder.rstrip('/')}/drained-{uuid.uuid4().hex}"
@@ -39,6 +42,8 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
         newest = number
 
     writer.foreachBatch(write).start().awaitTermination()
+    if mode == "update" and newest is not None:
+        return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{at}/out")
     return spark.createDataFrame([], stream.schema) if newest is None else spark.read.schema(stream.schema).parquet(f"{at}/out/batch={newest}")
 
 
@@ -76,6 +81,24 @@ def progress_counts(events: DataFrame, width: str = "1 day", slide: str | None =
     return rows.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("items")).select(F.col("w.start").alias("start"), "event_type", "items")
 
 
+def highlights(log: DataFrame) -> DataFrame:
+    """The highlight log on a stream: each paragraph's highlights as they are after a batch that touched it, from state that goes
+    on from batch to batch (a removal of all is one row without an id); update mode. Events count in order of ``seq`` in a batch."""
+    def step(key, batches, state):
+        out, played = play_batch(key, pd.concat(list(batches)), state.get if state.exists else None)
+        state.update(played)
+        yield out
+
+    return log.groupBy("user_id", "doc", "para").applyInPandasWithState(step, HIGHLIGHT, PLAYED, "update", GroupStateTimeout.NoTimeout)
+
+
+def newest_highlights(updates: DataFrame) -> DataFrame:
+    """What the last batch that touched a paragraph left there, of drained ``highlights``."""
+    key = ["user_id", "doc", "para"]
+    last = updates.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return updates.join(last, [*key, "batch"], "left_semi").where("id is not null").drop("batch")
+
+
 def upsert_positions(events: DataFrame, path: str, checkpoint: str):
     """Start writing the latest positions: each batch replaces the table's newest version, named by its batch number."""
     def write(batch: DataFrame, number: int) -> None:

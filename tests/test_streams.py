@@ -22,3 +22,24 @@ def test_drain_of_nothing(spark, sf, mode):
     events = J.event_stream(spark, sf).where("event_id < 0")
     done = J.drain(events if mode == "append" else events.groupBy("user_id").agg(F.count("*").alias("n")), mode)
     assert done.count() == 0
+
+
+def test_highlights_go_on_from_batch_to_batch(spark, sf, tmp_path):
+    """A log in four files, one a batch, gives what the whole log gives."""
+    from lectern.operators.state import apply_highlight_log
+    from lectern.plans.state_queries import highlight_log
+
+    log = highlight_log(spark, sf)
+    want = sorted(map(tuple, apply_highlight_log(log).collect()))
+    for part in range(4):
+        bounds = log.selectExpr("min(seq) as lo", "max(seq) + 1 as hi").first()
+        width = (bounds.hi - bounds.lo) / 4
+        log.where(f"seq >= {bounds.lo + part * width} and seq < {bounds.lo + (part + 1) * width}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    drained = J.drain(J.highlights(stream), "update")
+    assert drained.select("batch").distinct().count() > 1
+    got = sorted(map(tuple, J.newest_highlights(drained).select("user_id", "doc", "para", "id", "start", "end", "colour").collect()))
+    assert got == want and want
+    from lectern.plans.stream_queries import str3
+
+    assert sorted(map(tuple, str3(spark, sf).select("user_id", "doc", "para", "id", "start", "end", "colour").collect())) == want
