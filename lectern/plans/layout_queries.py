@@ -138,15 +138,16 @@ def lay16(spark, sf):
     return L.take_boxes(S.layout_lines(spark, sf), boxes(spark, sf), "figure")
 
 
-@query("lay17_verbalise_tables", """SELECT CAST(n_regionkey AS BIGINT) AS table_id, CAST(n_nationkey AS BIGINT) AS row_no, 'Nation: ' || n_name || '. Key: ' || n_nationkey || '.' AS sentence FROM nation
-UNION ALL SELECT 100 + n_regionkey, CAST(n_nationkey AS BIGINT), n_nationkey || ', ' || n_regionkey || '.' FROM nation""")
+@query("lay17_verbalise_tables", """SELECT CAST(o_custkey AS BIGINT) AS table_id, CAST(o_orderkey AS BIGINT) AS row_no, 'Order: ' || o_orderkey || '. Status: ' || o_orderstatus || '. Priority: ' || o_orderpriority || '.' AS sentence FROM orders
+UNION ALL SELECT -1 - o_custkey, CAST(o_orderkey AS BIGINT), o_orderkey || ', ' || o_custkey || '.' FROM orders""")
 def lay17(spark, sf):
-    n = table(spark, sf, "nation")
-    row = lambda t, r, *cells: n.select(t.alias("table_id"), r.alias("row_no"), F.posexplode(F.array(*[c.cast("string") for c in cells])).alias("col_no", "text"))
-    key, number = F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long")
-    head = row(key, F.lit(-1).cast("long"), F.lit("Nation"), F.lit("Key")).distinct()
-    return L.verbalise_tables(head.unionByName(row(key, number, F.col("n_name"), F.col("n_nationkey"))).unionByName(
-        row(key + 100, number, F.col("n_nationkey"), F.col("n_regionkey"))))
+    """A table of the orders of each customer, with a header row, and one of numbers without."""
+    o = table(spark, sf, "orders")
+    row = lambda t, r, *cells: o.select(t.alias("table_id"), r.alias("row_no"), F.posexplode(F.array(*[c.cast("string") for c in cells])).alias("col_no", "text"))
+    customer, order = F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long")
+    head = row(customer, F.lit(-1).cast("long"), F.lit("Order"), F.lit("Status"), F.lit("Priority")).distinct()
+    return L.verbalise_tables(head.unionByName(row(customer, order, F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"))).unionByName(
+        row(-1 - customer, order, F.col("o_orderkey"), F.col("o_custkey"))))
 
 
 _BLOCKS = "blocks AS (SELECT doc_id, page, k AS block, (x0 + x1) / 2 / 400 AS cx, (y0 + y1) / 2 / 600 AS cy, text FROM layout_lines)"

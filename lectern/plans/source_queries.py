@@ -18,15 +18,29 @@ def src3(spark, sf):
     return W.extract_articles(table(spark, sf, "pages"))
 
 
-@query("src3_headings", r"""SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS heading FROM (SELECT page_id, regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1) AS h FROM pages) WHERE h <> '' AND NOT contains(h, '&')""")
+_DECODED = "x"
+for _mark, _char in (("&nbsp;", "chr(160)"), ("&middot;", "'·'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&mdash;", "'—'"), ("&ndash;", "'–'"), ("&hellip;", "'…'"),
+                     ("&copy;", "'©'"), ("&eacute;", "'é'"), ("&amp;", "'&'")):
+    _DECODED = f"replace({_DECODED}, '{_mark}', {_char})"
+
+
+@query("src3_headings", rf"""SELECT page_id, trim(regexp_replace(replace({_DECODED.replace("(x,", "(h,")}, chr(160), ' '), '\s+', ' ', 'g')) AS heading
+FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', '', 'g') AS h FROM pages) WHERE h <> ''""")
 def src3b(spark, sf):
     h = F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1)
-    return table(spark, sf, "pages").select("page_id", h.alias("h")).where("h <> '' and not contains(h, '&')").select("page_id", W.plain("h").alias("heading"))
+    return table(spark, sf, "pages").select("page_id", h.alias("h")).where("h <> ''").select("page_id", W.plain("h").alias("heading"))
+
+
+_OUT = "html"
+for _tag in W.SKIPPED.split("|"):
+    _OUT = f"regexp_replace({_OUT}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
 
 
-@query("src4_html_blocks")
+@query("src4_html_blocks", rf"""WITH b AS (SELECT page_id, string_split_regex(regexp_replace({_OUT.replace("html", "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')", 1)}, '(?is)<br\s*/?>', ' ', 'g'), '(?i)</?(?:{W.LEAVES}|{W.HOLDERS})\b[^>]*>') AS ps FROM pages),
+t AS (SELECT page_id, list_filter(list_transform(ps, lambda y: trim(regexp_replace(replace({_DECODED.replace("(x,", "(regexp_replace(y, '<[^>]*>', '', 'g'),")}, chr(160), ' '), '\s+', ' ', 'g'))), lambda y: y <> '') AS ts FROM b)
+SELECT page_id, CAST(generate_subscripts(ts, 1) - 1 AS BIGINT) AS n, unnest(ts) AS text FROM t""")
 def src4(spark, sf):
-    return W.blocks(table(spark, sf, "pages"))
+    return W.html_blocks(table(spark, sf, "pages"))
 
 
 @query("src5_assemble_spine", """WITH s AS (SELECT page_id // 5 AS book_id, page_id AS ord, url FROM pages WHERE page_id % 7 > 0 AND page_id % 11 > 0)

@@ -1,17 +1,23 @@
 """Sources: text files, routing of inputs, web pages to paragraphs, admission rules, spines of books."""
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import replaces, strip, tidy
 
-#: Entities that are decoded, and the extensions of each kind of reader.
-ENTITIES = {"&nbsp;": " ", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&copy;": "©", "&amp;": "&"}
+#: Named character references, from the standard library's table.
+ENTITIES = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
+#: The extensions of each kind of reader; tags of books: what is skipped with all it holds, what makes a
+#: paragraph, what only holds others, and the kinds of notes and lists that aren't read.
 READERS = {"pdf": "pdf", "epub": "book", "docx": "book", "txt": "text", "md": "text", "png": "picture", "jpg": "picture", "jpeg": "picture", "webp": "picture"}
 FONT_ENCRYPTION = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
+SKIPPED = "script|style|head|title|nav|svg|math|iframe|object|audio|video|canvas|noscript|button|select|textarea"
+LEAVES = "p|h[1-6]|li|dt|dd|figcaption|caption|summary|pre|address"
+HOLDERS = "html|body|div|section|article|main|blockquote|ul|ol|dl|figure|details|header|footer|aside|form|fieldset|center|tbody|thead|tfoot|hgroup"
+NOTES = "noteref|footnote|endnote|rearnote|pagebreak|page-list|toc"
 BLOCKS, EDGES = "h1|h2|h3|p|li", "ul|ol|div|section|article|main|body|html|table|nav|header|footer|aside"
 
 
@@ -29,9 +35,24 @@ def route_sources(paths: DataFrame, path_col: str) -> DataFrame:
     return paths.withColumn("reader", F.when(F.col(path_col).rlike("(?i)^https?://"), "link").otherwise(F.coalesce(F.try_element_at(names, ext), F.lit("unsupported"))))
 
 
+def decode_entities(text: Column) -> Column:
+    """Character references, named or numbered, as characters; unknown ones stay."""
+    parts = F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+
+    def said(x: Column) -> Column:
+        digits = F.regexp_extract(x, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        code = F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        known = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(x.rlike("^&#.+;$"), known).otherwise(F.coalesce(F.try_element_at(names, x), x))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, said), "")).otherwise(text)
+
+
 def plain(html: str | Column) -> Column:
-    """Markup to text: tags out, entities decoded, blanks tidied."""
-    return tidy(reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), replaces(html, (r"(?is)<br\s*/?>", " "), (r"(?s)<[^>]*>", ""))))
+    """Markup to text: tags out, character references decoded, blanks tidied."""
+    return tidy(decode_entities(replaces(html, (r"(?is)<br\s*/?>", " "), (r"(?s)<[^>]*>", ""))))
 
 
 def _body(html: Column) -> Column:
@@ -51,6 +72,38 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return rows.where("text <> ''").withColumn("n", (F.row_number().over(Window.partitionBy(id_col).orderBy("n")) - 1).cast("long"))
 
 
+def _table_sentences(table: Column) -> Column:
+    """The rows of a table's markup as sentences: with a header row (several rows and columns, all filled, none a number) every
+    cell is announced by its column's name."""
+    inner = lambda x, tag: F.slice(F.split(x, rf"(?i)<{tag}\b[^>]*>"), 2, 1 << 20)
+    rows = F.filter(F.transform(inner(table, "tr"), lambda r: F.transform(inner(r, "t[hd]"), plain)), lambda r: F.exists(r, lambda c: c != ""))
+
+    def said(rs: Column) -> Column:
+        head = F.get(rs, F.lit(0))
+        announced = (F.size(rs) > 1) & (F.size(head) > 1) & F.forall(head, lambda c: (c != "") & (F.translate(c, "0123456789.,%$€£- ", "") != ""))
+        named = lambda r: F.array_join(F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat_ws(": ", F.get(head, i), c))), lambda c: c.isNotNull()), ". ")
+        listed = lambda r: F.array_join(F.filter(r, lambda c: c != ""), ", ")
+        stop = lambda x: F.when(F.right(x, F.lit(1)).isin(".", "!", "?", "…"), x).otherwise(F.concat(x, F.lit(".")))
+        return F.when(announced, F.transform(F.slice(rs, 2, 1 << 20), lambda r: stop(named(r)))).otherwise(F.transform(rs, lambda r: stop(listed(r))))
+
+    return F.flatten(F.transform(F.array(rows), said))  # bound once
+
+
+def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, n, text) of a book page's paragraphs: the text between block tags, whether a paragraph's or a container's own; tables
+    row by row. Scripts, navigation, notes and their marks, page lists and tables of contents are left out.
+
+    A note ends at the first closing tag of its name, and a block inside a list item is a paragraph of its own."""
+    h = replaces(html_col, (r"(?s)<!--.*?-->", ""), (rf"(?is)<({SKIPPED})\b[^>]*>.*?</\1\s*>", ""))
+    kind = rf"(?:epub:type|type)\s*=\s*[\"'][^\"']*(?:{NOTES})|role\s*=\s*[\"']doc-(?:noteref|footnote|endnote)[\"']"
+    h = replaces(h, (rf"(?is)<(\w+)\b[^>]*?\s(?:{kind})[^>]*>.*?</\1\s*>", ""), (r"(?is)<(a|sup)\b[^>]*?\sclass\s*=\s*[\"'](?:[^\"']*\s)?noteref[\s\"'][^>]*>.*?</\1\s*>", ""))
+    texts = lambda x: F.transform(F.split(x, rf"(?i)</?(?:{LEAVES}|{HOLDERS})\b[^>]*>"), plain)
+    parts = F.split(h, r"(?i)</?table\b[^>]*>")
+    rows = F.flatten(F.transform(parts, lambda x, i: F.when(i % 2 == 1, _table_sentences(x)).otherwise(texts(x))))
+    rows = pages.select(id_col, F.posexplode(F.filter(rows, lambda t: t != "")).alias("n", "text"))
+    return rows.withColumn("n", F.col("n").cast("long"))
+
+
 def page_title(html: str | Column, url: str | Column, most: int = 120) -> Column:
     h = F.col(html) if isinstance(html, str) else html
     part = lambda tag: plain(F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))

@@ -149,3 +149,16 @@ def test_read_text_corpus(spark, tmp_path):
     (tmp_path / "three.pdf").write_text("no", "utf-8")
     got = {(r.title.replace("%20", " "), r.kind, r.text) for r in read_text_corpus(spark, str(tmp_path)).collect()}
     assert got == {("One book", "file", "first\nline �"), ("two", "file", "# Second")}
+
+
+PAGE_HTML = """<html><head><title>T</title></head><body>bare text<nav><p>menu</p></nav><div>inline <em>words</em><p>One<a class="x noteref" href="#n">1</a> &eacute;&#8217;&#x201c;&amp;&nope;</p>
+<table><tr><th>Name</th><th>Age</th></tr><tr><td>Ana</td><td>30</td></tr><tr><td></td><td></td></tr></table><aside epub:type="footnote"><p>a note</p></aside><table><tr><td>1</td><td>2</td></tr></table>
+<ul><li>item<br/>two</li></ul><p role="doc-endnote">gone</p><script>var x = "</p><p>";</script>tail</div></body></html>"""
+
+
+def test_html_blocks(spark):
+    from lectern.sources.web import html_blocks
+
+    got = html_blocks(spark.createDataFrame([(1, PAGE_HTML), (2, None), (3, "")], "page_id long, html string")).orderBy("page_id", "n").collect()
+    assert [r.text for r in got] == ["bare text", "inline words", "One é’“&&nope;", "Name: Ana. Age: 30.", "1, 2.", "item two", "tail"]
+    assert [r.n for r in got] == list(range(7))
