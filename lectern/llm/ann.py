@@ -179,7 +179,8 @@ def nearest(
     share = min(1 << 30, int(SAMPLE / max(rows, 1) * (1 << 30)) + 1)
     sample = points.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) < share).orderBy(F.xxhash64("_id", F.lit(5))).limit(SAMPLE).select("_v")
     project = np.random.default_rng(SEED).standard_normal((dims, projections))
-    fitted = np.array([r["_v"] for r in sample.collect()]).reshape(-1, dims) @ project  # at most SAMPLE rows
+    taken = sample.collect()  # at most SAMPLE rows
+    fitted = np.array([r["_v"] for r in taken], float).reshape(len(taken), dims) @ project
     shared = spark.sparkContext.broadcast((Cells(fitted, min(MAX_CELLS, max(1, -(-rows // block))), projections), project))  # at most MAX_CELLS cuts
     limit = chi_square_quantile(confidence, projections)
 
