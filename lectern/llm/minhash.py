@@ -38,7 +38,7 @@ M, ROWS = 8, 2
 class Shingler:
     """Hashes texts to arrays of distinct 64-bit shingles; keeps a bounded memo of word hashes."""
 
-    def __init__(self, words: int, memo: int = 400_000):
+    def __init__(self, words: int, memo: int = 150_000):
         self.words, self.memo, self.seen = words, memo, {}
         self.mult = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(words)], np.uint64)
 
