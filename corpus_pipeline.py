@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, packed token sequences out. Each stage works on all that the one before kept."""
+"""The corpus pipeline: documents in, packed token sequences out. Each stage works on all that the one before kept.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, empty tables and further columns of any
+name, and says below what becomes of them. An empty table gives an empty table throughout. ``docs`` has to be a table (read
+from files), as some stages scan it more than once.
+"""
 from __future__ import annotations
 
 import public_tokenizers
@@ -10,21 +15,25 @@ from lectern.llm.common import durable, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; the classifier learns from a bounded sample of the labelled rows."""
+    """Documents whose language is accepted; the classifier learns from a bounded sample of the labelled rows. Null texts, texts
+    without a letter and, where no row has a label, all rows are rejected; repeated rows stay or go together."""
     return langid.keep_known(docs, langid.learn(docs))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null is empty) the row of the largest id stays; of rows that repeat text and id, one."""
     return exact_dedup.keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays."""
+    """One document of each group of near copies (five words, similarity 0.8) stays, that of the smallest id. Texts without a
+    word and rows without an id stay; rows that repeat an id stay or go together."""
     return minhash.keep_one_of_near(docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 bytes and more that a document of a smaller id has; every document stays."""
+    """Texts without the passages of 50 bytes and more that a document of a smaller id has; every document stays. Null texts
+    become empty, n_chars follows the text; rows without an id, and rows of one id among each other, lose nothing."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = suffix_dedup.cut_repeats(docs, keep_text=True, extra=rest)
     cut = cut.withColumnRenamed("kept", "text")
@@ -34,6 +43,8 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4,096 tokens; empty texts are one token, repeated rows are packed as
+    often as they occur."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
