@@ -81,12 +81,13 @@ def slide(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - n)], values[width - n :]) if n < width else values
 
 
-def anchors(data: np.ndarray, length: int, powers: Powers, gram: int = GRAM):
-    """Of one text: anchor hash, segment hash, first window, windows, place of the anchor behind the first window."""
+def anchors(data: np.ndarray, length: int, powers: Powers, gram: int = GRAM, only_keys: bool = False):
+    """Of one text: anchor hash, segment hash, first window, windows, place of the anchor behind the first window; or the anchor
+    hashes alone."""
     n = len(data)
     if n < length:
         none = np.zeros(0, np.uint64)
-        return none, none, *(np.zeros(0, np.int64),) * 3
+        return none if only_keys else (none, none, *(np.zeros(0, np.int64),) * 3)
     v = BYTE[data]
     up, down = powers.upto(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * up[:n], dtype=np.uint64)])
@@ -97,6 +98,8 @@ def anchors(data: np.ndarray, length: int, powers: Powers, gram: int = GRAM):
     keyed = (g >> half << half) | np.arange(len(g), dtype=np.uint64)
     at = (slide(keyed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    if only_keys:
+        return g[at[first]]
     windows = np.diff(np.append(first, len(at)))
     h = (total[first + windows - 1 + length] - total[first]) * down[first]
     h = (h ^ (h >> np.uint64(31)) ^ (windows.astype(np.uint64) << np.uint64(7)) ^ (at[first] - first).astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
@@ -120,7 +123,7 @@ def _sent(length: int, owners: int, bits: int):
         for pdf in batches:
             for sender, i, text in zip(pdf["_sender"], pdf["_id"], pdf["_text"], strict=True):
                 raw = text.encode("utf-8", "replace")
-                kept.setdefault(sender, []).append(np.unique(anchors(np.frombuffer(raw, np.uint8), length, powers)[0]))
+                kept.setdefault(sender, []).append(np.unique(anchors(np.frombuffer(raw, np.uint8), length, powers, only_keys=True)))
                 guard[sender] = (guard.get(sender, 0) + (int(i) * _P + len(raw))) % (1 << 63)
         rows = []
         for sender, parts in kept.items():
