@@ -177,8 +177,9 @@ def encoder(ranks_path: str, pattern: str) -> PrefixBPE:
 def encode_table(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Per row: id, n_tokens, ids (array, unless keep_ids is false), ids_sha256, decoded_sha256 of the decoded ids.
 
-    Null texts are empty: no ids. One pass without a shuffle; a text is held by its task only. The rank file is read where
-    the tasks run (the path is a parameter of the deployment).
+    Null texts are empty: no ids. Rows that repeat an id are encoded each by itself; extra columns are ignored, whatever their
+    names; an empty table gives an empty table. One pass without a shuffle; a text, however long, is held by its task only. The
+    rank file is read where the tasks run (the path is a parameter of the deployment).
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))

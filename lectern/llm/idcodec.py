@@ -335,7 +335,10 @@ def crc32_combine(a: int, b: int, size_b: int) -> int:
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
               block: int = BLOCK, lanes: int = LANES) -> None:
     """Encode all texts (null: empty), append ``end_id``, and write blocks in ascending id order (null ids first) to a
-    Parquet table at ``path``: part (range of ids), block_no, start (ids before it in its part), n_ids, block."""
+    Parquet table at ``path``: part (range of ids), block_no, start (ids before it in its part), n_ids, block.
+
+    Rows that repeat an id are documents of their own, side by side in order of their text; a long text runs over as many blocks
+    as it needs; extra columns are ignored, whatever their names; an empty table gives an empty one."""
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     ranged = source.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
 
@@ -382,7 +385,8 @@ def read_ids(spark, path: str, keep_ids: bool = False) -> DataFrame:
     """Per document of the table at ``path``: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids
     (binary, little-endian unsigned 32-bit) if asked for. Documents cut by block ends are joined again."""
     blocks = spark.read.schema("part int, block_no long, start long, n_ids long, block binary").parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))  # one row for each range partition
+    # One row for each range partition of the writer, so it may be broadcast whatever the number of ids.
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = totals.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
 
     def run(batches):

@@ -126,6 +126,19 @@ def test_ids_of_all_documents(spark, sf, docs):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op9_token_ids"](spark, sf).collect()} == want
 
 
+def test_codec_of_odd_and_empty_tables(spark, odd, empty):
+    from lectern.llm import idcodec
+    from lectern.llm.common import shared_folder
+
+    tok = Tokenizer.from_file(WORDS)
+    for name, frame in (("odd", odd), ("empty", empty)):
+        path = f"{shared_folder(spark)}/codec-{name}-{id(frame)}"
+        idcodec.write_ids(frame, WORDS, path)
+        got = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in idcodec.read_ids(spark, path).collect())
+        ids = [(r.doc_id, np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")) for r in frame.collect()]
+        assert got == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
+
+
 def test_neighbours_at_registered_settings(spark):
     """Recall is that promised, and clustered vectors leave most of the index unread."""
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
