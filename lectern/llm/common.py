@@ -79,3 +79,28 @@ def maybe_broadcast(keys: DataFrame, rows: int | None = None, limit: int = BROAD
     """``keys`` (durable, narrow) with a broadcast hint if it is small; otherwise Spark shuffles both sides. ``rows``: their
     number where it is known, else they are counted."""
     return F.broadcast(keys) if (keys.limit(limit + 1).count() if rows is None else rows) <= limit else keys
+
+
+#: Keys with at least this many rows have their rows dealt over SPREAD parts, with the key's totals copied to each part.
+HOT_ROWS, SPREAD = 1000, 64
+
+
+def attach_totals(rows: DataFrame, key: str, *totals: Column) -> DataFrame:
+    """``rows`` (durable, so that its rows keep their numbers) with aggregates over the rows of an equal ``key``, nulls together.
+
+    Aggregates combine before they shuffle and are joined back: by broadcast while the keys are few, else by a join in which
+    the rows of a hot key are dealt over several tasks.
+    """
+    names = ["_akey", "_rows"]
+    found = rows.groupBy(F.col(key).alias(names[0])).agg(F.count("*").alias(names[1]), *totals)
+    found, seen = measured(found, "totals", hot=F.count_if(F.col(names[1]) >= HOT_ROWS))
+    if seen["rows"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), F.col(key).eqNullSafe(F.col(names[0])), "left").drop(*names)
+    hot = found.where(F.col(names[1]) >= HOT_ROWS)
+    parts = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    known = found.where(F.col(names[1]) < HOT_ROWS).withColumn("_part", F.lit(-1)).unionByName(parts)
+    marks = hot.select(F.col(names[0]).alias("_mark"), F.lit(True).alias("_hot"))
+    dealt = rows.join(maybe_broadcast(marks, seen["hot"] or 0), F.col(key).eqNullSafe(F.col("_mark")), "left")
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD))).otherwise(-1).cast("int")
+    dealt = dealt.withColumn("_at", part).drop("_mark", "_hot")
+    return dealt.join(known, F.col(key).eqNullSafe(F.col(names[0])) & (F.col("_at") == F.col("_part")), "left").drop("_at", "_part", *names)

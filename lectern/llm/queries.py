@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, idcodec, langid, minhash, packing, suffix_dedup, tokencount
+from . import ann, bpe, chat, exact_dedup, idcodec, langid, minhash, packing, spelling, suffix_dedup, tokencount, toxicity, veccode
 from .common import shared_folder, table
 
 
@@ -96,11 +96,54 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebooks = veccode.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(veccode.fingerprint(codebooks)).alias("codebooks_sha256"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def vector_codes_sql(width: int = 64, parts: int = 8, entries: int = 16, scale: int = 4096, rounds: int = 6) -> str:
+    """The twin of op12, a step after the other; every vector has ``width`` components, which ``parts`` divides."""
+    floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""p AS MATERIALIZED (SELECT vec_id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x
+            FROM v, range({parts}) r(part))""",
+             f"""f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries})""",
+             "c0 AS MATERIALIZED (SELECT part, entry, x AS y FROM p JOIN f USING (vec_id))"]
+    near = """a{i} AS MATERIALIZED (SELECT vec_id, part, min(d) AS d, arg_min(entry, d * 256 + entry) AS entry, any_value(x) AS x FROM (
+            SELECT p.vec_id, p.part, entry, x, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+            FROM p JOIN c{i} c ON p.part = c.part) GROUP BY vec_id, part)"""
+    for i in range(rounds):
+        steps.append(near.format(i=i))
+        steps.append(f"""m{i} AS (SELECT part, entry, list(y ORDER BY pos) AS y FROM (SELECT part, entry, pos, {floor} AS y FROM (
+            SELECT part, entry, pos, sum(x[pos]) AS s, count(*) AS n FROM a{i}, range(1, {width // parts} + 1) q(pos) GROUP BY ALL)) GROUP BY part, entry)""")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.y, c.y) AS y FROM c{i} c LEFT JOIN m{i} m USING (part, entry))")
+    steps.append(near.format(i=rounds))
+    steps.append(f"""k AS (SELECT vec_id, string_agg(lower(printf('%02x', CAST(entry AS INT))), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+            FROM a{rounds} GROUP BY vec_id)""")
+    steps.append("e AS (SELECT v.vec_id, label, code, error FROM v JOIN k USING (vec_id))")
+    return "WITH " + ",\n        ".join(steps) + f"""
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256 FROM e"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_suffix_dedup, op4_chat_format, op5_byte_bpe, op6_minhash, op7_nearest, op8_best_fit_packing, op9_token_ids,
-    op10_exact_dedup)}
+    op10_exact_dedup, op11_spelling_variants, op12_vector_codes, op13_toxicity)}
 
 ORACLE = {
+    "op12_vector_codes": vector_codes_sql(),
     "op4_chat_format": """
         WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
         c AS (SELECT conv_id, turn, 'c' || turn AS call_id, text, length(text) % 5 = 0 AS bad, turn % 4 = 3 AS opens FROM t WHERE role = 'assistant'),
