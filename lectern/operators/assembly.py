@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WHITE, is_picture, join_pieces, strip
-from lectern.operators.layout import PAGE, _is_range, cluster_boxes, merge_boxes
+from lectern.functions.text import QUOTES, STOPS, WHITE, is_picture, join_pieces, strip
+from lectern.operators.layout import PAGE, _is_range, cluster_boxes, merge_boxes, reading_groups, stitch_pages
 
 SOFT_HYPHEN = "­"
 #: Signs of footnotes, what ends a clause before a new sentence, what opens one.
@@ -135,37 +135,44 @@ def split_verses(spans: DataFrame) -> DataFrame:
 
 
 def _rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The visual row of each recognised line of a page: a line belongs to the row before if its centre is within half a line's
-    height of that row's first; pictures stand alone."""
-    pdf = pdf.assign(_c=(pdf["y0"] + pdf["y1"]) / 2).sort_values(["_c", "k"], ignore_index=True)
-    reach = 0.5 * (np.sort((pdf["y1"] - pdf["y0"]).to_numpy())[len(pdf) // 2] or 1.0)
-    row, first, alone, out = -1, 0.0, True, []
-    for centre, picture in zip(pdf["_c"], pdf["picture"], strict=True):
-        if row < 0 or picture or alone or abs(centre - first) >= reach:
-            row, first, alone = row + 1, centre, picture
-        out.append(row)
+    """The visual row of each recognised line of a page's parts: a line belongs to the row before if its centre is within half a
+    line's height (the part's upper median) of that row's first; pictures stand alone."""
+    pdf = pdf.assign(_c=(pdf["y0"] + pdf["y1"]) / 2).sort_values(["group", "_c", "k"], ignore_index=True)
+    height, part = (pdf["y1"] - pdf["y0"]).to_numpy(), pdf["group"].to_numpy()
+    out = np.zeros(len(pdf), np.int32)
+    for own in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
+        reach = 0.5 * (np.sort(height[own])[len(own) // 2] or 1.0)
+        row, first, alone = -1, 0.0, True
+        for at, centre, picture in zip(own, pdf["_c"].to_numpy()[own], pdf["picture"].to_numpy()[own], strict=True):
+            if row < 0 or picture or alone or abs(centre - first) >= reach:
+                row, first, alone = row + 1, centre, picture
+            out[at] = row
     return pdf.assign(row=out)[["doc_id", "page", "k", "row"]]
 
 
 def ocr_paragraphs(lines: DataFrame) -> DataFrame:
-    """lines(doc_id, page, k, text, x0, y0, x1, y1) as recognised -> (doc_id, page, para, text): lines to visual rows, rows to
-    paragraphs at pictures, wide gaps and short rows that end a sentence."""
-    ink = lines.where(strip("text") != "").withColumn("picture", is_picture("text"))
+    """lines(doc_id, page, k, text, x0, y0, x1, y1) as recognised -> (doc_id, page, para, text): the parts of a page in reading order
+    (columns one after another), in each its lines to visual rows, rows to paragraphs at pictures, wide gaps and short rows that
+    end a sentence; a sentence that goes on in the next part is joined."""
+    ink = reading_groups(lines.where(strip("text") != "")).withColumn("picture", is_picture("text"))
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    rows = ink.select(*PAGE, "k", "y0", "y1", "picture").groupBy(*PAGE).applyInPandas(_rows, ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "k")) + ", row int")
+    rows = ink.select(*PAGE, "group", "k", "y0", "y1", "picture").groupBy(*PAGE).applyInPandas(_rows, ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "k")) + ", row int")
+    part = [*PAGE, "group"]
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("x0", "k", "text"))), lambda s: s["text"])
-    row = ink.join(rows, [*PAGE, "k"]).groupBy(*PAGE, "row").agg(
+    row = ink.join(rows, [*PAGE, "k"]).groupBy(*part, "row").agg(
         pieces.alias("_p"), F.bool_or("picture").alias("picture"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
     row = row.withColumn("text", join_pieces("_p")).withColumn("_w", F.col("x1") - F.col("x0"))
-    order = Window.partitionBy(*PAGE).orderBy("row")
+    order = Window.partitionBy(*part).orderBy("row")
     before = lambda c: F.lag(c).over(order)
-    widest = F.max("_w").over(Window.partitionBy(*PAGE))
+    widest = F.max("_w").over(Window.partitionBy(*part))
     row = row.withColumn("_short", F.col("_w") < 0.7 * F.when(widest == 0, 1.0).otherwise(widest))
-    ended = F.right(before("text"), F.lit(1)).isin(*".!?。！？…\"”')]")
+    ended = F.right(before("text"), F.lit(1)).isin(*STOPS, *QUOTES)
     fresh = F.col("picture") | before("picture") | (F.col("y0") - before("y1") > 0.65 * F.greatest(before("y1") - before("y0"), F.lit(1.0))) | before("_short") & ended
     row = row.withColumn("_new", F.coalesce(before("text").isNotNull() & fresh, F.lit(False)).cast("int")).withColumn("para", F.sum("_new").over(order))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda s: s["text"])
-    return row.groupBy(*PAGE, F.col("para").cast("long").alias("para")).agg(join_pieces(texts).alias("text")).where("text <> ''")
+    paras = row.groupBy(*part, "para").agg(join_pieces(texts).alias("text")).where("text <> ''")
+    parts = paras.groupBy(*part).agg(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda s: s["text"]).alias("paras"))
+    return stitch_pages(parts, tuple(PAGE), "group")
 
 
 def figure_candidates(images: DataFrame, drawings: DataFrame, words: DataFrame, labels: DataFrame, width: float, height: float) -> DataFrame:

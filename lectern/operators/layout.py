@@ -4,12 +4,15 @@ Lines: doc_id, page, k (line number), text, size, baseline, family, x0, y0, x1,
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import BULLETS, WHITE, ends_sentence, strip
+from lectern.functions.markup import table_sentences
+from lectern.functions.text import BULLETS, WHITE, clean_paragraph, clean_pdf_text, ends_sentence, finish_paragraph, replaces, strip
 
 PAGE = ["doc_id", "page"]
 
@@ -185,15 +188,58 @@ def detect_scripture(pages: DataFrame, runs: DataFrame) -> DataFrame:
     return hits.select("doc_id", (F.col("_hits") >= F.when(F.col("_n") <= 2, 1).otherwise(2)).alias("scripture"))
 
 
-def take_boxes(lines: DataFrame, boxes: DataFrame, role: str) -> DataFrame:
-    """Lines whose centre lies in a box (margin 1) give way to one row of the box, which keeps their words as ``labels``."""
-    inside = [F.col(f"l.{k}") == F.col(f"b.{k}") for k in PAGE] + [
-        ((F.col("l.x0") + F.col("l.x1")) / 2).between(F.col("b.x0") - 1, F.col("b.x1") + 1), ((F.col("l.y0") + F.col("l.y1")) / 2).between(F.col("b.y0") - 1, F.col("b.y1") + 1)]
-    rest = lines.alias("l").join(boxes.alias("b"), inside, "left_anti").select(*PAGE, "k", "text", "x0", "y0", "x1", "y1", F.lit("line").alias("role"))
-    labels = lines.alias("l").join(boxes.alias("b"), inside).groupBy(*[F.col(f"b.{c}").alias(c) for c in (*PAGE, "box")]).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l.y0", "l.x0", "l.text"))), lambda s: s["text"]), " ").alias("text"))
-    rows = boxes.join(labels, [*PAGE, "box"], "left").select(*PAGE, F.col("box").cast("int").alias("k"), "text", "x0", "y0", "x1", "y1", F.lit(role).alias("role"))
-    return rest.unionByName(rows)
+_SIDES = ("x0", "y0", "x1", "y1")
+
+
+def _give_way(lines: DataFrame, boxes: DataFrame, row: Callable[[Column, Column], Column], taken: Callable[[Column, Column], Column]) -> DataFrame:
+    """Box after box of a page, in the order of ``box``: the lines whose centre lies in it (margin 1) give way to one row, if it is
+    ``taken``. A line in several boxes goes to the first, and the row of a box is a line for the boxes behind it.
+
+    A page's lines and boxes are arrays of one row each, brought together by one join, so nothing is compared across pages."""
+    sides = [F.col(c).cast("double").alias(c) for c in _SIDES]
+    role = F.col("role") if "role" in lines.columns else F.lit("line")
+    rows = F.col("rows") if "rows" in lines.columns else F.lit(None).cast("array<array<string>>")
+    item = F.struct(F.col("k").cast("int").alias("k"), F.col("text"), *sides, role.alias("role"), rows.alias("rows"))
+    items = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    rest = [c for c in boxes.columns if c not in (*PAGE, "box", *_SIDES)]
+    per_page = boxes.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("box").cast("int").alias("box"), *sides, *rest))).alias("_boxes"))
+    kind = items.schema["_items"].dataType.simpleString()  # a type name: what the boxes add may hold nulls
+
+    def step(now: Column, box: Column) -> Column:
+        centre = lambda i, u, v: (i[u] + i[v]) / 2
+        held = lambda i: centre(i, "x0", "x1").between(box["x0"] - 1, box["x1"] + 1) & centre(i, "y0", "y1").between(box["y0"] - 1, box["y1"] + 1)
+        inside = F.filter(now, held)
+        new = F.concat(F.filter(now, lambda i: ~held(i)), F.array(row(box, inside))).cast(kind)
+        return F.when(taken(box, inside), new).otherwise(now)
+
+    both = items.join(per_page, PAGE, "full")
+    left = F.coalesce("_items", F.array().cast(kind)).cast(kind)
+    return both.select(*PAGE, F.inline(F.when(F.col("_boxes").isNull(), left).otherwise(F.aggregate("_boxes", left, step))))
+
+
+def _row(box: Column, text: Column, role: str, rows: Column | None = None) -> Column:
+    none = F.lit(None).cast("array<array<string>>") if rows is None else rows
+    return F.struct(box["box"].alias("k"), text.alias("text"), *[box[c].alias(c) for c in _SIDES], F.lit(role).alias("role"), none.alias("rows"))
+
+
+def take_figures(lines: DataFrame, figures: DataFrame) -> DataFrame:
+    """Lines and figures(doc_id, page, box, x0, y0, x1, y1) -> (doc_id, page, k, text, x0, y0, x1, y1, role, rows): a figure keeps its
+    place, and the words drawn in it are its text, by rows of four points from left to right."""
+    def labels(inside: Column) -> Column:
+        keyed = F.transform(inside, lambda i, n: F.struct(F.bround(i["y0"] / 4).alias("y"), i["x0"].alias("x"), n.alias("n"), strip(i["text"]).alias("t")))
+        return finish_paragraph(F.array_join(F.transform(F.array_sort(keyed), lambda i: i["t"]), " "))
+
+    return _give_way(lines, figures, lambda box, inside: _row(box, labels(inside), "figure"), lambda box, inside: F.lit(True))
+
+
+def take_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Lines (or what ``take_figures`` left) and tables(doc_id, page, box, x0, y0, x1, y1, rows array<array<string>>) -> the same
+    columns: a table with a line inside, two rows and two columns takes the place of its lines; its cells come out tidied."""
+    cell = lambda c: finish_paragraph(clean_pdf_text(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
+    clean = tables.withColumn("rows", F.transform("rows", lambda r: F.transform(r, cell)))
+    grid = lambda box: (F.size(box["rows"]) >= 2) & (F.array_max(F.transform(box["rows"], F.size)) >= 2)
+    return _give_way(lines, clean, lambda box, inside: _row(box, F.lit(None).cast("string"), "table", box["rows"]),
+                     lambda box, inside: (F.size(inside) > 0) & F.coalesce(grid(box), F.lit(False)))
 
 
 def verbalise_tables(cells: DataFrame, book_rule: bool = True) -> DataFrame:
@@ -235,12 +281,13 @@ def region_signature(regions: DataFrame, options: str) -> DataFrame:
     return regions.groupBy("doc_id").agg(F.sha1(F.concat(F.to_json(F.array_sort(F.collect_list(item))), F.lit(options))).alias("signature"))
 
 
-def stitch_pages(pages: DataFrame) -> DataFrame:
+def stitch_pages(pages: DataFrame, key: tuple[str, ...] = ("doc_id",), page: str = "page") -> DataFrame:
     """pages(doc_id, page, paras array) -> (doc_id, para, text): the last paragraph of a page and the first of the next are one
     where the sentence goes on. Blank pages are left out. The carried text makes a page's chance depend on the pages before,
-    in closed form: a joint holds if since the last strong joint no page broke the chain."""
-    p = pages.where(F.size("paras") > 0).withColumn("_i", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
-    order = Window.partitionBy("doc_id").orderBy("_i")
+    in closed form: a joint holds if since the last strong joint no page broke the chain. With another ``key`` and ``page`` the
+    parts of anything else are stitched, such as the columns of a page."""
+    p = pages.where(F.size("paras") > 0).withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(page)))
+    order = Window.partitionBy(*key).orderBy("_i")
     last, nxt = F.element_at("paras", -1), F.element_at(F.lead("paras").over(order), 1)
     e = F.coalesce(~ends_sentence(last) & nxt.rlike(r"^\p{Ll}"), F.lit(False))
     strong = (F.length(last) > 20) & ~last.rlike(r"^(Chapter|CHAPTER)\s+\d+$")
@@ -250,18 +297,41 @@ def stitch_pages(pages: DataFrame) -> DataFrame:
     off = F.coalesce(F.max(F.when(~F.col("_e") | ~F.col("_one") & ~F.col("_s"), F.col("_i"))).over(upto), F.lit(-1))
     p = p.withColumn("_joined", F.col("_e") & (on > off) | F.col("_e") & F.col("_s"))
     p = p.withColumn("_cont", F.coalesce(F.lag("_joined").over(order), F.lit(False)))
-    rows = p.select("doc_id", "_i", "_cont", F.posexplode("paras").alias("_k", "t"))
-    at = Window.partitionBy("doc_id").orderBy("_i", "_k")
+    rows = p.select(*key, "_i", "_cont", F.posexplode("paras").alias("_k", "t"))
+    at = Window.partitionBy(*key).orderBy("_i", "_k")
     rows = rows.withColumn("para", F.sum((~(F.col("_cont") & (F.col("_k") == 0))).cast("int")).over(at) - 1)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_k", "t"))), lambda x: x["t"]), " ")
-    return rows.groupBy("doc_id", F.col("para").cast("long").alias("para")).agg(text.alias("text"))
+    return rows.groupBy(*key, F.col("para").cast("long").alias("para")).agg(text.alias("text"))
 
 
-def ocr_columns(lines: DataFrame) -> DataFrame:
-    """Gutters of recognised lines; the unit is their upper median height."""
+def _with_unit(lines: DataFrame) -> DataFrame:
+    """Recognised lines with ``_unit``, the upper median height of their page (1 if that is 0)."""
     h = F.sort_array(F.collect_list(F.col("y1") - F.col("y0")).over(Window.partitionBy(*PAGE)))
     rows = lines.withColumn("_h", h).withColumn("_unit", F.element_at("_h", F.expr("cast(size(_h) div 2 + 1 as int)"))).drop("_h")
-    return _gutters(rows, 8, F.col("_unit"), 8.0, 0.3, 0.45, 4)
+    return rows.withColumn("_unit", F.when(F.col("_unit") == 0, 1.0).otherwise(F.col("_unit")))
+
+
+def ocr_columns(lines: DataFrame) -> DataFrame:
+    """Gutters of recognised lines."""
+    return _gutters(_with_unit(lines), 8, F.col("_unit"), 8.0, 0.3, 0.45, 4)
+
+
+def reading_groups(lines: DataFrame) -> DataFrame:
+    """Recognised lines with ``group``, the number of their part of the page in reading order: from top to bottom, lines across a
+    gutter are parts of their own, and between them each column is a part, from left to right. A page without gutter is one part.
+    Every window is the page's, so the lines are shuffled once."""
+    found = ocr_columns(lines).groupBy(*PAGE).agg(F.collect_list(F.struct("g0", "g1")).alias("_g"))
+    x = _with_unit(lines).join(found, PAGE, "left")
+    slack, centre = 0.15 * F.col("_unit"), (F.col("x0") + F.col("x1")) / 2
+    across = F.exists("_g", lambda g: (F.col("x0") < g["g0"] - slack) & (F.col("x1") > g["g1"] + slack))
+    x = x.withColumn("_across", F.coalesce(across, F.lit(False)))
+    column = F.when(F.col("_across"), -1).otherwise(F.coalesce(F.size(F.filter("_g", lambda g: centre > (g["g0"] + g["g1"]) / 2)), F.lit(0)))
+    order = _page(F.col("y0") + F.col("y1"), "x0", "k")
+    turn = F.coalesce(F.lag("_across").over(order) != F.col("_across"), F.lit(False))
+    x = x.withColumn("_column", F.when(F.col("_g").isNull(), 0).otherwise(column)).withColumn("_turn", turn.cast("int"))
+    x = x.withColumn("_section", F.sum("_turn").over(order))
+    x = x.withColumn("group", (F.dense_rank().over(_page("_section", "_column")) - 1).cast("int"))
+    return x.select(*lines.columns, "group")
 
 
 def _clusters(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, gap: float) -> np.ndarray:
@@ -358,14 +428,26 @@ def read_footnotes(spans: DataFrame) -> DataFrame:
     return x.groupBy(*PAGE, F.col("note").cast("long").alias("note")).agg(text.alias("text"))
 
 
-#: What becomes of a labelled layout region.
-POLICY = {"text": "body", "title": "heading", "section": "heading", "footnote": "footnote", "header": "furniture", "footer": "furniture", "number": "furniture", "table": "table", "figure": "figure"}
-
-
-def labelled_regions(items: DataFrame, furniture: bool = False, footnotes: bool = False, headings: bool = True) -> DataFrame:
-    """items(doc_id, page, pos, label, text) that are read, with their kind, in order."""
-    kinds = F.create_map(*[F.lit(x) for kv in POLICY.items() for x in kv])
-    rows = items.withColumn("kind", F.coalesce(F.try_element_at(kinds, F.col("label")), F.lit("body")))
-    off = [k for k, on in (("furniture", furniture), ("footnote", footnotes), ("heading", headings)) if not on]
-    rows = rows.where(~F.col("kind").isin(*off) & (strip("text") != "")) if off else rows.where(strip("text") != "")
-    return rows.select(*PAGE, "pos", "kind", strip("text").alias("text"))
+#: The layout model's labels of furniture, of what isn't read, and of headings; other labels are text.
+FURNITURE = ("header", "header_image", "footer", "footer_image", "number", "aside_text")
+UNREAD = ("image", "chart", "seal", "figure", "formula", "formula_number", "algorithm")
+TITLES = ("doc_title", "paragraph_title")
+
+
+def labelled_regions(items: DataFrame, furniture: bool = False, footnotes: bool = False, headings: bool = True, tables: bool = True) -> DataFrame:
+    """items(doc_id, page, pos, label, text) in reading order -> (doc_id, page, pos, part, kind, text) of what is read: regions whose
+    label isn't switched off, tidied, and tables (by label or by markup) a sentence for each row; with ``tables`` off a table is
+    its words."""
+    label, raw = F.lower(F.coalesce("label", F.lit(""))), F.coalesce("text", F.lit(""))
+    kind = (
+        F.when(label.isin(*UNREAD), "unread").when(label.isin(*FURNITURE), "furniture").when(label == "footnote", "footnote").when(label.isin(*TITLES), "heading")
+        .when((label == "table") | F.lower(F.ltrim(raw, F.lit(WHITE))).startswith("<table"), "table").otherwise("body"))
+    off = ["unread", *[k for k, on in (("furniture", furniture), ("footnote", footnotes), ("heading", headings)) if not on]]
+    rows = items.select(*PAGE, "pos", kind.alias("kind"), raw.alias("text")).where(~F.col("kind").isin(*off) & (strip("text") != ""))
+    marked = F.lower(F.ltrim("text", F.lit(WHITE))).startswith("<table") | (F.col("kind") == "table")
+    words = F.when(marked, replaces("text", (r"<[^>]+>", " "))).otherwise(F.col("text"))
+    said = F.array(finish_paragraph(clean_pdf_text(clean_paragraph(words))))
+    if tables:
+        said = F.when(marked, table_sentences(F.col("text"))).otherwise(said)
+    parts = rows.select(*PAGE, "pos", "kind", F.posexplode(F.filter(said, lambda t: t != "")).alias("part", "text"))
+    return parts.select(*PAGE, "pos", "part", "kind", "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SPEEDS, nearest_speed
@@ -221,21 +221,53 @@ def clean_speeds(chosen: DataFrame) -> DataFrame:
     return chosen.select("user_id", F.array_sort(F.array_distinct(F.filter(number, lambda s: s.isin(*SPEEDS)))).alias("speeds"))
 
 
-#: Language by the first letter of a voice's id, ids that were renamed, and the voice to fall back on.
-LANGUAGES = {"a": "en-us", "b": "en-gb", "e": "es", "f": "fr", "h": "hi", "i": "it", "j": "ja", "p": "pt-br", "z": "zh"}
-RENAMED = {"zf_xiaobei": "zf_001", "zm_yunxi": "zm_009"}
+#: The preset voices of each language, the region of an id's first letter, ids that were renamed, the mark of an
+#: imported voice pack, and the language of voices that aren't known.
+VOICES = {
+    "en-us": ("af_heart", "af_bella", "af_nicole", "af_sarah", "af_sky", "am_adam", "am_michael", "am_puck"), "en-gb": ("bf_emma", "bf_isabella", "bm_george", "bm_lewis"),
+    "es": ("ef_dora", "em_alex"), "fr-fr": ("ff_siwis",), "it": ("if_sara", "im_nicola"), "pt": ("pf_dora", "pm_alex"), "ja": ("jf_alpha", "jm_kumo"),
+    "zh": ("zf_001", "zf_002", "zf_003", "zf_004", "zm_009", "zm_010", "zm_011", "zm_012")}
+REGIONS = {"a": "US", "b": "UK", "e": "ES", "f": "FR", "i": "IT", "p": "PT", "j": "JP", "z": "ZH"}
+RENAMED, PACK, UNKNOWN = {"zf_xiaobei": "zf_001", "zm_yunxi": "zm_009"}, "pack:", "en-us"
 
 
-def resolve_voices(requests: DataFrame) -> DataFrame:
-    """requests(request_id, voice) with the voice in use, its label, language and gender, all read from the id."""
-    renamed = F.create_map(*[F.lit(x) for kv in RENAMED.items() for x in kv])
-    languages = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    voice = F.coalesce(F.try_element_at(renamed, F.col("voice")), F.col("voice"))
-    rows = requests.withColumn("voice", voice)
-    gender = F.when(F.substring("voice", 2, 1) == "f", "female").when(F.substring("voice", 2, 1) == "m", "male")
-    return rows.select(
-        "request_id", "voice", F.initcap(F.regexp_extract("voice", "_(.+)$", 1)).alias("label"),
-        F.coalesce(F.try_element_at(languages, F.substring("voice", 1, 1)), F.lit("en-us")).alias("language"), gender.alias("gender"))
+def _lookup(of: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), key)
+
+
+def _titled(name: Column) -> Column:
+    """Each run of letters with a capital first."""
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
+
+
+def voice_dimension(spark: SparkSession) -> DataFrame:
+    """(voice, label, language, region, gender) of the preset voices."""
+    rows = spark.createDataFrame([(v, lang) for lang, own in VOICES.items() for v in own], "voice string, language string")
+    return rows.select("voice", *_described(F.col("voice"), F.col("language")))
+
+
+def _described(voice: Column, language: Column) -> list[Column]:
+    region = F.coalesce(_lookup(REGIONS, F.left(voice, F.lit(1))), F.lit(""))
+    gender = F.when(F.substring(voice, 2, 1) == "f", "female").otherwise("male")
+    name = F.when(F.instr(voice, "_") > 0, F.substring(voice, F.instr(voice, "_") + 1, F.length(voice))).otherwise(voice)
+    label = F.concat(_titled(name), F.lit(" · "), region, F.lit(" "), gender)
+    return [label.alias("label"), language.alias("language"), region.alias("region"), gender.alias("gender")]
+
+
+def resolve_voices(requests: DataFrame, packs: DataFrame | None = None) -> DataFrame:
+    """requests(request_id, voice) -> (request_id, voice, label, language, region, gender). Renamed ids are replaced; the language is
+    that of the preset, of the pack in packs(name, lang) for an imported one, else the one for unknown voices. Packs have neither
+    region nor gender."""
+    languages = {v: lang for lang, own in VOICES.items() for v in own}
+    rows = requests.select("request_id", F.coalesce(_lookup(RENAMED, F.col("voice")), F.col("voice")).alias("voice"))
+    preset = rows.where(~F.col("voice").startswith(PACK) | F.col("voice").isNull())
+    preset = preset.select("request_id", "voice", *_described(F.col("voice"), F.coalesce(_lookup(languages, F.col("voice")), F.lit(UNKNOWN))))
+    name = F.substring("voice", len(PACK) + 1, 1 << 30)
+    own = rows.where(F.col("voice").startswith(PACK)).withColumn("_name", name)
+    own = own.withColumn("_lang", F.lit(None).cast("string")) if packs is None else own.join(packs.select(F.col("name").alias("_name"), F.col("lang").alias("_lang")), "_name", "left")
+    none = F.lit(None).cast("string")
+    return preset.unionByName(own.select("request_id", "voice", F.concat("_name", F.lit(" (voice pack)")).alias("label"), F.coalesce("_lang", F.lit(UNKNOWN)).alias("language"),
+                                         none.alias("region"), none.alias("gender")))
 
 
 def blend_recipes(recipes: DataFrame) -> DataFrame:

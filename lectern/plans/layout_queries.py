@@ -124,18 +124,56 @@ def lay14(spark, sf):
     return L.detect_scripture(pages, L.verse_runs(verses(spark, sf)))
 
 
-def boxes(spark, sf):
+#: Boxes of every page, in order: number, sides, and whether it is a grid (of a table). They overlap; the last but one of the tables
+#: holds no line, and some lie around the boxes before.
+_FIGURES = ((500, "50 + doc_id % 3 * 60", "100 + page % 4 * 30", "210 + doc_id % 3 * 60", "190 + page % 4 * 30", "true"),
+            (501, "120", "150", "300", "240 + doc_id % 2 * 80", "true"), (502, "40", "90 + page % 2 * 120", "380", "260 + page % 2 * 120", "doc_id % 4 = 1"))
+_TABLES = ((600, "50", "100", "210", "200", "true"), (601, "60 + doc_id % 5 * 20", "170", "300", "300", "doc_id % 3 > 0"), (602, "50", "280", "370", "330", "false"),
+           (603, "380", "0", "399", "20", "true"), (604, "40", "80 + doc_id % 2 * 60", "390", "350", "doc_id % 7 = 2"))
+
+
+def boxes(spark, sf, which):
     pages = S.layout_lines(spark, sf).select("doc_id", "page").distinct()
-    return pages.select("doc_id", "page", F.lit(500).alias("box"), F.expr("cast(50 + doc_id % 3 * 60 as double)").alias("x0"), F.expr("cast(100 + page % 4 * 30 as double)").alias("y0"),
-                        F.expr("cast(210 + doc_id % 3 * 60 as double)").alias("x1"), F.expr("cast(190 + page % 4 * 30 as double)").alias("y1"))
+    sides = lambda b: ", ".join(f"cast({e} as double) as {c}" for c, e in zip(("x0", "y0", "x1", "y1"), b[1:5], strict=True))
+    every = F.expr("inline(array(" + ", ".join(f"struct({b[0]} as box, {sides(b)}, {b[5]} as grid)" for b in which) + "))")
+    return pages.select("doc_id", "page", every)
+
+
+def _boxes_sql(which, role, text, table):
+    """One step after the other: the lines in a box give way to its row, if it is taken."""
+    steps = ["t0 AS (SELECT doc_id, page, k, text, x0, y0, x1, y1, 'line' AS role FROM layout_lines)"]
+    for i, (box, x0, y0, x1, y1, grid) in enumerate(which):
+        steps.append(f"""h{i} AS (SELECT *, (x0 + x1) / 2 BETWEEN {x0} - 1 AND {x1} + 1 AND (y0 + y1) / 2 BETWEEN {y0} - 1 AND {y1} + 1 AS hit FROM t{i})""")
+        steps.append(f"""b{i} AS (SELECT doc_id, page, {text} AS text FROM h{i} WHERE {grid} GROUP BY doc_id, page{" HAVING bool_or(hit)" if table else ""})""")
+        steps.append(f"""t{i + 1} AS (SELECT h.doc_id, h.page, k, h.text, x0, y0, x1, y1, role FROM h{i} h LEFT JOIN b{i} b USING (doc_id, page) WHERE NOT (hit AND b.doc_id IS NOT NULL)
+            UNION ALL SELECT doc_id, page, {box}, text, CAST({x0} AS DOUBLE), CAST({y0} AS DOUBLE), CAST({x1} AS DOUBLE), CAST({y1} AS DOUBLE), '{role}' FROM b{i})""")
+    return f"WITH {S.LAYOUT}, " + ",\n".join(steps)
+
+
+def finished_sql(x):
+    """What tidies an assembled paragraph."""
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(replace({x}, chr(173), ''), '(?:\.\s+){{3,}}\.?|\.{{5,}}', ' ', 'g')),
+  '^[•▪◦‣·●]\s*', '', 'g'), '\s+([”’»)\]\.,;:!?])', '\1', 'g'), '([“‘«(\[])\s+', '\1', 'g'), '\s+', ' ', 'g'))"""
+
 
+_LABELS_OF = "coalesce(string_agg(trim(text), ' ' ORDER BY round_even(y0 / 4, 0), x0, k) FILTER (hit), '')"
 
-@query("lay16_take_figures", f"""WITH {S.LAYOUT}, b AS (SELECT DISTINCT doc_id, page, 500 AS box, CAST(50 + doc_id % 3 * 60 AS DOUBLE) AS bx0, CAST(100 + page % 4 * 30 AS DOUBLE) AS by0, CAST(210 + doc_id % 3 * 60 AS DOUBLE) AS bx1, CAST(190 + page % 4 * 30 AS DOUBLE) AS by1 FROM layout_lines),
-j AS (SELECT l.*, box, bx0, by0, bx1, by1, (x0 + x1) / 2 BETWEEN bx0 - 1 AND bx1 + 1 AND (y0 + y1) / 2 BETWEEN by0 - 1 AND by1 + 1 AS hit FROM layout_lines l JOIN b USING (doc_id, page))
-SELECT doc_id, page, k, text, x0, y0, x1, y1, 'line' AS role FROM j WHERE NOT hit
-UNION ALL SELECT doc_id, page, box, string_agg(text, ' ' ORDER BY y0, x0, text) FILTER (hit), bx0, by0, bx1, by1, 'figure' FROM j GROUP BY doc_id, page, box, bx0, by0, bx1, by1""")
+
+@query("lay16_take_figures", _boxes_sql([b for b in _FIGURES if b[5] == "true"], "figure", finished_sql(_LABELS_OF), False) + "\nSELECT * FROM t2")
 def lay16(spark, sf):
-    return L.take_boxes(S.layout_lines(spark, sf), boxes(spark, sf), "figure")
+    figures = boxes(spark, sf, _FIGURES).where("box < 502").drop("grid")
+    return L.take_figures(S.layout_lines(spark, sf), figures).drop("rows")
+
+
+@query("lay16_take_tables", _boxes_sql(_TABLES, "table", "NULL", True) + """
+SELECT doc_id, page, k, text, x0, y0, x1, y1, role, CASE WHEN role = 'table' THEN 'Item|No.#a ' || doc_id || '|(' || page || ')' END AS cells FROM t5""")
+def lay16b(spark, sf):
+    grid = F.expr("array(array('Item', ' No. '), array(concat('a\n', doc_id), concat('( ', page, ' )')))")
+    one_row, one_column = F.expr("array(array('Item', 'No.'))"), F.expr("array(array('Item'), array('a'))")
+    rows = F.when(F.col("grid"), grid).when(F.col("doc_id") % 2 == 0, one_row).otherwise(one_column)
+    tables = boxes(spark, sf, _TABLES).select("doc_id", "page", "box", "x0", "y0", "x1", "y1", rows.alias("rows"))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "#")
+    return L.take_tables(S.layout_lines(spark, sf), tables).select("doc_id", "page", "k", "text", "x0", "y0", "x1", "y1", "role", cells.alias("cells"))
 
 
 @query("lay17_verbalise_tables", """SELECT CAST(o_custkey AS BIGINT) AS table_id, CAST(o_orderkey AS BIGINT) AS row_no, 'Order: ' || o_orderkey || '. Status: ' || o_orderstatus || '. Priority: ' || o_orderpriority || '.' AS sentence FROM orders
@@ -212,6 +250,25 @@ def lay21(spark, sf):
     return L.ocr_columns(S.layout_lines(spark, sf))
 
 
+#: A line of every other document runs across both columns.
+_ACROSS = "CASE WHEN k = 9 AND doc_id % 2 = 0 THEN CAST(370 AS DOUBLE) ELSE x1 END"
+
+
+@query("lay21_reading_groups", f"""WITH {S.LAYOUT}, across AS (SELECT * REPLACE ({_ACROSS} AS x1) FROM layout_lines),
+u AS (SELECT *, list_sort(list(y1 - y0) OVER p)[CAST(count(*) OVER p // 2 + 1 AS INT)] AS unit, count(*) OVER p AS n, min(x0) OVER p AS lft, max(x1) OVER p AS rgt FROM across WINDOW p AS (PARTITION BY doc_id, page)),
+b AS (SELECT *, rgt - lft AS tw, count(*) FILTER (x1 - x0 < 0.62 * (rgt - lft)) OVER (PARTITION BY doc_id, page) AS m FROM u), a AS (SELECT * FROM b WHERE n >= 8 AND tw >= 8 * unit AND m >= 8 AND x1 - x0 < 0.62 * tw),
+c AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM a),
+d AS (SELECT DISTINCT doc_id, page, r AS g0, x0 AS g1, lft, tw, unit FROM c WHERE x0 > r + 0.3 * unit AND x0 - r >= 0.45 * unit AND (r + x0) / 2 BETWEEN lft + 0.15 * tw AND lft + tw - 0.15 * tw),
+g AS (SELECT d.doc_id, d.page, d.g0, d.g1 FROM d JOIN a ON d.doc_id = a.doc_id AND d.page = a.page GROUP BY ALL HAVING count(*) FILTER (a.x1 <= d.g0 + 1) >= 4 AND count(*) FILTER (a.x0 >= d.g1 - 1) >= 4),
+l AS (SELECT u.doc_id, u.page, u.k, any_value(u.x0) AS x0, any_value(u.y0 + u.y1) AS cy, coalesce(bool_or(u.x0 < g0 - 0.15 * unit AND u.x1 > g1 + 0.15 * unit), false) AS across, count(*) FILTER ((u.x0 + u.x1) / 2 > (g0 + g1) / 2) AS col
+  FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.page = g.page GROUP BY u.doc_id, u.page, u.k),
+f AS (SELECT *, CASE WHEN across <> lag(across) OVER o THEN 1 ELSE 0 END AS turn FROM l WINDOW o AS (PARTITION BY doc_id, page ORDER BY cy, x0, k)),
+s AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, page ORDER BY cy, x0, k ROWS UNBOUNDED PRECEDING) AS section FROM f)
+SELECT doc_id, page, k, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY section, CASE WHEN across THEN -1 ELSE col END) - 1 AS INT) AS part FROM s""")
+def lay21b(spark, sf):
+    return L.reading_groups(S.layout_lines(spark, sf).withColumn("x1", F.expr(_ACROSS))).select("doc_id", "page", "k", F.col("group").alias("part"))
+
+
 def all_boxes(spark, sf):
     """Every line of every document, of heights that leave gaps of both under and over 10."""
     return S.layout_lines(spark, sf).select("doc_id", "page", F.col("k").alias("box"), "x0", "y0", "x1", F.expr("y1 - 0.75D * pmod(doc_id + k * k, 11)").alias("y1"))
@@ -254,15 +311,20 @@ def lay12(spark, sf):
     return L.read_footnotes(table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("pos"), (F.col("turn") % 3 == 0).alias("mark"), "text"))
 
 
-_LABELS = "['text', 'title', 'header', 'footnote', 'odd', 'number']"
+_LABELS = ("text", "doc_title", "header", "footnote", "Paragraph_Title", "number", "table", "formula", "aside_text", "abstract", "image", "footer_image", "content", "algorithm")
+_MARKED = "'<table><tr><th>Turn</th><th>Role</th></tr><tr><td>' || turn || '</td><td>' || role || '</td></tr></table>'"
 
 
-@query("lay23_labelled_regions", f"""WITH i AS (SELECT conv_id AS doc_id, 0 AS page, turn AS pos, {_LABELS}[CAST((conv_id + turn) % 6 + 1 AS INT)] AS label, trim(text) AS text FROM conversations)
-SELECT doc_id, page, pos, CASE label WHEN 'title' THEN 'heading' ELSE 'body' END AS kind, text FROM i WHERE label IN ('text', 'title', 'odd') AND text <> ''""")
+@query("lay23_labelled_regions", rf"""WITH i AS (SELECT conv_id AS doc_id, 0 AS page, turn AS pos, role, turn, {list(_LABELS)}[CAST((conv_id + turn) % {len(_LABELS)} + 1 AS INT)] AS label, text FROM conversations),
+r AS (SELECT doc_id, page, pos, 0 AS part, CASE label WHEN 'doc_title' THEN 'heading' WHEN 'Paragraph_Title' THEN 'heading' ELSE 'body' END AS kind,
+  {finished_sql(S._CLEAN.replace("(x,", "(text,"))} AS text FROM i WHERE label IN ('text', 'doc_title', 'Paragraph_Title', 'abstract')
+  UNION ALL SELECT doc_id, page, pos, 0, 'table', 'Turn: ' || turn || '. Role: ' || role || '.' FROM i WHERE label IN ('table', 'content'))
+SELECT * FROM r WHERE text <> ''""")
 def lay23(spark, sf):
-    labels = F.array(*[F.lit(x) for x in ("text", "title", "header", "footnote", "odd", "number")])
-    return L.labelled_regions(table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("pos"), F.element_at(labels, F.expr("cast((conv_id + turn) % 6 + 1 as int)")).alias("label"), "text"))
+    labels = F.array(*[F.lit(x) for x in _LABELS])
+    items = table(spark, sf, "conversations").withColumn("label", F.element_at(labels, F.expr(f"cast((conv_id + turn) % {len(_LABELS)} + 1 as int)")))
+    text = F.when(F.col("label").isin("table", "content"), F.expr(_MARKED)).otherwise(F.col("text"))
+    return L.labelled_regions(items.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.col("turn").alias("pos"), "label", text.alias("text")))
 
 
 def styled_pages(spark, sf):
@@ -305,10 +367,10 @@ def lay11(spark, sf):
 
 
 def recognised(spark, sf):
-    """Lines as if recognised: some pictures, centres that tremble."""
+    """Lines as if recognised: some pictures, some lines across, centres that tremble."""
     text = F.expr("case when (doc_id + k) % 13 = 0 then concat('⟦image:', k, '.png⟧') else text end")
     dy = F.expr("cast(pmod(doc_id * 5 + k * k, 7) as double) - 3")
-    return S.layout_lines(spark, sf).select("doc_id", "page", "k", text.alias("text"), "x0", (F.col("y0") + dy).alias("y0"), "x1", (F.col("y1") + dy).alias("y1"))
+    return S.layout_lines(spark, sf).select("doc_id", "page", "k", text.alias("text"), "x0", (F.col("y0") + dy).alias("y0"), F.expr(_ACROSS).alias("x1"), (F.col("y1") + dy).alias("y1"))
 
 
 @query("lay22_ocr_paragraphs")

@@ -32,7 +32,7 @@ def src3b(spark, sf):
 
 
 _OUT = "html"
-for _tag in W.SKIPPED.split("|"):
+for _tag in ("script", "style", "nav", *W.SKIPPED.split("|")):
     _OUT = f"regexp_replace({_OUT}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
 
 

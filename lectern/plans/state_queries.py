@@ -183,16 +183,28 @@ def sta16(spark, sf):
         "array(cast(event_id % 9 * 0.25 as string), '1.25', '1.25', cast(event_id % 7 * 0.25 as string), '7.0', 'junk')").alias("speeds")))
 
 
-_VOICES = "['af_heart', 'bm_george', 'zf_xiaobei', 'zm_yunxi', 'xx_odd', 'jf_alpha']"
-
-
-@query("sta17_resolve_voices", f"""WITH r AS (SELECT event_id AS request_id, {_VOICES}[CAST(event_id % 6 + 1 AS INT)] AS v0 FROM events),
-v AS (SELECT request_id, CASE v0 WHEN 'zf_xiaobei' THEN 'zf_001' WHEN 'zm_yunxi' THEN 'zm_009' ELSE v0 END AS voice FROM r)
-SELECT request_id, voice, upper(substr(split_part(voice, '_', 2), 1, 1)) || lower(substr(split_part(voice, '_', 2), 2)) AS label,
-  CASE voice[1] WHEN 'a' THEN 'en-us' WHEN 'b' THEN 'en-gb' WHEN 'j' THEN 'ja' WHEN 'z' THEN 'zh' ELSE 'en-us' END AS language, CASE voice[2] WHEN 'f' THEN 'female' WHEN 'm' THEN 'male' END AS gender FROM v""")
+#: Ids of all kinds with what they mean: presets of every language, renamed ones, unknown ones, packs with and without a language.
+_VOICES = (
+    ("af_heart", "af_heart", "Heart · US female", "en-us", "US", "female"), ("am_puck", "am_puck", "Puck · US male", "en-us", "US", "male"),
+    ("bm_george", "bm_george", "George · UK male", "en-gb", "UK", "male"), ("bf_isabella", "bf_isabella", "Isabella · UK female", "en-gb", "UK", "female"),
+    ("ef_dora", "ef_dora", "Dora · ES female", "es", "ES", "female"), ("ff_siwis", "ff_siwis", "Siwis · FR female", "fr-fr", "FR", "female"),
+    ("im_nicola", "im_nicola", "Nicola · IT male", "it", "IT", "male"), ("pf_dora", "pf_dora", "Dora · PT female", "pt", "PT", "female"),
+    ("jm_kumo", "jm_kumo", "Kumo · JP male", "ja", "JP", "male"), ("zf_004", "zf_004", "004 · ZH female", "zh", "ZH", "female"),
+    ("zf_xiaobei", "zf_001", "001 · ZH female", "zh", "ZH", "female"), ("zm_yunxi", "zm_009", "009 · ZH male", "zh", "ZH", "male"),
+    ("zf_nope", "zf_nope", "Nope · ZH female", "en-us", "ZH", "female"), ("hf_x", "hf_x", "X ·  female", "en-us", "", "female"),
+    ("xx_odd_one2b", "xx_odd_one2b", "Odd_One2B ·  male", "en-us", "", "male"), ("plain", "plain", "Plain · PT male", "en-us", "PT", "male"),
+    ("pack:mine", "pack:mine", "mine (voice pack)", "pt", None, None), ("pack:lost", "pack:lost", "lost (voice pack)", "en-us", None, None),
+    ("pack:bare", "pack:bare", "bare (voice pack)", "en-us", None, None))
+_QUOTED = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (i, *v)) + ")" for i, v in enumerate(_VOICES))
+
+
+@query("sta17_resolve_voices", f"""SELECT event_id AS request_id, voice, label, language, region, gender
+FROM events JOIN (VALUES {_QUOTED}) v(i, asked, voice, label, language, region, gender) ON event_id % {len(_VOICES)} = i""")
 def sta17(spark, sf):
-    voices = F.array(*[F.lit(v) for v in ("af_heart", "bm_george", "zf_xiaobei", "zm_yunxi", "xx_odd", "jf_alpha")])
-    return A.resolve_voices(table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.element_at(voices, F.expr("cast(event_id % 6 + 1 as int)")).alias("voice")))
+    voices = F.array(*[F.lit(v[0]) for v in _VOICES])
+    requests = table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.element_at(voices, F.expr(f"cast(event_id % {len(_VOICES)} + 1 as int)")).alias("voice"))
+    packs = spark.createDataFrame([("mine", "pt"), ("bare", None)], "name string, lang string")
+    return A.resolve_voices(requests, packs)
 
 
 @query("sta18_blend_recipes", """WITH v AS (SELECT vec_id, vec_id % 40 AS a, vec_id % 7 AS b FROM embeddings), p AS (SELECT vec_id AS recipe_id, 'af_heart' AS voice, a::DOUBLE AS w FROM v WHERE a > 0

@@ -1,21 +1,19 @@
 """Sources: text files, routing of inputs, web pages to paragraphs, admission rules, spines of books."""
 from __future__ import annotations
 
-from html.entities import name2codepoint
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import replaces, strip, tidy
+from lectern.functions import markup as M
+from lectern.functions.markup import plain
+from lectern.functions.text import strip
 
-#: Named character references, from the standard library's table.
-ENTITIES = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
 #: The extensions of each kind of reader; tags of books: what is skipped with all it holds, what makes a
 #: paragraph, what only holds others, and the kinds of notes and lists that aren't read.
 READERS = {"pdf": "pdf", "epub": "book", "docx": "book", "txt": "text", "md": "text", "png": "picture", "jpg": "picture", "jpeg": "picture", "webp": "picture"}
 FONT_ENCRYPTION = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
-SKIPPED = "script|style|head|title|nav|svg|math|iframe|object|audio|video|canvas|noscript|button|select|textarea"
-LEAVES = "p|h[1-6]|li|dt|dd|figcaption|caption|summary|pre|address"
+SKIPPED = "head|title|svg|math|iframe|object|audio|video|canvas|noscript|button|select|textarea"
+LEAVES = "p|h1|h2|h3|h4|h5|h6|li|dt|dd|figcaption|caption|summary|pre|address"
 HOLDERS = "html|body|div|section|article|main|blockquote|ul|ol|dl|figure|details|header|footer|aside|form|fieldset|center|tbody|thead|tfoot|hgroup"
 NOTES = "noteref|footnote|endnote|rearnote|pagebreak|page-list|toc"
 BLOCKS, EDGES = "h1|h2|h3|p|li", "ul|ol|div|section|article|main|body|html|table|nav|header|footer|aside"
@@ -35,73 +33,76 @@ def route_sources(paths: DataFrame, path_col: str) -> DataFrame:
     return paths.withColumn("reader", F.when(F.col(path_col).rlike("(?i)^https?://"), "link").otherwise(F.coalesce(F.try_element_at(names, ext), F.lit("unsupported"))))
 
 
-def decode_entities(text: Column) -> Column:
-    """Character references, named or numbered, as characters; unknown ones stay."""
-    parts = F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"), F.lit(0))
-    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
-
-    def said(x: Column) -> Column:
-        digits = F.regexp_extract(x, "^&#[xX]?([0-9a-fA-F]+);$", 1)
-        code = F.when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        known = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        return F.when(x.rlike("^&#.+;$"), known).otherwise(F.coalesce(F.try_element_at(names, x), x))
-
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, said), "")).otherwise(text)
-
-
-def plain(html: str | Column) -> Column:
-    """Markup to text: tags out, character references decoded, blanks tidied."""
-    return tidy(decode_entities(replaces(html, (r"(?is)<br\s*/?>", " "), (r"(?s)<[^>]*>", ""))))
-
-
-def _body(html: Column) -> Column:
-    h = replaces(html, (r"(?is)<!--.*?-->", ""), (r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", ""))
-    inner = F.regexp_extract(h, r"(?is)<(article|main)\b[^>]*>(.*)", 2)
-    inner = F.when(inner != "", F.regexp_extract(inner, r"(?is)^(.*?)(</(?:article|main)\b|$)", 1))
-    return F.coalesce(inner, replaces(h, (r"(?is)<(nav|header|footer|aside)\b.*?(</\1\s*>|$)", "")))
-
-
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, n, tag, text) of headings, paragraphs and list items, in order: inside article or main if there is one, else outside
-    navigation. An unclosed block ends where the next begins."""
-    found = rf"(?is)<({BLOCKS})\b[^>]*>(.*?)(?=<(?:{BLOCKS}|{EDGES})\b|</(?:{BLOCKS}|{EDGES})\b|$)"
-    b = pages.select(id_col, _body(F.col(html_col)).alias("_b")).where("_b is not null")
-    rows = b.select(id_col, F.posexplode(F.regexp_extract_all("_b", F.lit(found), F.lit(0))).alias("n", "_raw"))
-    rows = rows.select(id_col, "n", F.lower(F.regexp_extract("_raw", r"(?i)^<([a-z0-9]+)", 1)).alias("tag"), plain("_raw").alias("text"))
-    return rows.where("text <> ''").withColumn("n", (F.row_number().over(Window.partitionBy(id_col).orderBy("n")) - 1).cast("long"))
-
-
-def _table_sentences(table: Column) -> Column:
-    """The rows of a table's markup as sentences: with a header row (several rows and columns, all filled, none a number) every
-    cell is announced by its column's name."""
-    inner = lambda x, tag: F.slice(F.split(x, rf"(?i)<{tag}\b[^>]*>"), 2, 1 << 20)
-    rows = F.filter(F.transform(inner(table, "tr"), lambda r: F.transform(inner(r, "t[hd]"), plain)), lambda r: F.exists(r, lambda c: c != ""))
-
-    def said(rs: Column) -> Column:
-        head = F.get(rs, F.lit(0))
-        announced = (F.size(rs) > 1) & (F.size(head) > 1) & F.forall(head, lambda c: (c != "") & (F.translate(c, "0123456789.,%$€£- ", "") != ""))
-        named = lambda r: F.array_join(F.filter(F.transform(r, lambda c, i: F.when(c != "", F.concat_ws(": ", F.get(head, i), c))), lambda c: c.isNotNull()), ". ")
-        listed = lambda r: F.array_join(F.filter(r, lambda c: c != ""), ", ")
-        stop = lambda x: F.when(F.right(x, F.lit(1)).isin(".", "!", "?", "…"), x).otherwise(F.concat(x, F.lit(".")))
-        return F.when(announced, F.transform(F.slice(rs, 2, 1 << 20), lambda r: stop(named(r)))).otherwise(F.transform(rs, lambda r: stop(listed(r))))
-
-    return F.flatten(F.transform(F.array(rows), said))  # bound once
+    """(id, n, tag, text) of headings, paragraphs and list items in the order of their beginnings: inside article or main if there is
+    one, else outside navigation. A list item that holds a paragraph gives both. A paragraph ends at the next block, and so does
+    another element without an end."""
+    t = M.stream(pages, id_col, html_col)
+    t = t.withColumn("_end", M.closed_at(M.named(f"{BLOCKS}|{EDGES}"))).withColumn("_own", F.coalesce("end", F.lit(1 << 30)))
+    main = M.named("article|main") & (F.col("step") == 1)
+    t = t.withColumn("_article", M.covered(main, F.col("_own"))).withColumn("_aside", M.covered(M.named("nav|header|footer|aside"), F.col("_own")))
+    t = t.withColumn("_some", F.max(main).over(Window.partitionBy("_row"))).where(F.when(F.col("_some"), F.col("_article")).otherwise(~F.col("_aside")))
+    # Blocks may hold blocks: how many are open at a token follows from their beginnings and ends, and a text is copied to each.
+    opens = M.named(BLOCKS) & (F.col("step") == 1)
+    t = M.pieces(t).withColumn("_open", opens)
+    ends = t.where("_open").select("_row", "_id", F.col("_end").alias("pos"), F.lit(-1).alias("_turn"), F.lit(False).alias("_open"))
+    rest = t.where("_open or piece is not null").select("_row", "_id", "pos", F.col("_open").cast("int").alias("_turn"), "_open", "name", "piece")
+    events = rest.unionByName(ends, allowMissingColumns=True)
+    order = Window.partitionBy("_row").orderBy("pos", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("_deep", F.sum("_turn").over(order)).where("_turn >= 0 and _deep > 0")
+    each = events.withColumn("_d", F.explode(F.when(F.col("_open"), F.array("_deep")).otherwise(F.sequence(F.lit(1).cast("long"), "_deep"))))
+    each = each.withColumn("_block", F.last(F.when(F.col("_open"), F.struct("pos", "name")), ignorenulls=True).over(M.upto("_d")))
+    found = each.where("piece is not null").groupBy("_row", "_id", "_block").agg(M.text_of(F.collect_list(F.struct("pos", "piece"))).alias("text")).where("text <> ''")
+    n = F.row_number().over(Window.partitionBy("_row").orderBy("_block.pos")) - 1
+    return found.select(F.col("_id").alias(id_col), n.cast("long").alias("n"), F.col("_block.name").alias("tag"), "text")
 
 
 def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, n, text) of a book page's paragraphs: the text between block tags, whether a paragraph's or a container's own; tables
-    row by row. Scripts, navigation, notes and their marks, page lists and tables of contents are left out.
-
-    A note ends at the first closing tag of its name, and a block inside a list item is a paragraph of its own."""
-    h = replaces(html_col, (r"(?s)<!--.*?-->", ""), (rf"(?is)<({SKIPPED})\b[^>]*>.*?</\1\s*>", ""))
-    kind = rf"(?:epub:type|type)\s*=\s*[\"'][^\"']*(?:{NOTES})|role\s*=\s*[\"']doc-(?:noteref|footnote|endnote)[\"']"
-    h = replaces(h, (rf"(?is)<(\w+)\b[^>]*?\s(?:{kind})[^>]*>.*?</\1\s*>", ""), (r"(?is)<(a|sup)\b[^>]*?\sclass\s*=\s*[\"'](?:[^\"']*\s)?noteref[\s\"'][^>]*>.*?</\1\s*>", ""))
-    texts = lambda x: F.transform(F.split(x, rf"(?i)</?(?:{LEAVES}|{HOLDERS})\b[^>]*>"), plain)
-    parts = F.split(h, r"(?i)</?table\b[^>]*>")
-    rows = F.flatten(F.transform(parts, lambda x, i: F.when(i % 2 == 1, _table_sentences(x)).otherwise(texts(x))))
-    rows = pages.select(id_col, F.posexplode(F.filter(rows, lambda t: t != "")).alias("n", "text"))
-    return rows.withColumn("n", F.col("n").cast("long"))
+    """(id, n, text) of a book page's paragraphs: a paragraph's text with all it holds, a container's own text between its blocks,
+    tables row by row (tables in cells are read with the cell, and then row by row). Scripts, styles, navigation, notes and their
+    marks, page lists and tables of contents are left out everywhere, pictures, forms and the like outside paragraphs.
+
+    An element without an end ends at the next block."""
+    t = M.stream(pages, id_col, html_col)
+    block = M.named(f"{LEAVES}|{HOLDERS}|table")
+    t = t.withColumn("end", M.closed_at(block))
+    tok = F.col("tok")
+    kind = rf"(?is)\s(?:epub:type|type)\s*=\s*[\"'][^\"']*(?:{NOTES})|\srole\s*=\s*[\"']doc-(?:noteref|footnote|endnote)[\"']"
+    mark = M.named("a|sup") & tok.rlike(r"(?is)\sclass\s*=\s*[\"'](?:[^\"']*\s)?noteref[\s\"']")
+    t = t.withColumn("_gone", M.covered(M.named("nav") | tok.rlike(kind) | mark, F.col("end"))).where(~F.col("_gone") & ~F.coalesce(M.named(M.RAW), F.lit(False)))
+    # Paragraphs, tables and what is skipped are units: only the outermost counts, the tags in it divide nothing.
+    unit = F.when(M.named(LEAVES), "leaf").when(F.col("name") == "table", "table").when(M.named(SKIPPED), "skip")
+    t = t.withColumn("_unit", F.when(F.col("step") == 1, unit)).withColumn("_until", F.when(F.col("_unit").isNotNull(), F.col("end")))
+    outer = F.col("_unit").isNotNull() & (F.col("pos") >= F.coalesce(F.max("_until").over(M.upto(last=-1)), F.lit(-1)))
+    t = t.withColumn("_outer", outer)
+    t = t.withColumn("_in", F.last(F.when(F.col("_outer"), F.struct("pos", "_until", F.col("_unit").alias("kind"))), ignorenulls=True).over(M.upto()))
+    t = t.withColumn("_in", F.when(F.col("_in._until") > F.col("pos"), F.col("_in")))
+    edge = F.coalesce(block & (F.col("step") != 0), F.lit(False)) & F.col("_in").isNull() | F.col("_outer") & (F.col("_unit") != "skip")
+    t = M.pieces(t).withColumn("_part", F.sum(edge.cast("int")).over(M.upto()))
+    where = F.coalesce(F.col("_in.kind"), F.lit("own"))
+    prose = t.where(F.col("piece").isNotNull() & where.isin("own", "leaf"))
+    paras = prose.groupBy("_row", "_id", "_part", where.alias("_where")).agg(F.min("pos").alias("_at"), M.text_of(F.collect_list(F.struct("pos", "piece"))).alias("text"))
+    rows = paras.select("_row", "_id", "_at", F.lit(0).alias("_i"), "text").unionByName(_table_rows(t.where(where == "table")))
+    n = F.row_number().over(Window.partitionBy("_row").orderBy("_at", "_i")) - 1
+    return rows.where("text <> ''").select(F.col("_id").alias(id_col), n.cast("long").alias("n"), "text")
+
+
+def _table_rows(t: DataFrame) -> DataFrame:
+    """The tokens of tables to sentences (_row, _id, _at, _i, text). A token belongs to a cell of each table around it: of the last row
+    and cell that began at that depth, so cells and rows need no end."""
+    t = t.withColumn("_table", F.col("_in.pos"))
+    turn = F.when(F.col("name") == "table", F.col("step")).otherwise(0)
+    t = t.withColumn("_deep", F.sum(turn).over(M.upto("_table")))
+    begins = lambda names: M.named(names) & (F.col("step") == 1)
+    t = t.withColumn("_tr", begins("tr")).withColumn("_td", begins("td|th")).where("piece is not null or _tr or _td").where("_deep > 0")
+    each = t.withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), "_deep")))
+    level = M.upto("_table", "_d")
+    last = lambda c: F.last(F.when(F.col(c) & (F.col("_d") == F.col("_deep")), F.col("pos")), ignorenulls=True).over(level)
+    each = each.withColumn("_r", last("_tr")).withColumn("_c", last("_td")).where("_c > _r")
+    cells = each.groupBy("_row", "_id", "_table", "_r", "_c").agg(M.text_of(F.collect_list(F.struct("pos", F.coalesce("piece", F.lit("")).alias("piece")))).alias("cell"))
+    row = cells.groupBy("_row", "_id", "_table", "_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("_c", "cell"))), lambda c: c["cell"]).alias("_cells"))
+    whole = row.groupBy("_row", "_id", "_table").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_cells"))), lambda r: r["_cells"]).alias("_rows"))
+    return whole.select("_row", "_id", F.col("_table").alias("_at"), F.posexplode(M.rows_sentences(F.col("_rows"))).alias("_i", "text"))
 
 
 def page_title(html: str | Column, url: str | Column, most: int = 120) -> Column:
@@ -127,12 +128,17 @@ def assemble_spine(spine: DataFrame, manifest: DataFrame, chapters: DataFrame) -
 
 def robots_filter(urls: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFrame:
     """urls(page_id, url) that may be read. rules(host, seq, prefix, allow): the first that matches the path counts;
-    answers(host, status): a host is refused on a 5xx answer or none at all (null), open on any other answer than 200."""
+    answers(host, status): a host is refused on a 5xx answer or none at all (null), open on any other answer than 200.
+
+    A path is cut to the lengths that the prefixes of its host have, and the cuts meet the rules by equality, so the work follows
+    paths times lengths, not paths times rules."""
     u = urls.withColumn("host", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1))).withColumn("_path", F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1), F.lit("")), F.lit("/")))
-    u = u.join(answers, "host", "left")
-    hit = (F.col("u.host") == F.col("r.host")) & F.col("u._path").startswith(F.col("r.prefix")) & (F.col("u.status") == 200)
-    first = u.alias("u").join(rules.alias("r"), hit).groupBy("u.page_id").agg(F.min_by("r.allow", "r.seq").alias("allow")).where("not allow").select("page_id")
-    return u.where("status is not null and status < 500").join(first, "page_id", "left_anti").select("page_id", "url")
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    u = u.join(answers.join(lengths, "host", "left"), "host", "left").where("status is not null and status < 500")
+    cuts = u.where("status = 200 and _lengths is not null").select("page_id", "host", "_path", F.explode("_lengths").alias("_l")).where(F.col("_l") <= F.length("_path"))
+    hits = cuts.select("page_id", "host", F.left("_path", F.col("_l")).alias("prefix")).join(rules, ["host", "prefix"])
+    refused = hits.groupBy("page_id").agg(F.min_by("allow", "seq").alias("allow")).where("not allow").select("page_id")
+    return u.join(refused, "page_id", "left_anti").select("page_id", "url")
 
 
 def admit_pages(fetched: DataFrame, most: int = 6 * 1024 * 1024) -> DataFrame:

@@ -1,9 +1,9 @@
 """Roles of spans, joined lines, verses, recognised rows, figures and picture texts: small pages, and plain loops over whole tables."""
+import re
 from collections import defaultdict
 
 import pytest
 
-from lectern.functions.text import join_pieces
 from lectern.operators import assembly as A
 from lectern.plans import layout_queries as Q
 
@@ -79,8 +79,31 @@ def test_verses_keep_every_word(spark, sf):
     assert {"chapter", "verse", "caller", "dropcap", "text"} == {r.role for r in roles}
 
 
-def rows_of_page(lines):
-    lines = sorted((x for x in lines if x.text.strip()), key=lambda x: ((x.y0 + x.y1) / 2, x.k))
+def parts_of_page(lines):
+    """The lines of a page in reading order: a list for each run of lines across a gutter and for each column between them."""
+    unit = sorted(x.y1 - x.y0 for x in lines)[len(lines) // 2] or 1.0
+    left, right = min(x.x0 for x in lines), max(x.x1 for x in lines)
+    narrow = [x for x in lines if x.x1 - x.x0 < 0.62 * (right - left)]
+    gutters = []
+    if len(lines) >= 8 and len(narrow) >= 8 and right - left >= 8 * unit:
+        for start in sorted({x.x0 for x in narrow}):
+            reach = max((x.x1 for x in narrow if x.x0 < start), default=None)
+            if reach is None or start - reach < 0.45 * unit or not 0.15 * (right - left) <= (start + reach) / 2 - left <= 0.85 * (right - left):
+                continue
+            if sum(x.x1 <= reach + 1 for x in narrow) >= 4 and sum(x.x0 >= start - 1 for x in narrow) >= 4:
+                gutters.append((reach, start))
+    parts = []
+    for x in sorted(lines, key=lambda x: (x.y0 + x.y1, x.x0, x.k)):
+        across = any(x.x0 < a - 0.15 * unit and x.x1 > b + 0.15 * unit for a, b in gutters)
+        column = -1 if across else sum((x.x0 + x.x1) / 2 > (a + b) / 2 for a, b in gutters)
+        if not parts or (column == -1) != (-1 in parts[-1]):
+            parts.append(defaultdict(list))
+        parts[-1][column].append(x)
+    return [section[c] for section in parts for c in sorted(section)]
+
+
+def rows_of_part(lines):
+    lines = sorted(lines, key=lambda x: ((x.y0 + x.y1) / 2, x.k))
     reach, rows = sorted(x.y1 - x.y0 for x in lines)[len(lines) // 2] / 2, []
     for x in lines:
         centre, picture = (x.y0 + x.y1) / 2, x.text.startswith("⟦")
@@ -88,25 +111,65 @@ def rows_of_page(lines):
             rows[-1][2].append(x)
         else:
             rows.append((centre, picture, [x]))
-    return [(p, " ".join(i.text.strip() for i in sorted(items, key=lambda i: (i.x0, i.k))), min(i.x0 for i in items), min(i.y0 for i in items), max(i.x1 for i in items),
+    return [(p, pieces([i.text for i in sorted(items, key=lambda i: (i.x0, i.k))]), min(i.x0 for i in items), min(i.y0 for i in items), max(i.x1 for i in items),
              max(i.y1 for i in items)) for _, p, items in rows]
 
 
+def pieces(texts):
+    out = ""
+    for t in filter(None, (t.strip() for t in texts)):
+        out = out[:-1] + t if out.endswith("-") and t[0].islower() else f"{out} {t}" if out else t
+    return out
+
+
+def paragraphs_of_part(lines):
+    rows, paras = rows_of_part(lines), []
+    widest = max(r[4] - r[2] for r in rows)
+    for i, r in enumerate(rows):
+        q = rows[i - 1]
+        if not i or r[0] or q[0] or r[3] - q[5] > 0.65 * max(q[5] - q[3], 1.0) or (q[4] - q[2] < 0.7 * widest and q[1][-1] in ".!?。！？…\"”’')]"):
+            paras.append([])
+        paras[-1].append(r[1])
+    return [pieces(p) for p in paras]
+
+
+def paragraphs_of_page(lines):
+    out = []
+    for part in parts_of_page([x for x in lines if x.text.strip()]):
+        first, *rest = paragraphs_of_part(part)
+        last = out[-1] if out else ""
+        if last and not re.search(r"[.!?…。！？][\"'”’)\]]*$", last) and first[0].islower() and len(last) > 20:
+            out[-1] = f"{last} {first}"
+        else:
+            out.append(first)
+        out += rest
+    return out
+
+
 def test_recognised_paragraphs(spark, sf):
     by, want = defaultdict(list), []
     for r in Q.recognised(spark, sf).collect():
         by[r.doc_id, r.page].append(r)
     for page, lines in by.items():
-        rows, paras = rows_of_page(lines), []
-        widest = max(r[4] - r[2] for r in rows)
-        for i, r in enumerate(rows):
-            q = rows[i - 1]
-            if not i or r[0] or q[0] or r[3] - q[5] > 0.65 * max(q[5] - q[3], 1.0) or (q[4] - q[2] < 0.7 * widest and q[1][-1] in ".!?。！？…\"”')]"):
-                paras.append([])
-            paras[-1].append(r[1])
-        want += [(*page, n, p) for n, p in enumerate(paras)]
-    join = spark.createDataFrame([(*w[:3], w[3]) for w in want], "doc_id long, page int, para long, p array<string>").select("doc_id", "page", "para", join_pieces("p").alias("text"))
-    assert sorted(map(tuple, Q.lay22(spark, sf).collect())) == sorted(map(tuple, join.collect()))
+        want += [(*page, n, p) for n, p in enumerate(paragraphs_of_page(lines))]
+    assert sorted(map(tuple, Q.lay22(spark, sf).collect())) == sorted(want)
+    assert any(len(parts_of_page(x)) > 3 for x in by.values())
+
+
+def test_columns_are_read_one_after_another(spark):
+    """A heading across both columns, four lines each, a line across, three more each: left before right, band by band."""
+    rows = [("A heading across the page.", 50, 350, 0)]
+    for i in range(4):
+        rows += [(f"left{i}" + "." * (i == 3), 50, 190, 20 + 12 * i), (f"right{i}" + "." * (i == 3), 210, 350, 20 + 12 * i)]
+    rows.append(("Across again.", 50, 350, 90))
+    for i in range(4, 7):
+        rows += [(f"left{i}", 50, 190, 60 + 12 * i), (f"right{i}", 210, 350, 60 + 12 * i)]
+    df = spark.createDataFrame([(1, 0, k, t, float(a), float(y), float(b), float(y + 10)) for k, (t, a, b, y) in enumerate(rows)],
+                               "doc_id long, page int, k int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = [r.text for r in A.ocr_paragraphs(df).orderBy("para").collect()]
+    assert got == ["A heading across the page.", "left0 left1 left2 left3.", "right0 right1 right2 right3.", "Across again.", "left4 left5 left6 right4 right5 right6"]
+    plan = A.ocr_paragraphs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and plan.count("CartesianProduct") == 0
 
 
 def test_picture_texts(spark, sf):
@@ -149,16 +212,3 @@ def test_read_text_corpus(spark, tmp_path):
     (tmp_path / "three.pdf").write_text("no", "utf-8")
     got = {(r.title.replace("%20", " "), r.kind, r.text) for r in read_text_corpus(spark, str(tmp_path)).collect()}
     assert got == {("One book", "file", "first\nline �"), ("two", "file", "# Second")}
-
-
-PAGE_HTML = """<html><head><title>T</title></head><body>bare text<nav><p>menu</p></nav><div>inline <em>words</em><p>One<a class="x noteref" href="#n">1</a> &eacute;&#8217;&#x201c;&amp;&nope;</p>
-<table><tr><th>Name</th><th>Age</th></tr><tr><td>Ana</td><td>30</td></tr><tr><td></td><td></td></tr></table><aside epub:type="footnote"><p>a note</p></aside><table><tr><td>1</td><td>2</td></tr></table>
-<ul><li>item<br/>two</li></ul><p role="doc-endnote">gone</p><script>var x = "</p><p>";</script>tail</div></body></html>"""
-
-
-def test_html_blocks(spark):
-    from lectern.sources.web import html_blocks
-
-    got = html_blocks(spark.createDataFrame([(1, PAGE_HTML), (2, None), (3, "")], "page_id long, html string")).orderBy("page_id", "n").collect()
-    assert [r.text for r in got] == ["bare text", "inline words", "One é’“&&nope;", "Name: Ana. Age: 30.", "1, 2.", "item two", "tail"]
-    assert [r.n for r in got] == list(range(7))

@@ -68,3 +68,48 @@ def test_tables(spark):
     df = spark.createDataFrame(cells, "table_id string, row_no long, col_no long, text string")
     got = {(r.table_id, r.row_no): r.sentence for r in L.verbalise_tables(df).collect()}
     assert got == {("t", 1): "Name: Ann. City: Rome.", ("n", 0): "0, 1.", ("n", 1): "1, 2."}
+
+
+def test_voices(spark):
+    asked = ["af_bella", "zm_yunxi", "pack:x", "pack:y", "qq", "", None]
+    requests = spark.createDataFrame([(i, v) for i, v in enumerate(asked)], "request_id long, voice string")
+    packs = spark.createDataFrame([("x", "it")], "name string, lang string")
+    got = {r.request_id: (r.voice, r.label, r.language, r.region, r.gender) for r in A.resolve_voices(requests, packs).collect()}
+    assert got[0] == ("af_bella", "Bella · US female", "en-us", "US", "female") and got[1] == ("zm_009", "009 · ZH male", "zh", "ZH", "male")
+    assert got[2] == ("pack:x", "x (voice pack)", "it", None, None) and got[3] == ("pack:y", "y (voice pack)", "en-us", None, None)
+    assert got[4][1:3] == ("Qq ·  male", "en-us") and got[5][2] == "en-us" and len(got) == len(asked)
+    own = A.voice_dimension(spark).collect()
+    assert len(own) == 29 and {r.language for r in own} == set(A.VOICES) and {r.label for r in own} >= {"Siwis · FR female", "012 · ZH male"}
+
+
+BOX = "doc_id long, page int, box int, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_overlapping_figures(spark):
+    lines = spark.createDataFrame([(1, 0, k, t, x, y, x + 20.0, y + 8.0) for k, t, x, y in ((0, "left", 0.0, 0.0), (1, "both ", 40.0, 1.0), (2, "right", 80.0, 0.0), (3, "below", 0.0, 90.0))]
+                                  + [(2, 0, 0, "alone", 0.0, 0.0, 9.0, 9.0)], "doc_id long, page int, k int, text string, x0 double, y0 double, x1 double, y1 double")
+    figures = spark.createDataFrame([(1, 0, 10, 0.0, 0.0, 60.0, 20.0), (1, 0, 11, 40.0, 0.0, 100.0, 20.0), (3, 0, 12, 0.0, 0.0, 5.0, 5.0)], BOX)
+    got = sorted((r.doc_id, r.k, r.text, r.role) for r in L.take_figures(lines, figures).collect())
+    assert got == [(1, 3, "below", "line"), (1, 10, "left both", "figure"), (1, 11, "right", "figure"), (2, 0, "alone", "line"), (3, 12, "", "figure")]
+
+
+def test_tables_take_lines_only_as_grids(spark):
+    lines = spark.createDataFrame([(1, 0, k, f"l{k}", 10.0, 20.0 * k, 30.0, 20.0 * k + 10) for k in range(5)], "doc_id long, page int, k int, text string, x0 double, y0 double, x1 double, y1 double")
+    grid = [["Name", "Age"], ["Ana ( x )", None]]
+    tables = spark.createDataFrame([(1, 0, 20, 0.0, 0.0, 50.0, 30.0, grid), (1, 0, 21, 0.0, 0.0, 50.0, 50.0, [["a", "b"]]), (1, 0, 22, 0.0, 40.0, 50.0, 50.0, [["a"], ["b"]]),
+                                    (1, 0, 23, 200.0, 0.0, 250.0, 50.0, grid), (1, 0, 24, 0.0, 55.0, 50.0, 75.0, grid), (1, 0, 25, 0.0, 55.0, 50.0, 75.0, grid), (1, 0, 26, 0.0, 30.0, 50.0, 45.0, None)],
+                                   BOX + ", rows array<array<string>>")
+    got = {(r.k, r.role): r.rows for r in L.take_tables(lines, tables).collect()}
+    # The last box of a pair with the same sides finds the row of the one before inside it.
+    assert set(got) == {(2, "line"), (4, "line"), (20, "table"), (25, "table")} and got[20, "table"] == [["Name", "Age"], ["Ana (x)", ""]]
+
+
+def test_labelled_regions(spark):
+    table = "<table><tr><th>A</th><th>B</th></tr><tr><td>1&amp;2</td><td>x</td></tr></table>"
+    rows = [("doc_title", "A  Title"), ("Header_Image", "h"), ("footnote", "f"), ("text", "fi ( x ) \u00adend-\nning"), ("table", table), (None, " \n" + table), ("seal", "s"), ("chart", "c"), ("algorithm", "a"),
+            ("aside_text", "s"), ("reference", "ref"), ("table", "no markup"), ("text", None), ("text", "  ")]
+    items = spark.createDataFrame([(1, 0, i, lab, t) for i, (lab, t) in enumerate(rows)], "doc_id long, page int, pos int, label string, text string")
+    said = lambda **k: [(r.pos, r.kind, r.text) for r in L.labelled_regions(items, **k).orderBy("pos", "part").collect()]
+    assert said() == [(0, "heading", "A Title"), (3, "body", "fi (x) endning"), (4, "table", "A: 1&2. B: x."), (5, "table", "A: 1&2. B: x."), (10, "body", "ref")]
+    assert said(headings=False, tables=False) == [(3, "body", "fi (x) endning"), (4, "table", "A B 1&amp;2 x"), (5, "table", "A B 1&amp;2 x"), (10, "body", "ref"), (11, "table", "no markup")]
+    assert [p for p, *_ in said(furniture=True, footnotes=True)] == [0, 1, 2, 3, 4, 5, 9, 10]
