@@ -4,8 +4,6 @@ Keys are those of the page (doc_id, page); windows and groups are pages or parts
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,33 +132,36 @@ def split_verses(spans: DataFrame) -> DataFrame:
     return blocks.select(*PAGE, (F.row_number().over(along) - 1).cast("long").alias("seq"), "kind", "text")
 
 
-def _rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The visual row of each recognised line of a page's parts: a line belongs to the row before if its centre is within half a
-    line's height (the part's upper median) of that row's first; pictures stand alone."""
-    pdf = pdf.assign(_c=(pdf["y0"] + pdf["y1"]) / 2).sort_values(["group", "_c", "k"], ignore_index=True)
-    height, part = (pdf["y1"] - pdf["y0"]).to_numpy(), pdf["group"].to_numpy()
-    out = np.zeros(len(pdf), np.int32)
-    for own in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
-        reach = 0.5 * (np.sort(height[own])[len(own) // 2] or 1.0)
-        row, first, alone = -1, 0.0, True
-        for at, centre, picture in zip(own, pdf["_c"].to_numpy()[own], pdf["picture"].to_numpy()[own], strict=True):
-            if row < 0 or picture or alone or abs(centre - first) >= reach:
-                row, first, alone = row + 1, centre, picture
-            out[at] = row
-    return pdf.assign(row=out)[["doc_id", "page", "k", "row"]]
+def _visual_rows(items: Column) -> Column:
+    """The number of the visual row of each of a part's recognised lines, which are sorted by their centres: a line belongs to the row
+    before if its centre is within half a line's height (the part's upper median) of that row's first; pictures stand alone."""
+    heights = F.sort_array(F.transform(items, lambda x: x["y1"] - x["y0"]))
+    median = F.get(heights, F.call_function("div", F.size(items), F.lit(2)).cast("int"))
+    reach = 0.5 * F.when(median == 0, 1.0).otherwise(median)
+    start = F.struct(F.array().cast("array<int>").alias("rows"), F.lit(-1).alias("row"), F.lit(0.0).alias("first"), F.lit(True).alias("alone"))
+
+    def step(now: Column, x: Column) -> Column:
+        fresh = x["picture"] | now["alone"] | (F.abs(x["centre"] - now["first"]) >= reach)
+        row = now["row"] + fresh.cast("int")
+        return F.struct(F.concat(now["rows"], F.array(row)).alias("rows"), row.alias("row"), F.when(fresh, x["centre"]).otherwise(now["first"]).alias("first"),
+                        F.when(fresh, x["picture"]).otherwise(now["alone"]).alias("alone"))
+
+    return F.aggregate(items, start, step, lambda end: end["rows"])
 
 
 def ocr_paragraphs(lines: DataFrame) -> DataFrame:
     """lines(doc_id, page, k, text, x0, y0, x1, y1) as recognised -> (doc_id, page, para, text): the parts of a page in reading order
     (columns one after another), in each its lines to visual rows, rows to paragraphs at pictures, wide gaps and short rows that
-    end a sentence; a sentence that goes on in the next part is joined."""
+    end a sentence; a sentence that goes on in the next part is joined. The lines are dealt out by page once, everything behind
+    that happens within the page."""
     ink = reading_groups(lines.where(strip("text") != "")).withColumn("picture", is_picture("text"))
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    rows = ink.select(*PAGE, "group", "k", "y0", "y1", "picture").groupBy(*PAGE).applyInPandas(_rows, ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "k")) + ", row int")
     part = [*PAGE, "group"]
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("x0", "k", "text"))), lambda s: s["text"])
-    row = ink.join(rows, [*PAGE, "k"]).groupBy(*part, "row").agg(
-        pieces.alias("_p"), F.bool_or("picture").alias("picture"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
+    line = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("centre"), "k", "x0", "y0", "x1", "y1", "picture", "text")
+    row = ink.groupBy(*part).agg(F.array_sort(F.collect_list(line)).alias("_items")).withColumn("_rows", _visual_rows(F.col("_items")))
+    row = row.select(*part, F.inline(F.arrays_zip(F.col("_rows").alias("row"), F.col("_items").alias("i"))))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("i.x0", "i.k", "i.text"))), lambda s: s["text"])
+    row = row.groupBy(*part, "row").agg(
+        pieces.alias("_p"), F.bool_or("i.picture").alias("picture"), *[F.min(f"i.{c}").alias(c) for c in ("x0", "y0")], *[F.max(f"i.{c}").alias(c) for c in ("x1", "y1")])
     row = row.withColumn("text", join_pieces("_p")).withColumn("_w", F.col("x1") - F.col("x0"))
     order = Window.partitionBy(*part).orderBy("row")
     before = lambda c: F.lag(c).over(order)

@@ -304,31 +304,58 @@ def stitch_pages(pages: DataFrame, key: tuple[str, ...] = ("doc_id",), page: str
     return rows.groupBy(*key, F.col("para").cast("long").alias("para")).agg(text.alias("text"))
 
 
-def _with_unit(lines: DataFrame) -> DataFrame:
-    """Recognised lines with ``_unit``, the upper median height of their page (1 if that is 0)."""
-    h = F.sort_array(F.collect_list(F.col("y1") - F.col("y0")).over(Window.partitionBy(*PAGE)))
-    rows = lines.withColumn("_h", h).withColumn("_unit", F.element_at("_h", F.expr("cast(size(_h) div 2 + 1 as int)"))).drop("_h")
-    return rows.withColumn("_unit", F.when(F.col("_unit") == 0, 1.0).otherwise(F.col("_unit")))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: a lambda's name stands for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan_gutters(lines: Column, unit: Column) -> Column:
+    """Gutters of a page of recognised lines: gaps between the narrow lines, taken from left to right, with four lines on each side.
+    At least eight lines and eight narrow ones, on a page at least eight units wide."""
+    left, right = F.array_min(F.transform(lines, lambda x: x["x0"])), F.array_max(F.transform(lines, lambda x: x["x1"]))
+
+    def of_page(page: Column) -> Column:
+        narrow, wide, u = page["narrow"], page["right"] - page["left"], page["unit"]
+        start = F.struct(F.lit(None).cast("double").alias("reach"), F.array().cast("array<struct<g0:double,g1:double>>").alias("gaps"))
+        gap = lambda now, x: F.struct(now["reach"].alias("g0"), x["x0"].alias("g1"))
+        step = lambda now, x: F.struct(
+            F.greatest(now["reach"], x["x1"]).alias("reach"), F.when(x["x0"] > now["reach"] + 0.3 * u, F.concat(now["gaps"], F.array(gap(now, x)))).otherwise(now["gaps"]).alias("gaps"))
+        gaps = F.aggregate(narrow, start, step, lambda end: end["gaps"])
+        centre = lambda g: (g["g0"] + g["g1"]) / 2
+        inside = lambda g: (g["g1"] - g["g0"] >= 0.45 * u) & centre(g).between(page["left"] + 0.15 * wide, page["right"] - 0.15 * wide)
+        sides = lambda g: (F.size(F.filter(narrow, lambda x: x["x1"] <= g["g0"] + 1)) >= 4) & (F.size(F.filter(narrow, lambda x: x["x0"] >= g["g1"] - 1)) >= 4)
+        found = F.filter(gaps, lambda g: inside(g) & sides(g))
+        return F.when((F.size(lines) >= 8) & (wide >= 8 * u) & (F.size(narrow) >= 8), found)
+
+    narrow = lambda p: F.array_sort(F.transform(F.filter(lines, lambda x: x["x1"] - x["x0"] < 0.62 * (p["right"] - p["left"])), lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"))))
+    return _bound(F.struct(left.alias("left"), right.alias("right")), lambda p: _bound(F.struct(p["left"].alias("left"), p["right"].alias("right"), unit.alias("unit"), narrow(p).alias("narrow")), of_page))
+
+
+def _scanned_pages(lines: DataFrame) -> DataFrame:
+    """A row for each page: its recognised lines ``_l``, their unit (the upper median height, 1 if that is 0) and gutters ``_g``."""
+    pages = lines.groupBy(*PAGE).agg(F.collect_list(F.struct(*[c for c in lines.columns if c not in PAGE])).alias("_l"))
+    heights = F.sort_array(F.transform("_l", lambda x: x["y1"] - x["y0"]))
+    median = F.get(heights, F.call_function("div", F.size("_l"), F.lit(2)).cast("int"))
+    pages = pages.withColumn("_unit", F.when(median == 0, 1.0).otherwise(median))
+    return pages.withColumn("_g", F.coalesce(_scan_gutters(F.col("_l"), F.col("_unit")), F.array().cast("array<struct<g0:double,g1:double>>")))
 
 
 def ocr_columns(lines: DataFrame) -> DataFrame:
-    """Gutters of recognised lines."""
-    return _gutters(_with_unit(lines), 8, F.col("_unit"), 8.0, 0.3, 0.45, 4)
+    """Gutters (doc_id, page, g0, g1) of recognised lines."""
+    return _scanned_pages(lines.select(*PAGE, *_SIDES)).select(*PAGE, F.inline("_g"))
 
 
 def reading_groups(lines: DataFrame) -> DataFrame:
     """Recognised lines with ``group``, the number of their part of the page in reading order: from top to bottom, lines across a
     gutter are parts of their own, and between them each column is a part, from left to right. A page without gutter is one part.
-    Every window is the page's, so the lines are shuffled once."""
-    found = ocr_columns(lines).groupBy(*PAGE).agg(F.collect_list(F.struct("g0", "g1")).alias("_g"))
-    x = _with_unit(lines).join(found, PAGE, "left")
+    A page's lines are brought together once, and what follows stays within the page."""
+    x = _scanned_pages(lines).select(*PAGE, "_unit", "_g", F.inline("_l"))
     slack, centre = 0.15 * F.col("_unit"), (F.col("x0") + F.col("x1")) / 2
-    across = F.exists("_g", lambda g: (F.col("x0") < g["g0"] - slack) & (F.col("x1") > g["g1"] + slack))
-    x = x.withColumn("_across", F.coalesce(across, F.lit(False)))
-    column = F.when(F.col("_across"), -1).otherwise(F.coalesce(F.size(F.filter("_g", lambda g: centre > (g["g0"] + g["g1"]) / 2)), F.lit(0)))
+    x = x.withColumn("_across", F.exists("_g", lambda g: (F.col("x0") < g["g0"] - slack) & (F.col("x1") > g["g1"] + slack)))
+    column = F.when(F.col("_across"), -1).otherwise(F.size(F.filter("_g", lambda g: centre > (g["g0"] + g["g1"]) / 2)))
     order = _page(F.col("y0") + F.col("y1"), "x0", "k")
     turn = F.coalesce(F.lag("_across").over(order) != F.col("_across"), F.lit(False))
-    x = x.withColumn("_column", F.when(F.col("_g").isNull(), 0).otherwise(column)).withColumn("_turn", turn.cast("int"))
+    x = x.withColumn("_column", column).withColumn("_turn", turn.cast("int")).drop("_g", "_unit")
     x = x.withColumn("_section", F.sum("_turn").over(order))
     x = x.withColumn("group", (F.dense_rank().over(_page("_section", "_column")) - 1).cast("int"))
     return x.select(*lines.columns, "group")

@@ -1,13 +1,14 @@
 """Reading state from event logs: positions, flags, highlights, the library, settings and voices."""
 from __future__ import annotations
 
-import json
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SPEEDS, nearest_speed
+from lectern.operators.timeline import asof
 
 
 def register_documents(library: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -76,84 +77,147 @@ def normal_ranges(adds: DataFrame) -> DataFrame:
     return a.withColumn("start", F.col("_s")).withColumn("end", F.col("_e")).drop("_s", "_e").where("start >= 0 and end > start")
 
 
+def _level(n: Column) -> Column:
+    """Bits of a number above its lowest one."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
+
+
 def overlay_highlights(adds: DataFrame, keys: list[str]) -> DataFrame:
-    """The later of overlapping highlights wins: keys, start, end, colour, seq of the add that shows. Between neighbouring
-    boundaries the newest covering add is taken; pieces of one add that touch are joined again."""
+    """The later of overlapping highlights wins: keys, start, end, colour, seq of the add that shows.
+
+    An add is cut into dyadic blocks (level, number), at most two of each level, and a block keeps its newest add. Between
+    neighbouring boundaries the newest of the blocks around shows; pieces of one add that touch are joined again. So adds and
+    boundaries meet by equality, a boundary meets one block of a level, and a paragraph of n adds costs n times the bits of its
+    length, however much they overlap."""
     a = normal_ranges(adds)
+    cut = a.select(*keys, "start", "end", F.struct("seq", "colour").alias("_add"), F.explode(F.sequence(F.lit(0), _level(F.col("end")))).alias("level"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    low, high = F.call_function("div", F.col("start") + size - 1, size), F.call_function("div", F.col("end"), size)
+    ends = F.array(F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1))
+    blocks = cut.select(*keys, "level", "_add", F.explode(F.array_compact(ends)).alias("block"))
+    blocks = blocks.groupBy(*keys, "level", "block").agg(F.max_by("_add", "_add.seq").alias("_add"))
     points = a.select(*keys, F.explode(F.array("start", "end")).alias("p")).distinct()
-    bits = points.withColumn("q", F.lead("p").over(Window.partitionBy(*keys).orderBy("p"))).where("q is not null").alias("b")
-    over = [F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys] + [F.col("a.start") <= F.col("b.p"), F.col("a.end") >= F.col("b.q")]
-    top = bits.join(a.alias("a"), over).groupBy(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("b.p").alias("p"), F.col("b.q").alias("q")).agg(
-        F.max_by(F.struct("a.seq", "a.colour"), "a.seq").alias("_t")).select(*keys, "p", "q", "_t.seq", "_t.colour")
+    top = _level(F.max("p").over(Window.partitionBy(*keys)))
+    bits = points.withColumn("q", F.lead("p").over(Window.partitionBy(*keys).orderBy("p"))).withColumn("_top", top).where("q is not null")
+    around = bits.select(*keys, "p", "q", F.explode(F.sequence(F.lit(0), "_top")).alias("level")).withColumn("block", F.call_function("div", F.col("p"), size))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys] + [F.col("x.level") == F.col("y.level"), F.col("x.block") == F.col("y.block")]
+    shown = around.alias("x").join(blocks.alias("y"), same).groupBy(*[F.col(f"x.{k}").alias(k) for k in keys], "x.p", "x.q").agg(F.max_by("y._add", "y._add.seq").alias("_t"))
+    shown = shown.select(*keys, "p", "q", "_t.seq", "_t.colour")
     order = Window.partitionBy(*keys).orderBy("p")
     fresh = ~((F.lag("seq").over(order) == F.col("seq")) & (F.lag("q").over(order) == F.col("p")))
-    runs = top.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    runs = shown.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
     return runs.groupBy(*keys, "_run").agg(F.min("p").alias("start"), F.max("q").alias("end"), F.first("colour").alias("colour"), F.first("seq").alias("seq")).drop("_run")
 
 
 HIGHLIGHT = "user_id long, doc long, para long, id long, start long, end long, colour string"
-
-
-def play_log(events, items: list[list], next_id: int) -> tuple[list[list], int]:
-    """Apply add, recolour, remove and clear events, oldest first, to items [id, start, end, colour]."""
-    for e in events:
-        if e.op == "add":
-            start, end = min(e.start, e.end), max(e.start, e.end)
-            if start < 0 or end <= start:
-                continue
-            kept = []
-            for item in items:
-                i, s, t, colour = item
-                if t <= start or s >= end:
-                    kept.append(item)
-                    continue
-                if s < start:
-                    kept.append([i, s, start, colour])
-                if t > end:  # what stays behind a split is a new highlight
-                    if s < start:
-                        i, next_id = next_id, next_id + 1
-                    kept.append([i, end, t, colour])
-            items = [*kept, [next_id, start, end, e.colour]]
-            next_id += 1
-        elif e.op == "clear":
-            items = []
-        elif e.op == "remove":
-            items = [x for x in items if x[0] != e.target]
-        elif e.op == "recolour":
-            items = [[*x[:3], e.colour] if x[0] == e.target else x for x in items]
-    return items, next_id
-
-
-#: A paragraph's highlights between batches of a stream: its items as JSON and the next id.
-PLAYED = "items string, next long"
-
-
-def play_batch(key: tuple, events: pd.DataFrame, played: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    """A batch of one paragraph's events on top of what was played -> its highlights (a row of nulls for none) and the new state."""
-    items, next_id = (json.loads(played[0]), played[1]) if played else ([], 1)
-    items, next_id = play_log(events.sort_values("seq").itertuples(), items, next_id)
-    rows = [(*key, *x) for x in sorted(items, key=lambda x: x[1])] or [(*key, None, None, None, None)]
-    out = pd.DataFrame(rows, columns=["user_id", "doc", "para", "id", "start", "end", "colour"]).astype({c: "Int64" for c in ("id", "start", "end")})
-    return out, (json.dumps(items, default=int), int(next_id))
-
-
-def apply_highlight_log(log: DataFrame) -> DataFrame:
-    """log(user_id, doc, para, seq, op, start, end, colour, target) -> current highlights. Ids count up within a paragraph; a
-    split leaves the id with its head. One group is one reader's paragraph, a sequence by nature."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items, _ = play_log(pdf.sort_values("seq").itertuples(), [], 1)
-        key = pdf.iloc[0]
-        rows = [(key.user_id, key.doc, key.para, *x) for x in sorted(items, key=lambda x: x[1])]
-        return pd.DataFrame(rows, columns=["user_id", "doc", "para", "id", "start", "end", "colour"])
-
-    return log.groupBy("user_id", "doc", "para").applyInPandas(run, HIGHLIGHT)
+EVENT = ["op", "start", "end", "colour", "target"]
+
+
+class Marks:
+    """One paragraph's highlights while a log is played: disjoint, found by their starts or their ids. An event costs the highlights
+    it touches and a search, whatever their number."""
+
+    def __init__(self, items=(), next_id: int = 1):
+        self.at = {start: (i, end, colour) for i, start, end, colour in items}
+        self.starts = sorted(self.at)
+        self.where = {i: start for start, (i, _, _) in self.at.items()}
+        self.next_id = next_id
+
+    def _fresh(self) -> int:
+        self.next_id += 1
+        return self.next_id - 1
+
+    def add(self, start: int, end: int, colour: str) -> None:
+        start, end = min(start, end), max(start, end)
+        if start < 0 or end <= start:
+            return
+        first = bisect_right(self.starts, start) - 1
+        if first < 0 or self.at[self.starts[first]][1] <= start:
+            first += 1
+        last = max(first, bisect_left(self.starts, end))
+        left = right = None
+        for s in self.starts[first:last]:
+            i, t, c = self.at.pop(s)
+            del self.where[i]
+            if s < start:
+                left = (s, i, start, c)
+            if t > end:  # what stays behind a split is a new highlight
+                right = (end, self._fresh() if s < start else i, t, c)
+        pieces = [p for p in (left, (start, self._fresh(), end, colour), right) if p]
+        self.starts[first:last] = [p[0] for p in pieces]
+        for s, i, t, c in pieces:
+            self.at[s], self.where[i] = (i, t, c), s
+
+    def play(self, op: str, start, end, colour, target) -> None:
+        if op == "add":
+            self.add(int(start), int(end), colour)
+        elif op == "clear":
+            self.at, self.starts, self.where = {}, [], {}
+        elif op == "remove" and target in self.where:
+            s = self.where.pop(target)
+            del self.at[s]
+            del self.starts[bisect_left(self.starts, s)]
+        elif op == "recolour" and target in self.where:
+            i, t, _ = self.at[self.where[target]]
+            self.at[self.where[target]] = (i, t, colour)
+        elif op == "have":  # a highlight from before
+            self.at[int(start)], self.where[int(target)] = (int(target), int(end), colour), int(start)
+            insort(self.starts, int(start))
+        elif op == "next":
+            self.next_id = int(target)
+
+    def items(self) -> list[tuple]:
+        """(id, start, end, colour) in order."""
+        return [(self.at[s][0], s, *self.at[s][1:]) for s in self.starts]
+
+
+def _play(batches):
+    """Task: events by paragraph and number, in any batches -> highlights of each paragraph. Only a paragraph's highlights are held."""
+    def whole(x):
+        return None if pd.isna(x) else int(x)
+
+    key, marks, rows = None, Marks(), []
+    for pdf in batches:
+        for user, doc, para, *event in pdf[["user_id", "doc", "para", *EVENT]].itertuples(index=False):
+            now = (whole(user), whole(doc), whole(para))
+            if now != key:
+                rows += [(*key, *x) for x in marks.items()] if key else []
+                key, marks = now, Marks()
+            marks.play(*event)
+        yield _highlights(rows)
+        rows = []
+    yield _highlights([(*key, *x) for x in marks.items()] if key else [])
+
+
+def _highlights(rows: list[tuple]) -> pd.DataFrame:
+    names = ["user_id", "doc", "para", "id", "start", "end", "colour"]
+    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[:-1]})
+
+
+def apply_highlight_log(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """log(user_id, doc, para, seq, op, start, end, colour, target) -> current highlights. Ids count up within a paragraph; a split
+    leaves the id with its head. ``before``(user_id, doc, para, next, items array<struct<id, start, end, colour>>): what was there.
+
+    Which id an event means depends on all before it, so a paragraph's log is a sequence by nature: paragraphs are dealt over the
+    tasks and sorted, and a task reads its events in small batches with one paragraph's highlights in memory."""
+    key = ["user_id", "doc", "para"]
+    events = log.select(*key, "seq", *EVENT)
+    if before is not None:
+        touched = before.join(log.select(*key).distinct(), key, "left_semi")
+        item = touched.select(*key, F.explode("items").alias("i"))
+        none = lambda kind: F.lit(None).cast(kind)
+        events = events.unionByName(item.select(*key, none("long").alias("seq"), F.lit("have").alias("op"), "i.start", "i.end", "i.colour", F.col("i.id").alias("target")))
+        events = events.unionByName(touched.select(*key, none("long").alias("seq"), F.lit("next").alias("op"), none("long").alias("start"), none("long").alias("end"),
+                                                   none("string").alias("colour"), F.col("next").alias("target")))
+    return events.repartition(*key).sortWithinPartitions(*key, F.col("seq").asc_nulls_first()).mapInPandas(_play, HIGHLIGHT)
 
 
 def highlights_at(probes: DataFrame, highlights: DataFrame, keys: list[str]) -> DataFrame:
-    """probes(keys, char) with the highlight there; highlights are disjoint within their keys."""
-    on = [F.col(f"p.{k}") == F.col(f"h.{k}") for k in keys] + [F.col("h.start") <= F.col("p.char"), F.col("p.char") < F.col("h.end")]
-    return probes.alias("p").join(highlights.alias("h"), on, "left").select("p.*", F.col("h.start").alias("start"), F.col("h.colour").alias("colour"))
+    """probes(keys, char) with the highlight there; highlights are disjoint within their keys, so the last that starts is looked up."""
+    rows = highlights.select(*keys, "start", F.col("end").alias("_end"), F.col("start").alias("_start"), F.col("colour").alias("_colour"))
+    found = asof(probes, rows, keys, "char", "start", ["_start", "_end", "_colour"])
+    there = F.col("char") < F.col("_end")
+    return found.select(*probes.columns, F.when(there, F.col("_start")).alias("start"), F.when(there, F.col("_colour")).alias("colour"))
 
 
 def guard_by_text_hash(highlights: DataFrame, docs: DataFrame) -> DataFrame:

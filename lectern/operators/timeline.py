@@ -47,12 +47,12 @@ def choose_timeline(engine: DataFrame, usable: DataFrame, estimate: DataFrame, k
 
 
 def sentence_timeline(words: DataFrame, sentences: DataFrame, keys: list[str]) -> DataFrame:
-    """Sentences with f0 of their first and f1 of their last word; without a word they are dropped."""
-    inside = (F.col("w.start") >= F.col("s.cut_start")) & (F.col("w.start") < F.col("s.cut_end"))
-    same = [F.col(f"w.{k}") == F.col(f"s.{k}") for k in keys]
-    both = words.alias("w").join(sentences.alias("s"), [*same, inside])
-    return both.groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], F.col("s.sentence_no").alias("sentence_no")).agg(
-        F.first("s.start").alias("start"), F.first("s.end").alias("end"), F.min_by("w.f0", "w.start").alias("f0"), F.max_by("w.f1", "w.start").alias("f1"))
+    """Sentences with f0 of their first and f1 of their last word; without a word they are dropped. A word is in the last sentence
+    that begins at it or before, if it ends behind it."""
+    rows = sentences.select(*keys, "cut_start", "cut_end", "sentence_no", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    both = asof(words.select(*keys, "start", "f0", "f1"), rows, keys, "start", "cut_start", ["cut_end", "sentence_no", "_start", "_end"]).where("start < cut_end")
+    return both.groupBy(*keys, "sentence_no").agg(
+        F.first("_start").alias("start"), F.first("_end").alias("end"), F.min_by("f0", "start").alias("f0"), F.max_by("f1", "start").alias("f1"))
 
 
 def asof(probes: DataFrame, rows: DataFrame, keys: list[str], probe_col: str, row_col: str, take: list[str], first: bool = False) -> DataFrame:

@@ -109,7 +109,7 @@ def sta10(spark, sf):
 def highlight_log(spark, sf, events=None):
     e = S.reading_events(spark, sf, events).where("action in ('highlight', 'fail')")
     op = F.expr("case when action = 'highlight' then 'add' when k % 4 = 0 then 'clear' when k % 2 = 0 then 'remove' else 'recolour' end")
-    return e.select("user_id", "doc", F.expr("k % 5").alias("para"), F.col("event_id").alias("seq"), op.alias("op"), F.col("c_start").alias("start"),
+    return e.select("user_id", "doc", F.expr("k % 5").alias("para"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), op.alias("op"), F.col("c_start").alias("start"),
                     F.expr("least(c_end, 80L)").alias("end"), F.expr("case when event_id % 3 = 0 then 'yellow' else 'pink' end").alias("colour"), F.expr("k % 6").alias("target"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lectern.sources import fixtures as S
 from lectern.sources import web as W
 from lectern.streaming import jobs as J
+from lectern.streaming.tables import KeyedTable, shared_folder
 
 from . import state_queries
 from .registry import ORACLE, query, table
@@ -15,22 +16,31 @@ def stream(spark, sf):
     return S.reading_events(spark, sf, J.event_stream(spark, sf))
 
 
+def _checkpoint(spark):
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 @query("str1_stream_positions", ORACLE["sta2_latest_positions"])
 def str1(spark, sf):
-    done = J.drain(J.positions(stream(spark, sf).where("action = 'position'")), "complete")
-    return done.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    moves = lambda e: e.where("action = 'position'").select("user_id", "doc", "k", "speed_raw", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    kept = J.positions_table(spark)
+    reached = J.finished(J.save_positions(moves(stream(spark, sf)), kept, _checkpoint(spark)))
+    J.flush_positions(moves(S.reading_events(spark, sf)), kept, reached)
+    return kept.read().select("user_id", "doc", "position", "speed", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("str2_stream_toggles", ORACLE["sta7_toggle_state"])
 def str2(spark, sf):
-    done = J.drain(J.toggles(stream(spark, sf).where("action = 'toggle'").withColumn("k", F.expr("k % 10"))), "complete")
-    return done.where("on").groupBy("user_id", "doc").agg(F.sort_array(F.collect_list("k")).alias("items"))
+    kept = KeyedTable(spark, "user_id long, doc long, k long, on boolean", ["user_id", "doc", "k"])
+    J.save_toggles(stream(spark, sf).where("action = 'toggle'").withColumn("k", F.expr("k % 10")), kept, _checkpoint(spark)).awaitTermination()
+    return kept.read().where("on").groupBy("user_id", "doc").agg(F.sort_array(F.collect_list("k")).alias("items"))
 
 
 @query("str3_stream_highlights")
 def str3(spark, sf):
-    log = state_queries.highlight_log(spark, sf, J.event_stream(spark, sf))
-    return J.newest_highlights(J.drain(J.highlights(log), "update"))
+    kept, checkpoint = J.highlights_table(spark), _checkpoint(spark)
+    J.save_highlights(state_queries.highlight_log(spark, sf, J.event_stream(spark, sf)), kept, checkpoint).awaitTermination()
+    return J.flush_highlights(kept, checkpoint)
 
 
 @query("str4_drop_stale", f"WITH {S.READING} SELECT event_id, user_id, k % 3 AS generation FROM reading WHERE action = 'toggle' AND k % 3 = user_id % 3")
@@ -68,12 +78,7 @@ def str7b(spark, sf):
 
 @query("str8_incremental_extract", "SELECT page_id, length(url) AS n_url FROM pages")
 def str8(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-lectern-")
-    at = f"{folder}/extract-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}"
     run = J.incremental_extract(J.event_stream(spark, sf, "pages"), lambda p: p.select("page_id", "url", W.page_title("html", "url").alias("title")), f"{at}/out", f"{at}/state")
     run.awaitTermination()
     return spark.read.parquet(f"{at}/out").select("page_id", F.length("url").alias("n_url"))

@@ -2,15 +2,18 @@
 ``drain`` runs a job over the files that are there and returns what it wrote."""
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
-from lectern.operators.state import HIGHLIGHT, PLAYED, latest_positions, play_batch
+from lectern.functions.text import nearest_speed
+from lectern.operators.state import EVENT, Marks, apply_highlight_log, latest_positions
+from lectern.streaming.tables import KeyedTable, shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -28,8 +31,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     In append mode the file sink collects all batches; in complete mode each batch is a version and the newest counts; in update
     mode all versions are there, with their number as ``batch``."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-lectern-")
-    at = f"{folder.rstrip('/')}/drained-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
@@ -47,23 +49,71 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     return spark.createDataFrame([], stream.schema) if newest is None else spark.read.schema(stream.schema).parquet(f"{at}/out/batch={newest}")
 
 
+def finished(run: StreamingQuery) -> int | None:
+    """Wait for the end of what is there; the watermark reached, in milliseconds (null without one)."""
+    run.awaitTermination()
+    marks = [p["eventTime"].get("watermark") for p in run.recentProgress]
+    known = [pd.Timestamp(m) for m in marks if m]
+    return int(max(known).timestamp() * 1000) if known else None
+
+
+POSITION = "user_id long, doc long, position long, speed double, ts timestamp, event_id long"
+
+
+def settled_positions(moves: DataFrame, quiet: str = "800 milliseconds", late: str = "1 day") -> DataFrame:
+    """moves(user_id, doc, k, speed_raw, ts, event_id) -> the last position of each burst, once no move has come for ``quiet``: the
+    bursts are session windows, so on a stream one row comes out for each, however many moves it had. Moves that come later than
+    ``late`` behind the newest are passed over, as they would be older than what is saved."""
+    rows = moves.withWatermark("ts", late) if moves.isStreaming else moves
+    burst = rows.groupBy("user_id", "doc", F.session_window("ts", quiet).alias("_w")).agg(F.max_by(F.struct("k", "speed_raw", "ts", "event_id"), F.struct("ts", "event_id")).alias("_l"))
+    return burst.select("user_id", "doc", F.col("_l.k").cast("long").alias("position"), nearest_speed("_l.speed_raw").alias("speed"), "_l.ts", "_l.event_id")
+
+
+def positions_table(spark: SparkSession, path: str | None = None) -> KeyedTable:
+    return KeyedTable(spark, POSITION, ["user_id", "doc"], path)
+
+
+def save_positions(moves: DataFrame, table: KeyedTable, checkpoint: str, quiet: str = "800 milliseconds", late: str = "1 day") -> StreamingQuery:
+    """Start keeping the positions of settled bursts: each batch replaces the rows of its keys, unless newer ones are there."""
+    def write(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, number, F.struct("ts", "event_id"))
+
+    settled = settled_positions(moves, quiet, late)
+    return settled.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def flush_positions(moves: DataFrame, table: KeyedTable, watermark: int | None, quiet_ms: int = 800) -> None:
+    """On closing: what the stream holds back behind its watermark is saved from the moves themselves."""
+    tail = moves if watermark is None else moves.where(F.unix_millis(F.col("ts").cast("timestamp")) >= watermark - quiet_ms)
+    table.upsert(settled_positions(tail), max(table.versions, default=-1) + 1, F.struct("ts", "event_id"))
+
+
 def positions(events: DataFrame) -> DataFrame:
     """Latest position of each reader and document; update or complete mode."""
     return latest_positions(events)
 
 
 def toggles(events: DataFrame) -> DataFrame:
-    """Items toggled an odd number of times, as counts per item; complete mode."""
+    """Whether each item was toggled an odd number of times; update or complete mode."""
     return events.groupBy("user_id", "doc", "k").agg((F.count("*") % 2 == 1).alias("on"))
 
 
+def save_toggles(events: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Start keeping toggles: a batch brings the items it touched, and only their buckets are written."""
+    def write(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, number)
+
+    return toggles(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drop_stale(results: DataFrame, generations: DataFrame, late: str = "1 day") -> DataFrame:
     """Results of the current generation only: a stream against a static table of generations(user_id, generation)."""
     return results.withWatermark("ts", late).join(generations, ["user_id", "generation"], "left_semi" if not results.isStreaming else "inner")
 
 
 def dedup(results: DataFrame, keys: list[str], late: str = "40 days") -> DataFrame:
-    """Each key once within the watermark."""
+    """Each key once within the watermark: a key that comes again more than ``late`` later is let through again, as its state is gone
+    by then. On a batch each key comes out once."""
     return results.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if results.isStreaming else results.dropDuplicates(keys)
 
 
@@ -81,30 +131,108 @@ def progress_counts(events: DataFrame, width: str = "1 day", slide: str | None =
     return rows.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("items")).select(F.col("w.start").alias("start"), "event_type", "items")
 
 
-def highlights(log: DataFrame) -> DataFrame:
-    """The highlight log on a stream: each paragraph's highlights as they are after a batch that touched it, from state that goes
-    on from batch to batch (a removal of all is one row without an id); update mode. Events count in order of ``seq`` in a batch."""
-    def step(key, batches, state):
-        out, played = play_batch(key, pd.concat(list(batches)), state.get if state.exists else None)
-        state.update(played)
-        yield out
-
-    return log.groupBy("user_id", "doc", "para").applyInPandasWithState(step, HIGHLIGHT, PLAYED, "update", GroupStateTimeout.NoTimeout)
+MARKED = "user_id long, doc long, para long, next long, items array<struct<id: long, start: long, end: long, colour: string>>"
+WAITING = "ts long, op string, start long, end long, colour string, target long"
+
+
+class HighlightLog(StatefulProcessor):
+    """One paragraph's highlights on a stream. Each highlight is an entry of its own in the state, so a batch writes those it changes.
+    Events wait until the watermark has passed them and are then played in the order of their numbers, whichever batch they came
+    in; a timer stands at the oldest one that waits."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "id long")
+        self.items = handle.getMapState("items", "id long", "start long, end long, colour string")
+        self.waiting = handle.getMapState("waiting", "seq long", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for pdf in rows:
+            at = pdf["ts"].astype("datetime64[ms]").astype("int64")
+            for ts, seq, *event in zip(at, pdf["seq"], *(pdf[c] for c in EVENT), strict=True):
+                self.waiting.updateValue((int(seq),), (int(ts), *_plain(event)))
+                first = int(ts) if first is None else min(first, int(ts))
+        if first is not None:
+            self.handle.registerTimer(first)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        reached = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = [(seq[0], *event) for seq, event in self.waiting.iterator()]
+        ready = sorted(w for w in waiting if w[1] <= reached)
+        later = [w[1] for w in waiting if w[1] > reached]
+        if later:
+            self.handle.registerTimer(min(later))
+        if not ready:
+            yield pd.DataFrame()
+            return
+        before = {i[0]: tuple(item) for i, item in self.items.iterator()}
+        marks = Marks([(i, *item) for i, item in before.items()], self.next.get()[0] if self.next.exists() else 1)
+        for seq, _, *event in ready:
+            marks.play(*event)
+            self.waiting.removeKey((seq,))
+        after = {i: (s, e, c) for i, s, e, c in marks.items()}
+        for i in before.keys() - after.keys():
+            self.items.removeKey((i,))
+        for i, item in after.items():
+            if before.get(i) != item:
+                self.items.updateValue((i,), item)
+        self.next.update((marks.next_id,))
+        items = [{"id": i, "start": s, "end": e, "colour": c} for i, s, e, c in marks.items()]
+        yield pd.DataFrame({**{n: [int(k)] for n, k in zip(("user_id", "doc", "para"), key, strict=True)}, "next": [marks.next_id], "items": [items]})
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(event: list) -> list:
+    """op, start, end, colour, target as values that state takes."""
+    return [None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in event]
+
+
+def highlights(log: DataFrame, late: str = "1 day") -> DataFrame:
+    """log(user_id, doc, para, ts, seq, op, start, end, colour, target), a stream -> (user_id, doc, para, next, items): a paragraph's
+    highlights whenever the watermark has released events of it; update mode. Numbers follow times. Events that come later than
+    ``late`` behind the newest are passed over."""
+    rows = log.withWatermark("ts", late).select("user_id", "doc", "para", "ts", "seq", *EVENT)
+    return rows.groupBy("user_id", "doc", "para").transformWithStateInPandas(HighlightLog(), outputStructType=MARKED, outputMode="Update", timeMode="eventTime")
+
+
+def highlights_table(spark: SparkSession, path: str | None = None) -> KeyedTable:
+    return KeyedTable(spark, MARKED, ["user_id", "doc", "para"], path)
+
+
+#: State with timers and maps is kept by this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def save_highlights(log: DataFrame, table: KeyedTable, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    """Start keeping highlights: each batch replaces the rows of the paragraphs it released events of."""
+    def write(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, number)
 
+    conf, key = log.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, STORE)
+    try:
+        return highlights(log, late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
 
-def newest_highlights(updates: DataFrame) -> DataFrame:
-    """What the last batch that touched a paragraph left there, of drained ``highlights``."""
-    key = ["user_id", "doc", "para"]
-    last = updates.groupBy(*key).agg(F.max("batch").alias("batch"))
-    return updates.join(last, [*key, "batch"], "left_semi").where("id is not null").drop("batch")
 
+def waiting_events(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The log's events that wait for the watermark, read from the state of a stopped stream."""
+    kept = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
+    return kept.select("key.*", F.col("user_map_key.seq").alias("seq"), *[F.col(f"user_map_value.{c}").alias(c) for c in EVENT])
 
-def upsert_positions(events: DataFrame, path: str, checkpoint: str):
-    """Start writing the latest positions: each batch replaces the table's newest version, named by its batch number."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return positions(events).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def flush_highlights(table: KeyedTable, checkpoint: str) -> DataFrame:
+    """On closing: all highlights, those of the table with the waiting events played on top."""
+    kept, late = table.read(), waiting_events(table.spark, checkpoint)
+    still = kept.join(late.select("user_id", "doc", "para").distinct(), ["user_id", "doc", "para"], "left_anti")
+    flat = still.select("user_id", "doc", "para", F.inline("items"))
+    return flat.unionByName(apply_highlight_log(late, kept))
 
 
 def incremental_extract(pages: DataFrame, extract, path: str, checkpoint: str):

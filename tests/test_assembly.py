@@ -167,7 +167,7 @@ def test_columns_are_read_one_after_another(spark):
     df = spark.createDataFrame([(1, 0, k, t, float(a), float(y), float(b), float(y + 10)) for k, (t, a, b, y) in enumerate(rows)],
                                "doc_id long, page int, k int, text string, x0 double, y0 double, x1 double, y1 double")
     got = [r.text for r in A.ocr_paragraphs(df).orderBy("para").collect()]
-    assert got == ["A heading across the page.", "left0 left1 left2 left3.", "right0 right1 right2 right3.", "Across again.", "left4 left5 left6 right4 right5 right6"]
+    assert got == ["A heading across the page.", "left0 left1 left2 left3.", "right0 right1 right2 right3.", "Across again.", "left4 left5 left6", "right4 right5 right6"]
     plan = A.ocr_paragraphs(df)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobin" not in plan and plan.count("CartesianProduct") == 0
 

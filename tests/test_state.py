@@ -1,4 +1,9 @@
-"""Literal cases of highlights, settings, work-lists and sections."""
+"""Highlights against plain play; literal cases of settings, work-lists and sections."""
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from lectern.operators import chapters as C
 from lectern.operators import layout as L
 from lectern.operators import state as A
@@ -14,7 +19,7 @@ def test_overlay(spark):
 
 def test_log_splits_and_removes(spark):
     rows = [(1, "add", 10, 40, "y", 0), (2, "add", 20, 25, "p", 0), (3, "remove", 0, 0, "", 1)]
-    log = spark.createDataFrame([(7, 1, 0, *r) for r in rows], "user_id long, doc long, para long, seq long, op string, start long, end long, colour string, target long")
+    log = spark.createDataFrame([(7, 1, 0, *r) for r in rows], LOG)
     assert sorted((r.start, r.end) for r in A.apply_highlight_log(log).collect()) == [(20, 25), (25, 40)]
 
 
@@ -28,6 +33,107 @@ def test_log_equals_overlay_for_adds(spark, sf):
     assert a == b
 
 
+def play_plainly(events):
+    """Events one after another over a list that is read from end to end."""
+    items, fresh = [], 1
+    for op, start, end, colour, target in events:
+        if op == "add":
+            start, end = min(start, end), max(start, end)
+            if start < 0 or end <= start:
+                continue
+            kept = []
+            for i, s, t, c in sorted(items, key=lambda x: x[1]):
+                if s < start < t:
+                    kept.append((i, s, start, c))
+                if s < end < t:
+                    if s < start:
+                        i, fresh = fresh, fresh + 1
+                    kept.append((i, end, t, c))
+                if t <= start or s >= end:
+                    kept.append((i, s, t, c))
+            items, fresh = [*kept, (fresh, start, end, colour)], fresh + 1
+        elif op == "clear":
+            items = []
+        else:
+            items = [(i, s, t, colour if op == "recolour" and i == target else c) for i, s, t, c in items if op != "remove" or i != target]
+    return sorted(items, key=lambda x: x[1]), fresh
+
+
+def test_marks_against_plain_play():
+    rng = random.Random(1)
+    for _ in range(300):
+        ops = rng.choices(["add", "remove", "recolour", "clear"], [8, 3, 3, 0.2], k=60)
+        events = [(op, rng.randint(-2, 40), rng.randint(-2, 40), rng.choice("ab"), rng.randint(1, 40)) for op in ops]
+        marks = A.Marks()
+        for e in events:
+            marks.play(*e)
+        assert (marks.items(), marks.next_id) == play_plainly(events)
+        cut = rng.randint(0, 60)
+        first = A.Marks()
+        for e in events[:cut]:
+            first.play(*e)
+        again = A.Marks(first.items(), first.next_id)
+        for e in events[cut:]:
+            again.play(*e)
+        assert again.items() == marks.items()
+
+
+LOG = "user_id long, doc long, para long, seq long, op string, start long, end long, colour string, target long"
+
+
+def test_log_goes_on_from_what_was_there(spark, sf):
+    from lectern.plans import state_queries as Q
+
+    log = Q.highlight_log(spark, sf)
+    want = sorted(map(tuple, A.apply_highlight_log(log).collect()))
+    by = {}
+    for r in log.orderBy("seq").collect():
+        by.setdefault((r.user_id, r.doc, r.para), []).append((r.op, r.start, r.end, r.colour, r.target))
+    plain = {k: play_plainly(e) for k, e in by.items()}
+    assert want == sorted((*k, *x) for k, (items, _) in plain.items() for x in items)
+    half = log.approxQuantile("seq", [0.5], 0)[0]
+    first = {}
+    for r in log.where(F.col("seq") < half).orderBy("seq").collect():
+        first.setdefault((r.user_id, r.doc, r.para), []).append((r.op, r.start, r.end, r.colour, r.target))
+    before = spark.createDataFrame([(*k, n, items) for k, (items, n) in ((k, play_plainly(e)) for k, e in first.items())],
+                                   "user_id long, doc long, para long, next long, items array<struct<id: long, start: long, end: long, colour: string>>")
+    rest = A.apply_highlight_log(log.where(F.col("seq") >= half), before)
+    touched = {tuple(r) for r in log.where(F.col("seq") >= half).select("user_id", "doc", "para").distinct().collect()}
+    assert sorted(map(tuple, rest.collect())) == [w for w in want if w[:3] in touched]
+
+
+def test_hot_paragraphs(spark):
+    """100,000 events on one paragraph, most of which overlap: the work follows events and the bits of the length, not their square."""
+    n, length = 100_000, 50_000
+    log = spark.range(n).selectExpr(
+        "1L as user_id", "1L as doc", "1L as para", "id as seq", "'add' as op", f"pmod(xxhash64(id, 1), {length}) as start",
+        f"least({length}L, pmod(xxhash64(id, 1), {length}) + 1 + pmod(xxhash64(id, 2), if(id % 100 = 0, {length}, 300))) as end", "string(id % 5) as colour", "0L as target", f"{length}L as text_length")
+    began = time.time()
+    shown = {(r.start, r.end, r.colour) for r in A.overlay_highlights(log, ["user_id", "doc", "para"]).collect()}
+    played = {(r.start, r.end, r.colour) for r in A.apply_highlight_log(log).collect()}
+    assert time.time() - began < 120
+    newest = [None] * length
+    for r in log.orderBy("seq").collect():
+        newest[r.start:r.end] = [(r.seq, r.colour)] * (r.end - r.start)
+    want, at = set(), 0
+    while at < length:
+        to = at
+        while to < length and newest[to] == newest[at]:
+            to += 1
+        if newest[at]:
+            want.add((at, to, newest[at][1]))
+        at = to
+    assert shown == want == played
+
+
+def test_highlights_at_edges(spark):
+    marks = spark.createDataFrame([(1, 5, 9, "a"), (1, 9, 12, "b"), (None, 0, 3, "c")], "para long, start long, end long, colour string")
+    probes = spark.createDataFrame([(1, c) for c in (4, 5, 8, 9, 11, 12)] + [(2, 5), (None, 1)], "para long, char long")
+    got = {(r.para, r.char): (r.start, r.colour) for r in A.highlights_at(probes, marks, ["para"]).collect()}
+    none = (None, None)
+    assert got == {(1, 4): none, (1, 5): (5, "a"), (1, 8): (5, "a"), (1, 9): (9, "b"), (1, 11): (9, "b"), (1, 12): none, (2, 5): none, (None, 1): (0, "c")}
+
+
 def test_clean_speeds(spark):
     df = spark.createDataFrame([(1, ["2.0", "1.25", "1.25", "7.0", "junk", "0.75"])], "user_id long, speeds array<string>")
     assert A.clean_speeds(df).first().speeds == [0.75, 1.25, 2.0]
