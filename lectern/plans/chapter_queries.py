@@ -1,12 +1,16 @@
 """Queries of chapters and exports."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators import chapters as C
 from lectern.operators import timeline as T
 from lectern.sources import fixtures as S
 from lectern.sources import sinks as K
+from lectern.sources import web as W
+from lectern.streaming.tables import shared_folder
 
-from .registry import query, table
+from .registry import ORACLE, query, table
 
 _NAMES = ["Genesis", "Exodus 3", "Part II: The Sea", "Prologue", "Ruth", "Mark", "第三章", "John"]
 _LIST = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
@@ -156,6 +160,34 @@ def snk2(spark, sf):
     return K.export_json(paras, ignored(paras), flag(4), flag(6), C.split_sections(paras))
 
 
+def _folder(spark):
+    return f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+
+
+@query("src1_read_text_corpus", f"WITH {S.BOOKS} SELECT book_id AS title, 'file' AS kind, string_agg(text, chr(10) || chr(10) ORDER BY para) || chr(10) AS text FROM books WHERE para % 9 <> 4 GROUP BY book_id")
+def src1(spark, sf):
+    """All books as text files, and those read back."""
+    paras, at = S.books(spark, sf), _folder(spark)
+    K.write_texts(paras, ignored(paras), at)
+    return W.read_text_corpus(spark, at, folder="book_id").select("title", "kind", "text")
+
+
+@query("snk1_markdown_files", ORACLE["snk1_export_markdown"])
+def snk1c(spark, sf):
+    paras, at = S.books(spark, sf), _folder(spark)
+    K.write_texts(paras, ignored(paras), at, paras.select("book_id", F.concat(F.lit("Book "), "book_id").alias("title")).distinct())
+    return W.read_text_corpus(spark, at, folder="book_id").select(F.col("title").alias("book_id"), F.col("text").alias("body"))
+
+
+@query("snk2_json_files", ORACLE["snk2_export_json"])
+def snk2b(spark, sf):
+    """All books as JSON files of a line for each paragraph, and those read back; strings hold no line ends."""
+    paras, at = marked(spark, sf), _folder(spark)
+    flag = lambda k: paras.where(f"para % {k} = 0").select("book_id", "para")
+    K.write_json(paras, ignored(paras), flag(4), flag(6), C.split_sections(paras), at)
+    return W.read_text_corpus(spark, at, folder="book_id").select(F.col("title").alias("book_id"), F.replace("text", F.lit("\n"), F.lit("")).alias("json"))
+
+
 @query("snk3_export_chapters", f"""WITH {SECTIONS}
 SELECT m.book_id, printf('%04d - ', section_no + 1) || substr(trim(regexp_replace(regexp_replace(CASE WHEN title = '' THEN 'Document' ELSE title END, '[\\\\/:*?"<>|]+', ' ', 'g'), '\\s+', ' ', 'g')), 1, 70) || '.txt' AS file_name,
   string_agg(text, chr(10) || chr(10) ORDER BY para) || chr(10) AS body FROM marked m JOIN sections s ON m.book_id = s.book_id AND para >= start AND para < "end" WHERE para % 5 NOT IN (1, 2) GROUP BY m.book_id, section_no, title""")

@@ -68,10 +68,42 @@ def content_store(blobs: DataFrame, stored: DataFrame, content: str) -> DataFram
     return named.join(stored.select("name"), "name", "left_anti")
 
 
-def write_texts(exports: DataFrame, path: str) -> None:
-    """One folder for each book, bodies as text files."""
-    exports.select("book_id", F.col("body").alias("value")).write.partitionBy("book_id").text(path)
+# --- files of any size -----------------------------------------------------------------------------------------------
 
+def _book_rows(paras: DataFrame, ignored: DataFrame) -> DataFrame:
+    """The paragraphs that are read, with ``_first`` and ``_last`` paragraph of their book, which aggregates find."""
+    keep = paras.where(~is_picture("text")).join(ignored, ["book_id", "para"], "left_anti")
+    ends = keep.groupBy("book_id").agg(F.min("para").alias("_first"), F.max("para").alias("_last"))
+    return keep.join(ends, "book_id")
+
+
+def _write_in_order(rows: DataFrame, path: str) -> None:
+    """rows(book_id, para, value) as text files in a folder for each book. Rows are dealt out by ranges of book and paragraph, so a book
+    of any size is written by as many tasks as it needs; its files in the order of their names are the book."""
+    ordered = rows.repartitionByRange("book_id", "para").sortWithinPartitions("book_id", "para")
+    ordered.select("book_id", "value").write.partitionBy("book_id").text(path)
 
-def write_json(exports: DataFrame, path: str) -> None:
-    exports.select("book_id", F.col("json").alias("value")).write.partitionBy("book_id").text(path)
+
+def write_texts(paras: DataFrame, ignored: DataFrame, path: str, titles: DataFrame | None = None) -> None:
+    """What ``export_text`` gives as files, without a book ever being one string."""
+    rows = _book_rows(paras, ignored)
+    head = F.lit("")
+    if titles is not None:
+        rows = rows.join(titles.select("book_id", F.col("title").alias("_title")), "book_id")
+        head = F.concat(F.lit("# "), "_title", F.lit("\n\n"))
+    value = F.concat(F.when(F.col("para") == F.col("_first"), head).otherwise("\n"), "text")
+    _write_in_order(rows.select("book_id", "para", value.alias("value")), path)
+
+
+def write_json(paras: DataFrame, ignored: DataFrame, bookmarks: DataFrame, highlights: DataFrame, sections: DataFrame, path: str) -> None:
+    """What ``export_json`` gives as files, a line for each paragraph."""
+    flag = lambda df, name: df.select("book_id", "para").distinct().withColumn(name, F.lit(True))
+    rows = _book_rows(paras, ignored).join(flag(bookmarks, "bookmarked"), ["book_id", "para"], "left").join(flag(highlights, "highlighted"), ["book_id", "para"], "left")
+    item = F.struct(F.col("para").alias("index"), "text", F.coalesce("bookmarked", F.lit(False)).alias("bookmarked"), F.coalesce("highlighted", F.lit(False)).alias("highlighted"))
+    parts = sections.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "title"))).alias("_s")).where(F.size("_s") > 1)
+    tail = F.to_json(F.transform("_s", lambda x: F.struct(x["title"].alias("title"), x["start"].alias("start"), x["end"].alias("end"))))
+    rows = rows.join(parts, "book_id", "left")
+    title = F.regexp_extract(F.to_json(F.struct(F.col("book_id").alias("title"))), r"(?s)^\{(.*)\}$", 1)
+    open_ = F.when(F.col("para") == F.col("_first"), F.concat(F.lit("{"), title, F.lit(',"paragraphs":['))).otherwise(",")
+    close = F.when(F.col("para") == F.col("_last"), F.concat(F.lit("]"), F.coalesce(F.concat(F.lit(',"sections":'), tail), F.lit("")), F.lit("}"))).otherwise("")
+    _write_in_order(rows.select("book_id", "para", F.concat(open_, F.to_json(item), close).alias("value")), path)

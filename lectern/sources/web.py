@@ -19,11 +19,18 @@ NOTES = "noteref|footnote|endnote|rearnote|pagebreak|page-list|toc"
 BLOCKS, EDGES = "h1|h2|h3|p|li", "ul|ol|div|section|article|main|body|html|table|nav|header|footer|aside"
 
 
-def read_text_corpus(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> DataFrame:
-    """(source, title, kind, text): one document for each file, bad bytes replaced, the title its stem."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return files.select(F.input_file_name().alias("source"), F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), F.lit("file").alias("kind"), F.col("value").alias("text"))
+def read_text_corpus(spark: SparkSession, path: str, glob: str = "*.{txt,md}", folder: str | None = None) -> DataFrame:
+    """(source, title, kind, text): one document for each file, bytes that are no UTF-8 replaced, the title its stem. With ``folder``
+    one for each folder ``folder=title`` of parts, such as ``write_texts`` leaves: its files in the order of their names."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    name, text = F.regexp_extract("path", r"([^/]+)$", 1), F.make_valid_utf8(F.col("content").cast("string"))
+    if folder is None:
+        return files.select(F.col("path").alias("source"), F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), F.lit("file").alias("kind"), text.alias("text"))
+    place = F.regexp_extract("path", rf"/{folder}=([^/]*)/[^/]+$", 1)
+    title = F.coalesce(F.try_url_decode(F.replace(place, F.lit("+"), F.lit("%2B"))), place)
+    parts = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("source"), title.alias("title"), F.struct(name.alias("name"), text.alias("t")).alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["t"]), "")
+    return parts.groupBy("source", "title").agg(whole.alias("text")).select("source", "title", F.lit("file").alias("kind"), "text")
 
 
 def route_sources(paths: DataFrame, path_col: str) -> DataFrame:

@@ -202,13 +202,3 @@ def test_figures(spark):
     assert got == [(1, 0, 1, 6.0, 6.0, 114.0, 114.0), (1, 0, 2, 196.0, 296.0, 294.0, 419.0)]
     words = spark.createDataFrame([(1, 0, 1, 200.0, 300.0, 290.0, 340.0)], box)
     assert A.figure_candidates(images, drawings, words, labels, 400.0, 600.0).count() == 1
-
-
-def test_read_text_corpus(spark, tmp_path):
-    from lectern.sources.web import read_text_corpus
-
-    (tmp_path / "One book.txt").write_bytes(b"first\nline \xff")
-    (tmp_path / "two.md").write_text("# Second", "utf-8")
-    (tmp_path / "three.pdf").write_text("no", "utf-8")
-    got = {(r.title.replace("%20", " "), r.kind, r.text) for r in read_text_corpus(spark, str(tmp_path)).collect()}
-    assert got == {("One book", "file", "first\nline �"), ("two", "file", "# Second")}

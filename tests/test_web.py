@@ -1,5 +1,6 @@
 """Pages to blocks against a parser with a stack, and rules of hosts."""
 import html
+import json
 import re
 from html.parser import HTMLParser
 
@@ -143,3 +144,36 @@ def test_entities(spark):
     samples = ["&eacute;&amp;&lt;", "&#8217;x&#x201C;", "no & reference", "&unknown; &#0;"]
     got = [r.t for r in spark.createDataFrame([(s,) for s in samples], "s string").select(decode_entities(F.col("s")).alias("t")).collect()]
     assert got == [html.unescape(s) for s in samples]
+
+
+def test_read_text_corpus(spark, tmp_path):
+    (tmp_path / "One book+1.txt").write_bytes(b"first\nline \xff")
+    (tmp_path / "two.md").write_text("# Second", "utf-8")
+    (tmp_path / "three.pdf").write_text("no", "utf-8")
+    got = {(r.title, r.kind, r.text) for r in W.read_text_corpus(spark, str(tmp_path)).collect()}
+    assert got == {("One book+1", "file", "first\nline \ufffd"), ("two", "file", "# Second")}
+
+
+def test_books_larger_than_a_task(spark, tmp_path):
+    """A book that many tasks write comes back whole and in order; odd names too."""
+    from lectern.sources import sinks as K
+
+    rows = [("big: one/two +%", k, f"paragraph {k}\u2028 \"q\"") for k in range(500)] + [("small", 7, "only"), ("small", 9, "⟦image:x.png⟧")]
+    paras = spark.createDataFrame(rows, "book_id string, para long, text string").repartition(7)
+    ignored = spark.createDataFrame([("big: one/two +%", 3)], "book_id string, para long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # rows this few would be one task's
+    try:
+        K.write_texts(paras, ignored, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "t").glob("book_id=big*/part-*"))) > 1
+    got = {r.title: r.text for r in W.read_text_corpus(spark, f"{tmp_path}/t", folder="book_id").collect()}
+    assert got == {"big: one/two +%": "\n\n".join(t for _, k, t in rows[:500] if k != 3) + "\n", "small": "only\n"}
+    none = paras.select("book_id", "para").limit(0)
+    sections = spark.createDataFrame([("small", 0, 8, "a"), ("small", 8, 10, "b"), ("big: one/two +%", 0, 500, "c")], "book_id string, start long, end long, title string")
+    K.write_json(paras, ignored, none, paras.where("para = 7").select("book_id", "para"), sections, f"{tmp_path}/j")
+    got = {r.title: json.loads(r.text) for r in W.read_text_corpus(spark, f"{tmp_path}/j", folder="book_id").collect()}
+    big = got["big: one/two +%"]
+    assert big["title"] == "big: one/two +%" and len(big["paragraphs"]) == 499 and "sections" not in big and big["paragraphs"][2]["text"] == rows[2][2]
+    assert got["small"] == {"title": "small", "paragraphs": [{"index": 7, "text": "only", "bookmarked": False, "highlighted": True}],
+                            "sections": [{"title": "a", "start": 0, "end": 8}, {"title": "b", "start": 8, "end": 10}]}
