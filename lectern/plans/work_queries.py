@@ -1,7 +1,11 @@
 """Queries of work-lists and cache accounting."""
+import uuid
+
 from pyspark.sql import functions as F
 
+from lectern.operators import hooks as H
 from lectern.operators import worklist as W
+from lectern.streaming.tables import shared_folder
 
 from .registry import query, table
 
@@ -118,3 +122,65 @@ def wrk10(spark, sf):
 def wrk11(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.substring(F.sha1("text"), 1, 16).alias("hash"))
     return W.reuse_audio(c, c.where("conv_id % 3 = 0"), ["hash", "turn"])
+
+
+def _worn_engine(page):
+    """A recogniser that fails on some pages, and on all behind the fifth of every fourth document."""
+    if page["page"] % 7 == 3 or page["doc"] % 4 == 0 and page["page"] >= 5:
+        raise ValueError("unreadable")
+    return f"read {page['text']}"
+
+
+_PAGES = "p AS (SELECT conv_id AS doc, turn AS page, text, turn % 7 = 3 OR conv_id % 4 = 0 AND turn >= 5 AS bad FROM conversations)"
+_STOPS = """r AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page ROWS UNBOUNDED PRECEDING) AS run FROM p),
+s AS (SELECT *, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY doc, run ORDER BY page ROWS UNBOUNDED PRECEDING) AS streak FROM r), a AS (SELECT doc, min(page) AS aborted_at FROM s WHERE streak >= 3 GROUP BY doc)"""
+
+
+def _pages(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text", F.lit("s1").alias("signature"))
+    return c.join(c.groupBy("doc").agg(F.count("*").alias("n_pages")), "doc")
+
+
+def _kept(spark):
+    def keep(rows):
+        path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    return keep
+
+
+def _first_run(spark, sf):
+    pages = _pages(spark, sf)
+    none = pages.select("doc", "signature", "n_pages").limit(0)
+    return pages, H.recognition_run(pages, _worn_engine, none, pages.select("doc", "page", "text").limit(0), _kept(spark), block=4)
+
+
+@query("wrk12_recognition_run", f"""WITH {_PAGES}, {_STOPS} SELECT p.doc, page, CASE WHEN bad THEN 'fail' ELSE 'ok' END AS status, CASE WHEN NOT bad THEN 'read ' || text END AS text, CASE WHEN bad THEN 'ValueError: unreadable' END AS error
+FROM p LEFT JOIN a USING (doc) WHERE aborted_at IS NULL OR page < aborted_at""")
+def wrk12(spark, sf):
+    return _first_run(spark, sf)[1][0]
+
+
+@query("wrk12_resumed_run", f"""WITH {_PAGES}, {_STOPS} SELECT p.doc, page, CASE WHEN NOT bad AND (aborted_at IS NULL OR page < aborted_at) THEN 'saved' ELSE 'ok' END AS status, 'read ' || text AS text FROM p LEFT JOIN a USING (doc)""")
+def wrk12b(spark, sf):
+    """A second run with an engine that reads all goes on where the first one stopped."""
+    pages, (results, _) = _first_run(spark, sf)
+    runs = pages.select("doc", "signature", "n_pages").distinct()
+    again, _ = H.recognition_run(pages, lambda page: f"read {page['text']}", runs, results.where("status = 'ok'"), _kept(spark), block=4)
+    return again.select("doc", "page", "status", "text")
+
+
+@query("wrk13_synthesis_run", """WITH c AS (SELECT DISTINCT substr(sha1(text), 1, 16) AS hash, turn, text FROM conversations), a AS (SELECT DISTINCT substr(sha1(text), 1, 16) AS hash, turn FROM conversations WHERE conv_id % 3 = 0)
+SELECT hash, turn, CASE WHEN a.hash IS NOT NULL THEN 'reused' WHEN length(text) % 11 = 0 THEN 'fail' ELSE 'made' END AS status,
+  CASE WHEN a.hash IS NOT NULL THEN 1 WHEN length(text) % 11 > 0 THEN length(text) END AS size FROM c LEFT JOIN a USING (hash, turn)""")
+def wrk13(spark, sf):
+    def speak(request):
+        if len(request["text"]) % 11 == 0:
+            raise RuntimeError("no voice")
+        return b"." * len(request["text"])
+
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.substring(F.sha1("text"), 1, 16).alias("hash"), "text")
+    assets = c.where("conv_id % 3 = 0").select("hash", "turn", F.lit(b"x").alias("audio"))
+    done = H.synthesise_paragraphs(c, speak, assets, ["hash", "turn"])
+    return done.select("hash", "turn", "status", F.octet_length("audio").cast("long").alias("size"))
