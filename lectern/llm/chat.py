@@ -1,15 +1,17 @@
 """Chat formatting: tool calls linked to their results, ordered, validated and written as canonical JSON.
 
 * Calls and results are hash-joined by (conversation, call id). Of several results for one call the earliest turn wins.
-* A call whose arguments name other calls of its conversation ({"$ref": call id} anywhere in them) comes after those. Levels
-  are found by rounds of joins over the whole table: chains of calls that name one other call each are walked by pointer
-  doubling, and what is left takes one round for each link of the longest chain of calls that name several; the calls of a
-  circle never become ready and come last, flagged ``cyclic``. References to unknown calls are ignored and counted.
+* A call whose arguments name other calls of its conversation ({"$ref": call id} anywhere in them) comes after those. A
+  conversation's references are put in order in one pass, conversation after conversation in each task, each held while it is
+  ordered. Those of more than LONG references, which a task shouldn't hold, take rounds of joins over all tasks: chains of
+  calls that name one other call each are walked by pointer doubling, and what is left takes one round for each link of the
+  longest chain of calls that name several. The calls of a circle never become ready and come last, flagged ``cyclic``.
+  References to unknown calls are ignored and counted.
 * Arguments are validated against the schema of the named tool: an object, required members present, no unknown members,
   types string, integer, number, boolean, object, array. A {"$ref": ...} stands for any type.
 * Canonical JSON: members sorted by code point, no blanks, text unescaped but for what JSON demands; a surrogate without its
-  partner, which no UTF-8 text can hold, stays an escape. It fails on no input: arguments that are no JSON object become null
-  with ``valid`` false and an error.
+  partner, which no UTF-8 text can hold, stays an escape. It fails on no input: arguments that are no JSON object, or are
+  nested deeper than Python's parser goes (some 10,000 levels), become null with ``valid`` false and an error.
 
 Every call is a row. Calls that repeat an id are each validated and written; they share the id's result and its level, which
 follows all that any of them refers to, and stand in order of turn. Calls without an id or conversation are kept, unlinked.
@@ -20,13 +22,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, partitions
+from .common import durable, maybe_broadcast, measured, partitions
 
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
@@ -95,14 +98,75 @@ def check_arguments(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         "*", F.col("_c.canonical").alias("canonical_arguments"), F.col("_c.refs").alias("refs"), F.col("_c.error").alias("error")).drop("_c")
 
 
-def levels(calls: DataFrame) -> DataFrame:
+#: References of a conversation that a task may hold.
+LONG = 100_000
+
+
+def levels_of(refs: dict[str, set[str]]) -> dict[str, int]:
+    """The level of each call in {call: calls it names}: one above the highest it names, 0 for calls that name none; those that lead
+    into circles are missing."""
+    users: dict[str, list[str]] = defaultdict(list)
+    waiting = {call: len(deps) for call, deps in refs.items()}
+    for call, deps in refs.items():
+        for dep in deps:
+            users[dep].append(call)
+    level = dict.fromkeys((dep for dep in users if dep not in refs), 0)
+    ready = list(level)
+    for call in ready:
+        for user in users.get(call, ()):
+            level[user] = max(level.get(user, 0), level[call] + 1)
+            waiting[user] -= 1
+            if not waiting[user]:
+                ready.append(user)
+    return {call: level[call] for call in ready}
+
+
+def _order(batches):
+    """Task: references sorted by conversation -> levels of the calls that have some."""
+    conversation, refs = None, {}
+
+    def ordered() -> pd.DataFrame:
+        found = [(conversation, call, n) for call, n in levels_of(refs).items() if call in refs]
+        return pd.DataFrame(found, columns=["conv_id", "call_id", "level"])
+
+    for pdf in batches:
+        done = []
+        for conv, call, dep in zip(pdf["conv_id"], pdf["call_id"], pdf["dep"], strict=True):
+            if conv != conversation:
+                done.append(ordered())
+                conversation, refs = conv, {}
+            refs.setdefault(call, set()).add(dep)
+        if done:
+            yield pd.concat(done)
+    yield ordered()
+
+
+def levels(calls: DataFrame, long: int | None = None) -> DataFrame:
     """calls(conv_id, call_id, refs) -> (conv_id, call_id, level) of each id, behind what any of its calls refers to; circles are
     missing."""
     key = ["conv_id", "call_id"]
     nodes = calls.select(*key).distinct()
     edges = calls.select(*key, F.explode("refs").alias("dep")).distinct()
     known = nodes.select("conv_id", F.col("call_id").alias("dep"))
-    edges = durable(edges.join(known, ["conv_id", "dep"], "left_semi"), "references")
+    edges, seen = measured(edges.join(known, ["conv_id", "dep"], "left_semi"), "references")
+    first = nodes.join(edges.select(*key), key, "left_anti").withColumn("level", F.lit(0))
+    if not seen["rows"]:
+        return first
+    sizes, seen = measured(edges.groupBy("conv_id").agg(F.count("*").alias("_n")).where(F.col("_n") > (LONG if long is None else long)), "long")
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in key)
+    short = edges if not seen["rows"] else edges.join(maybe_broadcast(sizes, seen["rows"]), "conv_id", "left_anti")
+    found = short.repartition("conv_id").sortWithinPartitions("conv_id").mapInPandas(_order, f"{kinds}, level int")
+    found = first.unionByName(found)
+    if seen["rows"]:
+        held = lambda df: df.join(maybe_broadcast(sizes, seen["rows"]), "conv_id", "left_semi")
+        far = _levels_by_rounds(durable(held(nodes), "calls"), durable(held(edges), "references"))
+        found = found.unionByName(far.join(first.select(*key), key, "left_anti"))
+    return durable(found, "level")
+
+
+def _levels_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``levels`` of conversations of any size."""
+    key = ["conv_id", "call_id"]
     degrees = durable(edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("dep").alias("dep")), "degrees")
     # Calls with one reference: ``dep`` jumps twice as far each round, until it is a call with none or several.
     ends = F.when(F.col("m") == 1, F.lit("going")).when(F.col("m") > 1, F.lit("several")).otherwise(F.lit("none"))

@@ -104,9 +104,11 @@ def longest_paths(deps):
     return level
 
 
-def test_chat_levels_and_positions_of_any_graph(spark, monkeypatch):
-    """Levels against brute force: a chain of 300, trees, calls with several references, circles; positions over several tasks;
-    a chain takes rounds by the logarithm of its length."""
+@pytest.mark.parametrize("long, tables", [(chat.LONG, 10), (100, 100), (0, 100)])
+def test_chat_levels_and_positions_of_any_graph(spark, monkeypatch, long, tables):
+    """Levels against brute force: a chain of 300, trees, calls with several references, circles; positions over several tasks. By
+    conversation, by rounds (which follow the logarithm of a chain's length), and some this way and some that."""
+    monkeypatch.setattr(chat, "LONG", long)
     rng = np.random.default_rng(5)
     graphs = {"chain": {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)}, "ring": {f"c{i}": [f"c{(i + 1) % 7}"] if i < 7 else [f"c{i - 1}"] for i in range(20)}}
     for g in range(6):
@@ -115,8 +117,7 @@ def test_chat_levels_and_positions_of_any_graph(spark, monkeypatch):
     rows += [(None, None, i, "search", "{}") for i in range(9)]
     calls = spark.createDataFrame(rows, "conv_id string, call_id string, turn long, name string, arguments string")
     results = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
-    rounds = []
-    monkeypatch.setattr(chat, "durable", lambda df, name, real=chat.durable: (rounds.append(name), real(df, name))[1])
+    rounds = count_tables(monkeypatch)
     got = {}
     for r in chat.link_calls(calls, results, {}).collect():
         got.setdefault(r.conv_id, []).append((r.position, r.call_id, r.level, r.cyclic))
@@ -125,7 +126,24 @@ def test_chat_levels_and_positions_of_any_graph(spark, monkeypatch):
         order = sorted(deps, key=lambda c: (c not in level, level.get(c, 0), turn(c), c))
         assert sorted(got[g]) == [(i, c, level.get(c), c not in level) for i, c in enumerate(order)]
     assert sorted(p for p, *_ in got[None]) == list(range(9))
-    assert len(rounds) < 100
+    assert len(rounds) < tables
+
+
+def count_tables(monkeypatch):
+    rounds = []
+    for name in ("durable", "measured"):
+        monkeypatch.setattr(chat, name, lambda df, what, real=getattr(chat, name), **k: (rounds.append(what), real(df, what, **k))[1])
+    return rounds
+
+
+def test_a_long_chain_of_calls_that_name_two_others(spark, monkeypatch):
+    rounds = count_tables(monkeypatch)
+    calls = spark.createDataFrame([("a", f"c{i}", i, "search", json.dumps([{"$ref": f"c{i - 1}"}, {"$ref": f"c{i - 2}"}])) for i in range(1000)],
+                                  "conv_id string, call_id string, turn long, name string, arguments string")
+    wrapped = calls.withColumn("arguments", F.concat(F.lit('{"query":'), "arguments", F.lit("}")))
+    results = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    got = {r.call_id: r.level for r in chat.link_calls(wrapped, results, {}).collect()}
+    assert got == {f"c{i}": i for i in range(1000)} and len(rounds) < 10
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
