@@ -71,13 +71,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A key table of at most this many rows (two or three machine words each) may be broadcast; its rows are known first.
-BROADCAST_ROWS = 1_000_000
+#: A key table of at most so many rows and bytes may be broadcast; its rows are known first.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
+#: Bytes that a value takes, about: numbers by their type, texts and hashes as the longest hash there is.
+_WIDTHS = {"boolean": 1, "int": 4, "bigint": 8, "double": 8}
 
 
-def maybe_broadcast(keys: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def row_bytes(keys: DataFrame) -> int:
+    return 16 + sum(_WIDTHS.get(f.dataType.simpleString(), 64) for f in keys.schema)
+
+
+def maybe_broadcast(keys: DataFrame, rows: int | None = None) -> DataFrame:
     """``keys`` (durable, narrow) with a broadcast hint if it is small; otherwise Spark shuffles both sides. ``rows``: their
     number where it is known, else they are counted."""
+    limit = min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes(keys))
     return F.broadcast(keys) if (keys.limit(limit + 1).count() if rows is None else rows) <= limit else keys
 
 

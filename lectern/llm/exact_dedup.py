@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import durable, maybe_broadcast, measured, partitions
 
 HASH_BITS = 64
@@ -133,13 +134,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     owners = owners or max(partitions(spark), -(-seen["rows"] // OWNED))
     suspects, seen = measured(repeated_fingerprints(prints, owners), "suspects")
-    # Bytes decide: the text itself is the grouping key, combined on the map side first.
-    groups = (
-        base.join(maybe_broadcast(suspects, seen["rows"]), "_fp", "left_semi")
-        .groupBy("_fp", "_text").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("_fp", F.unhex(F.sha2("_text", 256)).alias("_sha"), "keep_id", "group_size")
-        .where("group_size > 1")
-    )
+    # Bytes decide: the text itself is the grouping key, combined on the map side before anything is shuffled.
+    grouped = lambda df: df.groupBy("_fp", "_text").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    if seen["rows"] <= common.BROADCAST_ROWS:
+        groups = grouped(base.join(F.broadcast(suspects), "_fp", "left_semi"))
+    else:  # the suspects would have to be shuffled against texts, so these are combined first
+        groups = grouped(base).join(suspects, "_fp", "left_semi")
+    groups = groups.select("_fp", F.unhex(F.sha2("_text", 256)).alias("_sha"), "keep_id", "group_size")
     hot = F.count_if(F.col("group_size") >= HOT_ROWS)
     groups, seen = measured(groups, "copies", hot=hot)
     out = _join_groups(prints, groups, seen["hot"] or 0)
@@ -187,10 +188,10 @@ def _join_groups(prints: DataFrame, groups: DataFrame, n_hot: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, without further copies of a text."""
-    status = exact_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).agg(
+    status = exact_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_kid"), F.unhex("text_sha256").alias("_ksha")).agg(
         F.max("kept").alias("_any"), F.count("*").alias("_n"))
     odd, seen = measured(status.where("not _any or _n > 1"), "dropped", twice=F.count_if("_any"))
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    keyed = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     match = lambda keys: keyed[id_col].eqNullSafe(keys["_kid"]) & (keyed["_sha"] == keys["_ksha"])
     keys = maybe_broadcast(odd, seen["rows"])
     clean = keyed.join(keys, match(keys), "left_anti")

@@ -140,17 +140,20 @@ def _sets(words: int):
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(x, y) whose sets reach the similarity. ``sets`` is durable: _id, _n, _shingles.
+    """The pairs(x, y) whose sets reach the similarity. ``pairs`` is durable, and so is ``sets``: _id, _n, _shingles.
 
     The side y is a bucket's smallest id and may be hot: its set is copied to as many salts as it has thousands of partners.
     """
+    # Only hot ids are marked, so that no task has to hold all pairs of one before they are dealt out.
     fan = pairs.groupBy("y").agg(F.count("*").alias("_c")).select("y", F.ceil(F.col("_c") / 1000).cast("int").alias("_fan"))
+    fan, seen = measured(fan, "partners", hot=F.count_if(F.col("_fan") > 1))
+    hot, wide = maybe_broadcast(fan.where("_fan > 1"), seen["hot"] or 0), F.coalesce("_fan", F.lit(1))
     left = sets.select(F.col("_id").alias("x"), F.col("_shingles").alias("_a"))
     right = (
         sets.select(F.col("_id").alias("y"), F.col("_shingles").alias("_b")).join(fan, "y")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1)))
     )
-    dealt = pairs.join(fan, "y").withColumn("_salt", F.pmod(F.xxhash64("x"), F.col("_fan")).cast("int")).drop("_fan")
+    dealt = pairs.join(hot, "y", "left").withColumn("_salt", F.pmod(F.xxhash64("x"), wide).cast("int")).drop("_fan")
     both = dealt.join(left, "x").join(right.drop("_fan"), ["y", "_salt"])
     common = F.size(F.array_intersect("_a", "_b"))
     both = both.select("x", "y", common.cast("long").alias("_i"), (F.size("_a") + F.size("_b")).cast("long").alias("_s"))
@@ -184,7 +187,7 @@ def near_duplicates(
         .dropDuplicates(["_id"]),
         "sets",
     )
-    star = met.where("_rep > _low").select(F.col("_rep").alias("x"), F.col("_low").alias("y")).distinct()
+    star = durable(met.where("_rep > _low").select(F.col("_rep").alias("x"), F.col("_low").alias("y")).distinct(), "star")
     links = durable(verify_pairs(star, sets, percent), "links")
     labels = connected_components(links)
     # Classes that share a bucket but not a component: compare across components, once per pair.

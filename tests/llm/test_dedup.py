@@ -146,3 +146,35 @@ def test_components_joined_in_steps(spark):
         frames = [spark.createDataFrame(p, "x long, y long") for p in (pairs[:25], pairs[25:])]
         whole = {tuple(x) for x in connected_components(frames[0].unionByName(frames[1])).collect()}
         assert {tuple(x) for x in joined_components(connected_components(frames[0]), frames[1]).collect()} == whole
+
+
+def test_copies_beyond_the_broadcast_limit(spark, odd, monkeypatch):
+    """With no broadcast at all the groups are the same, and texts are combined before anything is shuffled."""
+    from lectern.llm import common
+
+    rows = lambda: sorted(map(tuple, E.exact_groups(odd).drop("_row").collect()), key=repr)
+    want, kept = rows(), sorted(map(tuple, E.keep_one(odd).collect()), key=repr)
+    plans = []
+    monkeypatch.setattr(E, "measured", lambda df, name, real=E.measured, **k: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name, **k))[1])
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert rows() == want and sorted(map(tuple, E.keep_one(odd).collect()), key=repr) == kept
+    plan = next(p for name, p in plans if name == "copies")
+    exchanges = plan.splitlines()
+    below = [exchanges[i + 1] for i, line in enumerate(exchanges) if "Exchange hashpartitioning" in line and "_text" in line]
+    assert below and all("partial" in b or "Aggregate" in b for b in below)
+
+
+def test_pairs_of_a_hot_id_are_dealt_before_they_meet(spark):
+    """3,000 near copies of one text: the pairs of the smallest id are salted, and all links are found."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words + [f"x{i}"])) for i in range(3000)], "doc_id long, text string")
+    rows = M.near_duplicates(docs).collect()
+    assert {r.component_id for r in rows} == {0} and sum(r.kept for r in rows) == 1
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from lectern.llm import common
+
+    narrow, wide = spark.createDataFrame([], "a long"), spark.createDataFrame([], "a string, b string, c string")
+    hinted = lambda df, n: "hint" in common.maybe_broadcast(df, n)._jdf.queryExecution().logical().toString().lower()
+    assert hinted(narrow, 1_000_000) and not hinted(narrow, 1_000_001) and not hinted(wide, 300_000) and hinted(wide, 200_000)
