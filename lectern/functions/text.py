@@ -115,7 +115,9 @@ def ends_sentence(c: str | Column) -> Column:
     return F.right(F.rtrim(col(c), F.lit(QUOTES)), F.lit(1)).isin(*STOPS)
 
 
-CJK_LETTER = "[぀-ヿ㐀-鿿가-힯]"
+#: The blocks between whose letters no blank stands.
+TIGHT_BLOCKS = ("Hiragana", "Katakana", "CJKUnifiedIdeographsExtensionA", "YijingHexagramSymbols", "CJKUnifiedIdeographs", "HangulSyllables")
+CJK_LETTER = "[" + "".join(rf"\p{{In{block}}}" for block in TIGHT_BLOCKS) + "]"
 
 
 def join_pieces(pieces: str | Column) -> Column:

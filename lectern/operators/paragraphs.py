@@ -4,10 +4,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WHITE, clean_paragraph, col, is_picture
+from lectern.functions.text import QUOTES, STOPS, WHITE, clean_paragraph, col, is_picture
 
-CJK = "぀-ヿ㐀-䶿一-鿿가-힯"
-WORD = r"[^\W_]+(?:['’.,\-][^\W_]+)*"
+#: The blocks whose characters are words of their own, and the marks that may join parts of a word.
+SINGLE_BLOCKS = ("Hiragana", "Katakana", "CJKUnifiedIdeographsExtensionA", "CJKUnifiedIdeographs", "HangulSyllables")
+JOINTS = "'’.,-"
+CJK = "".join(rf"\p{{In{block}}}" for block in SINGLE_BLOCKS)
+#: A word: runs of letters and digits with one joint between each two.
+_RUN = r"[\w&&[^_]]+"
+WORD = rf"{_RUN}(?:[{JOINTS}]{_RUN})*"
 
 
 def paragraph_array(text: str | Column) -> Column:
@@ -43,19 +48,21 @@ def word_spans(paras: DataFrame, keys: list[str], text_col: str = "text", gaps:
         *keys, "word_no", (F.col("end") - F.col("_n")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "word", *(["gap"] if gaps else []))
 
 
-SENTENCE_GAP = r"(?<=[.!?…。！？])[\"'”’)\]]*\s+|(?<=[。！？])"
+#: The stops that end a sentence without a blank.
+WIDE_STOPS = "。！？"
+#: A sentence: as little as there is up to a stop, what closes behind it and blanks; up to a wide stop; or up to the end.
+SENTENCE = rf"(?Us).*?(?:[{STOPS}][{''.join(chr(92) + c for c in QUOTES)}]*\s+|[{WIDE_STOPS}]|\z)"
 
 
 def split_sentences(paras: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys, sentence_no, cut_start, cut_end, start, end): cuts tile the paragraph; start and end leave outer blanks out."""
     rows = paras.where(F.length(text_col) > 0).select(*keys, F.col(text_col).alias("_t"))
-    piece = rf"(?Us)(.+?)(?:{SENTENCE_GAP}|$)"
-    cut = rows.select(*keys, "_t", F.posexplode(F.regexp_extract_all("_t", F.lit(piece), F.lit(0))).alias("n", "s"))
-    upto = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.where("s <> ''").withColumn("cut_end", F.sum(F.length("s")).over(upto).cast("long"))
-    cut = cut.withColumn("cut_start", F.col("cut_end") - F.length("s"))
-    blank_before = F.length("s") - F.length(F.ltrim(F.col("s"), F.lit(WHITE)))
-    blank_behind = F.length("s") - F.length(F.rtrim(F.col("s"), F.lit(WHITE)))
+    cut = rows.select(*keys, "_t", F.posexplode(F.regexp_extract_all("_t", F.lit(SENTENCE), F.lit(0))).alias("_n", "_s"))
+    upto = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.where("_s <> ''").withColumn("cut_end", F.sum(F.length("_s")).over(upto).cast("long"))
+    cut = cut.withColumn("cut_start", F.col("cut_end") - F.length("_s"))
+    blank_before = F.length("_s") - F.length(F.ltrim(F.col("_s"), F.lit(WHITE)))
+    blank_behind = F.length("_s") - F.length(F.rtrim(F.col("_s"), F.lit(WHITE)))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("cut_start")) - 1
     return cut.select(
         *keys, number.cast("long").alias("sentence_no"), "cut_start", "cut_end",
