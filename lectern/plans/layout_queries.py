@@ -385,7 +385,7 @@ def drawn(spark, sf):
     drawings = x.where("box between 0 and 39").select(
         "doc_id", "page", "box", F.expr("200 + (box % 6) * 20D").alias("x0"), F.expr("200 + (box div 6) * 18D + doc_id % 5").alias("y0"),
         F.expr("200 + (box % 6) * 20D + if(box % 3 = 0, 1, 15)").alias("x1"), F.expr("200 + (box div 6) * 18D + doc_id % 5 + if(doc_id % 4 = 0, 1, 12)").alias("y1"))
-    words = x.where("doc_id % 7 = 0").select("doc_id", "page", "box", "x0", "y0", "x1", "y1")
+    words = x.select("doc_id", "page", "box", "x0", "y0", "x1", "y1")
     return images, drawings, words, x.select("doc_id", "page", "box", F.substring_index("text", " ", 2).alias("text"), "x0", "y0", "x1", "y1")
 
 
