@@ -48,21 +48,31 @@ def txt5(spark, sf):
     return S.paras(spark, sf)
 
 
-@query("txt6_math_to_speech")
-def txt6(spark, sf):
-    formula = F.concat(F.lit("In x² + y³ = z with a_"), F.col("doc_id").cast("string"), F.lit(" ≤ 5 % and 6 / 3 or 20 °C at https://a.b/c=d: "), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", X.math_to_speech(formula).alias("said"))
+#: Between the words of an address and a sign nothing is said.
+_SUMS = r"regexp_replace(x, '([A-Za-z0-9)\]])\s*\+\s*([A-Za-z0-9(\[])', '\1 plus \2', 'g')"
+
+
+def _said_sql(text, before="''"):
+    """What is said of whole texts: they hold sums, shares and addresses; ``before`` is what is said of what stands before them."""
+    return rf"""WITH s AS (SELECT doc_id, string_split_regex({text}, '\S+@\S+\.\S+\s*') AS rest, regexp_extract_all({text}, '\S+@\S+\.\S+\s*') AS mail FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, array_to_string(list_transform(rest, lambda x, i: {_SUMS} || coalesce(mail[i], '')), '') AS t FROM s)
+SELECT doc_id, regexp_replace(trim(regexp_replace({before} || replace(replace(regexp_replace(t, '(\d+(?:[.,]\d+)*)\s*%', '\1 percent', 'g'), '×', ' times '), '≤', ' is less than or equal to '),
+  '[ \t]{{2,}}', ' ', 'g')), '\s+([.,;:!?)\]])', '\1', 'g') AS said FROM p"""
 
 
-#: Every sign that the short twin doesn't read is taken out of the texts, on both sides.
-_UNREAD = "+=<>*^/÷±≠≥≈∞∑∫∂∈→∝−·½¼¾⅓⅔√π°²³⁰¹⁴⁵⁶⁷⁸⁹⁻₀₁₂₃₄₅₆₇₈₉`@%-" + "".join(X.GREEK)
+_FORMULA = "'In x squared plus y cubed equals z with a_' || doc_id || ' is less than or equal to 5 percent and 6 divided by 3 or 20 degrees Celsius at https://a.b/c=d: '"
+
+
+@query("txt6_math_to_speech", _said_sql("text", _FORMULA))
+def txt6(spark, sf):
+    formula = F.concat(F.lit("In x² + y³ = z with a_"), F.col("doc_id").cast("string"), F.lit(" ≤ 5 % and 6 / 3 or 20 °C at https://a.b/c=d: "), F.col("text"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", X.math_to_speech(formula).alias("said"))
 
 
-@query("txt6_percent_and_symbols", rf"""
-SELECT doc_id, regexp_replace(trim(regexp_replace(replace(replace(regexp_replace(translate(text, '{_UNREAD}', '') || ' 12.5 % × 3 ≤ 4', '(\d+(?:[.,]\d+)*)\s*%', '\1 percent', 'g'), '×', ' times '), '≤', ' is less than or equal to '),
-  '[ \t]{{2,}}', ' ', 'g')), '\s+([.,;:!?)\]])', '\1', 'g') AS said FROM documents WHERE text IS NOT NULL""")
+@query("txt6_percent_and_symbols", _said_sql("text || ' 12.5 % × 3 ≤ 4'"))
 def txt6b(spark, sf):
-    text = F.concat(F.translate("text", _UNREAD, ""), F.lit(" 12.5 % × 3 ≤ 4"))
+    """Whole texts with whatever signs they hold, and some more at the end."""
+    text = F.concat("text", F.lit(" 12.5 % × 3 ≤ 4"))
     return table(spark, sf, "documents").where("text is not null").select("doc_id", X.math_to_speech(text).alias("said"))
 
 
