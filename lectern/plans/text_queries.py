@@ -1,4 +1,6 @@
 """Queries of text normalisation, paragraphs, words and timelines."""
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -210,9 +212,13 @@ def tim6(spark, sf):
     return T.item_at(probes(spark, sf).select(*KEYS, "fraction"), timeline(spark, sf), KEYS, "word_no")
 
 
-@query("tim7_word_at_char", f"""WITH {S.TIMELINE}, {_PROBES}, f AS (SELECT p.doc_id, p.para, p."char", t.word_no, t."end" FROM probes p ASOF LEFT JOIN timeline t ON p.doc_id = t.doc_id AND p.para = t.para AND p."char" >= t.start),
+#: Words and timelines are looked up several times, so both engines make them once.
+_ONCE = re.sub(r"\b(words|timeline) AS \(", r"\1 AS MATERIALIZED (", S.TIMELINE)
+
+
+@query("tim7_word_at_char", f"""WITH {_ONCE}, {_PROBES}, f AS MATERIALIZED (SELECT p.doc_id, p.para, p."char", t.word_no, t."end" FROM probes p ASOF LEFT JOIN timeline t ON p.doc_id = t.doc_id AND p.para = t.para AND p."char" >= t.start),
 l AS (SELECT doc_id, para, max(word_no) AS top FROM words GROUP BY doc_id, para),
-r AS (SELECT f.doc_id, f.para, f."char", CAST(CASE WHEN top IS NULL THEN -1 WHEN "end" IS NOT NULL AND f."char" < "end" THEN f.word_no ELSE least(coalesce(f.word_no, -1) + 1, top) END AS BIGINT) AS word_no
+r AS MATERIALIZED (SELECT f.doc_id, f.para, f."char", CAST(CASE WHEN top IS NULL THEN -1 WHEN "end" IS NOT NULL AND f."char" < "end" THEN f.word_no ELSE least(coalesce(f.word_no, -1) + 1, top) END AS BIGINT) AS word_no
   FROM f LEFT JOIN l ON f.doc_id = l.doc_id AND f.para = l.para)
 SELECT r.doc_id, r.para, r."char", r.word_no, round(CASE WHEN f0 > 0 THEN f0 + 1e-4 ELSE 0.0 END, 6) AS fraction FROM r LEFT JOIN timeline t ON r.doc_id = t.doc_id AND r.para = t.para AND r.word_no = t.word_no""")
 def tim7(spark, sf):
