@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import QUOTES, STOPS, WHITE, is_picture, join_pieces, strip
-from lectern.operators.layout import PAGE, _is_range, cluster_boxes, merge_boxes, reading_groups, stitch_pages
+from lectern.functions.text import QUOTES, STOPS, WHITE, finish_paragraph, is_picture, join_pieces, strip
+from lectern.operators.layout import (
+    PAGE, _is_range, cluster_boxes, in_order, merge_boxes, page_gutters, reading_groups, same_heading, stitch_pages, with_breaks, with_roles)
 
 SOFT_HYPHEN = "­"
 #: Signs of footnotes, what ends a clause before a new sentence, what opens one.
@@ -81,18 +82,29 @@ def join_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     A word that is cut at two line ends is looked up by its part on the line before the end."""
     key = [*PAGE, "para", "k"]
-    order = Window.partitionBy(*PAGE, "para").orderBy("k")
-    x = lines.where("text <> ''").select(*key, "text").withColumn("_next", F.lead("text").over(order))
+    x = _line_ends(lines.select(*key, "text"))
+    cut = x.where("_hard").select(*key, "_a", "_b").where("_a <> '' and _b <> ''")
+    known = vocabulary.select(*PAGE, F.col("word").alias("_w"))
+    has = lambda word: cut.withColumn("_w", word).join(known, [*PAGE, "_w"], "left_semi").select(*key)
+    kept = has(F.concat("_a", F.lit("-"), "_b")).join(has(F.concat("_a", "_b")), key, "left_anti").withColumn("_keep", F.lit(True))
+    return _joined(x.join(kept, key, "left"))
+
+
+def _line_ends(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, page, para, k, text) that aren't empty, with how they end: in a soft hyphen, in a hard one before a small letter,
+    and the parts ``_a`` and ``_b`` of the word that is cut there."""
+    x = lines.where("text <> ''").withColumn("_next", F.lead("text").over(Window.partitionBy(*PAGE, "para").orderBy("k")))
     soft = F.col("text").endswith(SOFT_HYPHEN) & F.col("_next").isNotNull()
     hard = F.col("text").endswith("-") & F.left("_next", F.lit(1)).rlike(r"\p{Ll}")
     x = x.withColumn("_soft", soft).withColumn("_hard", F.coalesce(hard, F.lit(False)))
     head = F.replace(F.regexp_extract("text", r"(?U)(\p{L}\S*)-$", 1), F.lit(SOFT_HYPHEN), F.lit(""))
     tail = F.regexp_extract(F.ltrim(F.replace("_next", F.lit(SOFT_HYPHEN), F.lit("")), F.lit(WHITE)), f"^{LETTERS}", 0)
-    cut = x.where("_hard").select(*key, F.lower(head).alias("_a"), F.lower(tail).alias("_b")).where("_a <> '' and _b <> ''")
-    known = vocabulary.select(*PAGE, F.col("word").alias("_w"))
-    has = lambda word: cut.withColumn("_w", word).join(known, [*PAGE, "_w"], "left_semi").select(*key)
-    kept = has(F.concat("_a", F.lit("-"), "_b")).join(has(F.concat("_a", "_b")), key, "left_anti").withColumn("_keep", F.lit(True))
-    x = x.join(kept, key, "left")
+    return x.withColumn("_a", F.when(F.col("_hard"), F.lower(head))).withColumn("_b", F.when(F.col("_hard"), F.lower(tail)))
+
+
+def _joined(x: DataFrame) -> DataFrame:
+    """Lines of ``_line_ends`` to texts; ``_keep`` is set where a hyphen stays."""
+    order = Window.partitionBy(*PAGE, "para").orderBy("k")
     drop = F.col("_soft") | F.col("_hard") & F.col("_keep").isNull()
     glued = F.coalesce(F.lag(F.col("_soft") | F.col("_hard")).over(order), F.lit(False))
     body = F.when(drop, F.left("text", F.length("text") - 1)).otherwise(F.col("text"))
@@ -102,6 +114,52 @@ def join_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return x.groupBy(*PAGE, "para").agg(strip(text).alias("text")).where("text <> ''")
 
 
+def _page_body(lines: Column) -> Column:
+    """The size and family of a page's ordinary text, as ``body_metrics`` finds them, of an array of its lines."""
+    sized = F.filter(F.transform(lines, lambda x: F.struct(
+        (F.bround(x["size"] * 2) / 2).alias("b"), F.length(strip(x["text"])).cast("long").alias("n"), x["size"].alias("size"), x["family"].alias("family"),
+        F.struct(x["y0"].alias("y"), x["x0"].alias("x")).alias("place"))), lambda x: x["n"] > 0)
+
+    def most(own: Column, by: str) -> Column:
+        """Of the values of ``by`` the one with most characters, the first on the page of several; with the mean size of its lines."""
+        of = lambda v: F.filter(own, lambda x: x[by] == v)
+        sums = F.transform(F.array_distinct(F.transform(own, lambda x: x[by])), lambda v: F.struct(
+            (-F.aggregate(of(v), F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("w"), F.array_min(F.transform(of(v), lambda x: x["place"])).alias("place"),
+            F.aggregate(of(v), F.lit(0.0), lambda a, x: a + x["size"] * x["n"]).alias("total"), v.alias("v")))
+        return F.array_min(sums)
+
+    top = most(sized, "b")
+    family = F.get(F.transform(F.array(top), lambda t: most(F.filter(sized, lambda x: x["b"] == t["v"]), "family")["v"]), F.lit(0))
+    return F.struct((top["total"] / -top["w"]).alias("body"), family.alias("family"))
+
+
+def pages_to_paragraphs(lines: DataFrame, height: float) -> DataFrame:
+    """lines(doc_id, page, k, text, size, family, x0, y0, x1, y1) of whole documents -> (doc_id, para, text): furniture and footnotes
+    left out, columns in reading order, lines joined to paragraphs and headings, sentences that go on over a page joined.
+
+    The operators of this and the layout module as one plan: a page's lines are brought together once, its measures, gutters and
+    words become columns beside them, and everything up to its paragraphs stays within the page; then the pages of a document
+    are brought together. So there are two shuffles, whatever the steps between."""
+    sides = ["x0", "y0", "x1", "y1"]
+    page = lines.groupBy(*PAGE).agg(F.collect_list(F.struct("k", "text", "size", "family", *sides)).alias("_l")).withColumn("_m", _page_body(F.col("_l")))
+    each = page.where("_m.body is not null").select(*PAGE, F.col("_m.body").alias("body"), F.col("_m.family").alias("_bf"), F.inline("_l"))
+    roles = with_roles(each, height)
+    text = Window.partitionBy(*PAGE)
+    narrow = F.collect_list(F.when(F.col("role").isin("body", "heading"), F.struct("x0", "x1"))).over(text)
+    words = F.flatten(F.collect_list(F.regexp_extract_all(F.lower(F.replace("text", F.lit(SOFT_HYPHEN), F.lit(""))), F.lit(LETTERS), F.lit(0))).over(text))
+    roles = roles.withColumn("_g", page_gutters(narrow, F.col("body"), 6, 12.0, 0.35, 0.5, 3)).withColumn("_words", words)
+    ordered = with_breaks(in_order(roles)).where("role in ('body', 'heading', 'title')")
+    fresh = F.when(F.col("role") == "body", F.col("breaks")).otherwise(~same_heading())
+    block = ordered.withColumn("_new", fresh.cast("int")).withColumn("para", F.sum("_new").over(Window.partitionBy(*PAGE).orderBy("pos")))
+    ends = _line_ends(block.select(*PAGE, "para", F.col("pos").alias("k"), F.when(F.col("role") == "body", F.col("text")).otherwise(strip("text")).alias("text"), "_words"))
+    known = lambda word: F.array_contains("_words", word)
+    keep = (F.col("_a") != "") & (F.col("_b") != "") & known(F.concat("_a", F.lit("-"), "_b")) & ~known(F.concat("_a", "_b"))
+    joined = _joined(ends.withColumn("_keep", F.when(keep, F.lit(True))).drop("_words"))
+    done = joined.select(*PAGE, "para", finish_paragraph("text").alias("text")).where("text <> ''")
+    paras = done.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda s: s["text"]).alias("paras"))
+    return stitch_pages(paras)
+
+
 def split_verses(spans: DataFrame) -> DataFrame:
     """spans(doc_id, page, pos, span, text, role, line_role) in reading order -> blocks(doc_id, page, seq, kind, text): a paragraph
     from each verse mark to the next, "Chapter N" before the headings that stand right before it, callers left out, a drop cap

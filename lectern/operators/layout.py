@@ -86,8 +86,12 @@ def body_metrics(spans: DataFrame) -> DataFrame:
 
 def classify_lines(lines: DataFrame, metrics: DataFrame, height: float) -> DataFrame:
     """lines with role: furniture, footnote, title, heading or body."""
-    m = metrics.select(*PAGE, "body", F.col("family").alias("_bf"))
-    x = lines.join(m, PAGE).withColumn("_t", strip("text"))
+    return with_roles(lines.join(metrics.select(*PAGE, "body", F.col("family").alias("_bf")), PAGE), height)
+
+
+def with_roles(lines: DataFrame, height: float) -> DataFrame:
+    """``classify_lines`` of lines that have their page's ``body`` size and family ``_bf``."""
+    x = lines.withColumn("_t", strip("text"))
     differs = (F.col("size") < 0.97 * F.col("body")) | ~F.col("family").isin("") & (F.col("family") != F.col("_bf"))
     number, short = _is_number("text"), F.length("_t") <= 70
     edge = (F.col("y0") >= 0.955 * height) | (F.col("y1") <= 0.085 * height) & (differs | number)
@@ -132,9 +136,13 @@ def _gutters(lines: DataFrame, least: int, unit, page_units: float, joint: float
 
 def reading_order(lines: DataFrame, gutters: DataFrame) -> DataFrame:
     """Text lines with col, spanning, and pos: bands of columns between the lines that span a gutter."""
-    text = lines.where("role in ('body', 'heading', 'title', 'table', 'figure')")
     per_page = gutters.groupBy(*PAGE).agg(F.collect_list(F.struct("g0", "g1")).alias("_g"))
-    x = text.join(per_page, PAGE, "left").withColumn("_g", F.coalesce("_g", F.array().cast("array<struct<g0:double,g1:double>>")))
+    return in_order(lines.join(per_page, PAGE, "left").withColumn("_g", F.coalesce("_g", F.array().cast("array<struct<g0:double,g1:double>>"))))
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """``reading_order`` of lines that have their page's gutters ``_g``."""
+    x = lines.where("role in ('body', 'heading', 'title', 'table', 'figure')")
     centre = (F.col("x0") + F.col("x1")) / 2
     x = x.withColumn("col", F.size(F.filter("_g", lambda g: centre > (g["g0"] + g["g1"]) / 2)))
     x = x.withColumn("spanning", F.exists("_g", lambda g: (F.col("x0") < g["g0"] - 2) & (F.col("x1") > g["g1"] + 2)))
@@ -146,6 +154,11 @@ def reading_order(lines: DataFrame, gutters: DataFrame) -> DataFrame:
 
 def paragraph_breaks(ordered: DataFrame) -> DataFrame:
     """Body lines in reading order (pos) with ``breaks``: a bullet, a wide gap, an indent, or a short line before a capital."""
+    return with_breaks(ordered).where("role = 'body'")
+
+
+def with_breaks(ordered: DataFrame) -> DataFrame:
+    """``paragraph_breaks`` of all lines; only those of body lines mean something."""
     order = _page("pos")
     column = Window.partitionBy(*PAGE, "col", "role")
     x = ordered.withColumn("_lo", F.min("x0").over(column)).withColumn("_hi", F.max("x1").over(column))
@@ -156,16 +169,20 @@ def paragraph_breaks(ordered: DataFrame) -> DataFrame:
     indent = ends & ((F.col("x0") - F.col("_lo")) - (before("x0") - before("_lo")) >= 0.6 * F.col("body"))
     short = (before("x1") - before("x0") < 0.72 * (before("_hi") - before("_lo"))) & ends & text.rlike(r"^\p{Lu}")
     breaks = ~F.coalesce(body_before, F.lit(False)) | _is_item(text) | gap | indent | short
-    return x.withColumn("breaks", breaks).drop("_lo", "_hi").where("role = 'body'")
+    return x.withColumn("breaks", breaks).drop("_lo", "_hi")
+
+
+def same_heading() -> Column:
+    """Whether a line in reading order goes on with the title or heading of the line before."""
+    before = lambda c: F.lag(c).over(_page("pos"))
+    same = (before("role") == F.col("role")) & (F.abs(before("size") - F.col("size")) <= 0.6) & (F.col("y0") - before("y1") <= 0.9 * before("size")) & (before("col") == F.col("col"))
+    return F.coalesce(same, F.lit(False))
 
 
 def merge_headings(ordered: DataFrame) -> DataFrame:
     """Consecutive title or heading lines of one role, size, column and place as one block."""
-    order = _page("pos")
-    before = lambda c: F.lag(c).over(order)
-    same = (before("role") == F.col("role")) & (F.abs(before("size") - F.col("size")) <= 0.6) & (F.col("y0") - before("y1") <= 0.9 * before("size")) & (before("col") == F.col("col"))
-    x = ordered.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int"))
-    x = x.withColumn("_run", F.sum("_new").over(order)).where("role in ('title', 'heading')")
+    x = ordered.withColumn("_new", (~same_heading()).cast("int"))
+    x = x.withColumn("_run", F.sum("_new").over(_page("pos"))).where("role in ('title', 'heading')")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", strip("text").alias("t")))), lambda s: s["t"]), " ")
     return x.groupBy(*PAGE, "_run").agg(F.first("role").alias("role"), text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).drop("_run")
 
@@ -309,9 +326,9 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _scan_gutters(lines: Column, unit: Column) -> Column:
-    """Gutters of a page of recognised lines: gaps between the narrow lines, taken from left to right, with four lines on each side.
-    At least eight lines and eight narrow ones, on a page at least eight units wide."""
+def page_gutters(lines: Column, unit: Column, least: int, page_units: float, joint: float, gap_units: float, side: int) -> Column:
+    """Gutters of a page of lines: gaps between the narrow lines, taken from left to right, with ``side`` lines on each side. At least
+    ``least`` lines and as many narrow ones, on a page at least ``page_units`` wide."""
     left, right = F.array_min(F.transform(lines, lambda x: x["x0"])), F.array_max(F.transform(lines, lambda x: x["x1"]))
 
     def of_page(page: Column) -> Column:
@@ -319,16 +336,17 @@ def _scan_gutters(lines: Column, unit: Column) -> Column:
         start = F.struct(F.lit(None).cast("double").alias("reach"), F.array().cast("array<struct<g0:double,g1:double>>").alias("gaps"))
         gap = lambda now, x: F.struct(now["reach"].alias("g0"), x["x0"].alias("g1"))
         step = lambda now, x: F.struct(
-            F.greatest(now["reach"], x["x1"]).alias("reach"), F.when(x["x0"] > now["reach"] + 0.3 * u, F.concat(now["gaps"], F.array(gap(now, x)))).otherwise(now["gaps"]).alias("gaps"))
+            F.greatest(now["reach"], x["x1"]).alias("reach"), F.when(x["x0"] > now["reach"] + joint * u, F.concat(now["gaps"], F.array(gap(now, x)))).otherwise(now["gaps"]).alias("gaps"))
         gaps = F.aggregate(narrow, start, step, lambda end: end["gaps"])
         centre = lambda g: (g["g0"] + g["g1"]) / 2
-        inside = lambda g: (g["g1"] - g["g0"] >= 0.45 * u) & centre(g).between(page["left"] + 0.15 * wide, page["right"] - 0.15 * wide)
-        sides = lambda g: (F.size(F.filter(narrow, lambda x: x["x1"] <= g["g0"] + 1)) >= 4) & (F.size(F.filter(narrow, lambda x: x["x0"] >= g["g1"] - 1)) >= 4)
+        inside = lambda g: (g["g1"] - g["g0"] >= gap_units * u) & centre(g).between(page["left"] + 0.15 * wide, page["right"] - 0.15 * wide)
+        sides = lambda g: (F.size(F.filter(narrow, lambda x: x["x1"] <= g["g0"] + 1)) >= side) & (F.size(F.filter(narrow, lambda x: x["x0"] >= g["g1"] - 1)) >= side)
         found = F.filter(gaps, lambda g: inside(g) & sides(g))
-        return F.when((F.size(lines) >= 8) & (wide >= 8 * u) & (F.size(narrow) >= 8), found)
+        return F.when((F.size(lines) >= least) & (wide >= page_units * u) & (F.size(narrow) >= least), found)
 
     narrow = lambda p: F.array_sort(F.transform(F.filter(lines, lambda x: x["x1"] - x["x0"] < 0.62 * (p["right"] - p["left"])), lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"))))
-    return _bound(F.struct(left.alias("left"), right.alias("right")), lambda p: _bound(F.struct(p["left"].alias("left"), p["right"].alias("right"), unit.alias("unit"), narrow(p).alias("narrow")), of_page))
+    found = _bound(F.struct(left.alias("left"), right.alias("right")), lambda p: _bound(F.struct(p["left"].alias("left"), p["right"].alias("right"), unit.alias("unit"), narrow(p).alias("narrow")), of_page))
+    return F.coalesce(found, F.array().cast("array<struct<g0:double,g1:double>>"))
 
 
 def _scanned_pages(lines: DataFrame) -> DataFrame:
@@ -337,7 +355,7 @@ def _scanned_pages(lines: DataFrame) -> DataFrame:
     heights = F.sort_array(F.transform("_l", lambda x: x["y1"] - x["y0"]))
     median = F.get(heights, F.call_function("div", F.size("_l"), F.lit(2)).cast("int"))
     pages = pages.withColumn("_unit", F.when(median == 0, 1.0).otherwise(median))
-    return pages.withColumn("_g", F.coalesce(_scan_gutters(F.col("_l"), F.col("_unit")), F.array().cast("array<struct<g0:double,g1:double>>")))
+    return pages.withColumn("_g", page_gutters(F.col("_l"), F.col("_unit"), 8, 8.0, 0.3, 0.45, 4))
 
 
 def ocr_columns(lines: DataFrame) -> DataFrame:

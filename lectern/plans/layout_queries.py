@@ -403,3 +403,14 @@ def placed(spark, sf):
 @query("lay29_place_picture_text")
 def lay29(spark, sf):
     return A.place_picture_text(*placed(spark, sf))
+
+
+def set_lines(spark, sf):
+    """All lines with a family; some end in hyphens."""
+    end = F.expr("case when k between 0 and 39 and (doc_id + k) % 6 = 0 then concat(text, '-') else text end")
+    return S.layout_lines(spark, sf).withColumn("family", F.lit("Body")).withColumn("text", end)
+
+
+@query("lay31_pages_to_paragraphs")
+def lay31(spark, sf):
+    return A.pages_to_paragraphs(set_lines(spark, sf), H)
