@@ -21,6 +21,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 UND = "und"
 #: Bounds of the labelled sample: languages, texts of each, characters of a text that go into a dictionary.
 MAX_LANGUAGES, TEXTS, CHARS = 64, 150, 1500
@@ -124,6 +126,8 @@ def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str =
     def accepted(texts: pd.Series) -> pd.Series:
         model = Compressors(shared.value) if not hasattr(accepted, "model") else accepted.model
         accepted.model = model
-        return pd.Series([model.predict(t, narrow)[3] for t in texts], dtype=bool)
+        found = pd.Series([model.predict(t, narrow)[3] for t in texts], dtype=bool)
+        give_back()
+        return found
 
     return docs.where(accepted(F.col(text_col)))

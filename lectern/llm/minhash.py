@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, maybe_broadcast, measured, slices
+from .common import durable, lean, maybe_broadcast, measured, slices
 from .components import connected_components, joined_components
 
 MASK = (1 << 64) - 1
@@ -110,7 +110,7 @@ def _sketches(words: int, m: int, rows: int):
                 out.append((i, len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, left, right))
             yield pd.DataFrame(out, columns=["_id", "n_shingles", "_set", "_left", "_right"])
 
-    return run
+    return lean(run)
 
 
 #: Words of 64 bits in the parity map.
@@ -136,7 +136,7 @@ def _sets(words: int):
             sets = [shingler(t) for t in pdf["_text"]]
             yield pd.DataFrame({"_id": pdf["_id"], "_shingles": [s.view(np.int64) for s in sets], "_parity": [parity(s) for s in sets]})
 
-    return run
+    return lean(run)
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

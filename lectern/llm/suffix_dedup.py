@@ -34,7 +34,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, maybe_broadcast, measured, partitions
+from .common import BROADCAST_ROWS, durable, give_back, lean, maybe_broadcast, measured, partitions
 from .exact_dedup import _answer, golomb_encode
 from .suffix_array import suffix_array
 
@@ -134,7 +134,7 @@ def _sent(length: int, owners: int, bits: int):
                     rows.append((sender, owner, golomb_encode((part >> low) - np.uint64((owner * width) >> int(low)), max(1, bits + 1 - owners.bit_length()))))
         yield pd.DataFrame(rows, columns=["_sender", "_owner", "_blob"])
 
-    return run
+    return lean(run)
 
 
 def _shared_segments(length: int, owners: int, bits: int):
@@ -169,7 +169,10 @@ def _shared_segments(length: int, owners: int, bits: int):
                 if len(hit):
                     place = (first[hit] << 16) | (windows[hit] << 8) | rel[hit]
                     out.append(pd.DataFrame({"_id": i, "_h": h, "_key": key[hit].view(np.int64), "_seg": seg[hit].view(np.int64), "_place": place}))
-        return pd.concat(out) if out else pd.DataFrame(columns=names)
+        found = pd.concat(out) if out else pd.DataFrame(columns=names)
+        del out
+        give_back()
+        return found
 
     return run
 
@@ -281,7 +284,7 @@ def _solve(length: int, rows: int = 4000):
         if held is not None and len(held):
             yield settle(held)
 
-    return run
+    return lean(run)
 
 
 def _wide_masks(segments: DataFrame, length: int) -> DataFrame:
@@ -317,7 +320,7 @@ def _with_bytes(rows: DataFrame, texts: DataFrame, length: int, repeats: bool) -
                         out.append((r["_key"], r["_seg"], low, r["_high"], r["_place"] & 255, n, raw[first : first + n + length - 1], r["_c"]))
             yield pd.DataFrame(out, columns=["_key", "_seg", "_low", "_high", "_rel", "_windows", "_bytes", "_c"])
 
-    out = joined.mapInPandas(run, "_key long, _seg long, _low long, _high long, _rel int, _windows int, _bytes binary, _c long")
+    out = joined.mapInPandas(lean(run), "_key long, _seg long, _low long, _high long, _rel int, _windows int, _bytes binary, _c long")
     return out.dropDuplicates(["_key", "_seg"]) if repeats else out
 
 
@@ -425,7 +428,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     left = left.join(cuts, (F.col("_id") == F.col("_did")) & (F.col("_h") == F.col("_dh")))
     left = left.select(*rest, "_z", F.col("_w._first").alias("_f"), F.col("_w._mask").alias("_m"))
     kinds = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in rest)
-    left = left.mapInArrow(cut, f"{kinds}, n_removed long, n_spans long, kept_sha256 string, kept string")
+    left = left.mapInArrow(lean(cut), f"{kinds}, n_removed long, n_spans long, kept_sha256 string, kept string")
     left = left.withColumn("_r", F.struct("n_removed", "n_spans", "kept_sha256", "kept"))
     columns = lambda n: [F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), n.alias("n_bytes"), "_r.n_removed", "_r.n_spans", "_r.kept_sha256",
                          *([F.col("_r.kept").alias("kept")] if keep_text else []), *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)]]
