@@ -4,10 +4,11 @@ Lines: doc_id, page, k (line number), text, size, baseline, family, x0, y0, x1,
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -379,69 +380,112 @@ def reading_groups(lines: DataFrame) -> DataFrame:
     return x.select(*lines.columns, "group")
 
 
-def _clusters(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, gap: float) -> np.ndarray:
-    """For each box of one page the number of its cluster: boxes are taken from top to bottom and united with those that begin
-    before they end, so only boxes whose heights meet are compared."""
-    order = np.argsort(y0, kind="stable")
-    top, parent = y0[order], list(range(len(order)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for at, i in enumerate(order):
-        later = order[at + 1 : np.searchsorted(top, y1[i] + gap, side="right")]
-        for j in later[(x0[later] <= x1[i] + gap) & (x0[i] <= x1[later] + gap) & (y0[i] <= y1[later] + gap)].tolist():
-            a, b = root(int(i)), root(j)
-            parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(order))], np.int64)
-
-
-def _least(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The smallest value of each group, at the group's number."""
-    out = np.full(len(group), values.max(initial=values[0]), values.dtype)
-    np.minimum.at(out, group, values)
-    return out
-
-
-def _per_page(boxes: DataFrame, work, columns: str) -> DataFrame:
-    """``work`` on the boxes of each page, sorted by number. A page's boxes are few, whatever the corpus."""
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of sets (the smallest number in each) once the pairs of a and b are united as well: round by round every set joins
+    the smallest that it is paired with."""
+    while True:
+        u, v = label[a], label[b]
+        apart = u != v
+        if not apart.any():
+            return label
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _clusters(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, gap: float) -> np.ndarray:
+    """For each box of some pages the smallest number in its cluster. All pages are taken at once: their boxes lie from top to bottom,
+    and each is compared with the next, the one after that and so on, as long as any begins before it ends."""
+    order = np.lexsort((y0, page))
+    page, x0, y0, x1, y1 = (v[order] for v in (page, x0, y0, x1, y1))
+    label, here, step, pairs, held = np.arange(len(order)), np.arange(len(order)), 1, [], 0
+    while len(here):
+        here = here[: np.searchsorted(here, len(order) - step)]
+        later = here + step
+        open_ = (page[here] == page[later]) & (y0[later] <= y1[here] + gap)
+        here, later = here[open_], later[open_]
+        hit = (x0[later] <= x1[here] + gap) & (x0[here] <= x1[later] + gap) & (y0[here] <= y1[later] + gap)
+        pairs.append((order[here[hit]], order[later[hit]]))
+        held, step = held + len(pairs[-1][0]), step + 1
+        if held > 1_000_000 or not len(here):  # what is held stays small on a crowded page
+            label, pairs, held = _unite(label, *(np.concatenate(x) for x in zip(*pairs, strict=True))), [], 0
+    return label
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of rows sorted by page as tables of whole pages, with each row's page as a number: the last page of a batch waits for
+    the next, where it may go on."""
+    def numbers(t: pa.Table) -> np.ndarray:
+        fresh = np.zeros(t.num_rows, bool)
+        for c in PAGE:
+            a, b = t[c][1:], t[c][:-1]
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            fresh[1:] |= ~same.to_numpy()
+        return np.cumsum(fresh)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        joint = pa.Table.from_batches([*[x.slice(x.num_rows - 1) for x in held[-1:]], batch])
+        page = numbers(joint)
+        if page[-1] == 0:  # one page so far
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        page = numbers(table)
+        cut = int(np.searchsorted(page, page[-1]))
+        if cut:
+            yield table.slice(0, cut), page[:cut]
+        held = table.slice(cut).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, numbers(table)
+
+
+def _per_page(boxes: DataFrame, work: Callable[..., tuple[np.ndarray, dict[str, np.ndarray]]], columns: str) -> DataFrame:
+    """``work`` on whole pages of boxes (page, x0, y0, x1, y1), sorted by number: it gives the rows that stay and columns of theirs.
+    One shuffle and sort by page; many small pages are worked on together."""
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*PAGE, "box")) + ", x0 double, y0 double, x1 double, y1 double, " + columns
-    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    sides = [F.col(c).cast("double").alias(c) for c in _SIDES]
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return work(pdf.sort_values("box", ignore_index=True))[names]
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page in _pages(batches):
+            box = table["box"]
+            rows, made = work(page, *(table[c].to_numpy() for c in _SIDES))
+            out = {c: table[c].take(pa.array(rows)) for c in (*PAGE, "box", *_SIDES)} | {c: pa.array(v) for c, v in made.items() if c != "cluster"}
+            if "cluster" in made:
+                out["cluster"] = box.take(pa.array(made["cluster"]))
+            yield from pa.table({c: out[c] for c in names}).to_batches()
 
-    return boxes.select(*PAGE, "box", *sides).groupBy(*PAGE).applyInPandas(solve, schema)
+    return boxes.select(*PAGE, "box", *sides).repartition(*PAGE).sortWithinPartitions(*PAGE, "box").mapInArrow(solve, schema)
 
 
 def cluster_boxes(boxes: DataFrame, gap: float) -> DataFrame:
     """boxes(doc_id, page, box, x0, y0, x1, y1) with ``cluster``: the smallest box number of those connected by distances of
     at most ``gap`` on both axes. One shuffle by page; the closure over neighbours is taken within the page."""
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        group, box = _clusters(*(pdf[c].to_numpy() for c in ("x0", "y0", "x1", "y1")), gap), pdf["box"].to_numpy()
-        return pdf.assign(cluster=_least(group, box)[group])
+    def label(page: np.ndarray, *sides: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        return np.arange(len(page)), {"cluster": _clusters(page, *sides, gap)}
 
     return _per_page(boxes, label, f"cluster {boxes.schema['box'].dataType.simpleString()}")
 
 
 def merge_boxes(boxes: DataFrame, gap: float) -> DataFrame:
     """Unions of boxes that overlap or come within ``gap``, until all are apart: doc_id, page, box, x0, y0, x1, y1, members."""
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        box, x0, y0, x1, y1 = (pdf[c].to_numpy() for c in ("box", "x0", "y0", "x1", "y1"))
-        members, before = np.ones(len(box), np.int64), -1
-        while len(box) != before:
-            before = len(box)
-            group = _clusters(x0, y0, x1, y1, gap)
-            one = np.unique(group)
-            box, x0, y0 = (_least(group, v)[one] for v in (box, x0, y0))
-            x1, y1 = (-_least(group, -v)[one] for v in (x1, y1))
-            members = np.bincount(group, members, len(group))[one]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in PAGE}, "box": box, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "members": members.astype(np.int64)})
+    def unite(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        rows, members = np.arange(len(page)), np.ones(len(page), np.int64)
+        while True:
+            group = _clusters(page, x0, y0, x1, y1, gap)
+            one, start = np.unique(np.sort(group), return_index=True)
+            if len(one) == len(page):
+                return rows, {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "members": members}
+            along = np.argsort(group, kind="stable")
+            x0, y0 = (np.minimum.reduceat(v[along], start) for v in (x0, y0))
+            x1, y1 = (np.maximum.reduceat(v[along], start) for v in (x1, y1))
+            page, rows, members = page[one], rows[one], np.add.reduceat(members[along], start)
 
     return _per_page(boxes, unite, "members long")
 

@@ -56,3 +56,45 @@ def test_clusters_of_all_lines(spark, sf):
             want |= {(*page, x, min(seen)) for x in seen}
     got = {(r.doc_id, r.page, r.box, r.cluster) for r in Q.lay24(spark, sf).collect()}
     assert got == want and len({x[3] for x in want}) > 5
+
+
+def test_boxes_of_many_pages_at_once(spark):
+    """Pages that cross batches, a crowded page, one of a single box and one without a number: as pair by pair."""
+    import random
+
+    from lectern.operators.layout import cluster_boxes, merge_boxes
+
+    rnd, rows = random.Random(3), []
+    for page, n in [(p, p % 7 + 1) for p in range(60)] + [(100, 150), (None, 5)]:
+        for box in rnd.sample(range(1000), n):
+            x, y = rnd.randrange(0, 400), rnd.randrange(0, 600)
+            rows.append((1, page, box, float(x), float(y), float(x + rnd.randrange(1, 40)), float(y + rnd.randrange(1, 40))))
+    df = spark.createDataFrame(rows, "doc_id long, page int, box int, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    pages = defaultdict(list)
+    for r in rows:
+        pages[r[1]].append((*r[2:], 1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, labels = defaultdict(list), defaultdict(set)
+        for r in merge_boxes(df, 5.0).collect():
+            got[r.page].append([r.box, r.x0, r.y0, r.x1, r.y1, r.members])
+        for r in cluster_boxes(df, 5.0).collect():
+            labels[r.page].add((r.box, r.cluster))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {p: sorted(x) for p, x in got.items()} == {p: sorted(merged(sorted(x), 5.0)) for p, x in pages.items()}
+    for page, boxes in pages.items():
+        root = {b[0]: b[0] for b in boxes}
+        for _ in range(20):
+            for a in boxes:
+                for b in boxes:
+                    if a[1] <= b[3] + 5 and b[1] <= a[3] + 5 and a[2] <= b[4] + 5 and b[2] <= a[4] + 5:
+                        root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
+        assert labels[page] == set(root.items())
+
+
+def test_boxes_are_not_grouped_page_by_page(spark, sf):
+    """A group handed to Python for each page costs more than its boxes."""
+    for df in (Q.lay24(spark, sf), Q.lay25(spark, sf), Q.lay26(spark, sf)):
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
