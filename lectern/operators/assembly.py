@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import QUOTES, STOPS, WHITE, finish_paragraph, is_picture, join_pieces, strip
 from lectern.operators.layout import (
-    PAGE, _is_range, cluster_boxes, in_order, merge_boxes, page_gutters, reading_groups, same_heading, stitch_pages, with_breaks, with_roles)
+    PAGE, _bound, _is_range, cluster_boxes, in_order, merge_boxes, page_gutters, reading_groups, same_heading, stitch_pages, with_breaks, with_roles)
 
 SOFT_HYPHEN = "­"
 #: Signs of footnotes, what ends a clause before a new sentence, what opens one.
@@ -128,9 +128,21 @@ def _page_body(lines: Column) -> Column:
             F.aggregate(of(v), F.lit(0.0), lambda a, x: a + x["size"] * x["n"]).alias("total"), v.alias("v")))
         return F.array_min(sums)
 
-    top = most(sized, "b")
-    family = F.get(F.transform(F.array(top), lambda t: most(F.filter(sized, lambda x: x["b"] == t["v"]), "family")["v"]), F.lit(0))
-    return F.struct((top["total"] / -top["w"]).alias("body"), family.alias("family"))
+    def of_page(own: Column) -> Column:
+        return _bound(most(own, "b"), lambda t: F.named_struct(
+            F.lit("body"), t["total"] / -t["w"], F.lit("family"), _bound(F.filter(own, lambda x: x["b"] == t["v"]), lambda mine: most(mine, "family")["v"])))
+
+    return _bound(sized, of_page)  # bound, so that the lines are measured once
+
+
+def _hyphenated(lines: Column) -> Column:
+    """Where words keep their hyphen when they are cut at it: the parts before and behind each hyphen of a page's words, unless the
+    page has the joined word as well. Few words have one, so a page's lines carry little."""
+    words = F.array_distinct(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(F.lower(F.replace(x["text"], F.lit(SOFT_HYPHEN), F.lit(""))), F.lit(LETTERS), F.lit(0)))))
+    cut = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.named_struct(
+        F.lit("a"), F.array_join(F.slice(p, 1, i), "-"), F.lit("b"), F.array_join(F.slice(p, i + 1, F.size(p)), "-")))
+    parts = lambda ws: F.flatten(F.transform(F.filter(ws, lambda w: w.contains("-")), lambda w: _bound(F.split(w, "-"), cut)))
+    return _bound(words, lambda ws: F.filter(parts(ws), lambda c: ~F.array_contains(ws, F.concat(c["a"], c["b"]))))
 
 
 def pages_to_paragraphs(lines: DataFrame, height: float) -> DataFrame:
@@ -142,19 +154,20 @@ def pages_to_paragraphs(lines: DataFrame, height: float) -> DataFrame:
     are brought together. So there are two shuffles, whatever the steps between."""
     sides = ["x0", "y0", "x1", "y1"]
     page = lines.groupBy(*PAGE).agg(F.collect_list(F.struct("k", "text", "size", "family", *sides)).alias("_l")).withColumn("_m", _page_body(F.col("_l")))
-    each = page.where("_m.body is not null").select(*PAGE, F.col("_m.body").alias("body"), F.col("_m.family").alias("_bf"), F.inline("_l"))
+    each = page.select(*PAGE, F.col("_m.body").alias("body"), F.col("_m.family").alias("_bf"), _hyphenated(F.col("_l")).alias("_kept"), F.inline(F.when(F.col("_m.body").isNotNull(), F.col("_l"))))
     roles = with_roles(each, height)
+    # A page's gutters are found at its first line, not at each.
     text = Window.partitionBy(*PAGE)
     narrow = F.collect_list(F.when(F.col("role").isin("body", "heading"), F.struct("x0", "x1"))).over(text)
-    words = F.flatten(F.collect_list(F.regexp_extract_all(F.lower(F.replace("text", F.lit(SOFT_HYPHEN), F.lit(""))), F.lit(LETTERS), F.lit(0))).over(text))
-    roles = roles.withColumn("_g", page_gutters(narrow, F.col("body"), 6, 12.0, 0.35, 0.5, 3)).withColumn("_words", words)
+    roles = roles.withColumn("_n", narrow).withColumn("_first", F.col("k").eqNullSafe(F.min("k").over(text)))
+    roles = roles.withColumn("_g", F.when(F.col("_first"), page_gutters(F.col("_n"), F.col("body"), 6, 12.0, 0.35, 0.5, 3))).drop("_n", "_first")
+    roles = roles.withColumn("_g", F.max("_g").over(text))
     ordered = with_breaks(in_order(roles)).where("role in ('body', 'heading', 'title')")
     fresh = F.when(F.col("role") == "body", F.col("breaks")).otherwise(~same_heading())
     block = ordered.withColumn("_new", fresh.cast("int")).withColumn("para", F.sum("_new").over(Window.partitionBy(*PAGE).orderBy("pos")))
-    ends = _line_ends(block.select(*PAGE, "para", F.col("pos").alias("k"), F.when(F.col("role") == "body", F.col("text")).otherwise(strip("text")).alias("text"), "_words"))
-    known = lambda word: F.array_contains("_words", word)
-    keep = (F.col("_a") != "") & (F.col("_b") != "") & known(F.concat("_a", F.lit("-"), "_b")) & ~known(F.concat("_a", "_b"))
-    joined = _joined(ends.withColumn("_keep", F.when(keep, F.lit(True))).drop("_words"))
+    ends = _line_ends(block.select(*PAGE, "para", F.col("pos").alias("k"), F.when(F.col("role") == "body", F.col("text")).otherwise(strip("text")).alias("text"), "_kept"))
+    keep = F.exists("_kept", lambda w: (w["a"] == F.col("_a")) & (w["b"] == F.col("_b")))
+    joined = _joined(ends.withColumn("_keep", F.when(F.col("_hard") & keep, F.lit(True))).drop("_kept"))
     done = joined.select(*PAGE, "para", finish_paragraph("text").alias("text")).where("text <> ''")
     paras = done.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda s: s["text"]).alias("paras"))
     return stitch_pages(paras)

@@ -105,11 +105,11 @@ def with_roles(lines: DataFrame, height: float) -> DataFrame:
     x = x.withColumn("_fails", fails.cast("int")).withColumn("_note", ~F.col("_furniture") & (F.max("_fails").over(up) == 0))
     print_ = (F.col("y0") >= 0.91 * height) & short & differs & (F.col("size") <= 0.97 * F.col("body"))
     letters = F.length(F.regexp_replace("_t", r"(?U)[^\p{L}]", ""))
-    title = (letters >= 2) & (F.col("size") >= 1.25 * F.col("body")) & (F.length("_t") <= 120)
+    title = (F.col("size") >= 1.25 * F.col("body")) & (F.length("_t") <= 120) & (letters >= 2)  # letters are counted last
     shout = (F.upper("_t") == F.col("_t")) & (F.lower("_t") != F.col("_t"))
     if "bold" in lines.columns:
         shout = shout | F.coalesce(F.col("bold"), F.lit(False))
-    heading = (letters >= 2) & (F.length("_t") <= 80) & (F.col("family") != "") & (F.col("family") != F.col("_bf")) & ~ends_sentence("_t") & shout
+    heading = (F.length("_t") <= 80) & (F.col("family") != "") & (F.col("family") != F.col("_bf")) & ~ends_sentence("_t") & shout & (letters >= 2)
     role = F.when(F.col("_furniture"), "furniture").when(F.col("_note"), "footnote").when(print_, "furniture").when(title, "title").when(heading, "heading").otherwise("body")
     return x.withColumn("role", role).drop("_t", "_bf", "_furniture", "_fails", "_note")
 
