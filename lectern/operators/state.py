@@ -171,35 +171,43 @@ class Marks:
         return [(self.at[s][0], s, *self.at[s][1:]) for s in self.starts]
 
 
-def _play(batches):
-    """Task: events by paragraph and number, in any batches -> highlights of each paragraph. Only a paragraph's highlights are held."""
+def _paragraphs(batches):
+    """Task: events by paragraph and number, in any batches -> lists of (key, marks) of the paragraphs that end in each batch. Only a
+    paragraph's highlights are held."""
     def whole(x):
         return None if pd.isna(x) else int(x)
 
-    key, marks, rows = None, Marks(), []
+    key, marks, done = None, Marks(), []
     for pdf in batches:
         for user, doc, para, *event in pdf[["user_id", "doc", "para", *EVENT]].itertuples(index=False):
             now = (whole(user), whole(doc), whole(para))
             if now != key:
-                rows += [(*key, *x) for x in marks.items()] if key else []
+                done += [(key, marks)] if key else []
                 key, marks = now, Marks()
             marks.play(*event)
-        yield _highlights(rows)
-        rows = []
-    yield _highlights([(*key, *x) for x in marks.items()] if key else [])
+        yield done
+        done = []
+    yield [(key, marks)] if key else []
 
 
-def _highlights(rows: list[tuple]) -> pd.DataFrame:
+def _play(batches):
+    """Task: events -> highlights of each paragraph."""
     names = ["user_id", "doc", "para", "id", "start", "end", "colour"]
-    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[:-1]})
+    for done in _paragraphs(batches):
+        rows = [(*key, *x) for key, marks in done for x in marks.items()]
+        yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[:-1]})
 
 
-def apply_highlight_log(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """log(user_id, doc, para, seq, op, start, end, colour, target) -> current highlights. Ids count up within a paragraph; a split
-    leaves the id with its head. ``before``(user_id, doc, para, next, items array<struct<id, start, end, colour>>): what was there.
+def _play_paragraphs(batches):
+    """Task: events -> a row for each paragraph, with the number that its next highlight gets."""
+    names = ["user_id", "doc", "para", "next", "items"]
+    for done in _paragraphs(batches):
+        rows = [(*key, marks.next_id, [dict(zip(("id", "start", "end", "colour"), x, strict=True)) for x in marks.items()]) for key, marks in done]
+        yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[:-1]})
 
-    Which id an event means depends on all before it, so a paragraph's log is a sequence by nature: paragraphs are dealt over the
-    tasks and sorted, and a task reads its events in small batches with one paragraph's highlights in memory."""
+
+def _by_paragraph(log: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The events of each paragraph in one task and in order, behind rows that bring what was there."""
     key = ["user_id", "doc", "para"]
     events = log.select(*key, "seq", *EVENT)
     if before is not None:
@@ -209,7 +217,21 @@ def apply_highlight_log(log: DataFrame, before: DataFrame | None = None) -> Data
         events = events.unionByName(item.select(*key, none("long").alias("seq"), F.lit("have").alias("op"), "i.start", "i.end", "i.colour", F.col("i.id").alias("target")))
         events = events.unionByName(touched.select(*key, none("long").alias("seq"), F.lit("next").alias("op"), none("long").alias("start"), none("long").alias("end"),
                                                    none("string").alias("colour"), F.col("next").alias("target")))
-    return events.repartition(*key).sortWithinPartitions(*key, F.col("seq").asc_nulls_first()).mapInPandas(_play, HIGHLIGHT)
+    return events.repartition(*key).sortWithinPartitions(*key, F.col("seq").asc_nulls_first())
+
+
+def apply_highlight_log(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """log(user_id, doc, para, seq, op, start, end, colour, target) -> current highlights. Ids count up within a paragraph; a split
+    leaves the id with its head. ``before``(user_id, doc, para, next, items array<struct<id, start, end, colour>>): what was there.
+
+    Which id an event means depends on all before it, so a paragraph's log is a sequence by nature: paragraphs are dealt over the
+    tasks and sorted, and a task reads its events in small batches with one paragraph's highlights in memory."""
+    return _by_paragraph(log, before).mapInPandas(_play, HIGHLIGHT)
+
+
+def play_highlight_log(log: DataFrame, before: DataFrame) -> DataFrame:
+    """``apply_highlight_log`` as rows like those of ``before``, one for each paragraph of the log, also where nothing is left."""
+    return _by_paragraph(log, before).mapInPandas(_play_paragraphs, before.schema)
 
 
 def highlights_at(probes: DataFrame, highlights: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lectern.functions.text import nearest_speed
-from lectern.operators.state import EVENT, Marks, apply_highlight_log, latest_positions
+from lectern.operators.state import EVENT, apply_highlight_log, latest_positions, play_highlight_log
 from lectern.streaming.tables import KeyedTable, shared_folder
 
 
@@ -132,99 +129,43 @@ def progress_counts(events: DataFrame, width: str = "1 day", slide: str | None =
 
 
 MARKED = "user_id long, doc long, para long, next long, items array<struct<id: long, start: long, end: long, colour: string>>"
-WAITING = "ts long, op string, start long, end long, colour string, target long"
-
-
-class HighlightLog(StatefulProcessor):
-    """One paragraph's highlights on a stream. Each highlight is an entry of its own in the state, so a batch writes those it changes.
-    Events wait until the watermark has passed them and are then played in the order of their numbers, whichever batch they came
-    in; a timer stands at the oldest one that waits."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.next = handle.getValueState("next", "id long")
-        self.items = handle.getMapState("items", "id long", "start long, end long, colour string")
-        self.waiting = handle.getMapState("waiting", "seq long", WAITING)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
-        for pdf in rows:
-            at = pdf["ts"].astype("datetime64[ms]").astype("int64")
-            for ts, seq, *event in zip(at, pdf["seq"], *(pdf[c] for c in EVENT), strict=True):
-                self.waiting.updateValue((int(seq),), (int(ts), *_plain(event)))
-                first = int(ts) if first is None else min(first, int(ts))
-        if first is not None:
-            self.handle.registerTimer(first)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        reached = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        waiting = [(seq[0], *event) for seq, event in self.waiting.iterator()]
-        ready = sorted(w for w in waiting if w[1] <= reached)
-        later = [w[1] for w in waiting if w[1] > reached]
-        if later:
-            self.handle.registerTimer(min(later))
-        if not ready:
-            yield pd.DataFrame()
-            return
-        before = {i[0]: tuple(item) for i, item in self.items.iterator()}
-        marks = Marks([(i, *item) for i, item in before.items()], self.next.get()[0] if self.next.exists() else 1)
-        for seq, _, *event in ready:
-            marks.play(*event)
-            self.waiting.removeKey((seq,))
-        after = {i: (s, e, c) for i, s, e, c in marks.items()}
-        for i in before.keys() - after.keys():
-            self.items.removeKey((i,))
-        for i, item in after.items():
-            if before.get(i) != item:
-                self.items.updateValue((i,), item)
-        self.next.update((marks.next_id,))
-        items = [{"id": i, "start": s, "end": e, "colour": c} for i, s, e, c in marks.items()]
-        yield pd.DataFrame({**{n: [int(k)] for n, k in zip(("user_id", "doc", "para"), key, strict=True)}, "next": [marks.next_id], "items": [items]})
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(event: list) -> list:
-    """op, start, end, colour, target as values that state takes."""
-    return [None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in event]
-
-
-def highlights(log: DataFrame, late: str = "1 day") -> DataFrame:
-    """log(user_id, doc, para, ts, seq, op, start, end, colour, target), a stream -> (user_id, doc, para, next, items): a paragraph's
-    highlights whenever the watermark has released events of it; update mode. Numbers follow times. Events that come later than
+
+
+def released_events(log: DataFrame, late: str = "1 day") -> DataFrame:
+    """log(user_id, doc, para, ts, seq, op, start, end, colour, target), a stream -> its events, each once the watermark has passed it,
+    whichever batch it came in; append mode. An event is a group of its own in the state until then. Events that come later than
     ``late`` behind the newest are passed over."""
-    rows = log.withWatermark("ts", late).select("user_id", "doc", "para", "ts", "seq", *EVENT)
-    return rows.groupBy("user_id", "doc", "para").transformWithStateInPandas(HighlightLog(), outputStructType=MARKED, outputMode="Update", timeMode="eventTime")
+    return log.withWatermark("ts", late).groupBy("user_id", "doc", "para", "ts", "seq", *EVENT).agg(F.count("*").alias("_n")).drop("_n")
 
 
 def highlights_table(spark: SparkSession, path: str | None = None) -> KeyedTable:
     return KeyedTable(spark, MARKED, ["user_id", "doc", "para"], path)
 
 
-#: State with timers and maps is kept by this store.
+#: Events that wait are kept by this store.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def save_highlights(log: DataFrame, table: KeyedTable, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """Start keeping highlights: each batch replaces the rows of the paragraphs it released events of."""
+    """Start keeping highlights: each batch plays the events it releases, in the order of their numbers, on what the table holds of
+    their paragraphs and replaces those rows. Numbers follow times."""
     def write(batch: DataFrame, number: int) -> None:
-        table.upsert(batch, number)
+        table.upsert(play_highlight_log(batch.persist(), table.before(number)), number)  # persisted: the state is gone through once
+        batch.unpersist()
 
     conf, key = log.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(key)
     conf.set(key, STORE)
     try:
-        return highlights(log, late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return released_events(log, late).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         conf.set(key, before)
 
 
 def waiting_events(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The log's events that wait for the watermark, read from the state of a stopped stream."""
-    kept = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
-    return kept.select("key.*", F.col("user_map_key.seq").alias("seq"), *[F.col(f"user_map_value.{c}").alias(c) for c in EVENT])
+    kept = spark.read.format("statestore").option("path", checkpoint).load()
+    return kept.select(*[F.col(f"key.{c}").alias(c) for c in ("user_id", "doc", "para", "seq", *EVENT)])
 
 
 def flush_highlights(table: KeyedTable, checkpoint: str) -> DataFrame:

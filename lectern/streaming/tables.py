@@ -53,11 +53,16 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._newest()
 
+    def before(self, version: int) -> DataFrame:
+        """What the table held before ``version`` was written, also where that is written again."""
+        return self._newest(version)
+
     def upsert(self, rows: DataFrame, version: int, order: Column | None = None) -> None:
         """Put ``rows`` in place of those with their keys; with ``order`` the row of the largest value stays, old or new."""
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        rows = rows.select(*names)
+        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/incoming")  # looked at three times, made once
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/incoming")
         touched = [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # bounded by the buckets
         if not touched:
             return

@@ -67,6 +67,21 @@ def test_a_batch_writes_its_buckets(spark, tmp_path):
     assert got == {5: "new", 7: "zzz"}  # the larger one stays
 
 
+def test_rows_are_made_once(spark, tmp_path):
+    """However often the table looks at a batch, the stream's state is gone through once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    table = KeyedTable(spark, "k long, v string", ["k"], f"{tmp_path}/t")
+    for version in range(2):
+        table.upsert(spark.range(100).selectExpr("id as k", "'x' as v").mapInPandas(count, "k long, v string"), version)
+    assert seen.value == 200 and table.read().count() == 100
+
+
 def test_highlights_in_any_order_of_batches(spark, sf, tmp_path):
     """A log cut into batches in mixed order gives what the whole log gives: events wait until the watermark passes them."""
     log = highlight_log(spark, sf)
