@@ -177,3 +177,14 @@ def test_books_larger_than_a_task(spark, tmp_path):
     assert big["title"] == "big: one/two +%" and len(big["paragraphs"]) == 499 and "sections" not in big and big["paragraphs"][2]["text"] == rows[2][2]
     assert got["small"] == {"title": "small", "paragraphs": [{"index": 7, "text": "only", "bookmarked": False, "highlighted": True}],
                             "sections": [{"title": "a", "start": 0, "end": 8}, {"title": "b", "start": 8, "end": 10}]}
+
+
+def test_parts_follow_the_pages(spark):
+    """A task's share of the pages is bounded by bytes: 12 MiB are dealt into more parts than the session has."""
+    import re
+
+    from lectern.functions import markup as M
+
+    pages = spark.range(12).selectExpr("id as page_id", "repeat('<p>x</p>', 131072) as html")
+    plan = M.stream(pages, "page_id", "html")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(_row#\d+L?, (\d+)\)", plan) == ["6"]
