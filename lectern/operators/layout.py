@@ -85,6 +85,20 @@ def body_metrics(spans: DataFrame) -> DataFrame:
     return top.join(family, PAGE).select(*PAGE, F.col("_t._mean").alias("body"), "family")
 
 
+def with_metrics(lines: DataFrame) -> DataFrame:
+    """lines with their page's ``body`` size and family ``_bf``, as ``body_metrics`` finds them; pages without any are left out. The
+    lines are dealt out by page once, so whatever works on pages behind this shuffles nothing, and their table is read once."""
+    n = F.length(strip("text")).cast("long")
+    x = lines.repartition(*PAGE).withColumn("_n", F.when(n > 0, n)).withColumn("_b", F.bround(F.col("size") * 2) / 2)
+    place = F.when(F.col("_n").isNotNull(), F.struct("y0", "x0"))
+    kind, same, page = Window.partitionBy(*PAGE, "_b", "family"), Window.partitionBy(*PAGE, "_b"), Window.partitionBy(*PAGE)
+    x = x.withColumn("_fw", F.sum("_n").over(kind)).withColumn("_ff", F.min(place).over(kind))
+    x = x.withColumn("_w", F.sum("_n").over(same)).withColumn("_total", F.sum(F.col("size") * F.col("_n")).over(same)).withColumn("_f", F.min("_ff").over(same))
+    most = F.struct((-F.col("_w")).alias("w"), F.col("_f").alias("f"), F.col("_b").alias("b"), (F.col("_total") / F.col("_w")).alias("mean"), (-F.col("_fw")).alias("fw"), F.col("_ff").alias("ff"), F.col("family").alias("family"))
+    x = x.withColumn("_top", F.min(F.when(F.col("_fw").isNotNull(), most)).over(page)).where("_top.b is not null")
+    return x.withColumn("body", F.col("_top.mean")).withColumn("_bf", F.col("_top.family")).drop("_n", "_b", "_fw", "_ff", "_w", "_total", "_f", "_top")
+
+
 def classify_lines(lines: DataFrame, metrics: DataFrame, height: float) -> DataFrame:
     """lines with role: furniture, footnote, title, heading or body."""
     return with_roles(lines.join(metrics.select(*PAGE, "body", F.col("family").alias("_bf")), PAGE), height)
@@ -94,7 +108,8 @@ def with_roles(lines: DataFrame, height: float) -> DataFrame:
     """``classify_lines`` of lines that have their page's ``body`` size and family ``_bf``."""
     x = lines.withColumn("_t", strip("text"))
     differs = (F.col("size") < 0.97 * F.col("body")) | ~F.col("family").isin("") & (F.col("family") != F.col("_bf"))
-    number, short = _is_number("text"), F.length("_t") <= 70
+    # What costs much is asked only of the lines that it matters for; ``when`` is what keeps it from being made ahead for all.
+    number, short = F.coalesce(F.when((F.col("y0") >= 0.93 * height) | (F.col("y1") <= 0.10 * height), _is_number("text")), F.lit(False)), F.length("_t") <= 70
     edge = (F.col("y0") >= 0.955 * height) | (F.col("y1") <= 0.085 * height) & (differs | number)
     bare = ((F.col("y0") >= 0.93 * height) | (F.col("y1") <= 0.10 * height)) & number
     x = x.withColumn("_furniture", short & (F.col("size") <= 1.15 * F.col("body")) & (edge | bare))
@@ -104,8 +119,8 @@ def with_roles(lines: DataFrame, height: float) -> DataFrame:
     fails = (F.col("size") > 0.86 * F.col("body")) | (F.col("y0") < 0.45 * height) | (gap > 2.2 * F.col("size"))
     x = x.withColumn("_fails", fails.cast("int")).withColumn("_note", ~F.col("_furniture") & (F.max("_fails").over(up) == 0))
     print_ = (F.col("y0") >= 0.91 * height) & short & differs & (F.col("size") <= 0.97 * F.col("body"))
-    letters = F.length(F.regexp_replace("_t", r"(?U)[^\p{L}]", ""))
-    title = (F.col("size") >= 1.25 * F.col("body")) & (F.length("_t") <= 120) & (letters >= 2)  # letters are counted last
+    letters = F.when((F.col("size") >= 1.25 * F.col("body")) | (F.col("family") != F.col("_bf")), F.length(F.regexp_replace("_t", r"(?U)[^\p{L}]", "")))
+    title = (F.col("size") >= 1.25 * F.col("body")) & (F.length("_t") <= 120) & (letters >= 2)
     shout = (F.upper("_t") == F.col("_t")) & (F.lower("_t") != F.col("_t"))
     if "bold" in lines.columns:
         shout = shout | F.coalesce(F.col("bold"), F.lit(False))
@@ -116,23 +131,37 @@ def with_roles(lines: DataFrame, height: float) -> DataFrame:
 
 def find_gutters(lines: DataFrame) -> DataFrame:
     """Gutters (doc_id, page, g0, g1) between text columns of lines(role, body, ...): gaps of the merged narrow lines."""
-    return _gutters(lines.where("role in ('body', 'heading')"), 6, F.col("body"), 12.0, 0.35, 0.5, 3)
+    gaps = _gaps(lines.where("role in ('body', 'heading')"), F.lit(True), 6, F.col("body"), 12.0, 0.35, 0.5, 3)
+    return gaps.where("_gap is not null").select(*PAGE, "_gap.*").distinct()
+
+
+def with_gutters(lines: DataFrame) -> DataFrame:
+    """lines with their page's gutters ``_g``, as ``find_gutters`` finds them."""
+    x = _gaps(lines, F.coalesce(F.col("role").isin("body", "heading"), F.lit(False)), 6, F.col("body"), 12.0, 0.35, 0.5, 3)
+    return x.withColumn("_g", F.collect_set("_gap").over(Window.partitionBy(*PAGE))).drop("_gap")
 
 
-def _gutters(lines: DataFrame, least: int, unit, page_units: float, joint: float, gap_units: float, side: int) -> DataFrame:
+def _gaps(lines: DataFrame, counts: Column, least: int, unit: Column, page_units: float, joint: float, gap_units: float, side: int) -> DataFrame:
+    """lines with ``_gap``, the gutter (g0, g1) that ends at this line. Only lines that count, and are narrow, make gutters. A gutter
+    has ``side`` lines on each side if that many ends come before it and that many beginnings behind: the ends of a page are
+    taken in order, so no line is compared with each gap."""
     page = Window.partitionBy(*PAGE)
-    x = lines.withColumn("_u", unit).withColumn("_n", F.count("*").over(page)).withColumn("_left", F.min("x0").over(page)).withColumn("_right", F.max("x1").over(page))
-    x = x.withColumn("_tw", F.col("_right") - F.col("_left")).where((F.col("_n") >= least) & (F.col("_tw") >= page_units * F.col("_u")))
-    x = x.where((F.col("x1") - F.col("x0")) < 0.62 * F.col("_tw")).withColumn("_m", F.count("*").over(page)).where(F.col("_m") >= least)
-    order = page.orderBy("x0", "x1")
-    reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("g0", reach)
-    gaps = x.where(F.col("x0") > F.col("g0") + joint * F.col("_u")).select(*PAGE, "g0", F.col("x0").alias("g1"), "_u", "_left", "_right", "_tw").distinct()
-    centre = (F.col("g0") + F.col("g1")) / 2
-    gaps = gaps.where((F.col("g1") - F.col("g0") >= gap_units * F.col("_u")) & centre.between(F.col("_left") + 0.15 * F.col("_tw"), F.col("_right") - 0.15 * F.col("_tw")))
-    narrow = x.select(*PAGE, F.col("x0").alias("_a"), F.col("x1").alias("_b"))
-    sides = gaps.join(narrow, PAGE).groupBy(*PAGE, "g0", "g1").agg(F.count_if(F.col("_b") <= F.col("g0") + 1).alias("_l"), F.count_if(F.col("_a") >= F.col("g1") - 1).alias("_r"))
-    return sides.where((F.col("_l") >= side) & (F.col("_r") >= side)).select(*PAGE, "g0", "g1")
+    whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = lines.withColumn("_u", unit).withColumn("_c", counts).withColumn("_lines", F.count_if("_c").over(page))
+    x = x.withColumn("_left", F.min(F.when(F.col("_c"), F.col("x0"))).over(page)).withColumn("_tw", F.max(F.when(F.col("_c"), F.col("x1"))).over(page) - F.col("_left"))
+    narrow = F.col("_c") & (F.col("_lines") >= least) & (F.col("_tw") >= page_units * F.col("_u")) & ((F.col("x1") - F.col("x0")) < 0.62 * F.col("_tw"))
+    x = x.withColumn("_a", F.when(narrow, F.col("x0"))).withColumn("_e", F.when(narrow, F.col("x1")))
+    ends = page.orderBy(F.asc_nulls_last("_e"))
+    x = x.withColumn("_at", F.row_number().over(ends)).withColumn("_end", F.max(F.when(F.col("_at") == side, F.col("_e"))).over(page))
+    order = page.orderBy("_a", "_e")
+    x = x.withColumn("_at", F.count("_a").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("g0", F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("_m", F.count("_a").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    x = x.withColumn("_begin", F.max(F.when(F.col("_at") == F.col("_m") - side + 1, F.col("_a"))).over(whole))
+    g0, g1 = F.col("g0"), F.col("_a")
+    centre = (g0 + g1) / 2
+    good = (F.col("_m") >= least) & (g1 > g0 + joint * F.col("_u")) & (g1 - g0 >= gap_units * F.col("_u")) & centre.between(F.col("_left") + 0.15 * F.col("_tw"), F.col("_left") + F.col("_tw") - 0.15 * F.col("_tw"))
+    good = good & (F.col("_end") <= g0 + 1) & (F.col("_begin") >= g1 - 1)
+    return x.withColumn("_gap", F.when(good, F.struct("g0", F.col("_a").alias("g1")))).drop("_u", "_c", "_lines", "_left", "_tw", "_a", "_e", "_at", "_end", "_m", "_begin", "g0")
 
 
 def reading_order(lines: DataFrame, gutters: DataFrame) -> DataFrame:
@@ -165,11 +194,14 @@ def with_breaks(ordered: DataFrame) -> DataFrame:
     x = ordered.withColumn("_lo", F.min("x0").over(column)).withColumn("_hi", F.max("x1").over(column))
     before = lambda c: F.lag(c).over(order)
     body_before = before("role") == "body"
-    text, ends = F.ltrim(F.col("text"), F.lit(WHITE)), ends_sentence(strip(before("text")))
+    text = F.ltrim(F.col("text"), F.lit(WHITE))
     gap = (F.col("col") == before("col")) & (F.col("y0") - before("y1") > 0.55 * F.greatest(before("y1") - before("y0"), F.lit(1.0)))
-    indent = ends & ((F.col("x0") - F.col("_lo")) - (before("x0") - before("_lo")) >= 0.6 * F.col("body"))
-    short = (before("x1") - before("x0") < 0.72 * (before("_hi") - before("_lo"))) & ends & text.rlike(r"^\p{Lu}")
-    breaks = ~F.coalesce(body_before, F.lit(False)) | _is_item(text) | gap | indent | short
+    indent = (F.col("x0") - F.col("_lo")) - (before("x0") - before("_lo")) >= 0.6 * F.col("body")
+    short = before("x1") - before("x0") < 0.72 * (before("_hi") - before("_lo"))
+    # Texts are looked at only where their place leaves it open.
+    said = F.when(indent | short, ends_sentence(strip(before("text"))) & (indent | short & text.rlike(r"^\p{Lu}")))
+    item = F.when(F.instr(F.lit(BULLETS + "0123456789"), F.left(text, F.lit(1))) > 0, _is_item(text))
+    breaks = F.when(F.coalesce(body_before, F.lit(False)), gap | F.coalesce(said, F.lit(False)) | F.coalesce(item, F.lit(False))).otherwise(True)
     return x.withColumn("breaks", breaks).drop("_lo", "_hi")
 
 
