@@ -31,23 +31,36 @@ def span_roles(spans: DataFrame, pages: DataFrame) -> DataFrame:
 
     Whether a span is text doesn't depend on its line; whether a small number is a verse or a caller depends on the text before
     it, so the line's text is looked at once the texts are known."""
-    page = pages.select(*PAGE, "body", F.col("family").alias("_plain"), "scripture")
+    return _spans_of(spans, pages).select(*spans.columns, "role")
+
+
+def _spans_of(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """``span_roles`` with ``_prose``, the role on a page that isn't scripture. Pages are small beside their spans, so each task looks its
+    own up, and the spans are sorted once, by line."""
+    page = pages.select(*PAGE, "body", F.col("family").alias("_plain"), "scripture").hint("shuffle_hash")
     x = spans.join(page, PAGE).withColumn("_t", strip("text")).withColumn("_r", F.col("size") / F.col("body"))
-    line = Window.partitionBy(*PAGE, "line")
+    line = Window.partitionBy(*PAGE, "line").orderBy("span")
     heavy = (F.col("bold") & (F.length("_t") > 3)).cast("int")
-    alone = F.sum(heavy).over(line) - heavy == 0
+    alone = F.sum(heavy).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - heavy == 0
     little = (F.col("_r") <= 0.8) | F.col("raised") | (F.col("baseline") - F.col("origin_y") >= 0.18 * F.col("body"))
     x = x.withColumn("_little", little).withColumn("_styled", (F.col("family") != F.col("_plain")) | F.col("bold") & alone)
-    digits, big = _is_range("text") & (F.col("_t") != ""), F.col("_r") >= 1.8
-    sign = F.col("_t").isin(*NOTE_SIGNS) | F.col("_t").rlike("^[A-Za-z]{1,2}$")
-    kind = (
-        F.when(digits & big, F.when(F.col("scripture"), "chapter").otherwise("text"))
-        .when(digits & ~F.col("_little") & F.col("_styled") & F.col("scripture"), "verse").when(digits & F.col("_little"), "mark")
-        .when(~digits & F.col("_little") & sign, "caller")
-        .when(~digits & big & (F.length("_t") <= 2) & (F.translate("_t", OPENING, "").rlike("^[A-Za-z]*$")) & (F.col("_t") != ""), "dropcap").otherwise("text"))
-    x = x.withColumn("role", kind)
-    before = line.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    behind = line.orderBy("span").rowsBetween(1, Window.unboundedFollowing)
+    # A range begins with a digit or a dash, so other texts aren't split.
+    digits = F.coalesce(F.when(F.left("_t", F.lit(1)).isin(*"0123456789-–"), _is_range("text")), F.lit(False)) & (F.col("_t") != "")
+    x = x.withColumn("_digits", digits)
+    digits, big = F.col("_digits"), F.col("_r") >= 1.8
+    sign = F.col("_t").isin(*NOTE_SIGNS) | F.when(F.length("_t") <= 2, F.col("_t").rlike("^[A-Za-z]{1,2}$"))
+    cap = F.when(F.length("_t") <= 2, F.translate("_t", OPENING, "").rlike("^[A-Za-z]*$"))
+
+    def kind(scripture: Column) -> Column:
+        return (
+            F.when(digits & big, F.when(scripture, "chapter").otherwise("text"))
+            .when(digits & ~F.col("_little") & F.col("_styled") & scripture, "verse").when(digits & F.col("_little"), "mark")
+            .when(~digits & F.col("_little") & sign, "caller")
+            .when(~digits & big & (F.length("_t") <= 2) & cap & (F.col("_t") != ""), "dropcap").otherwise("text"))
+
+    x = x.withColumn("role", kind(F.col("scripture"))).withColumn("_prose", kind(F.lit(False)))
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    behind = line.rowsBetween(1, Window.unboundedFollowing)
     text, inked = (F.col("role") == "text") & (F.col("text") != ""), F.col("_t") != ""
     end = F.last(F.when(text, F.right("text", F.lit(1))), ignorenulls=True).over(before)
     ink = F.last(F.when(text & inked, _last(F.col("text"))), ignorenulls=True).over(before)
@@ -55,25 +68,28 @@ def span_roles(spans: DataFrame, pages: DataFrame) -> DataFrame:
     fresh = ink.isNull() | end.isin(" ", "\n") | ink.isin(*CLAUSE_ENDS) & F.coalesce(nxt.rlike("[A-Z]") | nxt.isin(*OPENING), F.lit(False))
     x = x.withColumn("_fresh", fresh)
     role = F.when(F.col("role") != "mark", F.col("role")).when(F.col("scripture") & F.col("_fresh"), "verse").otherwise("caller")
-    return x.withColumn("role", role).select(*spans.columns, "role")
+    prose = F.when(F.col("_prose") != "mark", F.col("_prose")).otherwise("caller")
+    return x.withColumn("role", role).select(*spans.columns, "role", prose.alias("_prose"))
 
 
 def page_mode(spans: DataFrame, pages: DataFrame, verses: str = "auto") -> DataFrame:
     """Span roles with ``mode``: pages of scripture (all for "always", none for "never") are read by verses, but those in which no
-    verse or chapter is found are read again as prose."""
+    verse or chapter is found are read again as prose. Both readings are made at once, so spans are joined with their page once."""
     wanted = {"always": F.lit(True), "never": F.lit(False)}.get(verses, F.coalesce("scripture", F.lit(False)))
-    pages = pages.withColumn("scripture", wanted)
-    first = span_roles(spans, pages)
-    marked = first.where("role in ('verse', 'chapter')").select(*PAGE).distinct()
-    prose = pages.join(marked, PAGE, "left_anti").withColumn("scripture", F.lit(False))
-    by_verse = first.join(marked, PAGE, "left_semi").withColumn("mode", F.lit("verses"))
-    return by_verse.unionByName(span_roles(spans.join(prose.select(*PAGE), PAGE, "left_semi"), prose).withColumn("mode", F.lit("prose")))
+    x = _spans_of(spans, pages.withColumn("scripture", wanted))
+    marked = F.col("role").isin("verse", "chapter")
+    x = x.withColumn("_verses", F.bool_or(marked).over(Window.partitionBy(*PAGE)))
+    role = F.when(F.col("_verses"), F.col("role")).otherwise(F.col("_prose"))
+    return x.select(*spans.columns, role.alias("role"), F.when(F.col("_verses"), "verses").otherwise("prose").alias("mode"))
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.replace(text, F.lit(SOFT_HYPHEN), F.lit(""))), F.lit(LETTERS), F.lit(0))
 
 
 def page_vocabulary(lines: DataFrame) -> DataFrame:
     """(doc_id, page, word) of the words on a page, in lower case."""
-    words = F.regexp_extract_all(F.lower(F.replace("text", F.lit(SOFT_HYPHEN), F.lit(""))), F.lit(LETTERS), F.lit(0))
-    return lines.select(*PAGE, F.explode(F.array_distinct(words)).alias("word")).distinct()
+    return lines.select(*PAGE, F.explode(F.array_distinct(_words("text"))).alias("word")).distinct()
 
 
 def join_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -90,6 +106,24 @@ def join_lines(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return _joined(x.join(kept, key, "left"))
 
 
+def join_page_lines(lines: DataFrame, *also: str) -> DataFrame:
+    """``join_lines`` by the words of each line's own page, in one pass over lines that are dealt out by page once; ``also`` are columns
+    that a paragraph's lines share.
+
+    A hyphen can stay only where the page has the hyphenated word, and few lines hold one. So a page's hyphenated words are
+    gathered, then the joined words that are asked for, then those of them that some line has."""
+    page = Window.partitionBy(*PAGE).orderBy("para", "k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = lines.select(*PAGE, "para", "k", "text", *also).where("text <> ''")
+    inner = F.when(F.replace("text", F.lit(SOFT_HYPHEN), F.lit("")).rlike(r"\p{L}-\p{L}"), F.filter(_words("text"), lambda w: w.contains("-")))
+    x = _line_ends(x.withColumn("_inner", F.array_distinct(F.flatten(F.collect_list(inner).over(page)))))
+    asked = F.when(F.col("_hard") & (F.col("_a") != "") & (F.col("_b") != "") & (F.size("_inner") > 0), F.array_contains("_inner", F.concat("_a", F.lit("-"), "_b")))
+    x = x.withColumn("_cut", F.when(asked, F.concat("_a", "_b"))).drop("_inner")
+    x = x.withColumn("_asked", F.collect_set("_cut").over(page))
+    x = x.withColumn("_has", F.flatten(F.collect_list(F.when(F.size("_asked") > 0, F.array_intersect("_asked", _words("text")))).over(page)))
+    keep = F.when(F.col("_cut").isNotNull() & ~F.array_contains("_has", F.col("_cut")), True)
+    return _joined(x.withColumn("_keep", keep).drop("_cut", "_asked", "_has"), *also)
+
+
 def _line_ends(lines: DataFrame) -> DataFrame:
     """lines(doc_id, page, para, k, text) that aren't empty, with how they end: in a soft hyphen, in a hard one before a small letter,
     and the parts ``_a`` and ``_b`` of the word that is cut there."""
@@ -102,7 +136,7 @@ def _line_ends(lines: DataFrame) -> DataFrame:
     return x.withColumn("_a", F.when(F.col("_hard"), F.lower(head))).withColumn("_b", F.when(F.col("_hard"), F.lower(tail)))
 
 
-def _joined(x: DataFrame) -> DataFrame:
+def _joined(x: DataFrame, *also: str) -> DataFrame:
     """Lines of ``_line_ends`` to texts; ``_keep`` is set where a hyphen stays."""
     order = Window.partitionBy(*PAGE, "para").orderBy("k")
     drop = F.col("_soft") | F.col("_hard") & F.col("_keep").isNull()
@@ -111,7 +145,7 @@ def _joined(x: DataFrame) -> DataFrame:
     gap = F.when(F.col("_next").isNull() | F.col("text").rlike(f"[ {SOFT_HYPHEN}-]$"), "").otherwise(" ")
     x = x.withColumn("_body", F.concat(F.when(glued, F.ltrim(body, F.lit(WHITE))).otherwise(body), gap))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "_body"))), lambda s: s["_body"]), "")
-    return x.groupBy(*PAGE, "para").agg(strip(text).alias("text")).where("text <> ''")
+    return x.groupBy(*PAGE, "para").agg(strip(text).alias("text"), *[F.first(c).alias(c) for c in also]).where("text <> ''")
 
 
 def _page_body(lines: Column) -> Column:
@@ -176,7 +210,7 @@ def pages_to_paragraphs(lines: DataFrame, height: float) -> DataFrame:
 def split_verses(spans: DataFrame) -> DataFrame:
     """spans(doc_id, page, pos, span, text, role, line_role) in reading order -> blocks(doc_id, page, seq, kind, text): a paragraph
     from each verse mark to the next, "Chapter N" before the headings that stand right before it, callers left out, a drop cap
-    glued to the text behind it."""
+    glued to the text behind it. All steps are windows and groups of a page, in one order of its spans."""
     order = Window.partitionBy(*PAGE).orderBy("pos", "span")
     head = F.col("line_role").isin("heading", "title")
     x = spans.where(head | (F.col("role") != "caller")).withColumn("kind", F.when(head, F.col("line_role")).when(F.col("role").isin("chapter", "verse"), F.col("role")).otherwise("body"))
@@ -187,14 +221,15 @@ def split_verses(spans: DataFrame) -> DataFrame:
     # A drop cap waits for the next text that isn't blank.
     cap = F.when((F.col("kind") == "body") & (F.col("role") == "dropcap"), strip("text"))
     ink = (F.col("kind") == "body") & (F.col("role") == "text") & (strip("text") != "")
-    x = x.withColumn("_group", F.coalesce(F.sum(ink.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    caps = F.last(cap, ignorenulls=True).over(Window.partitionBy(*PAGE, "_group").orderBy("_n"))
+    x = x.withColumn("_ink", F.max(F.when(ink, F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("_cap", F.last(F.when(cap.isNotNull(), F.struct(F.col("_n").alias("n"), cap.alias("cap"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    caps = F.when(F.col("_cap.n") > F.coalesce("_ink", F.lit(0)), F.col("_cap.cap"))
     x = x.withColumn("text", F.when(ink & caps.isNotNull(), F.concat(caps, F.ltrim("text"))).otherwise(F.col("text"))).where("role <> 'dropcap' or kind <> 'body'")
     x = x.withColumn("text", F.when(F.col("kind") == "chapter", F.concat(F.lit("Chapter "), F.coalesce(F.nullif(F.regexp_extract("text", r"^\s*0*(\d+)", 1), F.lit("")), F.lit("0")))).otherwise(F.col("text")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "")
-    lines = x.groupBy(*PAGE, "para", F.col("pos").alias("k")).agg(joined.alias("text"))
-    texts = join_lines(lines, page_vocabulary(lines))
-    blocks = x.groupBy(*PAGE, "para").agg(F.min_by("kind", "_n").alias("kind"), F.min("_n").cast("double").alias("_at")).join(texts, [*PAGE, "para"])
+    lines = x.groupBy(*PAGE, "para", F.col("pos").alias("k")).agg(joined.alias("text"), F.min(F.struct("_n", "kind")).alias("_f"))
+    lines = lines.withColumn("_f", F.min("_f").over(Window.partitionBy(*PAGE, "para").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    blocks = join_page_lines(lines, "_f").select(*PAGE, "para", "text", F.col("_f.kind").alias("kind"), F.col("_f._n").cast("double").alias("_at"))
     along = Window.partitionBy(*PAGE).orderBy("_at")
     other = (F.col("kind") != "heading").cast("int")
     blocks = blocks.withColumn("_run", F.sum(other).over(along) - other)  # a chapter shares the number of the headings before it

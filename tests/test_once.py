@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import assembly as A
 from lectern.operators import layout as L
 from lectern.plans import layout_queries as Q
 from lectern.plans.catalog import QUERIES
@@ -17,6 +18,18 @@ def test_once(spark, sf, name):
     assert moves(QUERIES[name](spark, sf)) == (1, 1)
 
 
+@pytest.mark.parametrize("name", ["lay7_span_roles", "lay11_split_verses", "lay15_page_mode"])
+def test_spans_meet_their_page_once(spark, sf, name):
+    assert moves(QUERIES[name](spark, sf)) == (2, 2)
+
+
+def test_lines_are_joined_by_their_own_page_once(spark, sf):
+    assert moves(QUERIES["lay9_join_lines"](spark, sf)) == (1, 1)
+    texts = ["a well-", "known and wellknown", "co-", "op is a co-op", "re\u00adcall-", "ed recall-ed", "x-", "Y end-", "", "ing", "so-", "-far"]
+    lines = spark.createDataFrame([(d, 0, d % 2, k, t) for d in range(3) for k, t in enumerate(texts[d:])], "doc_id long, page int, para int, k int, text string")
+    assert rows(A.join_page_lines(lines)) == rows(A.join_lines(lines, A.page_vocabulary(lines)))
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
