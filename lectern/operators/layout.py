@@ -46,20 +46,40 @@ def _page(*order: str):
     return Window.partitionBy(*PAGE).orderBy(*order)
 
 
+def _median(items: Column, value: str, weight: str) -> Column:
+    """The median of the values of some structs, each as often as its weight says; of an even number the middle between two."""
+    sized = F.array_sort(F.transform(F.filter(items, lambda x: x[value].isNotNull() & (x[weight] > 0)), lambda x: F.struct(x[value].cast("double").alias("v"), x[weight].alias("w"))))
+    start = F.struct(F.array().cast("array<struct<v: double, upto: bigint>>").alias("rows"), F.lit(0).cast("long").alias("upto"))
+    step = lambda now, x: F.struct(
+        F.concat(now["rows"], F.array(F.struct(x["v"].alias("v"), (now["upto"] + x["w"]).alias("upto")))).alias("rows"), (now["upto"] + x["w"]).alias("upto"))
+    at = lambda s, n: F.get(F.filter(s["rows"], lambda x: x["upto"] > n), F.lit(0))["v"]
+    half = lambda n: F.floor(n / 2)
+    middle = lambda low, high: F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)
+    return F.aggregate(sized, start, step, lambda s: middle(at(s, half(s["upto"] - 1)), at(s, half(s["upto"]))))
+
+
 def page_lines(spans: DataFrame) -> DataFrame:
     """spans(doc_id, page, line, span, text, size, font, x0, y0, x1, y1, origin_y) -> lines: empty ones dropped, size the median
-    weighted by characters, baseline the median of spans of more than a character, family the one of most characters."""
-    s = spans.where(F.length("text") > 0).withColumn("_n", F.length(strip("text")).cast("long"))
-    key = [*PAGE, "line"]
-    family = F.regexp_replace("font", "[-,].*$", "")
-    weights = s.where((F.col("_n") > 0) & ~_is_range("text")).groupBy(*key, family.alias("family")).agg(F.sum("_n").alias("_w"), F.min("span").alias("_first"))
-    families = weights.groupBy(*key).agg(F.min_by("family", F.struct(-F.col("_w"), "_first")).alias("family"))
-    sizes = s.where("_n > 0").groupBy(*key).agg(F.percentile("size", 0.5, F.col("_n")).alias("size"))
-    lines = s.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda x: x["text"]), "").alias("text"),
-        F.coalesce(F.percentile(F.when(F.col("_n") > 1, F.col("origin_y")), 0.5), F.percentile("origin_y", 0.5)).alias("baseline"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return lines.where(strip("text") != "").join(sizes, key).join(families, key, "left").withColumn("family", F.coalesce("family", F.lit("")))
+    weighted by characters, baseline the median of spans of more than a character, family the one of most characters.
+
+    A line's spans are brought together once. Most lines have one, which is its own median."""
+    n = F.length(strip("text")).cast("long")
+    item = F.struct("span", "text", "size", F.regexp_replace("font", "[-,].*$", "").alias("family"), "origin_y", n.alias("n"), F.lit(1).cast("long").alias("one"))
+    lines = spans.where(F.length("text") > 0).groupBy(*PAGE, "line").agg(
+        F.collect_list(item).alias("_s"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    s, only, single = F.col("_s"), F.get("_s", F.lit(0)), F.size("_s") == 1
+    text = F.when(single, only["text"]).otherwise(F.array_join(F.transform(F.array_sort(F.transform(s, lambda x: F.struct(x["span"].alias("span"), x["text"].alias("text")))), lambda x: x["text"]), ""))
+    lines = lines.withColumn("text", text).where(strip("text") != "")
+    longer = F.filter(s, lambda x: x["n"] > 1)
+    baseline = F.when(single, only["origin_y"].cast("double")).otherwise(F.coalesce(_median(longer, "origin_y", "one"), _median(s, "origin_y", "one")))
+    size = F.when(single, only["size"].cast("double")).otherwise(_median(s, "size", "n"))
+    counted = F.filter(s, lambda x: (x["n"] > 0) & ~_is_range(x["text"]))
+    mine = lambda f: F.filter(counted, lambda x: x["family"].eqNullSafe(f))
+    families = F.transform(F.array_distinct(F.transform(counted, lambda x: x["family"])), lambda f: F.struct(
+        F.aggregate(mine(f), F.lit(0).cast("long"), lambda a, x: a - x["n"]).alias("w"), F.array_min(F.transform(mine(f), lambda x: x["span"])).alias("first"), f.alias("family")))
+    digit = F.left(F.ltrim(only["text"], F.lit(WHITE)), F.lit(1)).isin(*"0123456789-–")  # what may be a range
+    family = F.when(single & ~digit, only["family"]).otherwise(F.array_min(families)["family"])
+    return lines.select(*PAGE, "line", "text", baseline.alias("baseline"), "x0", "y0", "x1", "y1", size.alias("size"), F.coalesce(family, F.lit("")).alias("family"))
 
 
 def merge_baselines(lines: DataFrame, number: str = "line") -> DataFrame:

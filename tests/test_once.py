@@ -1,4 +1,7 @@
 """Queries that work within a page or paragraph read their table once and deal its rows out once, whatever steps they take."""
+import re
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +55,30 @@ def test_one_plan_finds_what_the_single_steps_find(spark, sf):
     assert rows(inside) == rows(gutters)
     want = L.reading_order(roles, gutters)
     assert rows(L.in_order(L.with_gutters(both)).select(*want.columns)) == rows(want)
+
+
+def test_lines_of_several_pieces(spark):
+    """Medians, families and texts of lines against plain loops, with one shuffle."""
+    texts = ["word", " ", "12", "x", "", "3 – 4", "longer words", "–"]
+    data = [(1, p, i % 7 if i % 5 else 20 + i, i * 3 % 31, texts[(i + p) % 8], [8.0, 9.5, 10.0, 12.0][i % 4], ["A-x", "B,y", "C"][i % 3], float(i), 1.0, i + 2.0, 9.0, float(i * i % 17)) for p in range(4) for i in range(30)]
+    spans = spark.createDataFrame(data, "doc_id long, page int, line int, span int, text string, size double, font string, x0 double, y0 double, x1 double, y1 double, origin_y double")
+    got = L.page_lines(spans)
+    assert moves(got)[1] == 1
+    want, lines = [], {}
+    for r in data:
+        if r[4]:
+            lines.setdefault(r[:3], []).append(r)
+    for key, own in lines.items():
+        text = "".join(r[4] for r in sorted(own, key=lambda r: r[3]))
+        if text.strip():
+            n = lambda r: len(r[4].strip())
+            many = [r[11] for r in own if n(r) > 1] or [r[11] for r in own]
+            families = {}
+            for r in own:
+                if n(r) and not re.fullmatch(r"\d{1,3}(\s*[-–]\s*\d{1,3})?", r[4].strip()):
+                    w, first = families.get(r[6][0], (0, r[3]))
+                    families[r[6][0]] = w - n(r), min(first, r[3])
+            family = min(families, key=families.get) if families else ""
+            size = statistics.median([r[5] for r in own for _ in range(n(r))])
+            want.append((*key, text, statistics.median(many), min(r[7] for r in own), 1.0, max(r[9] for r in own), 9.0, size, family))
+    assert rows(got) == sorted(want, key=repr)
