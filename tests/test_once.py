@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.operators import assembly as A
 from lectern.operators import layout as L
+from lectern.operators import paragraphs as P
+from lectern.operators import timeline as T
 from lectern.plans import layout_queries as Q
 from lectern.plans.catalog import QUERIES
 
@@ -82,3 +84,13 @@ def test_lines_of_several_pieces(spark):
             size = statistics.median([r[5] for r in own for _ in range(n(r))])
             want.append((*key, text, statistics.median(many), min(r[7] for r in own), 1.0, max(r[9] for r in own), 9.0, size, family))
     assert rows(got) == sorted(want, key=repr)
+
+
+def test_words_are_not_moved_for_lookups(spark, sf):
+    assert [moves(QUERIES[name](spark, sf)) for name in ("tim5_sentence_timeline", "tim7_word_at_char")] == [(1, 1), (2, 2)]
+    texts = ["One two. Three", "", "!! ?", "  It ended.  Then 3.5 more! (yes.) ", "終わり。次は！ end", "…", "a"]
+    paras = spark.createDataFrame([(n, t) for n, t in enumerate(texts * 3)], "n long, text string")
+    words = T.paragraph_timeline(paras, ["n"])
+    assert rows(T.spoken_sentences(paras, ["n"])) == rows(T.sentence_timeline(words, P.split_sentences(paras, ["n"]), ["n"]).select("n", "sentence_no", "start", "end", "f0", "f1"))
+    probes = paras.select("n", F.explode(F.array(*map(F.lit, (-3, 0, 1, 3, 4, 7, 8, 9, 12, 20, 1000)))).alias("char"))
+    assert rows(T.words_at_chars(probes, T.timeline_arrays(paras, ["n"]), ["n"])) == rows(T.word_at_char(probes, words, ["n"]))
