@@ -1,15 +1,19 @@
 """Token ids in a compact binary form: an adaptive context-mixing range coder over independent, checksummed blocks.
 
 Model, fresh for every block: the last id seen after the previous two ids (order 2) and after the previous id (order 1) are
-predictions, each with a confidence of 0 to 3. A first decision says which holds: order 2, order 1, an id known to the
-block, or a new one; its distribution mixes the counts of both confidence contexts. Known ids are coded by their adaptive
-order-0 frequencies (a Fenwick tree over the ids in order of appearance), new ids uniformly over the vocabulary.
-
-Blocks hold at most BLOCK ids and are coded side by side: each is a lane, and one numpy step codes one id of every lane.
-Any block is decoded by itself; its header has counts, the documents' parts, and the CRC-32 of ids and payload.
-
-Block layout (little-endian): b"LCB1", u32 ids, u32 parts, u32 vocabulary, u32 crc of ids, u32 payload bytes, u32 crc of
-payload; per part i64 document id, u8 null flag, u64 ordinal in its file, u64 part number, u8 last flag, u32 ids; payload.
+predictions, each with a confidence of 0 to 3. A first decision says which holds: order 2, order 1, or neither; its distribution
+mixes the counts of both confidence contexts. Where neither holds, an id known to the block has a share of the rest by its
+adaptive order-0 frequency, and new ids are coded uniformly over the vocabulary.
+
+A block holds at most BLOCK ids, in lanes of at most STEPS that follow one another in the text. One numpy step codes one id of every
+lane by the same model, which learns after the first steps and then after every EPOCH of them from all lanes at once. The range
+coder is the asymmetric one (rANS): a lane's state is 64 bits, 32 leave it at a time, and the decision and the id within its
+share are one interval. Any block is decoded by itself; its header has counts, the documents' parts, and the CRC-32 of ids and
+payload.
+
+Block layout (little-endian): b"LCB2", u32 ids, u32 parts, u32 vocabulary, u32 crc of ids, u32 payload bytes, u32 crc of
+payload; per part i64 document id, u8 null flag, u64 ordinal in its file, u64 part number, u8 last flag, u32 ids; payload: the
+lanes' states (i64), then the words (u32) that left them, in the order in which they are read.
 """
 from __future__ import annotations
 
@@ -24,268 +28,197 @@ from pyspark.sql import functions as F
 from .common import durable
 from .wordtok import encoder
 
-BLOCK, LANES = 4096, 2048
-TOP, BOT, ALL = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
-_8, _24 = np.uint64(8), np.uint64(24)
+#: Ids of a block, steps of a lane, and steps between two updates of the model, at most.
+BLOCK, STEPS, EPOCH = 1 << 21, 512, 16
+#: Bits of a whole interval: those of the decision, and those of an id within its share.
+DECIDE, ORDER0 = 12, 16
+WHOLE = DECIDE + ORDER0
+LOW = (1 << WHOLE) - 1
+#: Known ids with an interval of their own; further ones are coded as new.
+KNOWN = 1 << (ORDER0 - 1)
+SLOTS = 1 << 17
 HEAD, PART = struct.Struct("<4sIIIIII"), struct.Struct("<qBQQBI")
 
 
-class Model:
-    """The adaptive state of ``n`` lanes."""
-
-    def __init__(self, n: int, block: int):
-        self.width = 1 << max(1, (block - 1).bit_length())
-        self.steps = [1 << i for i in range(self.width.bit_length() - 1, -1, -1)]
-        self.fen = np.zeros(n * (self.width + 1), np.int32)
-        self.count = np.zeros(n * self.width, np.int32)
-        self.total = np.zeros(n, np.int64)
-        self.new = np.zeros(n, np.int64)
-        self.slots = 2 * self.width
-        self.p1, self.c1 = np.full(n * (self.width + 1), -1, np.int32), np.zeros(n * (self.width + 1), np.int8)
-        self.p2, self.c2 = np.full(n * self.slots, -1, np.int32), np.zeros(n * self.slots, np.int8)
-        self.mix2, self.mix1 = np.ones((n * 4, 4), np.int32), np.ones((n * 4, 4), np.int32)
-        self.lane = np.arange(n, dtype=np.int64)
-        self.a, self.b = np.full(n, self.width, np.int64), np.full(n, self.width, np.int64)  # the previous two ids
-
-    def contexts(self, n: int):
-        lane, a, b = self.lane[:n], self.a[:n], self.b[:n]
-        self.at1 = lane * (self.width + 1) + b
-        self.at2 = lane * self.slots + ((a * 40503 + b * 2971) & (self.slots - 1))
-        self.q1, self.q2 = self.p1[self.at1], self.p2[self.at2]
-        self.m2, self.m1 = lane * 4 + self.c2[self.at2], lane * 4 + self.c1[self.at1]
-        freq = self.mix2[self.m2] + self.mix1[self.m1]
-        return freq, np.cumsum(freq, axis=1)
-
-    def below(self, lanes: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Sum of the counts of local ids under j."""
-        base, j, out = lanes * (self.width + 1), j.copy(), np.zeros(len(j), np.int64)
-        while j.any():
-            out += self.fen[base + j]
-            j &= j - 1
-        return out
+def of(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at]; "clip" only because it is the fast way of numpy."""
+    return values.take(at, mode="clip")
+
 
-    def find(self, lanes: np.ndarray, value: np.ndarray):
-        """The local id whose share holds the value, and the sum under it."""
-        base, pos, rest = lanes * (self.width + 1), np.zeros(len(lanes), np.int64), value.astype(np.int64)
-        for s in self.steps:
-            to = pos + s
-            fits = to <= self.width
-            v = self.fen[base + np.where(fits, to, 0)]
-            go = fits & (v <= rest)
-            pos = np.where(go, to, pos)
-            rest -= np.where(go, v, 0)
-        return pos, value.astype(np.int64) - rest
-
-    def add(self, lanes: np.ndarray, j: np.ndarray) -> None:
-        self.count[lanes * self.width + j] += 1
-        self.total[lanes] += 1
-        base, i = lanes * (self.width + 1), j + 1
-        while len(i):
-            self.fen[base + i] += 1
-            i = i + (i & -i)
-            keep = i <= self.width
-            base, i = base[keep], i[keep]
-
-    def learn(self, n: int, t: int, symbol: np.ndarray, cur: np.ndarray) -> None:
-        self.mix2[self.m2, symbol] += 12
-        self.mix1[self.m1, symbol] += 12
-        for p, c, at, q in ((self.p1, self.c1, self.at1, self.q1), (self.p2, self.c2, self.at2, self.q2)):
-            hit = q == cur
-            c[at] = np.where(hit, np.minimum(c[at] + 1, 3), 1)
-            p[at] = cur
-        self.a[:n] = self.b[:n]
-        self.b[:n] = cur
-        if t % 128 == 127:
-            for m in (self.mix2, self.mix1):
-                big = m.sum(axis=1) > 4096
-                m[big] = (m[big] + 1) >> 1
-
-
-class Out:
-    def __init__(self, n: int, room: int):
-        self.data, self.pos = np.zeros((n, room), np.uint8), np.zeros(n, np.int64)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, ALL)
-
-    def put(self, lanes: np.ndarray, cum, freq, total) -> None:
-        """Code one symbol in each of the lanes."""
-        low, rng = self.low[lanes], self.range[lanes] // total.astype(np.uint64)
-        low = (low + cum.astype(np.uint64) * rng) & ALL
-        rng = rng * freq.astype(np.uint64)
-        todo = np.arange(len(lanes))
-        while True:
-            lo, r = low[todo], rng[todo]
-            same = (lo ^ (lo + r)) < TOP
-            small = ~same & (r < BOT)
-            move = same | small
-            if not move.any():
-                break
-            todo, lo = todo[move], lo[move]
-            r = np.where(small[move], (np.uint64(1 << 32) - lo) & (BOT - np.uint64(1)), r[move])
-            at = lanes[todo]
-            if self.pos[at].max() >= self.data.shape[1]:
-                self.data = np.pad(self.data, ((0, 0), (0, self.data.shape[1])))
-            self.data[at, self.pos[at]] = lo >> _24
-            self.pos[at] += 1
-            low[todo], rng[todo] = (lo << _8) & ALL, (r << _8) & ALL
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def close(self) -> list[bytes]:
-        for _ in range(4):
-            if self.pos.max(initial=0) >= self.data.shape[1]:
-                self.data = np.pad(self.data, ((0, 0), (0, 8)))
-            self.data[np.arange(len(self.pos)), self.pos] = self.low >> _24
-            self.pos += 1
-            self.low = (self.low << _8) & ALL
-        return [self.data[i, : self.pos[i]].tobytes() for i in range(len(self.pos))]
-
-
-class In:
-    def __init__(self, payloads: list[bytes]):
-        n = len(payloads)
-        self.data = np.zeros((n, max(map(len, payloads), default=0) + 16), np.uint8)
-        for i, p in enumerate(payloads):
-            self.data[i, : len(p)] = np.frombuffer(p, np.uint8)
-        self.low, self.range, self.code = np.zeros(n, np.uint64), np.full(n, ALL), np.zeros(n, np.uint64)
-        self.pos = np.full(n, 4, np.int64)
-        for i in range(4):
-            self.code = (self.code << _8) | self.data[:, i]
-
-    def value(self, lanes: np.ndarray, total) -> np.ndarray:
-        self.step = self.range[lanes] // total.astype(np.uint64)
-        v = ((self.code[lanes] - self.low[lanes]) & ALL) // self.step
-        return np.minimum(v.astype(np.int64), total.astype(np.int64) - 1)
-
-    def take(self, lanes: np.ndarray, cum, freq) -> None:
-        low = (self.low[lanes] + cum.astype(np.uint64) * self.step) & ALL
-        rng, code = self.step * freq.astype(np.uint64), self.code[lanes]
-        todo = np.arange(len(lanes))
-        while True:
-            lo, r = low[todo], rng[todo]
-            same = (lo ^ (lo + r)) < TOP
-            small = ~same & (r < BOT)
-            move = same | small
-            if not move.any():
-                break
-            todo, lo = todo[move], lo[move]
-            r = np.where(small[move], (np.uint64(1 << 32) - lo) & (BOT - np.uint64(1)), r[move])
-            at = lanes[todo]
-            byte = self.data[at, np.minimum(self.pos[at], self.data.shape[1] - 1)]
-            self.pos[at] += 1
-            code[todo] = ((code[todo] << _8) & ALL) | byte
-            low[todo], rng[todo] = (lo << _8) & ALL, (r << _8) & ALL
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, rng, code
-
-
-def _local(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each id's number in order of appearance, and whether it is new there."""
-    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(first)] = np.arange(len(first))
-    new = np.zeros(len(ids), bool)
-    new[first] = True
-    return rank[inverse], new
-
-
-def _by_length(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes longest first, and how many are active at each step."""
-    order = np.argsort(-np.array(sizes, np.int64), kind="stable")
-    steps = int(max(sizes, default=0))
-    return order, np.searchsorted(-np.array(sizes)[order], -np.arange(steps), side="left")
+class Model:
+    """What the ids so far tell of the next one; all lanes of a block share it."""
+
+    def __init__(self, vocabulary: int):
+        if vocabulary > 1 << WHOLE:
+            raise ValueError(f"vocabularies have at most {1 << WHOLE} ids")
+        self.vocabulary, self.bits = vocabulary, max(1, (vocabulary - 1).bit_length())
+        # An entry is the id seen last and its confidence; the id "vocabulary" stands for none.
+        self.p1, self.p2 = np.full(vocabulary + 1, vocabulary << 2), np.full(SLOTS, vocabulary << 2)
+        self.count, self.fresh = np.zeros(vocabulary, np.int64), 1.0
+        self.mix2, self.mix1 = np.ones((4, 3), np.int64), np.ones((4, 3), np.int64)
+        self._tables()
+
+    def _tables(self) -> None:
+        """Intervals until the next update."""
+        mixed = (self.mix2[:, None] + self.mix1[None]).reshape(16, 3)
+        share = 1 + mixed * ((1 << DECIDE) - 3) // mixed.sum(axis=1, keepdims=True)
+        share[:, 2] = (1 << DECIDE) - share[:, 0] - share[:, 1]
+        self.share, self.under = share.ravel(), (np.cumsum(share, axis=1) - share).ravel()
+        known = np.flatnonzero(self.count)
+        if len(known) > KNOWN:
+            known = np.sort(known[np.argsort(-self.count[known], kind="stable")[:KNOWN]])
+        n, whole = len(known), 1 << ORDER0
+        new = min(max(int(whole * self.fresh), 16), whole >> 2) if n else whole
+        counts = self.count[known]
+        ends = np.cumsum(counts)
+        start = np.arange(n) + (ends - counts) * (whole - n - new) // max(1, int(ends[-1]) if n else 1)
+        self.start = np.append(start, whole - new)
+        self.size = np.diff(np.append(self.start, whole))
+        self.at = np.repeat(np.arange(n + 1), self.size)
+        self.ids, self.new = np.append(known, 0), n
+        self.rank = np.full(self.vocabulary, n)
+        self.rank[known] = np.arange(n)
+
+    def look(self, a: np.ndarray, b: np.ndarray):
+        """Places and entries of order 2 and order 1 after the ids a, b, and their joint confidence."""
+        at = (a * 40503 + b * 2971) & (SLOTS - 1)
+        e2, e1 = of(self.p2, at), of(self.p1, b)
+        return at, e2, e1, (e2 & 3) << 2 | e1 & 3
+
+    def learn(self, at, e2, e1, m, b, cur, symbol, escaped: int) -> None:
+        """The ids of some steps, all lanes of a step side by side; of equal contexts the last counts."""
+        for p, where, e in ((self.p2, at, e2), (self.p1, b, e1)):
+            p[where] = np.where(e >> 2 == cur, e + ((e & 3) < 3), cur << 2 | 1)
+        seen = np.bincount(m * 3 + symbol, minlength=48).reshape(4, 4, 3)
+        self.mix2, self.mix1 = (self.mix2 >> 1) + seen.sum(axis=1), (self.mix1 >> 1) + seen.sum(axis=0)
+        self.mix2[:, 2] += 1  # never all zero
+        self.count += np.bincount(cur[symbol == 2], minlength=self.vocabulary)
+        self.fresh = escaped / len(cur)
+        self._tables()
+
+
+def _symbols(e2, e1, cur) -> np.ndarray:
+    """0: order 2 says so, 1: order 1 does, 2: neither."""
+    wrong = e2 >> 2 != cur
+    return wrong + (wrong & (e1 >> 2 != cur)).astype(np.int64)
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Steps and lanes of a block of n ids; a lane's ids follow one another in the text."""
+    lanes = max(1, -(-n // STEPS))
+    return -(-n // lanes), lanes
+
+
+def _epochs(steps: int):
+    """Steps between updates: the first ones double."""
+    t, size = 0, 1
+    while t < steps:
+        yield t, min(t + size, steps)
+        t, size = t + size, min(2 * size, EPOCH)
+
+
+def _encode(ids: np.ndarray, vocabulary: int) -> bytes:
+    steps, lanes = _shape(len(ids))
+    if not len(ids):
+        return b""
+    grid = np.zeros(steps * lanes, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.vstack([np.full((2, lanes), vocabulary), grid.reshape(lanes, steps).T])
+    model, coded = Model(vocabulary), []
+    for t, end in _epochs(steps):
+        a, b, cur = (np.ascontiguousarray(grid[t + i : end + i]).ravel() for i in range(3))
+        at, e2, e1, m = model.look(a, b)
+        symbol = _symbols(e2, e1, cur)
+        other, k, rank = symbol == 2, m * 3 + symbol, of(model.rank, cur)
+        share = of(model.share, k)
+        low = (of(model.under, k) << ORDER0) + share * of(model.start, rank) * other
+        size = share * np.where(other, of(model.size, rank), 1 << ORDER0)
+        escaped = np.flatnonzero(other & (rank == model.new))
+        coded.append((low.reshape(-1, lanes), size.reshape(-1, lanes), np.split(escaped % lanes, np.searchsorted(escaped, np.arange(1, end - t) * lanes))))
+        model.learn(at, e2, e1, m, b, cur, symbol, len(escaped))
+    x, words, spare = np.full(lanes, 1 << 31, np.int64), [], WHOLE - model.bits
+
+    def put(x, low, size):
+        over = np.flatnonzero(x >= size << (63 - WHOLE))
+        if len(over):
+            words.append(x[over].astype(np.uint32))
+            x[over] >>= 32
+        return x + (x.view(np.uint64) // size.view(np.uint64)).view(np.int64) * ((1 << WHOLE) - size) + low
+
+    t = steps
+    for low, size, escapes in reversed(coded):
+        for i in range(len(low) - 1, -1, -1):
+            t -= 1
+            if len(new := escapes[i]):
+                x[new] = put(x[new], grid[t + 2, new].astype(np.int64) << spare, np.full(len(new), 1 << spare, np.int64))
+            x = put(x, low[i], size[i])
+    return x.astype("<i8").tobytes() + b"".join(w.astype("<u4").tobytes() for w in reversed(words))
+
+
+def _decode(payload: bytes, n: int, vocabulary: int) -> np.ndarray:
+    steps, lanes = _shape(n)
+    if not n:
+        return np.zeros(0, "<u4")
+    x = np.frombuffer(payload, "<i8", lanes).astype(np.int64)
+    words, pos = np.frombuffer(payload, "<u4", offset=8 * lanes).astype(np.int64), 0
+    grid = np.full((steps + 2, lanes), vocabulary)
+    model = Model(vocabulary)
+    spare = WHOLE - model.bits
+
+    def fill(x):
+        nonlocal pos
+        short = np.flatnonzero(x < 1 << 31)
+        if k := len(short):
+            x[short] = x[short] << 32 | words[pos : pos + k]
+            pos += k
+        return x
+
+    for t, end in _epochs(steps):
+        share, under = model.share.reshape(16, 3), model.under.reshape(16, 3)
+        rest, before = np.ascontiguousarray(share[:, 2]), under[:, 2] << ORDER0
+        hits = np.ascontiguousarray(share[:, :2]) << ORDER0, np.ascontiguousarray(under[:, :2]) << ORDER0
+        escaped = 0
+        for s in range(t, end):
+            _, e2, e1, m = model.look(grid[s], grid[s + 1])
+            low = x & LOW
+            inner, part = low - of(before, m), of(rest, m)
+            hit = np.flatnonzero(inner < 0)
+            rank = of(model.at, (inner / part).astype(np.int64))
+            cur, size, inner = of(model.ids, rank), part * of(model.size, rank), inner - part * of(model.start, rank)
+            if len(hit):
+                h = m[hit]
+                one = (low[hit] >= hits[1][h, 1]).astype(np.int64)
+                cur[hit] = np.where(one, e1[hit], e2[hit]) >> 2
+                size[hit], inner[hit] = hits[0][h, one], low[hit] - hits[1][h, one]
+                rank[hit] = -1
+            x = fill(size * (x >> WHOLE) + inner)
+            new = np.flatnonzero(rank == model.new)
+            if len(new):
+                own = x[new]
+                cur[new] = (own & LOW) >> spare
+                x[new] = fill(((own >> WHOLE) << spare) + (own & (1 << spare) - 1))
+                escaped += len(new)
+            grid[s + 2] = cur
+        a, b, cur = (grid[t + i : end + i].ravel() for i in range(3))
+        at, e2, e1, m = model.look(a, b)
+        model.learn(at, e2, e1, m, b, cur, _symbols(e2, e1, cur), escaped)
+    return grid[2:].T.ravel()[:n].astype("<u4")
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Payloads of blocks of ids below ``vocabulary``."""
-    if not blocks:
-        return []
-    order, active = _by_length([len(b) for b in blocks])
-    block = max(2, len(blocks[order[0]]))
-    cur_, new_, ids_ = (np.zeros((block, len(blocks)), k) for k in (np.int64, bool, np.int64))
-    for lane, i in enumerate(order):
-        ids_[: len(blocks[i]), lane] = blocks[i]
-        cur_[: len(blocks[i]), lane], new_[: len(blocks[i]), lane] = _local(blocks[i])
-    model, out = Model(len(blocks), block), Out(len(blocks), 2 * block + 64)
-    for t, n in enumerate(active):
-        cur, new = cur_[t, :n], new_[t, :n]
-        freq, ends = model.contexts(n)
-        symbol = np.where(new, 3, np.where(model.q2 == cur, 0, np.where(model.q1 == cur, 1, 2)))
-        row = np.arange(n)
-        f = freq[row, symbol]
-        out.put(model.lane[:n], ends[row, symbol] - f, f, ends[:, 3])
-        known = np.flatnonzero(symbol == 2)
-        if len(known):
-            j = cur[known]
-            out.put(known, model.below(known, j), model.count[known * model.width + j], model.total[known])
-        fresh = np.flatnonzero(symbol == 3)
-        if len(fresh):
-            for cum, total in _digits(ids_[t, fresh], vocabulary):
-                out.put(fresh, cum, np.ones(len(fresh), np.int64), np.full(len(fresh), total))
-        added = np.flatnonzero(symbol >= 2)
-        model.add(added, cur[added])
-        model.learn(n, t, symbol, cur)
-    found = out.close()
-    back = [b""] * len(blocks)
-    for lane, i in enumerate(order):
-        back[i] = found[lane]
-    return back
-
-
-def _radix(vocabulary: int) -> list[int]:
-    """Totals of the uniform digits of an id, highest first."""
-    return [((vocabulary - 1) >> 16) + 1, 1 << 16] if vocabulary > 1 << 16 else [vocabulary]
-
-
-def _digits(ids: np.ndarray, vocabulary: int):
-    radix = _radix(vocabulary)
-    return [(ids, radix[0])] if len(radix) == 1 else [(ids >> 16, radix[0]), (ids & 0xFFFF, radix[1])]
+    return [_encode(b, vocabulary) for b in blocks]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
-    if not payloads:
-        return []
-    order, active = _by_length(sizes)
-    block = max(2, int(max(sizes)))
-    model, source = Model(len(payloads), block), In([payloads[i] for i in order])
-    ids_ = np.zeros((block, len(payloads)), np.int64)
-    known_id = np.zeros(len(payloads) * model.width, np.int64)
-    for t, n in enumerate(active):
-        freq, ends = model.contexts(n)
-        value = source.value(model.lane[:n], ends[:, 3])
-        symbol = (ends <= value[:, None]).sum(axis=1)
-        row = np.arange(n)
-        f = freq[row, symbol]
-        source.take(model.lane[:n], ends[row, symbol] - f, f)
-        cur = np.where(symbol == 0, model.q2, np.where(symbol == 1, model.q1, 0)).astype(np.int64)
-        known = np.flatnonzero(symbol == 2)
-        if len(known):
-            value = source.value(known, model.total[known])
-            j, under = model.find(known, value)
-            source.take(known, under, model.count[known * model.width + j])
-            cur[known] = j
-        fresh = np.flatnonzero(symbol == 3)
-        if len(fresh):
-            got = np.zeros(len(fresh), np.int64)
-            for total in _radix(vocabulary):
-                value = source.value(fresh, np.full(len(fresh), total))
-                source.take(fresh, value, np.ones(len(fresh), np.int64))
-                got = (got << 16) | value
-            cur[fresh] = model.new[fresh]
-            known_id[fresh * model.width + cur[fresh]] = got
-            model.new[fresh] += 1
-        added = np.flatnonzero(symbol >= 2)
-        model.add(added, cur[added])
-        ids_[t, :n] = known_id[row * model.width + cur]
-        model.learn(n, t, symbol, cur)
-    back = [None] * len(payloads)
-    for lane, i in enumerate(order):
-        back[i] = ids_[: sizes[i], lane].astype("<u4")
-    return back
+    return [_decode(p, n, vocabulary) for p, n in zip(payloads, sizes, strict=True)]
 
 
 # --- file format -----------------------------------------------------------------------------------------------------
 
 def write_block(ids: np.ndarray, parts: list[tuple], payload: bytes, vocabulary: int) -> bytes:
     """parts: (doc id or None, ordinal, part number, last, ids) of each document piece in the block."""
-    head = HEAD.pack(b"LCB1", len(ids), len(parts), vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), len(payload), zlib.crc32(payload))
+    head = HEAD.pack(b"LCB2", len(ids), len(parts), vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), len(payload), zlib.crc32(payload))
     return head + b"".join(PART.pack(i or 0, i is None, o, k, last, n) for i, o, k, last, n in parts) + payload
 
 
@@ -296,7 +229,7 @@ def read_blocks(blocks: list[bytes]) -> list[tuple[np.ndarray, list[tuple]]]:
         magic, n, k, vocabulary, crc, size, payload_crc = HEAD.unpack_from(b)
         at = HEAD.size + k * PART.size
         payload = b[at : at + size]
-        if magic != b"LCB1" or len(payload) != size or zlib.crc32(payload) != payload_crc:
+        if magic != b"LCB2" or len(payload) != size or zlib.crc32(payload) != payload_crc:
             raise ValueError("damaged block")
         heads.append((n, vocabulary, crc))
         parts.append([(None if null else i, o, p, bool(last), m) for i, null, o, p, last, m in PART.iter_unpack(b[HEAD.size : at])])
@@ -333,7 +266,7 @@ def crc32_combine(a: int, b: int, size_b: int) -> int:
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-              block: int = BLOCK, lanes: int = LANES) -> None:
+              block: int = BLOCK) -> None:
     """Encode all texts (null: empty), append ``end_id``, and write blocks in ascending id order (null ids first) to a
     Parquet table at ``path``: part (range of ids), block_no, start (ids before it in its part), n_ids, block.
 
@@ -345,16 +278,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
     def run(batches):
         encode, end = encoder(tokenizer_path), np.uint32(end_id).tobytes()
         vocabulary = max(encode.tok.get_vocab_size(with_added_tokens=True), end_id + 1)
-        full, ids, parts, held, number, start, ordinal, part = [], [], [], 0, 0, 0, 0, 0
+        ids, parts, held, number, start, ordinal, part = [], [], 0, 0, 0, 0, 0
 
         def flush():
-            nonlocal full, number, start
-            rows = []
-            for (x, p), payload in zip(full, encode_blocks([x for x, _ in full], vocabulary), strict=True):
-                rows.append((part, number, start, len(x), write_block(x, p, payload, vocabulary)))
-                number, start = number + 1, start + len(x)
-            full = []
-            return pd.DataFrame(rows, columns=["part", "block_no", "start", "n_ids", "block"])
+            nonlocal ids, parts, held, number, start
+            x = np.concatenate(ids)
+            row = part, number, start, len(x), write_block(x, parts, encode_blocks([x], vocabulary)[0], vocabulary)
+            ids, parts, held, number, start = [], [], 0, number + 1, start + len(x)
+            return pd.DataFrame([row], columns=["part", "block_no", "start", "n_ids", "block"])
 
         for pdf in batches:
             part = int(pdf["_part"].iloc[0]) if len(pdf) else part
@@ -368,14 +299,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
                     parts.append((None if none else i, ordinal, k, at + n == len(x), n))
                     at, held, k = at + n, held + n, k + 1
                     if held == block:
-                        full.append((np.concatenate(ids), parts))
-                        ids, parts, held = [], [], 0
-                        if len(full) == lanes:
-                            yield flush()
+                        yield flush()
                 ordinal += 1
         if held:
-            full.append((np.concatenate(ids), parts))
-        if full:
             yield flush()
 
     ranged.withColumn("_part", F.spark_partition_id()).mapInPandas(run, "part int, block_no long, start long, n_ids long, block binary").write.parquet(path)
@@ -391,14 +317,13 @@ def read_ids(spark, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), LANES):
+            for part, start, block in zip(pdf["part"], pdf["start"], pdf["block"], strict=True):
                 rows = []
-                some = pdf.iloc[at : at + LANES]
-                for part, start, (ids, parts) in zip(some["part"], some["start"], read_blocks(list(some["block"])), strict=True):
-                    for i, ordinal, k, last, n in parts:
-                        raw = ids[:n].tobytes()
-                        rows.append((part, ordinal, i, k, k == 0 and last, start, n, zlib.crc32(raw), raw if keep_ids else None))
-                        ids, start = ids[n:], start + n
+                ids, parts = read_blocks([block])[0]
+                for i, ordinal, k, last, n in parts:
+                    raw = ids[:n].tobytes()
+                    rows.append((part, ordinal, i, k, k == 0 and last, start, n, zlib.crc32(raw), raw if keep_ids else None))
+                    ids, start = ids[n:], start + n
                 out = pd.DataFrame(rows, columns=["part", "ordinal", "doc_id", "k", "whole", "start", "n_tokens", "ids_crc32", "ids"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out

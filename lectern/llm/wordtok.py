@@ -2,8 +2,8 @@
 
 The library is called for each word once; the ids of a text are those of its words in order. Two ways to the words:
 
-* A text in ASCII or Latin letters (no code point over U+024F) is lower-cased and cut by the vocabulary's own pattern, so
-  that case and neighbouring marks don't multiply the words.
+* A text in ASCII or Latin letters (no code point over U+024F) is lower-cased and cut at blanks; a word that is new is cut by the
+  vocabulary's own pattern, and the library's model is called for each new match.
 * Any other text is cut at ASCII blanks; normalisation, added tokens and the pattern never reach across a blank.
 
 ``fits`` says whether a vocabulary has the normaliser and pattern that this relies on; ``WordEncoder`` falls back to
@@ -14,19 +14,23 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
 _TOP = 0x250
-_LETTER = "".join(re.escape(chr(c)) for c in range(_TOP) if unicodedata.category(chr(c))[0] == "L")
+#: Letters under U+0250 and what they are in lower case: that of some lies above.
+_LETTER = "".join(map(re.escape, sorted({x for c in range(_TOP) for x in chr(c) + chr(c).lower() if unicodedata.category(x)[0] == "L"})))
 _NUMBER = "".join(re.escape(chr(c)) for c in range(_TOP) if unicodedata.category(chr(c))[0] == "N")
 _BLANK = "".join(re.escape(chr(c)) for c in (*range(9, 14), 32, 0x85, 0xA0))
-#: The vocabulary's pattern for code points under U+0250.
+#: The vocabulary's pattern for code points under U+0250 in lower case.
 _CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
 #: Anything outside this goes the general way: higher code points, the first characters of added tokens, C0 controls.
 _PLAIN = re.compile(r"[\t\n\r -;=-~\xa0-ɏ]*", re.ASCII)
+#: The character that stands for a byte from 128 on, by the library's byte level; ASCII without blanks stands for itself.
+_BYTES = {b: 0x100 + n for n, b in enumerate([*range(33), *range(127, 161), 173])} | {b: b for b in (*range(161, 173), *range(174, 256))}
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -35,7 +39,10 @@ def fits(path: str) -> bool:
         d = json.load(f)
     norm = [n["type"] for n in (d.get("normalizer") or {}).get("normalizers", [])]
     pre = (d.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    return norm == ["NFC", "Replace", "Lowercase"] and pre[0].get("pattern") == {"Regex": PATTERN} and d.get("post_processor") is None
+    model = d.get("model") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+    level = len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex", True)
+    return norm == ["NFC", "Replace", "Lowercase"] and pre[0].get("pattern") == {"Regex": PATTERN} and d.get("post_processor") is None and plain and level
 
 
 @functools.lru_cache(maxsize=2)
@@ -49,46 +56,46 @@ class WordEncoder:
 
     def __init__(self, path: str, memo: int = 400_000):
         self.tok, self.memo, self.known, self.older, self.fits = Tokenizer.from_file(path), memo, {}, {}, fits(path)
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.closes = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model = self.tok.model
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one match of the pattern in a text of the first kind, by the library's model itself."""
+        raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, words, single: bool) -> None:
         known, older = self.known, self.older
-        new = []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        if single:  # every word is one cut, so its last id is the only one that closes a word
-            for i in range(0, len(new), 1000):
-                part = new[i : i + 1000]
-                ids = self._ids(" ".join(part))
-                ends = np.flatnonzero(self.closes[ids]) + 1
-                if len(ends) != len(part):
-                    break
-                known.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
-            else:
-                return
-        for w in new:
-            if w not in known:
-                known[w] = self._ids(w if isinstance(w, str) else w.decode("utf-8", "replace")).tobytes()
+
+        def found(word, make):
+            ids = known.get(word)
+            if ids is None:
+                ids = older.get(word)
+                known[word] = ids = make(word) if ids is None else ids
+            return ids
+
+        def cut(word):
+            pieces = _CUT.findall(word)
+            return self._piece(word) if len(pieces) == 1 else b"".join([found(p, self._piece) for p in pieces])
+
+        make = cut if single else lambda w: self._ids(w.decode("utf-8", "replace")).tobytes()
+        for w in set(words).difference(known):
+            found(w, make)
 
     def __call__(self, text: str) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers."""
         if not self.fits:
             return self._ids(text).tobytes()
         single = bool(_PLAIN.fullmatch(text)) and unicodedata.is_normalized("NFC", text)
-        words = _CUT.findall(text.lower()) if single else text.encode("utf-8", "replace").split()
+        words = text.lower().split() if single else text.encode("utf-8", "replace").split()
         if len(self.known) > self.memo:
             self.known, self.older = {}, self.known
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            self._learn(set(words), single)
+            self._learn(words, single)
             return b"".join([known[w] for w in words])
