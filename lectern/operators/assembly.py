@@ -4,12 +4,18 @@ Keys are those of the page (doc_id, page); windows and groups are pages or parts
 """
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import QUOTES, STOPS, WHITE, finish_paragraph, is_picture, join_pieces, strip
+from lectern.functions.text import QUOTES, STOPS, WHITE, finish_paragraph, is_picture, joined_pieces, strip
 from lectern.operators.layout import (
-    PAGE, _bound, _is_range, cluster_boxes, in_order, merge_boxes, page_gutters, reading_groups, same_heading, stitch_pages, with_breaks, with_roles)
+    PAGE, _bound, _is_range, cluster_boxes, in_order, merge_boxes, page_gutters, same_heading, stitch_pages, whole_pages, with_breaks, with_roles)
 
 SOFT_HYPHEN = "­"
 #: Signs of footnotes, what ends a clause before a new sentence, what opens one.
@@ -238,48 +244,107 @@ def split_verses(spans: DataFrame) -> DataFrame:
     return blocks.select(*PAGE, (F.row_number().over(along) - 1).cast("long").alias("seq"), "kind", "text")
 
 
-def _visual_rows(items: Column) -> Column:
-    """The number of the visual row of each of a part's recognised lines, which are sorted by their centres: a line belongs to the row
-    before if its centre is within half a line's height (the part's upper median) of that row's first; pictures stand alone."""
-    heights = F.sort_array(F.transform(items, lambda x: x["y1"] - x["y0"]))
-    median = F.get(heights, F.call_function("div", F.size(items), F.lit(2)).cast("int"))
-    reach = 0.5 * F.when(median == 0, 1.0).otherwise(median)
-    start = F.struct(F.array().cast("array<int>").alias("rows"), F.lit(-1).alias("row"), F.lit(0.0).alias("first"), F.lit(True).alias("alone"))
-
-    def step(now: Column, x: Column) -> Column:
-        fresh = x["picture"] | now["alone"] | (F.abs(x["centre"] - now["first"]) >= reach)
-        row = now["row"] + fresh.cast("int")
-        return F.struct(F.concat(now["rows"], F.array(row)).alias("rows"), row.alias("row"), F.when(fresh, x["centre"]).otherwise(now["first"]).alias("first"),
-                        F.when(fresh, x["picture"]).otherwise(now["alone"]).alias("alone"))
-
-    return F.aggregate(items, start, step, lambda end: end["rows"])
+def _upper_median(heights: list[float]) -> float:
+    return sorted(heights)[len(heights) // 2] or 1.0
+
+
+def _gutters(lines: list[tuple], unit: float) -> list[tuple[float, float]]:
+    """``page_gutters`` of one page's recognised lines, with the bounds of ``reading_groups``."""
+    left, right = min(x[2] for x in lines), max(x[4] for x in lines)
+    wide = right - left
+    narrow = sorted((x[2], x[4]) for x in lines if x[4] - x[2] < 0.62 * wide)
+    if len(narrow) < 8 or wide < 8 * unit:
+        return []
+    gaps, reach = [], narrow[0][1]
+    for x0, x1 in narrow[1:]:
+        if x0 > reach + 0.3 * unit:
+            gaps.append((reach, x0))
+        reach = max(reach, x1)
+    return [(g0, g1) for g0, g1 in gaps if g1 - g0 >= 0.45 * unit and left + 0.15 * wide <= (g0 + g1) / 2 <= right - 0.15 * wide
+            and sum(x1 <= g0 + 1 for _, x1 in narrow) >= 4 and sum(x0 >= g1 - 1 for x0, _ in narrow) >= 4]
+
+
+def _reading_parts(lines: list[tuple]) -> list[list[tuple]]:
+    """``reading_groups`` of one page's lines, part after part."""
+    unit = _upper_median([x[5] - x[3] for x in lines])
+    gutters = _gutters(lines, unit)
+    if not gutters:
+        return [lines]
+    parts, section, last = {}, 0, None
+    for x in sorted(lines, key=lambda x: (x[3] + x[5], x[2], x[0])):
+        across = any(x[2] < g0 - 0.15 * unit and x[4] > g1 + 0.15 * unit for g0, g1 in gutters)
+        section += last is not None and across != last
+        last = across
+        column = -1 if across else sum((x[2] + x[4]) / 2 > (g0 + g1) / 2 for g0, g1 in gutters)
+        parts.setdefault((section, column), []).append(x)
+    return [parts[key] for key in sorted(parts)]
+
+
+def _part_paragraphs(lines: list[tuple]) -> list[str]:
+    """Lines of a part to visual rows, those to paragraphs. A line belongs to the row before if its centre is within half a line's
+    height (the part's upper median) of that row's first; pictures stand alone."""
+    reach = 0.5 * _upper_median([x[5] - x[3] for x in lines])
+    rows, first, alone = [], 0.0, True
+    for centre, _, x in sorted(((x[3] + x[5]) / 2, x[0], x) for x in lines):
+        if x[6] or alone or abs(centre - first) >= reach:
+            rows.append([])
+            first, alone = centre, x[6]
+        rows[-1].append(x)
+    made = [(joined_pieces([t for _, _, t in sorted((x[2], x[0], x[1]) for x in r)]), any(x[6] for x in r), min(x[2] for x in r), min(x[3] for x in r), max(x[4] for x in r), max(x[5] for x in r))
+            for r in rows]
+    short = 0.7 * (max(r[4] - r[2] for r in made) or 1.0)
+    paras, before = [], None
+    for row in made:
+        text, picture, _, y0, _, _ = row
+        if before is None or picture or before[1] or y0 - before[5] > 0.65 * max(before[5] - before[3], 1.0) or before[4] - before[2] < short and before[0][-1:] in _ENDS:
+            paras.append([])
+        paras[-1].append(text)
+        before = row
+    return [p for p in map(joined_pieces, paras) if p]
+
+
+_ENDS = {*STOPS, *QUOTES}
+_CHAPTER = re.compile(r"(?:Chapter|CHAPTER)[ \t\n\x0b\f\r]+[0-9]+")
+
+
+def _page_paragraphs(lines: list[tuple]) -> list[str]:
+    """Paragraphs of a page from its lines (k, text, x0, y0, x1, y1, picture): ``stitch_pages`` of its parts."""
+    out: list[str] = []
+    for part in _reading_parts(lines):
+        paras = _part_paragraphs(part)
+        if out and paras:
+            last = out[-1]
+            if last.rstrip(QUOTES)[-1:] not in set(STOPS) and unicodedata.category(paras[0][0]) == "Ll" and len(last) > 20 and not _CHAPTER.fullmatch(last):
+                out[-1] = f"{last} {paras.pop(0)}"
+        out += paras
+    return out
 
 
 def ocr_paragraphs(lines: DataFrame) -> DataFrame:
     """lines(doc_id, page, k, text, x0, y0, x1, y1) as recognised -> (doc_id, page, para, text): the parts of a page in reading order
     (columns one after another), in each its lines to visual rows, rows to paragraphs at pictures, wide gaps and short rows that
-    end a sentence; a sentence that goes on in the next part is joined. The lines are dealt out by page once, everything behind
-    that happens within the page."""
-    ink = reading_groups(lines.where(strip("text") != "")).withColumn("picture", is_picture("text"))
-    part = [*PAGE, "group"]
-    line = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("centre"), "k", "x0", "y0", "x1", "y1", "picture", "text")
-    row = ink.groupBy(*part).agg(F.array_sort(F.collect_list(line)).alias("_items")).withColumn("_rows", _visual_rows(F.col("_items")))
-    row = row.select(*part, F.inline(F.arrays_zip(F.col("_rows").alias("row"), F.col("_items").alias("i"))))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("i.x0", "i.k", "i.text"))), lambda s: s["text"])
-    row = row.groupBy(*part, "row").agg(
-        pieces.alias("_p"), F.bool_or("i.picture").alias("picture"), *[F.min(f"i.{c}").alias(c) for c in ("x0", "y0")], *[F.max(f"i.{c}").alias(c) for c in ("x1", "y1")])
-    row = row.withColumn("text", join_pieces("_p")).withColumn("_w", F.col("x1") - F.col("x0"))
-    order = Window.partitionBy(*part).orderBy("row")
-    before = lambda c: F.lag(c).over(order)
-    widest = F.max("_w").over(Window.partitionBy(*part))
-    row = row.withColumn("_short", F.col("_w") < 0.7 * F.when(widest == 0, 1.0).otherwise(widest))
-    ended = F.right(before("text"), F.lit(1)).isin(*STOPS, *QUOTES)
-    fresh = F.col("picture") | before("picture") | (F.col("y0") - before("y1") > 0.65 * F.greatest(before("y1") - before("y0"), F.lit(1.0))) | before("_short") & ended
-    row = row.withColumn("_new", F.coalesce(before("text").isNotNull() & fresh, F.lit(False)).cast("int")).withColumn("para", F.sum("_new").over(order))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda s: s["text"])
-    paras = row.groupBy(*part, "para").agg(join_pieces(texts).alias("text")).where("text <> ''")
-    parts = paras.groupBy(*part).agg(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda s: s["text"]).alias("paras"))
-    return stitch_pages(parts, tuple(PAGE), "group")
+    end a sentence; a sentence that goes on in the next part is joined. The lines are dealt out and sorted by page once; what a
+    row and a paragraph are depends on those before, so a page's lines are taken in their order within the task."""
+    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    ink = lines.where(strip("text") != "").select(*PAGE, "k", "text", *sides, is_picture("text").alias("picture"))
+    names = ["k", "text", "x0", "y0", "x1", "y1", "picture"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page in whole_pages(batches):
+            rows = list(zip(*(table[c].to_pylist() for c in names), strict=True))
+            starts = np.flatnonzero(np.diff(page, prepend=-1)).tolist()
+            at, para, texts = [], [], []
+            for start, end in zip(starts, [*starts[1:], len(rows)], strict=True):
+                found = _page_paragraphs(rows[start:end])
+                at += [start] * len(found)
+                para += range(len(found))
+                texts += found
+            own = pa.array(at, pa.int64())
+            yield from pa.table({c: table[c].take(own) for c in PAGE} | {"para": pa.array(para, pa.int64()), "text": pa.array(texts, pa.string())}).to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in PAGE) + ", para long, text string"
+    return ink.repartition(*PAGE).sortWithinPartitions(*PAGE, "k").mapInArrow(solve, schema)
 
 
 def figure_candidates(images: DataFrame, drawings: DataFrame, words: DataFrame, labels: DataFrame, width: float, height: float) -> DataFrame:

@@ -465,7 +465,7 @@ def _clusters(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray,
     return label
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Batches of rows sorted by page as tables of whole pages, with each row's page as a number: the last page of a batch waits for
     the next, where it may go on."""
     def numbers(t: pa.Table) -> np.ndarray:
@@ -505,7 +505,7 @@ def _per_page(boxes: DataFrame, work: Callable[..., tuple[np.ndarray, dict[str,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, page in _pages(batches):
+        for table, page in whole_pages(batches):
             box = table["box"]
             rows, made = work(page, *(table[c].to_numpy() for c in _SIDES))
             out = {c: table[c].take(pa.array(rows)) for c in (*PAGE, "box", *_SIDES)} | {c: pa.array(v) for c, v in made.items() if c != "cluster"}

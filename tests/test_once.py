@@ -94,3 +94,20 @@ def test_words_are_not_moved_for_lookups(spark, sf):
     assert rows(T.spoken_sentences(paras, ["n"])) == rows(T.sentence_timeline(words, P.split_sentences(paras, ["n"]), ["n"]).select("n", "sentence_no", "start", "end", "f0", "f1"))
     probes = paras.select("n", F.explode(F.array(*map(F.lit, (-3, 0, 1, 3, 4, 7, 8, 9, 12, 20, 1000)))).alias("char"))
     assert rows(T.words_at_chars(probes, T.timeline_arrays(paras, ["n"]), ["n"])) == rows(T.word_at_char(probes, words, ["n"]))
+
+
+@pytest.mark.parametrize(("name", "scans"), [("lay22_ocr_paragraphs", 1)])
+def test_rows_of_a_page_are_sorted_once(spark, sf, name, scans):
+    """One shuffle and one sort by page, no array of a page's lines, no join."""
+    df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert moves(df) == (scans, 1) and plan.count("+- Sort ") == 1
+    assert not any(x in plan for x in ("collect_list", "Window", "Join"))
+
+
+def test_pieces_are_joined_alike(spark):
+    from lectern.functions.text import join_pieces, joined_pieces
+
+    data = [[], ["", " "], ["a-", "b"], ["a-", "B"], ["x-", "\u00e9t", "-", "\u02b0"], ["\u6d77", "a", "\u3042-", "b"], ["-", "-", "a"], [" a\u2003", "\uac00", "\u4dc0", "z"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "i int, a array<string>")
+    assert [r.t for r in df.select("i", join_pieces("a").alias("t")).orderBy("i").collect()] == [joined_pieces(x) for x in data]
