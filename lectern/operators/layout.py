@@ -302,14 +302,53 @@ def take_figures(lines: DataFrame, figures: DataFrame) -> DataFrame:
     return _give_way(lines, figures, lambda box, inside: _row(box, labels(inside), "figure"), lambda box, inside: F.lit(True))
 
 
+def _owners(page: np.ndarray, order: np.ndarray, grid: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Which rows of some pages stay: lines (``order`` 0) that lie in no box, and boxes (1 and on, box after box of a page) that are
+    taken and lie in no later one. A box is taken if it is a ``grid`` and holds a row that is still there. All pages take their
+    box of the same number at once."""
+    stays, cx, cy = order == 0, (x0 + x1) / 2, (y0 + y1) / 2
+    first = np.flatnonzero(np.diff(page, prepend=-1))
+    ends = np.append(first[1:], len(page))
+    boxes = np.flatnonzero((order > 0) & grid)
+    for number in np.unique(order[boxes]):
+        box = boxes[order[boxes] == number]
+        own = np.searchsorted(first, box, side="right") - 1
+        size = ends[own] - first[own]
+        b = np.repeat(box, size)
+        row = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[own], size)
+        inside = stays[row] & (cx[row] >= x0[b] - 1) & (cx[row] <= x1[b] + 1) & (cy[row] >= y0[b] - 1) & (cy[row] <= y1[b] + 1)
+        stays[row[inside]] = False
+        stays[b[inside]] = True
+    return stays
+
+
 def take_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines (or what ``take_figures`` left) and tables(doc_id, page, box, x0, y0, x1, y1, rows array<array<string>>) -> the same
-    columns: a table with a line inside, two rows and two columns takes the place of its lines; its cells come out tidied."""
+    columns: a table with a line inside, two rows and two columns takes the place of its lines; its cells come out tidied. Box after
+    box, as for figures; lines and boxes are dealt out and sorted by page once, and only cells of tables that stay are tidied."""
+    sides = [F.col(c).cast("double").alias(c) for c in _SIDES]
+    role = F.col("role") if "role" in lines.columns else F.lit("line")
+    nested = "array<array<string>>"
+    old = F.col("rows") if "rows" in lines.columns else F.lit(None).cast(nested)
+    grid = F.coalesce((F.size("rows") >= 2) & (F.array_max(F.transform("rows", F.size)) >= 2), F.lit(False))
+    rows = lines.select(*PAGE, F.col("k").cast("int").alias("k"), "text", *sides, role.alias("role"), old.cast(nested).alias("rows"), F.lit(False).alias("_box"), F.lit(True).alias("_grid"))
+    rows = rows.unionByName(tables.select(*PAGE, F.col("box").cast("int").alias("k"), F.lit(None).cast("string").alias("text"), *sides, F.lit("table").alias("role"), F.col("rows").cast(nested).alias("rows"),
+                                          F.lit(True).alias("_box"), grid.alias("_grid")))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page in whole_pages(batches):
+            box = table["_box"].to_numpy()
+            upto = np.cumsum(box)
+            first = np.flatnonzero(np.diff(page, prepend=-1))
+            before = np.repeat(upto[first] - box[first], np.diff(np.append(first, len(page))))
+            stays = _owners(page, np.where(box, upto - before, 0), table["_grid"].to_numpy(), *(table[c].to_numpy() for c in _SIDES))
+            yield from table.filter(pa.array(stays)).to_batches()
+
+    dealt = rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "_box", "k")
+    left = dealt.mapInArrow(solve, dealt.schema)
     cell = lambda c: finish_paragraph(clean_pdf_text(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
-    clean = tables.withColumn("rows", F.transform("rows", lambda r: F.transform(r, cell)))
-    grid = lambda box: (F.size(box["rows"]) >= 2) & (F.array_max(F.transform(box["rows"], F.size)) >= 2)
-    return _give_way(lines, clean, lambda box, inside: _row(box, F.lit(None).cast("string"), "table", box["rows"]),
-                     lambda box, inside: (F.size(inside) > 0) & F.coalesce(grid(box), F.lit(False)))
+    clean = F.when(F.col("_box"), F.transform("rows", lambda r: F.transform(r, cell))).otherwise(F.col("rows"))
+    return left.select(*PAGE, "k", "text", *_SIDES, "role", clean.alias("rows"))
 
 
 def verbalise_tables(cells: DataFrame, book_rule: bool = True) -> DataFrame:

@@ -96,7 +96,7 @@ def test_words_are_not_moved_for_lookups(spark, sf):
     assert rows(T.words_at_chars(probes, T.timeline_arrays(paras, ["n"]), ["n"])) == rows(T.word_at_char(probes, words, ["n"]))
 
 
-@pytest.mark.parametrize(("name", "scans"), [("lay22_ocr_paragraphs", 1)])
+@pytest.mark.parametrize(("name", "scans"), [("lay16_take_tables", 2), ("lay22_ocr_paragraphs", 1)])
 def test_rows_of_a_page_are_sorted_once(spark, sf, name, scans):
     """One shuffle and one sort by page, no array of a page's lines, no join."""
     df = QUERIES[name](spark, sf)
@@ -105,6 +105,31 @@ def test_rows_of_a_page_are_sorted_once(spark, sf, name, scans):
     assert not any(x in plan for x in ("collect_list", "Window", "Join"))
 
 
+def test_tables_are_taken_box_after_box(spark, sf):
+    """Boxes that overlap, hold nothing, are no grid, swallow a row before or lie on a page without lines, against a plain loop."""
+    lines = Q.S.layout_lines(spark, sf).where("doc_id < 30 and page < 3").select("doc_id", "page", "k", "text", "x0", "y0", "x1", "y1")
+    pages = lines.select("doc_id", "page").distinct().unionByName(spark.createDataFrame([(-1, 0)], "doc_id long, page int"))
+    side = lambda a, m: F.expr(f"cast(pmod(doc_id * {a} + page * 7 + box * {a + 4}, {m}) as double)")
+    boxes = pages.withColumn("box", F.explode(F.sequence(F.lit(200), F.lit(206)))).withColumn("x0", side(5, 300)).withColumn("y0", side(11, 400))
+    boxes = boxes.withColumn("x1", F.col("x0") + side(3, 200)).withColumn("y1", F.col("y0") + side(13, 150))
+    cell = F.expr("array(array('a'), array(' b ', cast(box as string)))")
+    boxes = boxes.withColumn("rows", F.when(F.expr("pmod(doc_id + box, 5) > 0"), cell).when(F.expr("pmod(doc_id, 2) = 0"), F.expr("array(array('a', 'b'))")))
+    by, want = {}, []
+    for r in lines.collect():
+        by.setdefault((r.doc_id, r.page), []).append((*r[2:], "line", None))
+    for r in boxes.orderBy("doc_id", "page", "box").collect():
+        now = by.setdefault((r.doc_id, r.page), [])
+        held = [x for x in now if r.x0 - 1 <= (x[2] + x[4]) / 2 <= r.x1 + 1 and r.y0 - 1 <= (x[3] + x[5]) / 2 <= r.y1 + 1]
+        if held and r.rows and len(r.rows) > 1:
+            now[:] = [x for x in now if x not in held] + [(r.box, None, r.x0, r.y0, r.x1, r.y1, "table", [["a"], ["b", str(r.box)]])]
+    for key, now in by.items():
+        want += [(*key, *x) for x in now]
+    assert rows(L.take_tables(lines, boxes)) == sorted(want, key=repr) and sum(x[-1] is not None for x in want) > 20
+    # what an earlier call left is a line for the next
+    again = L.take_tables(L.take_tables(lines, boxes.where("box < 203")), boxes.where("box >= 203"))
+    assert rows(again) == rows(L.take_tables(lines, boxes))
+
+
 def test_pieces_are_joined_alike(spark):
     from lectern.functions.text import join_pieces, joined_pieces
 
