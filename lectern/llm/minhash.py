@@ -154,7 +154,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1)))
     )
     dealt = pairs.join(hot, "y", "left").withColumn("_salt", F.pmod(F.xxhash64("x"), wide).cast("int")).drop("_fan")
-    both = dealt.join(left, "x").join(right.drop("_fan"), ["y", "_salt"])
+    both = dealt.join(left, "x").join(right.drop("_fan").hint("merge"), ["y", "_salt"])
     common = F.size(F.array_intersect("_a", "_b"))
     both = both.select("x", "y", common.cast("long").alias("_i"), (F.size("_a") + F.size("_b")).cast("long").alias("_s"))
     return both.where(F.col("_i") * 100 >= percent * (F.col("_s") - F.col("_i"))).select("x", "y")
@@ -176,9 +176,11 @@ def near_duplicates(
         .select("_set", F.col("_r._id").alias("_rep"), F.col("_r.n_shingles").alias("_n"), F.col("_r._left").alias("_left"), F.col("_r._right").alias("_right")),
         "classes",
     )
+    # The joins by bucket have a merge hint: Spark sizes what is exploded, or written once for each table, far too low, and would
+    # send all of it through the driver.
     cells = table_keys(classes)
     least = cells.groupBy("_key").agg(F.min("_rep").alias("_low"), F.max("_rep").alias("_top")).where("_low < _top").select("_key", "_low")
-    met = durable(cells.join(least, "_key").select("_key", "_rep", "_n", "_low"), "buckets")
+    met = durable(cells.join(least.hint("merge"), "_key").select("_key", "_rep", "_n", "_low"), "buckets")
     candidates = met.select(F.col("_rep").alias("_c")).distinct()
     candidates, seen = measured(candidates, "candidates")
     keys = maybe_broadcast(candidates, seen["rows"])
@@ -193,7 +195,7 @@ def near_duplicates(
     # Classes that share a bucket but not a component: compare across components, once per pair.
     placed = met.join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("component", F.coalesce("component", "_rep"))
     mixed = placed.groupBy("_key").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q").select("_key")
-    open_ = durable(placed.join(mixed, "_key").select("_key", "_rep", "_n", "component"), "open-buckets")
+    open_ = durable(placed.join(mixed.hint("merge"), "_key").select("_key", "_rep", "_n", "component"), "open-buckets")
     # Shingles that no other class there has can't be common: they bound every intersection, and most pairs fall by that.
     listed = sets.join(open_.select(F.col("_rep").alias("_id")).distinct(), "_id").select("_id", F.explode("_shingles").alias("_x"))
     lone = listed.groupBy("_x").agg(F.count("*").alias("_c"), F.min("_id").alias("_rep")).where("_c = 1").groupBy("_rep").agg(F.count("*").alias("_u"))
@@ -203,7 +205,7 @@ def near_duplicates(
     # A second star: the center of a bucket is the class with the fewest shingles of its own, the likely origin of the others.
     middle = able.groupBy("_key").agg(F.min_by(F.struct("_rep", "_n", "_most", "component", "_parity"), F.struct(F.col("_n") - F.col("_most"), F.col("_rep"))).alias("_m"))
     bound = F.least("_most", "_m._most")
-    second = able.join(middle, "_key").where("component <> _m.component").where(near("_parity", "_m._parity", F.col("_n") + F.col("_m._n"))).where(bound * 100 >= percent * (F.col("_n") + F.col("_m._n") - bound)).select(
+    second = able.join(middle.hint("merge"), "_key").where("component <> _m.component").where(near("_parity", "_m._parity", F.col("_n") + F.col("_m._n"))).where(bound * 100 >= percent * (F.col("_n") + F.col("_m._n") - bound)).select(
         F.col("_rep").alias("x"), F.col("_m._rep").alias("y")).distinct()
     second = durable(second.join(star, ["x", "y"], "left_anti"), "second-star")
     found, seen = measured(verify_pairs(second, sets, percent), "star-links")
@@ -211,12 +213,12 @@ def near_duplicates(
         links, labels = links.unionByName(found), joined_components(labels, found)
     able = able.drop("component").join(labels.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("component", F.coalesce("component", "_rep"))
     mixed = able.groupBy("_key").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p < _q").select("_key")
-    able = durable(able.join(mixed, "_key", "left_semi"), "still-open")
+    able = durable(able.join(mixed.hint("merge"), "_key", "left_semi"), "still-open")
     a = able.select("_key", F.col("_rep").alias("x"), F.col("_n").alias("nx"), F.col("component").alias("cx"), F.col("_most").alias("mx"), F.col("_parity").alias("px"))
     b = able.select("_key", F.col("_rep").alias("y"), F.col("_n").alias("ny"), F.col("component").alias("cy"), F.col("_most").alias("my"), F.col("_parity").alias("py"))
     most = F.least("mx", "my", "nx", "ny")
     pairs = (
-        a.join(b, "_key").where("x > y and cx <> cy").where(near("px", "py", F.col("nx") + F.col("ny")))
+        a.join(b.hint("merge"), "_key").where("x > y and cx <> cy").where(near("px", "py", F.col("nx") + F.col("ny")))
         .where(most * 100 >= percent * (F.col("nx") + F.col("ny") - most)).select("x", "y").distinct()
     )
     tried = star.unionByName(second.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")))

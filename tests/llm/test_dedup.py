@@ -178,3 +178,19 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     narrow, wide = spark.createDataFrame([], "a long"), spark.createDataFrame([], "a string, b string, c string")
     hinted = lambda df, n: "hint" in common.maybe_broadcast(df, n)._jdf.queryExecution().logical().toString().lower()
     assert hinted(narrow, 1_000_000) and not hinted(narrow, 1_000_001) and not hinted(wide, 300_000) and hinted(wide, 200_000)
+
+
+def test_bucket_joins_are_not_sized_before_the_explode(spark, sf, monkeypatch):
+    """Each class is in 64 tables; sized without that, one side of the join by bucket was broadcast, 1.6 GB of it on 0.5 GB of texts."""
+    plans = {}
+
+    def watch(real):
+        return lambda df, name, **k: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), real(df, name, **k))[1]
+
+    monkeypatch.setattr(M, "durable", watch(M.durable))
+    monkeypatch.setattr(M, "measured", watch(M.measured))
+    M.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), words=3, percent=85)
+    for name in ("buckets", "open-buckets", "still-open"):
+        assert "SortMergeJoin [_key" in plans[name], name
+    assert "SortMergeJoin [_key" in plans["second-star"] and "SortMergeJoin [_key" in plans["pairs"]
+    assert "Broadcast" not in plans["buckets"]
