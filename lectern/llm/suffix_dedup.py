@@ -292,7 +292,7 @@ def _wide_masks(segments: DataFrame, length: int) -> DataFrame:
     w = segments.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_windows") - 1)))
     w = w.withColumn("_w", F.substring("_bytes", F.col("_o") + 1, F.lit(length)))
     least = w.groupBy("_w").agg(F.min("_low").alias("_least"), F.max("_low").alias("_most")).where("_least < _most").select("_w", "_least")
-    hits = w.join(least, "_w").where("_least < _low")
+    hits = w.join(least.hint("merge"), "_w").where("_least < _low")  # sized as before the explode, either side might be broadcast
     bits = hits.groupBy("_key", "_seg").agg(F.bit_or(F.expr("shiftleft(1L, _o)")).alias("_mask"))
     return segments.join(bits, ["_key", "_seg"], "left").select("_key", "_seg", "_low", "_high", F.coalesce("_mask", F.lit(0).cast("long")).alias("_mask")).where(
         "_mask <> 0 or _high > _low")
