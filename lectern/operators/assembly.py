@@ -350,13 +350,12 @@ def ocr_paragraphs(lines: DataFrame) -> DataFrame:
 def figure_candidates(images: DataFrame, drawings: DataFrame, words: DataFrame, labels: DataFrame, width: float, height: float) -> DataFrame:
     """Figures of a page, from top to bottom: pictures of a fair size, and clusters of at least four drawings that aren't rules,
     grids, text or background, with short labels within 24 points. images, drawings, words (doc_id, page, box, x0, y0, x1, y1),
-    labels with text as well -> (doc_id, page, pos, x0, y0, x1, y1)."""
+    labels with text as well -> (doc_id, page, pos, x0, y0, x1, y1). A page may have any number of drawings."""
     w, h, area = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), width * height
     sides = ["x0", "y0", "x1", "y1"]
     pictures = images.where((w >= 40) & (h >= 30) & (w * h / area).between(0.02, 0.85)).select(*PAGE, *sides)
-    few = drawings.groupBy(*PAGE).count().where("count <= 3000").select(*PAGE)
     rule = (w > 0.6 * width) & (h < 4) | (h > 0.6 * height) & (w < 4) | (w * h > 0.6 * area) | (w < 0.5) & (h < 0.5)
-    groups = cluster_boxes(drawings.join(few, PAGE, "left_semi").where(~rule), 40.0).groupBy(*PAGE, "cluster").agg(
+    groups = cluster_boxes(drawings.where(~rule), 40.0).groupBy(*PAGE, "cluster").agg(
         F.count("*").alias("_n"), F.count_if((w < 2) | (h < 2)).alias("_thin"), *[F.min(c).alias(c) for c in sides[:2]], *[F.max(c).alias(c) for c in sides[2:]])
     fair = groups.where((F.col("_n") >= 4) & (w * h / area).between(0.03, 0.85) & (F.col("_thin") < 0.8 * F.col("_n")))
     centre = [(F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.y0") + F.col("w.y1")) / 2]

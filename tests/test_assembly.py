@@ -202,3 +202,14 @@ def test_figures(spark):
     assert got == [(1, 0, 1, 6.0, 6.0, 114.0, 114.0), (1, 0, 2, 196.0, 296.0, 294.0, 419.0)]
     words = spark.createDataFrame([(1, 0, 1, 200.0, 300.0, 290.0, 340.0)], box)
     assert A.figure_candidates(images, drawings, words, labels, 400.0, 600.0).count() == 1
+
+
+def test_figures_of_many_drawings(spark):
+    """Pages are not left out for the number of their drawings: one of 6,400 has the figure that one of 400 on the same place has."""
+    box = "doc_id long, page int, box int, x0 double, y0 double, x1 double, y1 double"
+    grid = lambda doc, n: [(doc, 0, i, 100.0 + 160.0 * (i % n) / n, 200.0 + 160.0 * (i // n) / n, 100.0 + 160.0 * (i % n + 1) / n, 200.0 + 160.0 * (i // n + 1) / n) for i in range(n * n)]
+    fine = [(*r[:5], r[3] + 2.0, r[4] + 2.0) for r in grid(2, 80)]
+    drawings = spark.createDataFrame([*grid(1, 20), *fine], box)
+    none = drawings.limit(0)
+    got = [tuple(r) for r in A.figure_candidates(none, drawings, none, spark.createDataFrame([], box + ", text string"), 400.0, 600.0).orderBy("doc_id", "pos").collect()]
+    assert got == [(d, 0, 1, 96.0, 196.0, 264.0, 364.0) for d in (1, 2)]
