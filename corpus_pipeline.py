@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, langid, minhash, packing, suffix_dedup
-from lectern.llm.common import durable, table
+from lectern.llm.common import durable, passing, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _after(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """The documents after the last of some stages, as a table; those before go once it is written."""
+    if not stages:
+        return table(spark, sf_dir, "documents")
+    name, stage = stages[-1]
+    with passing(spark, f"stage-{name}"):
+        return durable(stage(spark, _after(spark, sf_dir, stages[:-1]), sf_dir), f"stage-{name}")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, _after(spark, sf_dir, STAGES[:-1]), sf_dir)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import durable, maybe_broadcast, measured, partitions
+from .common import durable, maybe_broadcast, measured, partitions, passing
 
 HASH_BITS = 64
 #: Fingerprints that one owner holds, about.
@@ -188,9 +188,10 @@ def _join_groups(prints: DataFrame, groups: DataFrame, n_hot: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, without further copies of a text."""
-    status = exact_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_kid"), F.unhex("text_sha256").alias("_ksha")).agg(
-        F.max("kept").alias("_any"), F.count("*").alias("_n"))
-    odd, seen = measured(status.where("not _any or _n > 1"), "dropped", twice=F.count_if("_any"))
+    with passing(docs.sparkSession, "dropped"):
+        status = exact_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_kid"), F.unhex("text_sha256").alias("_ksha")).agg(
+            F.max("kept").alias("_any"), F.count("*").alias("_n"))
+        odd, seen = measured(status.where("not _any or _n > 1"), "dropped", twice=F.count_if("_any"))
     keyed = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     match = lambda keys: keyed[id_col].eqNullSafe(keys["_kid"]) & (keyed["_sha"] == keys["_ksha"])
     keys = maybe_broadcast(odd, seen["rows"])

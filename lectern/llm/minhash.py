@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lean, maybe_broadcast, measured, slices
+from .common import durable, lean, maybe_broadcast, measured, passing, slices
 from .components import connected_components, joined_components
 
 MASK = (1 << 64) - 1
@@ -165,6 +165,15 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id), n_links
     (confirmed links of its class found on the way; all classes of a component are connected by such links)."""
+    with passing(docs.sparkSession, *RESULT):
+        return _near_duplicates(docs, id_col, text_col, words, percent, m, rows)
+
+
+#: The tables that the result is made of; sets, buckets and pairs go when it is known.
+RESULT = ("sketches", "classes", "links", "star-links", "pair-links", "labels", "edges", "numbered", "by-row", "of-ids")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, m: int, rows: int) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     if not base.where("_id is not null").groupBy("_id").count().where("count > 1").isEmpty():
         return _of_repeated_ids(base, docs.schema[id_col].dataType, id_col, words, percent, m, rows)
@@ -261,7 +270,8 @@ def _of_repeated_ids(base: DataFrame, id_type, id_col: str, words: int, percent:
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate group (that of the smallest id)."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    gone, seen = measured(found.where("not kept").select(F.col(id_col).cast("long").alias("_gone")).distinct(), "near-dropped")
+    with passing(docs.sparkSession, "near-dropped"):
+        found = near_duplicates(docs, id_col, text_col, **how)
+        gone, seen = measured(found.where("not kept").select(F.col(id_col).cast("long").alias("_gone")).distinct(), "near-dropped")
     keys = maybe_broadcast(gone, seen["rows"])
     return docs.join(keys, docs[id_col].cast("long") == keys["_gone"], "left_anti")

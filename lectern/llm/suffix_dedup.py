@@ -34,7 +34,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, give_back, lean, maybe_broadcast, measured, partitions
+from .common import BROADCAST_ROWS, durable, give_back, lean, maybe_broadcast, measured, partitions, passing
 from .exact_dedup import _answer, golomb_encode
 from .suffix_array import suffix_array
 
@@ -326,59 +326,79 @@ def _with_bytes(rows: DataFrame, texts: DataFrame, length: int, repeats: bool) -
 
 def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, extra: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """base(_id, _text, _h, extras), copies(_cid, _ch) that lose everything, cuts(_did, _dh, _w: array of (_first, _mask)) and
-    how many documents have cuts."""
+    how many documents have cuts. Each step's tables go once the next one's are written."""
     spark = docs.sparkSession
-    owners = max(2, 2 * partitions(spark))
     base = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)])
     # Where an id repeats, rows are told apart by a hash of the text too.
     repeats = base.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_c")).where("_c > 1").limit(1).count() > 0
     base = base.withColumn("_h", F.xxhash64("_text") if repeats else F.lit(0).cast("long"))
-    # One scan of the texts for their hashes and sizes.
+    with passing(spark, "copies", "cuts"):
+        copies, n_copies, total = _copies(base, length)
+        segments, live = _segments_found(base, copies, n_copies, total, length)
+        settled = _settled(segments, live, length, repeats)
+        all_ = F.expr("shiftleft(1L, _windows) - 1")
+        cuts = (
+            segments.select("_id", "_h", "_key", "_seg", (F.shiftright("_place", 16)).cast("int").alias("_first"), F.expr("cast(shiftright(_place, 8) & 255 as int)").alias("_windows"))
+            .join(settled.drop("_high"), ["_key", "_seg"])
+            .withColumn("_mask", F.when(F.col("_id") > F.col("_low"), all_).otherwise(F.col("_mask"))).where("_mask <> 0")
+            .groupBy(F.col("_id").alias("_did"), F.col("_h").alias("_dh")).agg(F.collect_list(F.struct("_first", "_mask")).alias("_w"))
+        )
+        cuts, seen = measured(cuts, "cuts")
+    return base, maybe_broadcast(copies, n_copies), cuts, seen["rows"]
+
+
+def _copies(base: DataFrame, length: int) -> tuple[DataFrame, int, int]:
+    """copies(_cid, _ch) of a smaller document's text, their number, and the bytes of all texts: one scan of the texts for their
+    hashes and sizes."""
     octets = F.octet_length("_text").cast("long")
     hashed = base.where("_id is not null").select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_sha"), octets.alias("_n")).where(f"_n >= {length}")
-    hashed, size = measured(hashed, "text-hashes", bytes=F.sum("_n"))
-    least = hashed.groupBy("_sha").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high")
-    least, seen = measured(least, "copied-texts")
-    hot = maybe_broadcast(least, seen["rows"])
-    copies, seen = measured(hashed.join(hot, "_sha").where("_id > _low").select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch")).distinct(), "copies")
-    n_copies = seen["rows"]
+    with passing(base.sparkSession, "copies"):
+        hashed, size = measured(hashed, "text-hashes", bytes=F.sum("_n"))
+        least = hashed.groupBy("_sha").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high")
+        least, seen = measured(least, "copied-texts")
+        hot = maybe_broadcast(least, seen["rows"])
+        copies, seen = measured(hashed.join(hot, "_sha").where("_id > _low").select(F.col("_id").alias("_cid"), F.col("_h").alias("_ch")).distinct(), "copies")
+    return copies, seen["rows"], size["bytes"] or 1
+
+
+def _segments_found(base: DataFrame, copies: DataFrame, n_copies: int, total: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """segments(_id, _h, _key, _seg, _place) at the anchors that occur more than once, and the texts that were looked at."""
     sender = F.spark_partition_id() * SPLIT + F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(SPLIT)).cast("int")
     live = base.where("_id is not null").withColumn("_sender", sender).where(F.octet_length("_text") >= length)
     is_copy = (F.col("_id") == F.col("_cid")) & (F.col("_h") == F.col("_ch"))
     few = n_copies <= BROADCAST_ROWS
     if few:  # copies leave before the exchange; a join that shuffles would tear the senders apart, so else they leave behind it
         live = live.join(F.broadcast(copies), is_copy, "left_anti")
-    total = size["bytes"] or 1
-    owners = max(owners, -(-total // OWNED))
+    owners = max(2, 2 * partitions(base.sparkSession), -(-total // OWNED))
     bits = min(64, int(total).bit_length() + 12)
-    sent = durable(live.select("_sender", "_id", "_text").mapInPandas(_sent(length, owners, bits), "_sender int, _owner int, _blob binary"), "anchors")
-    answers = sent.where("_owner >= 0").groupBy("_owner").applyInPandas(_answer, "_sender int, _owner int, _bitmap binary")
-    answers = answers.unionByName(sent.where("_owner < 0").withColumnRenamed("_blob", "_bitmap"))
-    moved = live.select("_sender", "_id", "_h", squeezed("_text").alias("_z"))
-    found = moved.groupBy("_sender").cogroup(answers.groupBy("_sender")).applyInPandas(
-        _shared_segments(length, owners, bits), "_id long, _h long, _key long, _seg long, _place long")
-    segments = durable(found if few else found.join(copies, is_copy, "left_anti"), "segments")
-    unique = durable(segments.groupBy("_key", "_seg").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.min_by("_place", "_id").alias("_place")), "unique-segments")
-    several, seen = measured(unique.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "contested-anchors")
-    # One segment: nothing to compare. Several: their bytes are cut from the text of their smallest document.
-    plain = unique.join(maybe_broadcast(several.select("_key"), seen["rows"]), "_key", "left_anti").where("_high > _low").select("_key", "_seg", "_low", "_high", F.lit(0).cast("long").alias("_mask"))
-    contested, seen = measured(_with_bytes(unique.join(maybe_broadcast(several, seen["rows"]), "_key"), live.select("_id", "_text"), length, repeats), "contested", widest=F.max("_c"))
-    narrow = contested.where(f"_c <= {WIDE}").drop("_c")
-    settled = narrow.repartition(partitions(spark), "_key").sortWithinPartitions("_key").mapInPandas(
-        _solve(length), "_key long, _seg long, _low long, _high long, _mask long").unionByName(plain)
-    if (seen["widest"] or 0) > WIDE:
-        settled = settled.unionByName(_wide_masks(contested.where(f"_c > {WIDE}").drop("_c"), length))
-    settled = durable(settled, "settled")
-    all_ = F.expr("shiftleft(1L, _windows) - 1")
-    cuts = (
-        segments.select("_id", "_h", "_key", "_seg", (F.shiftright("_place", 16)).cast("int").alias("_first"), F.expr("cast(shiftright(_place, 8) & 255 as int)").alias("_windows"))
-        .join(settled.drop("_high"), ["_key", "_seg"])
-        .withColumn("_mask", F.when(F.col("_id") > F.col("_low"), all_).otherwise(F.col("_mask"))).where("_mask <> 0")
-        .groupBy(F.col("_id").alias("_did"), F.col("_h").alias("_dh")).agg(F.collect_list(F.struct("_first", "_mask")).alias("_w"))
-    )
-    cuts, seen = measured(cuts, "cuts")
-    return base, maybe_broadcast(copies, n_copies), cuts, seen["rows"]
+    with passing(base.sparkSession, "segments"):
+        sent = durable(live.select("_sender", "_id", "_text").mapInPandas(_sent(length, owners, bits), "_sender int, _owner int, _blob binary"), "anchors")
+        answers = sent.where("_owner >= 0").groupBy("_owner").applyInPandas(_answer, "_sender int, _owner int, _bitmap binary")
+        answers = answers.unionByName(sent.where("_owner < 0").withColumnRenamed("_blob", "_bitmap"))
+        moved = live.select("_sender", "_id", "_h", squeezed("_text").alias("_z"))
+        found = moved.groupBy("_sender").cogroup(answers.groupBy("_sender")).applyInPandas(
+            _shared_segments(length, owners, bits), "_id long, _h long, _key long, _seg long, _place long")
+        segments = durable(found if few else found.join(copies, is_copy, "left_anti"), "segments")
+    return segments, live
+
+
+def _settled(segments: DataFrame, live: DataFrame, length: int, repeats: bool) -> DataFrame:
+    """settled(_key, _seg, _low, _high, _mask): of the distinct segments those of which a document loses something."""
+    spark = segments.sparkSession
+    with passing(spark, "settled"):
+        unique = durable(segments.groupBy("_key", "_seg").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.min_by("_place", "_id").alias("_place")), "unique-segments")
+        several, seen = measured(unique.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1"), "contested-anchors")
+        # One segment: nothing to compare. Several: their bytes are cut from the text of their smallest document.
+        plain = unique.join(maybe_broadcast(several.select("_key"), seen["rows"]), "_key", "left_anti").where("_high > _low").select("_key", "_seg", "_low", "_high", F.lit(0).cast("long").alias("_mask"))
+        with passing(spark, "contested"):
+            contested, seen = measured(_with_bytes(unique.join(maybe_broadcast(several, seen["rows"]), "_key"), live.select("_id", "_text"), length, repeats), "contested", widest=F.max("_c"))
+        narrow = contested.where(f"_c <= {WIDE}").drop("_c")
+        settled = narrow.repartition(partitions(spark), "_key").sortWithinPartitions("_key").mapInPandas(
+            _solve(length), "_key long, _seg long, _low long, _high long, _mask long").unionByName(plain)
+        if (seen["widest"] or 0) > WIDE:
+            settled = settled.unionByName(_wide_masks(contested.where(f"_c > {WIDE}").drop("_c"), length))
+        return durable(settled, "settled")
 
 
 def covered(size: int, firsts, masks, length: int) -> np.ndarray:

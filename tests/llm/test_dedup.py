@@ -194,3 +194,24 @@ def test_bucket_joins_are_not_sized_before_the_explode(spark, sf, monkeypatch):
         assert "SortMergeJoin [_key" in plans[name], name
     assert "SortMergeJoin [_key" in plans["second-star"] and "SortMergeJoin [_key" in plans["pairs"]
     assert "Broadcast" not in plans["buckets"]
+
+
+def test_tables_go_when_the_next_are_written(spark, tmp_path, monkeypatch):
+    """The tables that passages and near copies are found by don't stay on disk until the job's end."""
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda s: str(tmp_path))
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    rows = [(i, f"{i} " + " ".join(f"w{(i // 3) * 40 + k}" for k in range(40))) for i in range(60)]
+    docs = common.durable(spark.createDataFrame(rows, "doc_id long, text string"), "input")
+    cut, near, one = S.cut_repeats(docs), M.keep_one_of_near(docs), E.keep_one(docs)
+    assert left() == ["lectern-copies", "lectern-cuts", "lectern-dropped", "lectern-input", "lectern-near-dropped"]
+    assert sum(r.n_removed > 0 for r in cut.collect()) == 40 and near.count() == 20 and one.count() == 60
+    found = M.near_duplicates(docs)
+    assert not {"lectern-sets", "lectern-buckets", "lectern-able"} & set(left()) and found.where("kept").count() == 20
+    with common.passing(spark, "b"):
+        with common.passing(spark, "a"):
+            a = common.durable(docs, "a")
+        b = common.durable(a.groupBy("doc_id").count(), "b")
+        assert "lectern-a" in left()
+    assert "lectern-a" not in left() and b.count() == 60
