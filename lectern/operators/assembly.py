@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import QUOTES, STOPS, WHITE, finish_paragraph, is_picture, joined_pieces, strip
 from lectern.operators.layout import (
-    PAGE, _bound, _is_range, cluster_boxes, in_order, merge_boxes, page_gutters, same_heading, stitch_pages, whole_pages, with_breaks, with_roles)
+    PAGE, _bound, _is_range, cluster_boxes, in_order, merge_boxes, same_heading, stitch_pages, whole_pages, with_breaks, with_gutters, with_metrics, with_roles)
 
 SOFT_HYPHEN = "­"
 #: Signs of footnotes, what ends a clause before a new sentence, what opens one.
@@ -154,55 +154,41 @@ def _joined(x: DataFrame, *also: str) -> DataFrame:
     return x.groupBy(*PAGE, "para").agg(strip(text).alias("text"), *[F.first(c).alias(c) for c in also]).where("text <> ''")
 
 
-def _page_body(lines: Column) -> Column:
-    """The size and family of a page's ordinary text, as ``body_metrics`` finds them, of an array of its lines."""
-    sized = F.filter(F.transform(lines, lambda x: F.struct(
-        (F.bround(x["size"] * 2) / 2).alias("b"), F.length(strip(x["text"])).cast("long").alias("n"), x["size"].alias("size"), x["family"].alias("family"),
-        F.struct(x["y0"].alias("y"), x["x0"].alias("x")).alias("place"))), lambda x: x["n"] > 0)
-
-    def most(own: Column, by: str) -> Column:
-        """Of the values of ``by`` the one with most characters, the first on the page of several; with the mean size of its lines."""
-        of = lambda v: F.filter(own, lambda x: x[by] == v)
-        sums = F.transform(F.array_distinct(F.transform(own, lambda x: x[by])), lambda v: F.struct(
-            (-F.aggregate(of(v), F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("w"), F.array_min(F.transform(of(v), lambda x: x["place"])).alias("place"),
-            F.aggregate(of(v), F.lit(0.0), lambda a, x: a + x["size"] * x["n"]).alias("total"), v.alias("v")))
-        return F.array_min(sums)
-
-    def of_page(own: Column) -> Column:
-        return _bound(most(own, "b"), lambda t: F.named_struct(
-            F.lit("body"), t["total"] / -t["w"], F.lit("family"), _bound(F.filter(own, lambda x: x["b"] == t["v"]), lambda mine: most(mine, "family")["v"])))
-
-    return _bound(sized, of_page)  # bound, so that the lines are measured once
+def _parts(words: Column) -> Column:
+    """The parts before and behind each hyphen of some words."""
+    cut = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.named_struct(
+        F.lit("a"), F.array_join(F.slice(p, 1, i), "-"), F.lit("b"), F.array_join(F.slice(p, i + 1, F.size(p)), "-")))
+    return F.flatten(F.transform(F.filter(words, lambda w: w.contains("-")), lambda w: _bound(F.split(w, "-"), cut)))
 
 
 def _hyphenated(lines: Column) -> Column:
     """Where words keep their hyphen when they are cut at it: the parts before and behind each hyphen of a page's words, unless the
     page has the joined word as well. Few words have one, so a page's lines carry little."""
     words = F.array_distinct(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(F.lower(F.replace(x["text"], F.lit(SOFT_HYPHEN), F.lit(""))), F.lit(LETTERS), F.lit(0)))))
-    cut = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.named_struct(
-        F.lit("a"), F.array_join(F.slice(p, 1, i), "-"), F.lit("b"), F.array_join(F.slice(p, i + 1, F.size(p)), "-")))
-    parts = lambda ws: F.flatten(F.transform(F.filter(ws, lambda w: w.contains("-")), lambda w: _bound(F.split(w, "-"), cut)))
-    return _bound(words, lambda ws: F.filter(parts(ws), lambda c: ~F.array_contains(ws, F.concat(c["a"], c["b"]))))
+    return _bound(words, lambda ws: F.filter(_parts(ws), lambda c: ~F.array_contains(ws, F.concat(c["a"], c["b"]))))
+
+
+def _with_hyphenated(lines: DataFrame) -> DataFrame:
+    """lines with their page's ``_kept``, as ``_hyphenated`` finds it of an array of them. A page's hyphenated words are gathered, then
+    those of their joined words that some line has, so only few lines are cut into words, each at most twice."""
+    page = Window.partitionBy(*PAGE)
+    inner = F.when(F.replace("text", F.lit(SOFT_HYPHEN), F.lit("")).rlike(r"\p{L}-\p{L}"), F.filter(_words("text"), lambda w: w.contains("-")))
+    x = lines.withColumn("_inner", F.array_distinct(F.flatten(F.collect_list(inner).over(page))))
+    x = x.withColumn("_kept", F.when(F.size("_inner") > 0, _parts(F.col("_inner"))))
+    joined = F.transform("_kept", lambda c: F.concat(c["a"], c["b"]))
+    x = x.withColumn("_has", F.flatten(F.collect_list(F.when(F.size("_inner") > 0, F.array_intersect(joined, _words("text")))).over(page)))
+    return x.withColumn("_kept", F.filter("_kept", lambda c: ~F.array_contains("_has", F.concat(c["a"], c["b"])))).drop("_inner", "_has")
 
 
 def pages_to_paragraphs(lines: DataFrame, height: float) -> DataFrame:
     """lines(doc_id, page, k, text, size, family, x0, y0, x1, y1) of whole documents -> (doc_id, para, text): furniture and footnotes
     left out, columns in reading order, lines joined to paragraphs and headings, sentences that go on over a page joined.
 
-    The operators of this and the layout module as one plan: a page's lines are brought together once, its measures, gutters and
-    words become columns beside them, and everything up to its paragraphs stays within the page; then the pages of a document
-    are brought together. So there are two shuffles, whatever the steps between."""
-    sides = ["x0", "y0", "x1", "y1"]
-    page = lines.groupBy(*PAGE).agg(F.collect_list(F.struct("k", "text", "size", "family", *sides)).alias("_l")).withColumn("_m", _page_body(F.col("_l")))
-    each = page.select(*PAGE, F.col("_m.body").alias("body"), F.col("_m.family").alias("_bf"), _hyphenated(F.col("_l")).alias("_kept"), F.inline(F.when(F.col("_m.body").isNotNull(), F.col("_l"))))
-    roles = with_roles(each, height)
-    # A page's gutters are found at its first line, not at each.
-    text = Window.partitionBy(*PAGE)
-    narrow = F.collect_list(F.when(F.col("role").isin("body", "heading"), F.struct("x0", "x1"))).over(text)
-    roles = roles.withColumn("_n", narrow).withColumn("_first", F.col("k").eqNullSafe(F.min("k").over(text)))
-    roles = roles.withColumn("_g", F.when(F.col("_first"), page_gutters(F.col("_n"), F.col("body"), 6, 12.0, 0.35, 0.5, 3))).drop("_n", "_first")
-    roles = roles.withColumn("_g", F.max("_g").over(text))
-    ordered = with_breaks(in_order(roles)).where("role in ('body', 'heading', 'title')")
+    The operators of this and the layout module as one plan: lines are dealt out by page once, the page's measures, words and gutters
+    are windows over them, and everything up to its paragraphs stays within the page; then the pages of a document are brought
+    together. So there are two shuffles, whatever the steps between, and no line works on the whole of its page."""
+    each = _with_hyphenated(with_metrics(lines.select(*PAGE, "k", "text", "size", "family", "x0", "y0", "x1", "y1")))
+    ordered = with_breaks(in_order(with_gutters(with_roles(each, height)))).where("role in ('body', 'heading', 'title')")
     fresh = F.when(F.col("role") == "body", F.col("breaks")).otherwise(~same_heading())
     block = ordered.withColumn("_new", fresh.cast("int")).withColumn("para", F.sum("_new").over(Window.partitionBy(*PAGE).orderBy("pos")))
     ends = _line_ends(block.select(*PAGE, "para", F.col("pos").alias("k"), F.when(F.col("role") == "body", F.col("text")).otherwise(strip("text")).alias("text"), "_kept"))
